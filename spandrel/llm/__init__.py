@@ -1,0 +1 @@
+"""Training-data operators. Nothing outside this subpackage imports it."""
