@@ -40,3 +40,12 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op4_mixing, op10_pseudonyms)}
+
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op9_ngram_join,)}
