@@ -60,3 +60,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op8_packing,)}
+
+
+def op7_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_join import embedding_join
+
+    return embedding_join(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES |= {f.__name__: f for f in (op7_embedding_join,)}
