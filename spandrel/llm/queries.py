@@ -69,3 +69,12 @@ def op7_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op7_embedding_join,)}
+
+
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op3_lm_scoring,)}
