@@ -78,3 +78,13 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op3_lm_scoring,)}
+
+
+def op6_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_mil import fit, quality_scores
+
+    docs = table(spark, sf_dir, "documents")
+    return quality_scores(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES |= {f.__name__: f for f in (op6_quality_mil,)}
