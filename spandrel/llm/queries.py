@@ -88,3 +88,12 @@ def op6_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op6_quality_mil,)}
+
+
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_labeller import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES |= {f.__name__: f for f in (op5_html_text,)}
