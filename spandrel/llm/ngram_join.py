@@ -11,16 +11,15 @@ m depends on n; sizes are therefore put in classes that grow by 1 / t, and a doc
 and the one below, which holds every possible smaller partner. An empty segment signs only where a document
 has so many that equal ones could all be empty.
 
-Counting. For candidate pairs each fragment's overlap is counted separately, in whatever task holds that
-fragment, and the counts are summed per pair. The sum decides exactly.
+Grouping. Documents sorted by signature stream past; each bucket of equal signatures gives a star around its first
+document, so groups of thousands of copies give as many rows as members. The components of the stars are clusters, and every possible link
+lies within one. A cluster is dealt into tiles of bounded size, which meet tile against tile, each meeting one task.
 
-Groups. Documents sorted by signature stream past; those with equal signatures form a bucket. Small buckets
-give all their pairs (at most SMALL * (SMALL - 1) / 2), larger ones a star around their first document, so groups of
-thousands of copies give as many pairs as members. When the links found have been made into components, pairs of
-different components that still share a large bucket are counted too. Every pair that shares a
-signature has then been compared or is connected already, and components are exact.
+Counting. In a meeting the order is cut into fragments; each fragment's overlaps of all the pairs are counted separately, as a product of
+0/1 matrices, and the counts are summed per pair. The sums decide exactly. A meeting returns only a spanning forest of its links, at
+most one row per document, so no pairs are sent, however large the group; components of the forests are the result.
 
-Only documents that are in some candidate pair send their sets; a bit table of fixed size (BITS) tells the tasks which, and a
+Only documents that are in some cluster send their sets; a bit table of fixed size (BITS) tells the tasks which, and a
 false hit only costs a row.
 
 Defined cases: null, empty and blank texts have an empty set and no link; texts with fewer than n words have one member,
@@ -33,21 +32,24 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 from .components import components
+from .embedding_join import forest
 from .textops import Words, blocks, mix64, shingles, string_parts
 
 #: The threshold as a fraction, for exact integer comparisons: 90 / 100.
 THRESHOLD = (90, 100)
 N_WORDS = 3
 SPARE = 1
-SMALL = 4
-#: Fragments that overlaps are counted in.
-FRAGMENTS = 4
+#: A tile has at most about so many documents, and so many n-grams.
+TILE, TILE_GRAMS = 512, 1 << 21
+#: Cells of the 0/1 matrix of one fragment.
+FRAGMENT_CELLS = 1 << 22
 BITS = 1 << 23
 
 
@@ -147,72 +149,21 @@ def _signed(docs: DataFrame, n_words: int, threshold: tuple[int, int]) -> DataFr
     return docs.mapInArrow(run, "sig long, id long")
 
 
-def _bucket_pairs(batches):
-    """Rows sorted by (sig, id) to pairs: all of a small bucket, the star of a large one, and the members of large ones (kind 1)."""
-    root = (None, None, 0)  # signature, first id, members so far of the bucket that the last batch ended in
-    held = np.zeros(0, np.int64)  # its first SMALL members
+def _stars(batches):
+    """Rows sorted by (sig, id) to (first id of the signature, other id), each once a batch."""
+    last_sig, first_id = None, None
     for batch in batches:
         sig, ident = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if not len(sig):
             continue
-        new = np.concatenate([[sig[0] != root[0]], sig[1:] != sig[:-1]])
-        again = np.concatenate([[False], (ident[1:] == ident[:-1]) & ~new[1:]])
-        if not new[0] and len(held) and (ident[0] == root[3]):
-            again[0] = True
-        sig, ident, new_kept = sig[~again], ident[~again], None
-        if not len(sig):
-            continue
-        new = np.concatenate([[sig[0] != root[0]], sig[1:] != sig[:-1]])
-        begin = np.flatnonzero(new)
-        # the rows before the first beginning go on with the held bucket
-        lead = 0 if new[0] else (begin[0] if len(begin) else len(sig))
-        bounds = np.concatenate([begin, [len(sig)]]) if len(begin) else np.array([len(sig)])
-        a_out, b_out, k_out = [], [], []
-        order = np.arange(len(sig))
-        start_of = np.zeros(len(sig), np.int64)
-        if len(begin):
-            start_of[lead:] = np.repeat(bounds[:-1], np.diff(bounds))
-        place = order - start_of
-        first_id = ident[start_of]
-        if lead:
-            place[:lead] = np.arange(lead) + root[2]
-            first_id[:lead] = root[1]
-        # the star
-        hit = place > 0
-        a_out.append(first_id[hit]), b_out.append(ident[hit])
-        # the other pairs among the first SMALL members
-        for back in range(1, SMALL - 1):
-            ok = (place < SMALL) & (place > back)
-            i = np.flatnonzero(ok)
-            j = i - back
-            inside = j >= (np.where(i < lead, 0, start_of[i]))
-            a_out.append(ident[j[inside]]), b_out.append(ident[i[inside]])
-            for x in i[~inside]:  # the partner was in an earlier batch
-                p = place[x] - back
-                if 0 < p < len(held):
-                    a_out.append(held[p : p + 1]), b_out.append(ident[x : x + 1])
-        pairs = np.unique(np.stack([np.concatenate(a_out), np.concatenate(b_out)], 1), axis=0) if sum(map(len, a_out)) else np.zeros((0, 2), np.int64)
-        # members of large buckets; the first SMALL are told when member SMALL arrives
-        late = np.flatnonzero(place >= SMALL)
-        sig_m, id_m = [sig[late]], [ident[late]]
-        for x in np.flatnonzero(place == SMALL):
-            if x < lead:
-                early = np.concatenate([held, ident[:lead][place[:lead] < SMALL]])[:SMALL]
-            else:
-                early = ident[start_of[x] : x]
-            sig_m.append(np.full(len(early), sig[x])), id_m.append(early)
-        m_sig, m_id = np.concatenate(sig_m), np.concatenate(id_m)
-        n = len(pairs) + len(m_sig)
-        if n:
-            k = np.concatenate([np.zeros(len(pairs), np.int8), np.ones(len(m_sig), np.int8)])
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.concatenate([pairs[:, 0], m_sig])), pa.array(np.concatenate([pairs[:, 1], m_id]))], names=["kind", "a", "b"])
-        last = np.flatnonzero(new)[-1] if len(begin) else None
-        if last is None:
-            held = np.concatenate([held, ident])[:SMALL]
-            root = (root[0], root[1], root[2] + len(sig), ident[-1])
-        else:
-            held = ident[last : last + SMALL].copy()
-            root = (sig[-1], ident[last], len(sig) - last, ident[-1])
+        new = np.concatenate([[last_sig is None or sig[0] != last_sig], sig[1:] != sig[:-1]])
+        begin = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
+        root = np.where(begin >= 0, ident[np.maximum(begin, 0)], first_id if first_id is not None else 0)
+        last_sig, first_id = sig[-1], root[-1]
+        apart = root != ident
+        if apart.any():
+            pairs = np.unique(np.stack([root[apart], ident[apart]], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
 def _bit_of(ident: np.ndarray) -> np.ndarray:
@@ -237,11 +188,10 @@ def _bit_table(ids: DataFrame) -> np.ndarray:
     return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
 
 
-def _segments(docs: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
-    """id, frag, part (the hashes of that fragment, as bytes) of the wanted documents, and a few more."""
+def _wanted_sets(docs: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
+    """id, grams (the sorted set, as bytes) of the wanted documents, and of a few more."""
     bits = np.packbits(_bit_table(wanted)).tobytes()
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(bits)  # BITS / 8 bytes, whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(bits)  # BITS / 8 bytes, whatever the input
 
     def run(batches):
         table = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
@@ -249,53 +199,90 @@ def _segments(docs: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
             keep = table[_bit_of(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))]
             if not keep.any():
                 continue
-            batch = batch.filter(pa.array(keep))
-            for ids, h, first in _sets(batch, n_words):
-                out = []
-                for k, ident in enumerate(ids):
-                    s = h[first[k] : first[k + 1]]
-                    cut = np.searchsorted(s, np.arange(1, FRAGMENTS, dtype=np.uint64) << np.uint64(64 - FRAGMENTS.bit_length() + 1))
-                    out += [(ident, f, part.tobytes()) for f, part in enumerate(np.split(s, cut)) if len(part)]
-                if out:
-                    i, f, p = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(f, pa.int32()), pa.array(p, pa.binary())], names=["id", "frag", "part"])
-
-    return docs.mapInArrow(run, "id long, frag int, part binary")
-
-
-def _overlaps(batches):
-    """Rows sorted by (a, frag, b), the first of each (a, frag) being a's own, to partial overlaps."""
-    own, key = None, None
-    for batch in batches:
-        a, frag, b, part = (batch.column(k) for k in range(4))
-        out = []
-        for x, f, y, p in zip(a.to_pylist(), frag.to_pylist(), b.to_pylist(), part, strict=True):
-            s = np.frombuffer(p.as_buffer(), np.uint64)
-            if y is None:
-                own, key = s.copy(), (x, f)
-            elif key == (x, f):
-                at = np.searchsorted(own, s)
-                at[at == len(own)] = 0
-                out.append((x, y, int((own[at] == s).sum())))
-        if out:
-            x, y, n = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "overlap"])
-
-
-def _links(pairs: DataFrame, segments: DataFrame, sizes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """a, b, linked (boolean) of the pairs, their overlaps counted fragment by fragment and summed."""
+            for ids, h, first in _sets(batch.filter(pa.array(keep)), n_words):
+                grams = [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([_int64(ids), pa.array(grams, pa.binary())], names=["id", "grams"])
+
+    return docs.mapInArrow(run, "id long, grams binary")
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set, counted fragment by fragment of the order and summed."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    row_a, row_b = np.repeat(np.arange(len(left)), [len(x) for x in left]), np.repeat(np.arange(len(right)), [len(x) for x in right])
+    # n-grams that only one side has can't overlap
+    both = np.intersect1d(a, b)
+    total = np.zeros((len(left), len(right)), np.float32)
+    if not len(both):
+        return total
+    at_a, at_b = np.minimum(np.searchsorted(both, a), len(both) - 1), np.minimum(np.searchsorted(both, b), len(both) - 1)
+    in_a, in_b = both[at_a] == a, both[at_b] == b
+    at_a, row_a, at_b, row_b = at_a[in_a], row_a[in_a], at_b[in_b], row_b[in_b]
+    width = max(64, FRAGMENT_CELLS // max(len(left), len(right)))
+    by_a, by_b = np.argsort(at_a, kind="stable"), np.argsort(at_b, kind="stable")
+    at_a, row_a, at_b, row_b = at_a[by_a], row_a[by_a], at_b[by_b], row_b[by_b]
+    for lo in range(0, len(both), width):
+        n = min(width, len(both) - lo)
+        parts = []
+        for at, row, size in ((at_a, row_a, len(left)), (at_b, row_b, len(right))):
+            x, y = np.searchsorted(at, (lo, lo + n))
+            m = np.zeros((size, n), np.float32)
+            m[row[x:y], at[x:y] - lo] = 1
+            parts.append(m)
+        total += parts[0] @ parts[1].T
+    return total
+
+
+def _meetings(threshold: tuple[int, int]):
     num, den = threshold
-    theirs = pairs.join(segments, pairs["b"] == segments["id"]).select("a", "frag", "b", "part")
-    mine = segments.join(pairs.select("a").distinct(), F.col("id") == F.col("a")).select("a", "frag", F.lit(None).cast("long").alias("b"), "part")
-    # a hot document's partners are spread over salts, its own segment goes to each
-    salts = 16
-    theirs = theirs.withColumn("salt", F.pmod(F.col("b"), F.lit(salts)).cast("int"))
-    mine = mine.join(pairs.select("a", F.pmod(F.col("b"), F.lit(salts)).cast("int").alias("salt")).distinct(), "a").select("a", "frag", "b", "part", "salt")
-    rows = theirs.unionByName(mine).repartition("a", "frag", "salt").sortWithinPartitions("a", "frag", "salt", F.col("b").asc_nulls_first())
-    counted = rows.select("a", "frag", "b", "part").mapInArrow(_overlaps, "a long, b long, overlap long").groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
-    na, nb = sizes.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na")), sizes.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"))
-    o = pairs.join(counted, ["a", "b"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0))).join(na, "a").join(nb, "b")
-    return o.select("a", "b", (den * F.col("overlap") >= num * (F.col("na") + F.col("nb") - F.col("overlap"))).alias("linked"))
+
+    def linked(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        o = np.rint(overlaps(left, right)).astype(np.int64)
+        na, nb = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+        return np.nonzero((den * o >= num * (na[:, None] + nb[None, :] - o)) & (o > 0))
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["cluster", "tile", "id"])
+        cluster, tile, ids = (group[c].to_numpy() for c in ("cluster", "tile", "id"))
+        sets = [np.frombuffer(g, np.uint64) for g in group["grams"]]
+        low, high = group["low"].iloc[0], group["high"].iloc[0]
+        out_a, out_b = [], []
+        edge = np.concatenate([[0], np.flatnonzero(cluster[1:] != cluster[:-1]) + 1, [len(ids)]])
+        for x, y in zip(edge[:-1], edge[1:], strict=True):
+            own = sets[x:y]
+            if low == high:
+                i, j = linked(own, own)
+                i, j = i[i < j], j[i < j]
+            else:
+                cut = int((tile[x:y] == tile[x]).sum())
+                if cut == y - x:
+                    continue
+                i, j = linked(own[:cut], own[cut:])
+                j = j + cut
+            label = forest(y - x, i, j)
+            moved = np.flatnonzero(label != np.arange(y - x))
+            out_a.append(ids[x + label[moved]]), out_b.append(ids[x + moved])
+        none = np.zeros(0, np.int64)
+        return pd.DataFrame({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
+
+    return meet
+
+
+def _links(docs: DataFrame, clusters: DataFrame, n_words: int, threshold: tuple[int, int]) -> DataFrame:
+    """a, b: links that span the same components as all the links within clusters (id, cluster, n)."""
+    size = clusters.groupBy("cluster").agg(F.count("*").alias("many"), F.sum("n").alias("grams"))
+    tiles = F.greatest(F.ceil(F.col("many") / TILE), F.ceil(F.col("grams") / TILE_GRAMS)).cast("int")
+    size = stored(size.withColumn("tiles", tiles), "clusters")
+    # clusters of one tile share meetings of about a tile's n-grams
+    small = size.filter("tiles = 1").agg(F.coalesce(F.sum("grams"), F.lit(0))).first()[0]
+    shares = max(1, -(-int(small) // TILE_GRAMS))
+    placed = clusters.join(size.select("cluster", "tiles"), "cluster").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    meeting = F.when(F.col("tiles") == 1, -1 - F.pmod(F.xxhash64("cluster"), F.lit(shares))).otherwise(F.col("cluster"))
+    sent = sent.select("id", "cluster", "tile", meeting.alias("meeting"), F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), (F.col("tiles") > 1).alias("large"))
+    sets = _wanted_sets(docs, clusters.select("id"), n_words)
+    rows = sent.join(sets, "id")
+    return rows.groupBy("large", "meeting", "low", "high").applyInPandas(_meetings(threshold), "a long, b long")
 
 
 def jaccard_join(docs: DataFrame, ident: str = "doc_id", text: str = "text", n_words: int = N_WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -307,35 +294,13 @@ def jaccard_join(docs: DataFrame, ident: str = "doc_id", text: str = "text", n_w
     member = stored(info1.join(classes, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "classes")
 
     signed = _signed(docs, n_words, threshold)
-    buckets = signed.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_bucket_pairs, "kind byte, a long, b long")
-    buckets = stored(buckets, "buckets")
+    stars = signed.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_stars, "a long, b long")
     rep_a, rep_b = member.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), member.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb"))
-
-    def of_reps(pairs: DataFrame) -> DataFrame:
-        found = pairs.distinct().join(rep_a, "a").join(rep_b, "b").filter("ra <> rb")
-        return found.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-
-    pairs = stored(of_reps(buckets.filter("kind = 0").select("a", "b")), "pairs")
-    segments = stored(_segments(docs, pairs.select("a").union(pairs.select("b")).distinct(), n_words), "segments")
-    sizes = member.select("doc_id", "n_shingles")
-    compared = stored(_links(pairs, segments, sizes, threshold), "links")
-    links = compared.filter("linked").select("a", "b")
-    linked = components(links)
-
-    # large buckets whose members are still apart
-    large = buckets.filter("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("id"))
-    large = large.join(member.select(F.col("doc_id").alias("id"), "rep"), "id").select("sig", "rep").distinct()
-    placed = large.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("component"))
-    apart = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("sig")
-    open_ = stored(placed.join(apart, "sig"), "open")
-    if not open_.isEmpty():
-        left = open_.select("sig", F.col("rep").alias("a"), F.col("component").alias("ca"))
-        right = open_.select("sig", F.col("rep").alias("b"), F.col("component").alias("cb"))
-        more = left.join(right, "sig").filter("a < b and ca <> cb").select("a", "b").distinct()
-        more = stored(more.join(compared.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        wanted = more.select("a").union(more.select("b")).distinct()
-        again = _links(more, stored(_segments(docs, wanted, n_words), "segments"), sizes, threshold)
-        links = stored(links.unionByName(again.filter("linked").select("a", "b")), "links")
-        linked = components(links)
+    pairs = stored(stars.distinct(), "stars").join(rep_a, "a").join(rep_b, "b").filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    near = components(pairs)
+    sizes = member.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
+    # a component's own smallest member has no row of its own
+    clusters = near.select(F.col("node").alias("id"), F.col("component").alias("cluster")).union(near.select("component", "component").distinct()).join(sizes, "id")
+    linked = components(_links(docs, stored(clusters, "near"), n_words, threshold))
     found = member.join(linked.withColumnRenamed("node", "rep"), "rep", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
