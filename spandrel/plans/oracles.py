@@ -2,4 +2,151 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+
+def _dna(key: str, n: int = 6) -> str:
+    return f"substr(translate(md5(({key})::varchar), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, (({key}) % {n} + 1)::int)"
+
+
+_LOCI = """(select 'chr' || (o_orderkey % 24 + 1) || ':' || o_orderkey as locus_id, 'chr' || (o_orderkey % 24 + 1) as chrom, o_orderkey as pos,
+  (o_custkey % 9 + 1)::int as motif_len, (o_custkey % 50)::int as n_samples, o_totalprice as median_len, round((o_orderkey % 101) / 100, 2) as mean_purity,
+  o_orderstatus = 'O' as novel, o_orderpriority as gene from orders)"""
+_ORDER = "case when chrom = 'chrX' then 23 when chrom = 'chrY' then 24 else try_cast(replace(chrom, 'chr', '') as int) end"
+_POINTS = f"(select c_custkey, 'chr' || c_nationkey as chrom, floor(c_acctbal)::bigint as point, {_dna('c_custkey', 3)} as motif from customer)"
+_CAT = f"(select s_suppkey, 'chr' || s_nationkey as chrom, floor(s_acctbal)::bigint as start, floor(s_acctbal)::bigint + 500 as stop, {_dna('s_suppkey', 3)} as motif from supplier)"
+
+
+def _distance(p: str, s: str, e: str) -> str:
+    return f"case when {p} + 1 > {s} and {p} < {e} then 0 when {p} >= {e} then {p} - {e} + 1 else {s} - {p} end"
+
+
+def _canonical(m: str) -> str:
+    unit = f"coalesce(substr({m}, 1, list_filter(range(1, length({m})), lambda k: length({m}) % k = 0 and repeat(substr({m}, 1, k::int), (length({m}) // k)::int) = {m})[1]::int), {m})"
+    return f"(select list_min(list_transform(range(0, length(u)), lambda i: substr(u, i::int + 1) || substr(u, 1, i::int))) from (select {unit} as u))"
+
+
+_VERDICT = "case l_returnflag when 'A' then 'known' when 'N' then 'novel_motif' else 'novel_locus' end"
+_RANK = "case {0} when 'known' then 0 when 'novel_motif' then 1 when 'novel_locus' then 2 else 3 end"
+_BACK = "case {0} when 0 then 'known' when 1 then 'novel_motif' when 2 then 'novel_locus' when 3 then 'unscreened' end"
+_SPANS = "(select l_orderkey, date_diff('day', date '1992-01-01', l_shipdate::date)::bigint as s, date_diff('day', date '1992-01-01', l_shipdate::date)::bigint + l_quantity::bigint as e from lineitem)"
+_UNION = f"""(select l_orderkey, greatest(e - greatest(s, coalesce(max(e) over (partition by l_orderkey order by s, e rows between unbounded preceding and 1 preceding), s)), 0) as fresh from {_SPANS})"""
+
+
+def _v4(x: str) -> str:
+    return f"case ({x}) % 4 when 0 then 'known' when 1 then 'novel_motif' when 2 then 'novel_locus' else 'unscreened' end"
+
+
+_CALLS = f"""(select distinct 'chr1' as chrom, l_partkey as ins_coord, l_suppkey::varchar as svid, l_orderkey as sample, l_suppkey as insert_size, {_dna('l_suppkey', 4)} as canonical_motif, (l_suppkey % 4 + 1)::int as motif_length,
+  l_extendedprice / 7e5 as purity, l_extendedprice / 9e5 as insertion_purity, l_quantity as rep_units, l_linenumber as depth, {_v4('l_suppkey')} as novelty, {_v4('l_suppkey + 1')} as ucsc_novelty, {_v4('l_suppkey + 2')} as trexplorer_novelty, l_suppkey % 7 as ucsc_n_nearby from lineitem)"""
+_SCREEN = """with p as (select * from {points}), c as (select * from {cat} {where}), hit as (
+  select p.c_custkey, c.start, c.stop, c.motif as cm, {canon_p} as pc, {canon_c} as cc, {d} as distance from p join c on p.chrom = c.chrom and c.start < p.point + {w} + 1 and c.stop > p.point - {w}),
+  r as (select *, row_number() over (partition by c_custkey order by case when pc = cc then 0 else 1 end, distance, start, stop, cm) as rn, count(*) over (partition by c_custkey) as n from hit)"""
+
+
+def _screen(window: int, where: str = "") -> str:
+    return _SCREEN.format(points=_POINTS, cat=_CAT, where=where, canon_p=_canonical("p.motif"), canon_c=_canonical("c.motif"), d=_distance("p.point", "c.start", "c.stop"), w=window)
+
+
+_STATUS = "case when p.chrom not in (select chrom from c) then 'unscreened' when r.n is null then 'novel_locus' when r.pc = r.cc then 'known' else 'novel_motif' end"
+_MOTIFS = f"(select p_partkey, {_dna('p_partkey', 12)} as motif from part)"
+_RC = "reverse(translate(motif, 'ACGT', 'TGCA'))"
+
+
+def _funnel(source: str, stages: list[tuple[str, str]]) -> str:
+    upto, parts = [], []
+    for k, (name, condition) in enumerate(stages):
+        upto.append(f"({condition})")
+        parts.append(f"select {k}::int as place, '{name}' as stage, count(*) filter (where {' and '.join(upto)}) as n from {source}")
+    return " union all ".join(parts)
+
+
+ORACLES: dict[str, str] = {
+    "funnel_counts": _funnel("lineitem", [("all", "true"), ("quantity", "l_quantity >= 10"), ("discount", "l_discount >= 0.03"), ("returned", "l_returnflag = 'R'"), ("late", "l_tax > 0.04")]),
+    "filtered_page": f"select locus_id, chrom, pos, motif_len, median_len from {_LOCI} where novel and motif_len >= 3 and mean_purity >= 0.5 order by median_len desc nulls last, {_ORDER}, pos limit 50 offset 20",
+    "filtered_sort_position": f"select locus_id, pos, gene from {_LOCI} where chrom = 'chr3' and pos between 1000 and 400000 and contains(upper(gene), 'URGENT') order by {_ORDER} desc nulls last, pos desc limit 100",
+    "filter_gene_list": f"select locus_id, gene from {_LOCI} where chrom = 'chr7' and upper(gene) in ('1-URGENT', '5-LOW')",
+    "class_breakdown": "select case when p_size = 1 then 'homopolymer' when p_size <= 6 then 'STR' else 'VNTR' end as motif_class, count(*) as n, count(*) filter (where p_retailprice > 1000) as n_dear from part group by 1",
+    "priority_sort": "select o_orderkey, o_orderpriority, case o_orderpriority when '1-URGENT' then 0 when '2-HIGH' then 1 when '3-MEDIUM' then 2 else 99 end::int as rank from orders order by 3, o_totalprice desc, o_orderkey limit 200",
+    "like_search": "select p_partkey, p_name, p_brand from part where lower(p_name) like '%ed%' or contains(upper(p_brand), '#1')",
+    "agreement_modes": "select count(*) filter (where a and b) as both_novel, count(*) filter (where a or b) as either_novel, count(*) filter (where not a and not b) as both_known, count(*) filter (where a <> b) as disagree from (select l_returnflag <> 'A' as a, l_linestatus <> 'O' as b from lineitem)",
+    "tag_filter": "select coalesce(nullif(concat_ws(',', case when l_quantity < 5 then 'quantity' end, case when l_discount < 0.02 then 'discount' end, case when nullif(l_tax, 0) < 0.03 then 'tax' end), ''), 'PASS') as filter, count(*) as n from lineitem group by 1",
+    "filter_chain_funnel": _funnel("(select *, case when l_quantity > 0 then l_tax * 100 / l_quantity else 0 end as coverage from lineitem)", [("input", "true"), ("keep", "l_returnflag in ('A', 'N')"), ("coverage", "coverage >= 0.1"), ("size", "l_quantity <= 30"), ("depth", "l_extendedprice >= 5000")]),
+    "copy_number_class": "select case when p_size >= 40 then 'pathogenic' when p_size between 30 and 39 then 'intermediate' when p_size <= 20 then 'benign' else 'unknown' end as allele_class, case when p_size >= 40 then 'pathogenic' when p_size between 30 and 39 then 'intermediate' else 'unknown' end as copies_class, count(*) as n from part group by 1, 2",
+    "representative_member": "select o_custkey, o_orderkey, o_totalprice from (select *, row_number() over (partition by o_custkey order by o_totalprice, o_orderkey) as rn, count(*) over (partition by o_custkey) as n from orders) where rn = (n + 1) // 2",
+    "dominant_record": "select l_partkey, l_suppkey, n_carriers from (select *, row_number() over (partition by l_partkey order by n_carriers desc, q desc, l_suppkey) as rn from (select l_partkey, l_suppkey, count(distinct l_orderkey) as n_carriers, max(l_quantity) as q from lineitem group by 1, 2)) where rn = 1",
+    "verdict_rollup_min": f"select l_orderkey, {_BACK.format(f'min({_RANK.format(_VERDICT)})')} as verdict from lineitem group by 1",
+    "verdict_rollup_majority": f"select l_orderkey, v as verdict from (select *, row_number() over (partition by l_orderkey order by n desc, {_RANK.format('v')}) as rn from (select l_orderkey, {_VERDICT} as v, count(*) as n from lineitem group by 1, 2)) where rn = 1",
+    "verdict_combined": f"select {_BACK.format('r')} as verdict, count(*) as n from (select least({_RANK.format(_VERDICT)}, case when l_linestatus = 'O' then 1 else 3 end) as r from lineitem) group by 1",
+    "interval_union": f"select l_orderkey, sum(fresh)::bigint as covered, count(*) as n from {_UNION} group by 1",
+    "insertion_purity": f"select l_orderkey, case when l_orderkey % 7 <> 0 then round(least(sum(fresh) / 120, 1.0), 3) end as insertion_purity from {_UNION} group by 1",
+    "segments_build": f"""with a as (select greatest((l_discount * 100)::int - 2, 0) as s, l_quantity::int as q, (l_tax * 100)::int % 3 as t, {_dna('l_partkey', 4)} as motif from lineitem_int),
+      parts as (select 'flank' as seg_type, 0 as i, s as bases, null as motif from a where s > 0 union all select 'repeat', (s > 0)::int, q, motif from a union all select 'flank', (s > 0)::int + 1, t, null from a where t > 0)
+      select seg_type, i::int as seg_index, count(*) as n, sum(bases)::bigint as bases, count(distinct motif) as n_motifs from parts group by 1, 2""".replace("lineitem_int", "lineitem").replace("(l_discount * 100)::int", "trunc(l_discount * 100)::int").replace("(l_tax * 100)::int", "trunc(l_tax * 100)::int"),
+    "segment_architecture": """with a as (select conv_id, regexp_replace(string_agg(case when role = 'system' then '-' else role || '×1' end, '|' order by turn), '^(?:-\\|)+|(?:\\|-)+$', '', 'g') as architecture, max(turn + 1) as len from conversations group by 1)
+      select architecture, count(distinct conv_id) as carriers, min(len) as min_len, max(len) as max_len from a group by 1""",
+    "nested_segments": "select conv_id, count(*)::int as n, max(turn + 1) as allele_len, string_agg(role, ',' order by turn, role) as roles from conversations group by 1",
+    "loci_build": f"""with c as {_CALLS}, sup as (select ins_coord, svid, count(distinct sample) as n, max(insert_size) as size from c group by 1, 2),
+      rep as (select * from (select *, row_number() over (partition by ins_coord order by n desc, size desc, svid) as rn from sup) where rn = 1),
+      row1 as (select distinct c.ins_coord, c.svid, canonical_motif, motif_length, ucsc_n_nearby from c join rep on c.ins_coord = rep.ins_coord and c.svid = rep.svid),
+      agg as (select ins_coord, count(distinct sample) as n_samples, count(*) as n_carrier_alleles, count(distinct svid) as n_alleles, count(distinct canonical_motif) as n_motifs, count(distinct svid) filter (where novelty <> 'known') as n_novel_alleles,
+        min(insert_size) as min_len, max(insert_size) as max_len, median(insert_size)::double as median_len, median(rep_units)::double as median_units, median(depth)::double as median_depth, round(avg(purity), 6) as mean_purity, round(avg(insertion_purity), 6) as insertion_purity,
+        {_BACK.format(f"min({_RANK.format('novelty')})")} as novelty, {_BACK.format(f"min({_RANK.format('ucsc_novelty')})")} as ucsc_novelty, {_BACK.format(f"min({_RANK.format('trexplorer_novelty')})")} as tr from c group by 1)
+      select 'chr1:' || a.ins_coord as locus_id, a.ins_coord as pos, canonical_motif as motif, motif_length as motif_len, case when motif_length = 1 then 'homopolymer' when motif_length <= 6 then 'STR' else 'VNTR' end as motif_class, n_samples, n_carrier_alleles, n_alleles, n_motifs, n_novel_alleles,
+        min_len, max_len, median_len, median_units, median_depth, mean_purity, insertion_purity, novelty, ucsc_novelty, novelty <> 'known' as novel, nullif(concat_ws(';', case when ucsc_novelty = 'known' then 'ucsc' end, case when tr = 'known' then 'trexplorer' end), '') as catalogs, svid as representative_svid, ucsc_n_nearby
+      from agg a join row1 r on a.ins_coord = r.ins_coord""",
+    "invariance_report": "select l_orderkey, count(distinct l_returnflag) as l_returnflag, count(distinct l_linestatus) as l_linestatus from lineitem group by 1 having count(distinct l_returnflag) > 1 or count(distinct l_linestatus) > 1",
+    "dedupe_report": "select sum(n)::bigint as n_rows, count(*) as n_distinct, sum(n - 1)::bigint as n_duplicates from (select text, lang, source, count(*) as n from documents group by 1, 2, 3)",
+    "any_value_block": "select s_nationkey, any_value(n_name) as n_name, count(*) as n from supplier join nation on s_nationkey = n_nationkey group by 1",
+    "array_count_sort": """with a as (select l_partkey as locus_id, l_orderkey as sample, max(l_quantity::int) as len, count(*) filter (where l_returnflag = 'N') as n_arrays from lineitem group by 1, 2),
+      r as (select *, row_number() over (partition by locus_id order by len, sample) as rn, count(*) over (partition by locus_id) as n from a) select locus_id, n_arrays from r where rn = (n + 1) // 2 order by n_arrays desc, locus_id limit 100""",
+    "disease_locus_join": f"""with p as (select c_custkey as locus_id, chrom, point as pos from {_POINTS}), s as (select * from {_CAT} where s_suppkey % 2 = 0),
+      hit as (select locus_id, s_suppkey, greatest(0, start - pos, pos - stop) as d, row_number() over (partition by locus_id order by greatest(0, start - pos, pos - stop), s_suppkey) as rn from p join s on s.chrom = p.chrom and pos between start - 10 and stop + 10)
+      select p.*, d as disease_distance_bp, s_suppkey as disease_id, s_suppkey is not null as disease_locus from p left join (select * from hit where rn = 1) h on p.locus_id = h.locus_id""",
+    "range_join_best_hit": f"""with hit as (select c_custkey, s_suppkey, {_distance('point', 'start', 'stop')} as distance from {_POINTS} p join {_CAT} c on p.chrom = c.chrom and start < point + 11 and stop > point - 10),
+      r as (select *, row_number() over (partition by c_custkey order by distance, s_suppkey) as rn, count(*) over (partition by c_custkey) as n from hit)
+      select p.c_custkey, s_suppkey as r_id, distance, coalesce(n, 0) as n_nearby from {_POINTS} p left join (select * from r where rn = 1) r on p.c_custkey = r.c_custkey""",
+    "range_join_pairs": f"select a.s_suppkey as r_id, b.s_suppkey as or_id, least(a.stop, b.stop) - greatest(a.start, b.start) as shared from {_CAT} a join {_CAT} b on a.chrom = b.chrom and b.start < a.stop and b.stop > a.start and a.s_suppkey < b.s_suppkey",
+    "range_semi": f"select c_custkey, chrom, point from {_POINTS} p where exists (select 1 from {_CAT} c where s_suppkey % 10 < 3 and c.chrom = p.chrom and c.start < p.point + 1 and c.stop > p.point)",
+    "range_anti": f"select c_custkey, chrom, point from {_POINTS} p where not exists (select 1 from {_CAT} c where s_suppkey % 10 < 3 and c.chrom = p.chrom and c.start < p.point + 1 and c.stop > p.point)",
+    "range_overlap_fraction": f"select a.s_suppkey as r_id, b.s_suppkey as or_id from {_CAT} a join {_CAT} b on a.chrom = b.chrom and b.start < a.stop and b.stop > a.start where b.s_suppkey % 10 < 3 and (least(a.stop, b.stop) - greatest(a.start, b.start)) / (b.stop - b.start) >= 0.5",
+    "coverage_unscreened": _screen(10, "where s_suppkey < 10") + f" select p.c_custkey, {_STATUS} as novelty, coalesce(r.n, 0) as n_nearby from p left join (select * from r where rn = 1) r on p.c_custkey = r.c_custkey",
+    "novelty_screen": _screen(25) + f" select p.c_custkey, {_STATUS} as ucsc_novelty, coalesce(r.n, 0) as ucsc_n_nearby, r.start as ucsc_start, r.distance as ucsc_distance, r.cm as ucsc_motif, case when r.pc = r.cc then 'exact' when r.n is not null then '' end as ucsc_match from p left join (select * from r where rn = 1) r on p.c_custkey = r.c_custkey",
+    "nearest_locus": """with c as (select c_custkey, c_nationkey as k, floor(c_acctbal * 100)::bigint as at from customer), s as (select s_nationkey as k, floor(s_acctbal * 100)::bigint as at, s_suppkey from supplier),
+      r as (select c.c_custkey, s_suppkey, abs(c.at - s.at) as d, row_number() over (partition by c.c_custkey order by abs(c.at - s.at), s.at, s_suppkey) as rn from c join s on c.k = s.k)
+      select c.c_custkey, s_suppkey as nearest_s_suppkey, d as nearest_distance from c left join (select * from r where rn = 1) r on c.c_custkey = r.c_custkey""",
+    "annotation_join_checked": "select p_brand, count(*) as n, sum(p_size)::bigint as total_size, count(*) filter (where p_size is null) as unmatched from lineitem left join part on l_partkey = p_partkey group by 1",
+    "completeness_check": "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 100000)",
+    "gene_join": "select distinct p_name as gene_symbol from part where p_brand in (select distinct p_brand from part order by 1 limit 3) and p_name <> '-'",
+    "related_terms": "with e as (select n_nationkey::bigint as child, n_regionkey::bigint as parent from nation), t as (select distinct parent as term from e) select distinct term, 'parent' as relation, parent as related from t join e on term = child union select distinct term, 'child', child from t join e on term = parent",
+    "canonical_motif": f"select p_partkey, motif, {_canonical('motif')} as canonical from {_MOTIFS}",
+    "canonical_motif_both_strands": f"select p_partkey, least({_canonical('motif')}, {_canonical('rc')}) as canonical, rc, round((length(motif) - length(translate(motif, 'GC', ''))) / length(motif), 6) as gc from (select *, {_RC} as rc from {_MOTIFS})",
+    "edit_distance_pairs": "with n as (select distinct p_name from part) select a.p_name as a, b.p_name as b, levenshtein(a.p_name, b.p_name)::int as edits from n a join n b on a.p_name < b.p_name where levenshtein(a.p_name, b.p_name) <= 3",
+    "interval_distances": f"select s_suppkey as r_id, case when stop > 3000 and start < 3600 then 0 when start >= 3600 then start - 3600 + 1 else 3000 - stop + 1 end as distance, greatest(0, start - 3000, 3000 - stop) as point_distance from {_CAT}",
+    "chrom_sort": "select chrom, case when chrom = 'chrX' then 23 when chrom = 'chrY' then 24 else try_cast(replace(chrom, 'chr', '') as int) end as place from (select case n_nationkey when 23 then 'chrX' when 24 then 'chrUn' else 'chr' || n_nationkey end as chrom from nation)",
+    "multi_value_explode": "select word, count(*) as n from (select trim(unnest(string_split(p_name, ' '))) as word from part) where word <> '' group by 1",
+    "collapse_repeats": "select p_partkey, p_brand as collapsed, p_brand as first, p_brand as only from part",
+    "parse_fields": "select c_custkey, c_custkey as size, c_custkey + c_nationkey as depth, case when c_custkey % 2 = 1 then c_mktsegment end as kept from customer",
+    "props_map": "select event_type, sum((props->>'k')::int)::bigint as total_k, count(*) filter (where (props->>'k')::int > 50) as n_large from events group by 1",
+    "info_fields": "select l_returnflag as svtype, 'true' as precise, sum(l_linenumber)::bigint as svlen from lineitem group by 1",
+    "mention_coverage": r"select count(*) as n, round(avg((regexp_matches(text, '(?i)(?:^|[^0-9A-Za-z_])the(?:[^0-9A-Za-z_]|$)') and regexp_matches(text, '(?i)(?:^|[^0-9A-Za-z_])and(?:[^0-9A-Za-z_]|$)') and not regexp_matches(text, '(?i)(?:^|[^0-9A-Za-z_])license(?:[^0-9A-Za-z_]|$)'))::int), 6) as coverage from documents",
+    "pivot_zero_fill": "select l_returnflag, round(100.0 * o / n, 1) as \"O\", round(100.0 * f / n, 1) as \"F\", 0.0::double as \"X\" from (select l_returnflag, count(*) filter (where l_linestatus = 'O') as o, count(*) filter (where l_linestatus = 'F') as f, count(*) filter (where l_linestatus in ('O', 'F')) as n from lineitem group by 1)",
+    "sfs_bins": "select floor(log2(c))::int as bin, count(*) as n from (select count(*) as c from orders group by o_custkey) where c < 128 group by 1",
+    "equal_width_histogram": "select least(floor((l_quantity - 1) / 4.9), 9)::int as bin, count(*) as n from lineitem where l_quantity between 1 and 50 group by 1",
+    "log_histogram": "select floor(log10(value) * 2)::int as bin, count(*) as n from events where value > 0 group by 1",
+    "overflow_pool": "select least(l_quantity, 40.0)::double as value, count(*) as n from lineitem group by 1",
+    "ecdf": "select p_size as value, count(*) as n, round(sum(count(*)) over (order by p_size) / sum(count(*)) over (), 6) as share from part group by p_size",
+    "threshold_ladder": " union all ".join(f"select {float(x)}::double as within, count(*) filter (where o_totalprice <= {x}) as n from orders" for x in (1000, 50000, 100000, 200000, 400000)),
+    "class_summary": "select p_brand, count(*) as n, round(avg(p_size), 3) as mean_p_size, round(median(p_size)::double, 3) as median_p_size, round(avg(p_retailprice), 3) as mean_p_retailprice, round(median(p_retailprice), 3) as median_p_retailprice from part group by 1",
+    "box_outliers": "with q as (select o_orderpriority as p, quantile_cont(o_totalprice, 0.25) as q1, quantile_cont(o_totalprice, 0.75) as q3 from orders group by 1) select o_orderpriority, round(any_value(q1), 4) as q1, round(any_value(q3), 4) as q3, count(*) filter (where o_totalprice < q1 - 1.5 * (q3 - q1) or o_totalprice > q3 + 1.5 * (q3 - q1)) as n_outliers from orders join q on o_orderpriority = p group by 1",
+    "top_values": "select l_partkey, count(*) as n from lineitem group by 1 order by 2 desc, 1 limit 25",
+    "top_with_other": "with t as (select p_brand, sum(p_size)::bigint as total from part group by 1), r as (select *, row_number() over (order by total desc, p_brand) as r from t) select case when r <= 3 then p_brand else 'Other' end as p_brand, sum(total)::bigint as total from r group by 1",
+    "share_of_total": "select lang, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from documents group by 1",
+    "distinct_per_group": "select l_returnflag, count(distinct (l_partkey, l_suppkey)) as n_pairs, count(distinct l_suppkey) filter (where l_linestatus = 'O') as n_open_suppliers, arg_max(l_orderkey, (l_extendedprice, l_orderkey)) as dearest from lineitem group by 1",
+    "kmer_spectrum": "with k as (select substr(p_name, unnest(range(1, length(p_name) - 2))::int, 4) as kmer from part where length(p_name) >= 4), c as (select kmer, count(*) as n from k group by 1) select least(n, 255) as occurrences, count(*) as n_kmers from c group by 1",
+    "jaccard_agreement": "select round(coalesce(count(*) filter (where a and b) / nullif(count(*) filter (where a or b), 0), 0.0), 6) as agreement from (select quality <> 1 as a, toxic <> 0 as b from labels)",
+    "balanced_accuracy": "select round((avg(case when quality = 1 then (toxic = 0)::int end) + avg(case when quality <> 1 then (toxic <> 0)::int end)) / 2, 6) as balanced_accuracy from labels",
+    "grid_sweep": "with g as (select q::double as s_quantity, d::double as s_discount from (select unnest([10, 20, 30, 40]) as q), (select unnest([0.02, 0.05, 0.08]) as d)) select s_quantity, s_discount, count(*) filter (where k) as n, count(distinct l_orderkey) filter (where k) as n_orders from (select g.*, l_orderkey, l_quantity >= s_quantity and l_discount >= s_discount as k from lineitem, g) group by 1, 2",
+    "set_operations": "with c as (select c_nationkey as k from customer), s as (select s_nationkey as k from supplier where s_acctbal > 5000) select 'both' as kind, count(*) as n from (select k from c intersect select k from s) union all select 'either', count(*) from (select k from c union select k from s) union all select 'only_first', count(*) from (select k from c except select k from s)",
+    "unpivot_metrics": "select o_orderstatus, 'mean' as metric, round(avg(o_totalprice), 2) as value from orders group by 1 union all select o_orderstatus, 'max', round(max(o_totalprice), 2) from orders group by 1",
+    "knn_cosine": "with q as (select embedding as e from embeddings where vec_id = 0), s as (select vec_id, list_sum(list_transform(list_zip(embedding, (select e from q)), lambda x: x[1]::double * x[2]::double)) as s from embeddings) select vec_id, round(s, 4) as score, s >= 0.5 as accepted from s order by s desc, vec_id limit 10",
+    "event_windows": "select time_bucket(interval 1 day, ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
+}

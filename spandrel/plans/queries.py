@@ -220,7 +220,7 @@ def _calls(spark, sf_dir):
     verdict = lambda c: F.when(c % 4 == 0, "known").when(c % 4 == 1, "novel_motif").when(c % 4 == 2, "novel_locus").otherwise("unscreened")
     return li.select(
         F.lit("chr1").alias("chrom"), F.col("l_partkey").alias("ins_coord"), F.col("l_suppkey").cast("string").alias("SVID"), F.col("l_orderkey").alias("sample"), F.col("l_suppkey").alias("insert_size"), _dna(F.col("l_suppkey"), 4).alias("canonical_motif"),
-        (F.pmod(F.col("l_suppkey"), F.lit(4)) + 1).cast("int").alias("motif_length"), F.col("l_tax").alias("purity"), F.col("l_discount").alias("insertion_purity"), F.col("l_discount").alias("repeat_coverage"), F.col("l_quantity").alias("rep_units"),
+        (F.pmod(F.col("l_suppkey"), F.lit(4)) + 1).cast("int").alias("motif_length"), (F.col("l_extendedprice") / 7e5).alias("purity"), (F.col("l_extendedprice") / 9e5).alias("insertion_purity"), F.col("l_discount").alias("repeat_coverage"), F.col("l_quantity").alias("rep_units"),
         F.col("l_linenumber").alias("depth"), verdict(F.col("l_suppkey")).alias("novelty"), verdict(F.col("l_suppkey") + 1).alias("ucsc_novelty"), verdict(F.col("l_suppkey") + 2).alias("trexplorer_novelty"), F.pmod(F.col("l_suppkey"), F.lit(7)).alias("ucsc_n_nearby"),
     )
 
