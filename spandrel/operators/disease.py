@@ -43,24 +43,26 @@ def disease_screen(calls: DataFrame, loci: DataFrame, window: int = 0, max_edits
     """
     how = Equivalence(reverse_complement=not stranded)
     own = [c for c in calls.columns]
-    q = calls.withColumn("_id", F.monotonically_increasing_id()).withColumn("_chrom", normalize_chrom(F.col(chrom)))
+    # different queries are screened once, and rows follow by what they ask
+    key = ["_chrom", "_point", "_motif"]
+    q = calls.withColumns({"_chrom": normalize_chrom(F.col(chrom)), "_point": F.col(point).cast("long"), "_motif": F.coalesce(F.col(motif), F.lit(""))})
     named = loci.select(*[F.col(c).alias(f"l_{c}") for c in loci.columns])
-    near = (F.col("_chrom") == F.col("l_chrom")) & (F.col("l_start") < F.col(point) + 1 + window) & (F.col("l_end") > F.col(point) - window)
-    pairs = q.select("_id", "_chrom", point, motif, units).join(named, near)
-    pairs = pairs.withColumn("distance_bp", interval_distance(F.col(point), F.col(point) + 1, F.col("l_start"), F.col("l_end")))
-    pairs = pairs.withColumn("n_nearby", F.count("*").over(Window.partitionBy("_id")))
+    near = (F.col("_chrom") == F.col("l_chrom")) & (F.col("l_start") < F.col("_point") + 1 + window) & (F.col("l_end") > F.col("_point") - window)
+    pairs = q.select(*key).distinct().join(named, near)
+    pairs = pairs.withColumn("distance_bp", interval_distance(F.col("_point"), F.col("_point") + 1, F.col("l_start"), F.col("l_end")))
+    pairs = pairs.withColumn("n_nearby", F.count("*").over(Window.partitionBy(*key)))
     listed = pairs.withColumn("_x", F.explode_outer("l_motifs"))
     rank = F.coalesce(F.array_position(F.array(*[F.lit(c) for c in CLASSES]), F.col("_x.class")).cast("int"), F.lit(len(CLASSES) + 1))
-    edits = rotation_distance(F.col(motif), F.col("_x.motif"), max_edits, how)
-    hit = F.when((edits <= max_edits) & (canonical_motif(F.col(motif), how) != ""), edits)
+    edits = rotation_distance(F.col("_motif"), F.col("_x.motif"), max_edits, how)
+    hit = F.when((edits <= max_edits) & (canonical_motif(F.col("_motif"), how) != ""), edits)
     # within a locus a later class wins with strictly fewer edits only, and an exact one ends the search
     best = F.min(F.when(hit.isNotNull(), F.struct(hit.alias("edits"), rank.alias("rank"), F.col("_x.motif").alias("motif"))))
     carried = ["n_nearby", "distance_bp", *[c for c in named.columns if c not in ("l_id", "l_motifs")]]
-    per_locus = listed.groupBy("_id", "l_id").agg(best.alias("_b"), *[F.first(c).alias(c) for c in carried])
+    per_locus = listed.groupBy(*key, "l_id").agg(best.alias("_b"), *[F.first(c).alias(c) for c in carried])
     none = F.lit(len(CLASSES) + 1)
     order = [F.coalesce(F.col("_b.rank"), none), F.coalesce(F.col("_b.edits"), F.lit(1 << 30)), F.col("distance_bp"), F.col("l_id")]
-    first = per_locus.withColumn("_rn", F.row_number().over(Window.partitionBy("_id").orderBy(*order))).filter("_rn = 1").drop("_rn")
-    out = q.join(first, "_id", "left")
+    first = per_locus.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("_rn = 1").drop("_rn")
+    out = q.join(first, key, "left")
     kind = F.when(F.col("_b").isNull(), "none").otherwise(F.element_at(F.array(*[F.lit(c) for c in CLASSES]), F.col("_b.rank")))
     copies = F.col("l_ref_copies") + F.col(units)
     ranged = allele_class(copies, {k: (F.col(f"l_{k}_min"), F.col(f"l_{k}_max")) for k in ("pathogenic", "intermediate", "benign")})

@@ -28,9 +28,10 @@ def overlap_join(left: DataFrame, right: DataFrame, chrom: str, start: str, end:
     a, b = _bins(F.col(start), F.col(end), bin_size)
     c, d = _bins(F.col(r_start), F.col(r_end), bin_size)
     if how != "inner":
-        row = left.withColumn("_row", F.monotonically_increasing_id()) if "_row" not in left.columns else left
-        hit = overlap_join(row, right.select(r_chrom, r_start, r_end), chrom, start, end, r_chrom, r_start, r_end, "inner", bin_size).select("_row").distinct()
-        return row.join(hit, "_row", how).select(*left.columns)
+        # different intervals are looked up once, and rows follow by their interval
+        keys = [chrom, start, end]
+        hit = overlap_join(left.select(*keys).distinct(), right.select(r_chrom, r_start, r_end), chrom, start, end, r_chrom, r_start, r_end, "inner", bin_size).select(*keys).distinct()
+        return left.join(hit, keys, how).select(*left.columns)
     ll = left.withColumn("_lo", a).withColumn("_bin", F.explode(F.sequence(a, b)))
     rr = right.withColumn("_ro", c).withColumn("_rbin", F.explode(F.sequence(c, d)))
     on = (F.col(chrom) == F.col(r_chrom)) & (F.col("_bin") == F.col("_rbin"))

@@ -73,21 +73,22 @@ def screen(calls: DataFrame, catalogue: DataFrame, prefix: str = "", chrom: str
     Every row stays. A contig without any catalogue row is unscreened. Candidates are ranked by whether the motif matches, edits,
     distance, copies (more first) and their place in (chrom, start, end, motif) order.
     """
-    q = calls.withColumn("_id", F.monotonically_increasing_id())
-    q = with_canonical(q.withColumn("_motif", F.upper(F.trim(F.coalesce(F.col(motif), F.lit(""))))), "_motif", "_qc", how)
-    q = q.withColumn("_chrom", normalize_chrom(F.col(chrom)))
+    # different queries are screened once, and rows follow by what they ask
+    key = ["_chrom", "_point", "_motif"]
+    q = calls.withColumns({"_chrom": normalize_chrom(F.col(chrom)), "_point": F.col(point).cast("long"), "_motif": F.upper(F.trim(F.coalesce(F.col(motif), F.lit(""))))})
+    asked = with_canonical(q.select(*key).distinct(), "_motif", "_qc", how)
     extra = [c for c in catalogue.columns if c not in ("chrom", "start", "end", "motif")]
     rows, _ = repeat_filter.apply(catalogue)
     rows = with_canonical(rows, "motif", "_tc", how).select(F.col("chrom").alias("_rc"), F.col("start").alias("_rs"), F.col("end").alias("_re"), F.col("motif").alias("_rm"), "_tc", *[F.col(c).alias(f"_x_{c}") for c in extra])
-    pairs = window_join(q.select("_id", "_chrom", point, "_motif", "_qc"), rows, "_chrom", point, "_rc", "_rs", "_re", window)
+    pairs = window_join(asked, rows, "_chrom", "_point", "_rc", "_rs", "_re", window)
     pairs = pairs.withColumn("_m", compare(F.col("_motif"), F.col("_qc"), F.col("_tc"), how, tolerance))
     copies = F.coalesce(F.col("_x_copy_num"), F.lit(0.0)) if "copy_num" in extra else F.lit(0.0)
     order = [F.when(F.col("_m.kind") != "", 0).otherwise(1), F.col("_m.edits"), F.col("distance"), copies.desc(), F.col("_rs"), F.col("_re"), F.col("_rm")]
-    ranked = pairs.withColumn("n_nearby", F.count("*").over(Window.partitionBy("_id")))
-    best = best_hit(ranked, ["_id"], order)
-    best = best.select("_id", "n_nearby", "_rs", "_re", "distance", "_rm", "_tc", "_m", *[f"_x_{c}" for c in extra])
+    ranked = pairs.withColumn("n_nearby", F.count("*").over(Window.partitionBy(*key)))
+    best = best_hit(ranked, key, order)
+    best = best.select(*key, "n_nearby", "_rs", "_re", "distance", "_rm", "_tc", "_m", *[f"_x_{c}" for c in extra])
     covered = catalogue.select(F.col("chrom").alias("_chrom")).distinct().withColumn("_covered", F.lit(True))
-    out = q.join(best, "_id", "left").join(covered, "_chrom", "left")
+    out = q.join(best, key, "left").join(covered, "_chrom", "left")
     novelty = F.when(F.col("_covered").isNull(), "unscreened").when(F.col("n_nearby").isNull(), "novel_locus").when(F.col("_m.kind") != "", "known").otherwise("novel_motif")
     block = {
         "novelty": novelty, "n_nearby": F.coalesce("n_nearby", F.lit(0)), "start": F.col("_rs"), "end": F.col("_re"), "distance": F.col("distance"), "motif": F.col("_rm"),
