@@ -26,9 +26,9 @@ def _quality() -> str:
       f as (select base.doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
         length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) as n_upper, len(string_split(t, chr(10))) as n_lines, coalesce(n_repeat_words, 0) as n_repeat_words from base left join rep on base.doc_id = rep.doc_id),
       v as (select *, case when n_words < 50 then -1 when n_words >= 100 then 1 else 0 end as v0, case when 10 * n_symbols > n_words then -1 when 50 * n_symbols <= n_words then 1 else 0 end as v1,
-        case when 10 * n_dup_lines > 3 * n_lines then -1 when n_lines >= 2 and 10 * n_dup_lines <= n_lines then 1 else 0 end as v2,
+        case when n_dup_lines >= 3 and 10 * n_dup_lines > 3 * n_lines then -1 when n_lines >= 2 and 10 * n_dup_lines <= n_lines then 1 else 0 end as v2,
         case when word_chars < 2 * n_words or word_chars > 14 * n_words then -1 when word_chars >= 3 * n_words and word_chars <= 10 * n_words and n_words >= 20 then 1 else 0 end as v3,
-        case when 10 * n_repeat_words > 3 * n_words then -1 when 5 * n_repeat_words <= n_words and n_words >= 20 then 1 else 0 end as v4,
+        case when 20 * n_repeat_words > 9 * n_words then -1 when 5 * n_repeat_words <= n_words and n_words >= 20 then 1 else 0 end as v4,
         case when 10 * n_upper > 3 * word_chars then -1 when 10 * n_upper <= word_chars and n_words >= 20 then 1 else 0 end as v5 from f),
       pattern as (select {', '.join(f'v{j}' for j in k)}, count(*)::double as n from v group by all),
       state as ({step} {start} union all {step} {later})

@@ -98,9 +98,9 @@ def rules() -> dict[str, Column]:
     return {
         "v_length": _vote(n < 50, n >= 100),
         "v_symbols": _vote(10 * F.col("n_symbols") > n, 50 * F.col("n_symbols") <= n),
-        "v_lines": _vote(10 * F.col("n_dup_lines") > 3 * F.col("n_lines"), (F.col("n_lines") >= 2) & (10 * F.col("n_dup_lines") <= F.col("n_lines"))),
+        "v_lines": _vote((F.col("n_dup_lines") >= 3) & (10 * F.col("n_dup_lines") > 3 * F.col("n_lines")), (F.col("n_lines") >= 2) & (10 * F.col("n_dup_lines") <= F.col("n_lines"))),
         "v_word_size": _vote((F.col("word_chars") < 2 * n) | (F.col("word_chars") > 14 * n), (F.col("word_chars") >= 3 * n) & (F.col("word_chars") <= 10 * n) & enough),
-        "v_repeats": _vote(10 * F.col("n_repeat_words") > 3 * n, (5 * F.col("n_repeat_words") <= n) & enough),
+        "v_repeats": _vote(20 * F.col("n_repeat_words") > 9 * n, (5 * F.col("n_repeat_words") <= n) & enough),
         "v_capitals": _vote(10 * F.col("n_upper") > 3 * F.col("word_chars"), (10 * F.col("n_upper") <= F.col("word_chars")) & enough),
     }
 
