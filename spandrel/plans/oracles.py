@@ -149,4 +149,23 @@ ORACLES: dict[str, str] = {
     "unpivot_metrics": "select o_orderstatus, 'mean' as metric, round(avg(o_totalprice), 2) as value from orders group by 1 union all select o_orderstatus, 'max', round(max(o_totalprice), 2) from orders group by 1",
     "knn_cosine": "with q as (select embedding as e from embeddings where vec_id = 0), s as (select vec_id, list_sum(list_transform(list_zip(embedding, (select e from q)), lambda x: x[1]::double * x[2]::double)) as s from embeddings) select vec_id, round(s, 4) as score, s >= 0.5 as accepted from s order by s desc, vec_id limit 10",
     "event_windows": "select time_bucket(interval 1 day, ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
+    "ancestry_burden": """with c as (select c_custkey as s, c_mktsegment as superpop from customer where c_custkey % 5 <> 0), o as (select superpop, o_orderstatus as verdict, o_orderdate, o_orderpriority from orders join c on o_custkey = s),
+      e as (select distinct superpop, v as verdict from o, (select unnest(['F', 'O', 'P', 'X']) as v)), n as (select superpop, verdict, count(*) as n_calls, count(distinct (o_orderdate, o_orderpriority)) as n_sites from o group by 1, 2)
+      select e.superpop, e.verdict, coalesce(n_calls, 0) as n_calls, coalesce(n_sites, 0) as n_sites from e left join n on e.superpop = n.superpop and e.verdict = n.verdict""",
+    "population_summary": "with n as (select o_custkey as s, count(*) as n from orders group by 1) select c_mktsegment as superpop, count(*) as n, round_even(avg(n), 0)::bigint as mean, round_even(median(n), 0)::bigint as median from customer join n on c_custkey = s group by 1",
+    "per_sample_table": "with r as (select o_custkey as s, count(*) as n from orders group by 1), t as (select o_custkey as s, count(distinct o_orderpriority) as n from orders where o_totalprice > 50000 group by 1) select c_custkey as sample, c_mktsegment as superpop, r.n as n_insertions_raw, t.n as n_insertions_tr from customer join r on r.s = c_custkey join t on t.s = c_custkey",
+    "carrier_frequency": f"""with o as (select distinct l_partkey as p, l_orderkey as s, {_VERDICT} as v from lineitem), c as (select p, count(distinct s) as n from o group by 1),
+      m as (select p, v, row_number() over (partition by p order by count(*) desc, {_RANK.format('v')}) as rn from o group by p, v) select least(floor(log2(n)), 6)::int as bin, v as verdict, count(*) as n_sites from c join m on c.p = m.p and rn = 1 group by 1, 2""",
+    "motif_length_summary": "select l_linenumber, count(*) as hits, count(distinct (l_partkey, l_suppkey)) as n_insertions, count(distinct l_orderkey) as n_samples, round_even(avg(l_quantity), 3) as mean_l_quantity, round_even(median(l_quantity), 3) as median_l_quantity from lineitem group by 1",
+    "category_comparison": """with g as (select l_returnflag as f, count(*)::double as n, round(avg(l_quantity), 4) as mq, round(median(l_quantity)::double, 4) as dq, round(avg(l_linenumber), 4) as ml, round(median(l_linenumber)::double, 4) as dl, round(100.0 * count(*) / sum(count(*)) over (), 4) as pct from lineitem group by 1),
+      u as (select f, unnest(['n', 'mean_l_quantity', 'median_l_quantity', 'mean_l_linenumber', 'median_l_linenumber', 'pct']) as metric, unnest([n, mq, dq, ml, dl, pct]) as value from g)
+      select metric, max(value) filter (where f = 'A') as "A", max(value) filter (where f = 'N') as "N", max(value) filter (where f = 'R') as "R" from u group by 1""",
+    "motif_ranks": "select p_name, n, (row_number() over (order by n desc, p_name))::int as rank from (select p_name, count(*) as n from part group by 1)",
+    "site_landscape": "select l_partkey, count(*) as n_calls, count(distinct l_orderkey) as n_samples, count(distinct l_suppkey) as n_motifs, arg_min(l_suppkey, (l_orderkey, l_suppkey)) as first_motif from lineitem group by 1",
+    "validation_sensitivity": f"with t as (select distinct chrom, point from {_POINTS}), h as (select *, exists (select 1 from {_CAT} c where c.chrom = t.chrom and c.start < t.point + 1 and c.stop > t.point) as hit from t) select count(*) as total, count(*) filter (where hit) as true_positives, count(*) filter (where not hit) as missed, round(count(*) filter (where hit) / count(*), 4) as sensitivity from h",
+    "agreement_rate": "select round(avg(((quality = 1) = (toxic = 0))::int), 6) as agreement from labels",
+    "percentile_rows": "with r as (select p_size, p_partkey, row_number() over (order by p_size, p_partkey) - 1 as i, count(*) over () as n from part) select p_size, p_partkey, share::double as share from r, (select unnest([0.0, 0.25, 0.5, 0.9, 1.0]) as share) where i = floor(share * (n - 1))",
+    "stacked_histogram": "select (floor(p_size / 5.0) * 5.0)::double as \"from\", p_type, count(*) as n from part group by 1, 2",
+    "display_scales": "with t as (select greatest(10.0, pow(10.0, ceil(log10(max(p_retailprice))))) as top from part) select p_partkey, round(least(greatest(100 * ln(1 + p_size) / ln(1 + top), 0.0), 100.0), 6) as place, round(greatest(4.0, 100 * sqrt(p_size / 50)), 6) as width from part, t",
+    "dominant_motifs": "with s as (select l_orderkey, l_returnflag as motif, sum(l_quantity::bigint)::bigint as bases, sum(l_linenumber)::bigint as copies from lineitem group by 1, 2) select l_orderkey, motif, bases, copies from (select *, row_number() over (partition by l_orderkey order by bases desc, motif desc) as rn from s) where rn = 1",
 }

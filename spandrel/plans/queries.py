@@ -615,3 +615,125 @@ def event_sessions(spark, sf_dir):
     from ..streaming.files import sessions
 
     return sessions(_t(spark, sf_dir, "events"), "ts", "user_id", "6 hours")
+
+
+# --- J29 ff.: cohorts, validation, display ---------------------------------------------------------------------------
+
+
+def _samples(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sample"), F.col("c_mktsegment").alias("superpop"))
+
+
+@query
+def ancestry_burden(spark, sf_dir):
+    from ..operators import cohort
+
+    calls = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("sample"), F.col("o_orderstatus").alias("verdict"), "o_orderdate", "o_orderpriority")
+    df, _ = cohort.with_ancestry(calls, _samples(spark, sf_dir).filter("sample % 5 <> 0"))
+    return cohort.burden(df.filter("superpop is not null"), "superpop", "verdict", ["F", "O", "P", "X"], ["o_orderdate", "o_orderpriority"])
+
+
+@query
+def population_summary(spark, sf_dir):
+    from ..operators import cohort
+
+    n = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("sample")).agg(F.count("*").alias("n_orders"))
+    return cohort.population_summary(_samples(spark, sf_dir).join(n, "sample"), "superpop", "n_orders", ["BUILDING", "MACHINERY"])
+
+
+@query
+def per_sample_table(spark, sf_dir):
+    from ..operators import cohort
+
+    raw = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("sample")).agg(F.count("*").alias("n_insertions_raw"))
+    calls = _t(spark, sf_dir, "orders").filter("o_totalprice > 50000").select(F.col("o_custkey").alias("sample"), F.col("o_orderpriority").alias("SVID"))
+    return cohort.per_sample(raw, calls, _samples(spark, sf_dir))
+
+
+@query
+def carrier_frequency(spark, sf_dir):
+    from ..operators import cohort
+
+    return cohort.carrier_frequency(_verdicts(spark, sf_dir), ["l_partkey"], "l_orderkey", "verdict", 67)
+
+
+@query
+def motif_length_summary(spark, sf_dir):
+    from ..operators import cohort
+
+    li = _t(spark, sf_dir, "lineitem")
+    return cohort.by_motif_length(li, "l_linenumber", ["l_partkey", "l_suppkey"], "l_orderkey", ["l_quantity"])
+
+
+@query
+def category_comparison(spark, sf_dir):
+    from ..operators import cohort
+
+    return cohort.comparison(_t(spark, sf_dir, "lineitem"), "l_returnflag", ["A", "N", "R"], ["l_quantity", "l_linenumber"])
+
+
+@query
+def motif_ranks(spark, sf_dir):
+    from ..operators import cohort
+
+    return cohort.motif_ranks(_t(spark, sf_dir, "part"), "p_name")
+
+
+@query
+def site_landscape(spark, sf_dir):
+    from ..operators import cohort
+
+    return cohort.site_landscape(_t(spark, sf_dir, "lineitem"), ["l_partkey"], "l_orderkey", "l_suppkey", "l_orderkey")
+
+
+@query
+def validation_sensitivity(spark, sf_dir):
+    from ..operators import cohort
+
+    return cohort.sensitivity(_intervals_of_points(spark, sf_dir), _named(_catalogue(spark, sf_dir)), "chrom", "point", "stop", "r_chrom", "r_start", "r_end")
+
+
+@query
+def agreement_rate(spark, sf_dir):
+    from ..operators import cohort
+
+    return cohort.agreement_rate(_t(spark, sf_dir, "labels"), F.col("quality") == 1, F.col("toxic") == 0)
+
+
+@query
+def percentile_rows(spark, sf_dir):
+    from ..operators import cohort
+
+    return cohort.percentile_rows(_t(spark, sf_dir, "part").select("p_size", "p_partkey"), "p_size", "p_partkey", [0.0, 0.25, 0.5, 0.9, 1.0])
+
+
+@query
+def stacked_histogram(spark, sf_dir):
+    from ..operators import display
+
+    return display.stacked_histogram(_t(spark, sf_dir, "part"), "p_size", "p_type", display.nice_step(49, 12))
+
+
+@query
+def display_scales(spark, sf_dir):
+    from ..operators import display
+
+    p = _t(spark, sf_dir, "part")
+    top = p.agg(display.axis_max(F.col("p_retailprice")).alias("top"))
+    return p.join(F.broadcast(top)).select("p_partkey", F.round(display.log_percent(F.col("p_size"), F.col("top")), 6).alias("place"), F.round(display.row_width(F.col("p_size"), F.lit(50)), 6).alias("width"))
+
+
+@query
+def exon_ladder(spark, sf_dir):
+    from ..operators import display
+
+    p = _t(spark, sf_dir, "part").filter("p_size <= 12")
+    return p.select("p_partkey", F.array_join(display.exon_ladder(F.col("p_size").cast("int"), F.lit(12)), ",").alias("ladder"))
+
+
+@query
+def dominant_motifs(spark, sf_dir):
+    from ..operators import display
+
+    segs = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.lit("repeat").alias("seg_type"), F.col("l_returnflag").alias("motif"), F.lit(0).alias("start"), F.col("l_quantity").cast("long").alias("end"), F.col("l_linenumber").cast("long").alias("units"))
+    return display.dominant_motifs(segs, ["l_orderkey"])

@@ -163,3 +163,30 @@ def roles(profile: DataFrame) -> dict[str, str]:
     if any(r["field"] == "GT" for r in rows):
         out["genotype"] = "GT"
     return out
+
+
+def disagreements(long: DataFrame, sequence: str, coordinate: str | None = None) -> DataFrame:
+    """Where samples differ from their merged record: different alleles, samples whose allele isn't the record's, whose anchor base
+    differs, and how far breakpoints lie apart. sequence and coordinate name the FORMAT keys that hold them."""
+    from ..functions.text import first_live, positions
+
+    own = first_live(F.col("fields")[sequence])
+    at = F.get(positions(F.col("fields")[coordinate]), F.lit(0)) if coordinate else F.lit(None).cast("long")
+    s = long.withColumn("_own", own).withColumn("_off", F.abs(at - F.col("POS"))).filter(F.col("_own").isNotNull())
+    return s.groupBy("CHROM", "POS", "ID").agg(
+        F.countDistinct(F.upper("_own")).alias("n_alleles"), F.count_if(F.upper("_own") != F.upper("ALT")).alias("n_alt_differs"), F.count_if(F.upper(F.substring("_own", 1, 1)) != F.upper(F.substring("REF", 1, 1))).alias("n_anchor_differs"),
+        F.median("_off").alias("median_offset"), F.max("_off").alias("max_offset"),
+    )
+
+
+def scan(spark: SparkSession, path: str, most: int = 2000, learn: int = 25) -> dict:
+    """A profile of the first records: header facts, counters, FORMAT roles learnt from the first few, and disagreements by those roles."""
+    h = read_header(spark, path)
+    rec = records(spark, path, most)
+    out = {"samples": len(h.samples), "assembly": assembly(h), "info": sorted(h.info), "format": sorted(h.format), "counters": [r.asDict() for r in counters(rec).collect()]}
+    if h.samples:
+        out["roles"] = roles(field_profile(long_form(records(spark, path, learn), h.samples)))
+        if "sequence" in out["roles"]:
+            d = disagreements(long_form(rec, h.samples), out["roles"]["sequence"], out["roles"].get("coordinate"))
+            out["disagreements"] = d.agg(F.count("*").alias("records"), F.count_if(F.col("n_alleles") > 1).alias("several_alleles"), F.sum("n_alt_differs").alias("alt_differs"), F.max("max_offset").alias("max_offset")).first().asDict()
+    return out
