@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+class Shared:
+    """A broadcast object of this package's own classes: its code travels with it, so executors need no copy of the package."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.raw, self.kept = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    def __getstate__(self):
+        return {"raw": self.raw, "kept": None}
+
+    @property
+    def value(self):
+        if self.kept is None:
+            self.kept = pickle.loads(self.raw.value)
+        return self.kept
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

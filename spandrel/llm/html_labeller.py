@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Shared
 from .html_blocks import Block, blocks_of
 from .html_pages import MARK, Maker
 
@@ -29,26 +30,28 @@ INPUT, HIDDEN = PATH + WORDS + COUNTS, 20
 PAGES, EPOCHS, RATE, BATCH, SEED = 900, 8, 0.01, 24, 11
 
 
-@lru_cache(100_000)
-def _slot(token: str, n: int) -> int:
-    return zlib.crc32(token.encode("utf-8", "replace")) % n
+#: So many different paths are kept at a time.
+KEPT_PATHS = 20_000
 
 
-@lru_cache(20_000)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    v = np.zeros(PATH, np.float32)
-    for token in path:
-        if token not in ("html", "body"):
-            v[_slot(token, PATH)] += 1
-    return np.sqrt(v)
+def _path_vector(path: tuple[str, ...], known: dict) -> np.ndarray:
+    if path not in known:
+        if len(known) >= KEPT_PATHS:
+            known.clear()
+        v = np.zeros(PATH, np.float32)
+        for token in path:
+            if token not in ("html", "body"):
+                v[zlib.crc32(token.encode("utf-8", "replace")) % PATH] += 1
+        known[path] = np.sqrt(v)
+    return known[path]
 
 
-def features(blocks: list[Block]) -> np.ndarray:
-    n = len(blocks)
+def features(blocks: list[Block], known: dict | None = None) -> np.ndarray:
+    n, known = len(blocks), {} if known is None else known
     x = np.zeros((n, INPUT), np.float32)
     for k, b in enumerate(blocks):
         words = b.text.split()
-        x[k, :PATH] = _path_vector(b.path)
+        x[k, :PATH] = _path_vector(b.path, known)
         for w in words[:: max(1, len(words) // 48)]:  # evenly spread over the whole block
             x[k, PATH + zlib.crc32(w.lower().encode("utf-8", "replace")) % WORDS] += 1
         m, chars = len(words), len(b.text)
@@ -184,14 +187,15 @@ def trained(pages: int = PAGES, epochs: int = EPOCHS, seed: int = SEED) -> Label
 
 def extract(pages: DataFrame, ident: str = "page_id", url: str = "url", html: str = "html", model: Labeller | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    shared = pages.sparkSession.sparkContext.broadcast(model or trained())
+    shared = Shared(pages.sparkSession, model or trained())
 
     def run(batches):
+        known: dict = {}
         for batch in batches:
             sources = batch.column(2)
             for a in range(0, len(sources), 512):
                 found = [blocks_of(h.as_py() or "") for h in sources.slice(a, 512)]
-                main = shared.value.label([features(b) for b in found])
+                main = shared.value.label([features(b, known) for b in found])
                 texts = ["\n".join(b.text for b, keep in zip(page, labels, strict=True) if keep) for page, labels in zip(found, main, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, 512), batch.column(1).slice(a, 512), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]

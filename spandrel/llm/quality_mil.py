@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Shared
 from .textops import Words, blocks, string_parts
 
 PASSAGE = 64
@@ -188,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
 
 def quality_scores(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def run(batches):
         for batch in batches:
