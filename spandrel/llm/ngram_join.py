@@ -4,12 +4,12 @@ The n-grams' global order is that of their 64-bit hashes. It is cut into fragmen
 segments.
 
 Finding candidates. Two sets of which the smaller has n members, with Jaccard at least t, differ in at most
-d = n (1 - t) / t members. Cut the order into m = d + 1 + SPARE fragments: a differing member spoils one fragment, so at least
-1 + SPARE segments are equal in both. Documents with an equal segment share a signature and become candidates. A segment
+d = n (1 - t) / t members. Cut the order into m > d fragments: a differing member spoils one fragment, so at least
+m - d segments are equal in both. Documents with an equal segment share a signature and become candidates. A segment
 spans the whole document, so a passage, line or licence that many documents share makes no signature equal by itself.
 m depends on n; sizes are therefore put in classes that grow by 1 / t, and a document signs for its own class
-and the one below, which holds every possible smaller partner. An empty segment signs only where a document
-has so many that equal ones could all be empty.
+and the one below, which holds every possible smaller partner. Empty segments don't sign; a document with so many
+that its equal ones could all be empty signs under other orders as well.
 
 Grouping. Documents sorted by signature stream past; each bucket of equal signatures gives a star around its first
 document, so groups of thousands of copies give as many rows as members. The components of the stars are clusters, and every possible link
@@ -45,7 +45,8 @@ from .textops import Words, blocks, mix64, shingles, string_parts
 #: The threshold as a fraction, for exact integer comparisons: 90 / 100.
 THRESHOLD = (90, 100)
 N_WORDS = 3
-SPARE = 1
+#: Orders of the hashes that are tried before empty segments sign.
+ORDERS = 6
 #: A tile has at most about so many documents, and so many n-grams.
 TILE, TILE_GRAMS = 512, 1 << 21
 #: Cells of the 0/1 matrix of one fragment.
@@ -63,46 +64,62 @@ def size_classes(threshold: tuple[int, int], most: int = 1 << 40) -> np.ndarray:
     return np.array(first, np.int64)
 
 
-def fragments_of(threshold: tuple[int, int], classes: np.ndarray) -> np.ndarray:
-    """How many fragments each class cuts the order into."""
+def fragments_of(threshold: tuple[int, int], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many members the sets of each class can differ in from a partner, and how many fragments the class cuts the order into.
+
+    Some fragments are to spare: about twice as many as are likely to be empty, so that few documents have all their equal ones empty.
+    """
     num, den = threshold
-    largest = classes[1:] - 1
-    return largest * (den - num) // num + 1 + SPARE
+    least, largest = classes[:-1], classes[1:] - 1
+    differ = largest * (den - num) // num
+    few = (differ + 2).astype(np.float64)
+    return differ, differ + 2 + (2 * few * np.exp(-least / few)).astype(np.int64)
+
 
+def signatures(ids: np.ndarray, h: np.ndarray, first: np.ndarray, classes: np.ndarray, cuts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, id) rows. h: the sets, each sorted, laid end to end; first: where each begins, and one past the last.
 
-def signatures(ids: np.ndarray, h: np.ndarray, first: np.ndarray, classes: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, id) rows. h: the sets, each sorted, laid end to end; first: where each begins, and one past the last."""
-    out_s, out_i = [], []
+    A document that has so many empty segments that all its equal ones could be empty signs again under another order of the
+    hashes; after ORDERS of them its empty segments sign too.
+    """
+    out_s, out_i = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     n = np.diff(first)
     own = np.searchsorted(classes, n, "right") - 1
     spread = mix64(h ^ np.uint64(0x5851F42D4C957F2D))
-    for level_shift in (0, 1):
-        level = own - level_shift
-        use = np.flatnonzero((n > 0) & (level >= 0))
-        if not len(use):
-            continue
-        m = cuts[level[use]]
-        at = np.repeat(first[use], n[use]) + (np.arange(n[use].sum()) - np.repeat(np.cumsum(n[use]) - n[use], n[use]))
-        row = np.repeat(np.arange(len(use)), n[use])
-        # the fragment of a hash: the top 32 bits scaled to m, which ascends with the hash
-        frag = ((h[at] >> np.uint64(32)) * m[row].astype(np.uint64)) >> np.uint64(32)
-        base = np.concatenate([[0], np.cumsum(m)])
-        slot = base[row] + frag.astype(np.int64)
-        total = np.zeros(base[-1], np.uint64)
-        size = np.bincount(slot, minlength=base[-1])
-        starts = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]])) if len(slot) else np.zeros(0, np.int64)
-        if len(starts):
+    differ, pieces = cuts
+    for below in (0, 1):
+        use = np.flatnonzero((n > 0) & (own - below >= 0))
+        for turn in range(ORDERS):
+            if not len(use):
+                break
+            level = own[use] - below
+            m, size = pieces[level], n[use]
+            at = np.repeat(first[use], size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
+            row = np.repeat(np.arange(len(use)), size)
+            order = h[at] if not turn else mix64(h[at] + np.uint64(turn * 0x9E3779B97F4A7C15 % 2**64))
+            # the fragment of a hash: its top 32 bits scaled to m
+            frag = ((order >> np.uint64(32)) * m[row].astype(np.uint64)) >> np.uint64(32)
+            base = np.concatenate([[0], np.cumsum(m)])
+            slot = base[row] + frag.astype(np.int64)
+            if turn:
+                by = np.argsort(slot, kind="stable")
+                slot, at = slot[by], at[by]
+            total = np.zeros(base[-1], np.uint64)
+            starts = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
             total[slot[starts]] = np.add.reduceat(spread[at], starts)
-        owner = np.repeat(np.arange(len(use)), m)
-        index = np.arange(base[-1]) - np.repeat(base[:-1], m)
-        empty = size == 0
-        n_empty = np.bincount(owner[empty], minlength=len(use))
-        keep = ~empty | (n_empty[owner] >= 1 + SPARE)
-        tag = mix64(level[use][owner].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + index.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + size.astype(np.uint64))
-        out_s.append(mix64(total + tag)[keep])
-        out_i.append(ids[use[owner]][keep])
-    if not out_s:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            held = np.bincount(slot, minlength=base[-1])
+            owner = np.repeat(np.arange(len(use)), m)
+            index = np.arange(base[-1]) - np.repeat(base[:-1], m)
+            n_empty = np.bincount(owner[held == 0], minlength=len(use))
+            # at least m - differ segments of a linked pair are equal
+            open_ = n_empty >= m - differ[level]
+            keep = held > 0
+            if turn == ORDERS - 1:
+                keep |= open_[owner]
+            tag = mix64(level[owner].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + index.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + held.astype(np.uint64) + np.uint64(turn << 40))
+            out_s.append(mix64(total + tag)[keep])
+            out_i.append(ids[use[owner]][keep])
+            use = use[open_]
     return np.concatenate(out_s), np.concatenate(out_i)
 
 
