@@ -48,7 +48,9 @@ N_WORDS = 3
 #: Orders of the hashes that are tried before empty segments sign.
 ORDERS = 6
 #: A tile has at most about so many documents, and so many n-grams.
-TILE, TILE_GRAMS = 512, 1 << 21
+TILE, TILE_GRAMS = 2048, 1 << 21
+#: Small clusters are dealt to meetings of about so many n-grams.
+SHARE_GRAMS = 1 << 21
 #: Cells of the 0/1 matrix of one fragment.
 FRAGMENT_CELLS = 1 << 22
 BITS = 1 << 23
@@ -290,9 +292,9 @@ def _links(docs: DataFrame, clusters: DataFrame, n_words: int, threshold: tuple[
     size = clusters.groupBy("cluster").agg(F.count("*").alias("many"), F.sum("n").alias("grams"))
     tiles = F.greatest(F.ceil(F.col("many") / TILE), F.ceil(F.col("grams") / TILE_GRAMS)).cast("int")
     size = stored(size.withColumn("tiles", tiles), "clusters")
-    # clusters of one tile share meetings of about a tile's n-grams
+    # clusters of one tile share meetings
     small = size.filter("tiles = 1").agg(F.coalesce(F.sum("grams"), F.lit(0))).first()[0]
-    shares = max(1, -(-int(small) // TILE_GRAMS))
+    shares = max(1, -(-int(small) // SHARE_GRAMS))
     placed = clusters.join(size.select("cluster", "tiles"), "cluster").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
     sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     meeting = F.when(F.col("tiles") == 1, -1 - F.pmod(F.xxhash64("cluster"), F.lit(shares))).otherwise(F.col("cluster"))
