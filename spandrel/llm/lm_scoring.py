@@ -8,8 +8,9 @@ Three passes, none of which holds the corpus or the model in one place.
 2. Texts become trigram events over the vocabulary, at most 1024 documents to a chunk, one 64-bit number each, sorted
    and packed, and go by context word to shards of about SHARD events; a frequent context's documents are dealt over several shards. A
    shard builds the trie (lm_trie) of its training events, looks up each of its different trigrams once, and returns
-   sums per document. Words outside the vocabulary go by hash to shards of their own, which count them and return their
-   part of both scores.
+   sums per document. The different trigrams of frequent contexts are counted beforehand over all documents, by successor and by longer
+   context, and each of such a context's shards gets the whole corpus's counts of what its documents hold. Words outside
+   the vocabulary go by hash to shards of their own, which count them and return their part of both scores.
 3. The sums of a chunk are added.
 
 Every hot thing is split: a hot word is one event per batch in pass 1, a hot context has several shards. A shard's size doesn't
@@ -33,13 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Shared, stored
-from .lm_trie import VOCABULARY, Trie, _runs
+from .lm_trie import VOCABULARY, Trie, Whole, _runs, discount
 from .textops import Words, blocks, mix64, string_parts
 
 FREQUENT = 1 << 17
 SHARD = 4_000_000
 CHUNK = 1024
 CHUNK_BYTES = 8 << 20
+#: Trigrams of frequent contexts that a task adds up before it sends them.
+HELD_GRAMS = 1 << 20
 UNK, BEGIN, END, FIRST = 0, 1, 2, 3
 #: The split: of crc32(doc_id) modulo 7, this remainder is held out.
 FOLDS, HELD = 7, 2
@@ -140,6 +143,8 @@ class Plan:
         self.base = base
         self.model_shards = int(self.shards + self.split[hot].sum())
         self.rare_shards = max(1, -(-rare // SHARD))
+        self.hot = np.flatnonzero(hot)  # the context words of several shards, in the order of their shards
+        self.buckets = int(-(-2 * as_context[hot].sum() // SHARD))  # that count their trigrams
 
 
 def _chunks(offsets: np.ndarray):
@@ -148,7 +153,8 @@ def _chunks(offsets: np.ndarray):
             yield x, min(b, x + CHUNK)
 
 
-def _events(plan: Plan, batches):
+def _chunk_events(plan: Plan, batches):
+    """Per chunk: its number, ids, held-out flags, the sorted events with their shards, and what else pass 2 needs of it."""
     part = TaskContext.get().partitionId() if TaskContext.get() else 0
     number = 0
     for batch in batches:
@@ -180,29 +186,136 @@ def _events(plan: Plan, batches):
             key = np.sort((w2.astype(np.uint64) << np.uint64(46)) | (w1.astype(np.uint64) << np.uint64(28)) | (w3.astype(np.uint64) << np.uint64(10)) | d.astype(np.uint64))
             ctx, doc = (key >> np.uint64(46)).astype(np.int64), (key & np.uint64(CHUNK - 1)).astype(np.int64)
             shard = plan.base[ctx] + (deal[a:b][doc] % plan.split[ctx].astype(np.uint64)).astype(np.int64) * (plan.split[ctx] > 1)
-            train = np.packbits(~held[a:b]).tobytes()
-            order = np.argsort(shard, kind="stable")
-            rows = []
-            at = _runs(shard[order])
-            for x, y in zip(at, np.append(at[1:], len(order)), strict=True):
-                rows.append((int(shard[order[x]]), chunk, n, train, _press(key[order[x:y]])))
-            h, rd = np.concatenate(rare_h), np.concatenate(rare_d)
-            own = (h % np.uint64(plan.rare_shards)).astype(np.int64)
-            order = np.lexsort((h, own))
-            at = _runs(own[order])
+            yield chunk, ids.slice(a, n), held[a:b], key, shard, w3, d, np.concatenate(rare_h), np.concatenate(rare_d)
+
+
+def _events(plan: Plan, batches):
+    for chunk, ids, held, key, shard, w3, d, h, rd in _chunk_events(plan, batches):
+        n = len(ids)
+        train = np.packbits(~held).tobytes()
+        order = np.argsort(shard, kind="stable")
+        rows = []
+        at = _runs(shard[order])
+        for x, y in zip(at, np.append(at[1:], len(order)), strict=True):
+            rows.append((int(shard[order[x]]), chunk, n, train, _press(key[order[x:y]])))
+        own = (h % np.uint64(plan.rare_shards)).astype(np.int64)
+        order = np.lexsort((h, own))
+        at = np.append(_runs(own[order]), len(order))  # a chunk may have no rare word
+        for x, y in zip(at[:-1], at[1:], strict=True):
+            k = order[x:y]
+            rows.append((plan.model_shards + int(own[k[0]]), chunk, n, train, _pressed(h[k], rd[k].astype(np.uint16))))
+        # what needs no shard: the frequent words' part of the base score
+        c = np.concatenate([[0, 0, plan.n_docs], plan.counts])[w3]
+        listed = w3 != UNK
+        base = np.bincount(d[listed], weights=np.log10(c[listed] + 1.0), minlength=n)
+        sure = np.bincount(d[listed & (c > 0)], minlength=n)
+        doc_ids = np.array([0 if i is None else i for i in ids.to_pylist()], np.int64)
+        none = np.array([i is None for i in ids.to_pylist()], bool)
+        rows.append((-1 - (chunk % 4096), chunk, n, train, _pressed(doc_ids, np.bincount(d, minlength=n).astype(np.int64), sure.astype(np.int64), base, none)))
+        names = ["shard", "chunk", "n_docs", "train", "events"]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=names)
+
+
+def _grouped(gram: np.ndarray, to: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((to, gram))
+    gram, to, n = gram[order], to[order], n[order]
+    at = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (to[1:] != to[:-1])])) if len(gram) else np.zeros(0, np.int64)
+    return gram[at], to[at], np.add.reduceat(n, at) if len(at) else n
+
+
+def _successor(gram: np.ndarray) -> np.ndarray:
+    return ((gram >> np.uint64(36)) << np.uint64(18)) | (gram & np.uint64(VOCABULARY - 1))
+
+
+def _hot_grams(plan: Plan, batches):
+    """The different trigrams of hot contexts for each of their shards, with training counts: once to a bucket by (w2, w3), once by (w2, w1)."""
+
+    def sent(held):
+        gram, to, n = _grouped(*[np.concatenate(x) for x in zip(*held, strict=True)])
+        rows = []
+        for side, by in enumerate((_successor(gram), gram >> np.uint64(18))):
+            bucket = (mix64(by) % np.uint64(plan.buckets)).astype(np.int64) + side * plan.buckets
+            order = np.argsort(bucket, kind="stable")
+            at = _runs(bucket[order])
             for x, y in zip(at, np.append(at[1:], len(order)), strict=True):
                 k = order[x:y]
-                rows.append((plan.model_shards + int(own[k[0]]), chunk, n, train, _pressed(h[k], rd[k].astype(np.uint16))))
-            # what needs no shard: the frequent words' part of the base score
-            c = np.concatenate([[0, 0, plan.n_docs], plan.counts])[w3]
-            listed = w3 != UNK
-            base = np.bincount(d[listed], weights=np.log10(c[listed] + 1.0), minlength=n)
-            sure = np.bincount(d[listed & (c > 0)], minlength=n)
-            doc_ids = np.array([0 if i is None else i for i in ids.slice(a, n).to_pylist()], np.int64)
-            none = np.array([i is None for i in ids.slice(a, n).to_pylist()], bool)
-            rows.append((-1 - (chunk % 4096), chunk, n, train, _pressed(doc_ids, np.bincount(d, minlength=n).astype(np.int64), sure.astype(np.int64), base, none)))
-            names = ["shard", "chunk", "n_docs", "train", "events"]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=names)
+                rows.append((int(bucket[k[0]]), _press(gram[k]), _pressed(to[k].astype(np.int32), n[k].astype(np.uint32))))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "grams", "counts"])
+
+    waiting, size = [], 0
+    for _, _, held, key, shard, *_ in _chunk_events(plan, batches):
+        hot = shard >= plan.shards
+        if not hot.any():
+            continue
+        waiting.append(_grouped(key[hot] >> np.uint64(10), shard[hot], (~held)[(key[hot] & np.uint64(CHUNK - 1)).astype(np.int64)].astype(np.int64)))
+        size += len(waiting[-1][0])
+        if size >= HELD_GRAMS:
+            yield sent(waiting)
+            waiting, size = [], 0
+    if waiting:
+        yield sent(waiting)
+
+
+def _whole_counts(plan: Plan, group: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's counts over all documents, as rows for the shards that asked: chunk -1 has trigrams, their counts and those of (w2, w3); -2 has
+    longer contexts, their totals and different successors; -3 has a context word's total, different successors and counts of counts."""
+    parts = [_unpressed(b, "<i4", "<u4") for b in group["counts"]]
+    gram, to, n = _grouped(np.concatenate([_unpress(b) for b in group["grams"]]), np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64))
+    at = _runs(gram)
+    n3 = np.add.reduceat(n, at)
+    rows = []
+
+    def tell(kind, to, what, *counts):
+        order = np.lexsort((what, to))
+        starts = np.append(_runs(to[order]), len(order))
+        for x, y in zip(starts[:-1], starts[1:], strict=True):
+            k = order[x:y]
+            rows.append((int(to[k[0]]), kind, 0, _press(what[k]), _pressed(*[c[k].astype(np.int64) for c in counts])))
+
+    if int(group["bucket"].iloc[0]) < plan.buckets:
+        pairs, which = np.unique(_successor(gram[at]), return_inverse=True)
+        n2 = np.zeros(len(pairs), np.int64)
+        np.add.at(n2, which, n3)
+        size = np.diff(np.append(at, len(gram)))
+        c3, c2 = np.repeat(n3, size), np.repeat(n2[which], size)
+        tell(-1, to[c2 > 0], gram[c2 > 0], c3[c2 > 0], c2[c2 > 0])
+        for w in np.unique(pairs >> np.uint64(18)):
+            own2, own3 = n2[pairs >> np.uint64(18) == w], n3[gram[at] >> np.uint64(36) == w]
+            stats = [np.array([x]) for x in (own2.sum(), (own2 > 0).sum(), (own2 == 1).sum(), (own2 == 2).sum(), (own3 == 1).sum(), (own3 == 2).sum())]
+            for k in range(int(plan.split[int(w)])):
+                tell(-3, np.array([plan.base[int(w)] + k]), np.array([w]), *stats)
+    else:
+        contexts, which = np.unique(gram[at] >> np.uint64(18), return_inverse=True)
+        total, types = np.zeros(len(contexts), np.int64), np.bincount(which, weights=n3 > 0, minlength=len(contexts))
+        np.add.at(total, which, n3)
+        what, to, _ = _grouped(gram >> np.uint64(18), to, n)
+        k = np.searchsorted(contexts, what)
+        seen = total[k] > 0
+        tell(-2, to[seen], what[seen], total[k][seen], types[k][seen])
+    columns = ["shard", "chunk", "n_docs", "train", "events"]
+    return pd.DataFrame(rows, columns=columns)
+
+
+def _told(rows: pd.DataFrame, kind: int, numbers: int) -> list[np.ndarray]:
+    """What rows of a kind hold together: keys that ascend, and their counts."""
+    rows = rows[rows["chunk"] == kind]
+    parts = [(_unpress(a), *_unpressed(b, *["<i8"] * numbers)) for a, b in zip(rows["train"], rows["events"], strict=True)]
+    if not parts:
+        return [np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * numbers]
+    out = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    order = np.argsort(out[0], kind="stable")
+    return [x[order] for x in out]
+
+
+def _hot_trie(plan: Plan, told: pd.DataFrame) -> Trie:
+    gram, n3, n2 = _told(told, -1, 2)
+    two, total2, types2 = _told(told, -2, 2)
+    word, total1, types1, *counts = (x if k == 0 else x.sum() for k, x in enumerate(_told(told, -3, 6)))
+    pairs, first = np.unique(_successor(gram), return_index=True)
+    one = word[:1] if total1 else word[:0]
+    d2, d3 = discount(int(counts[0]), int(counts[1])), discount(int(counts[2]), int(counts[3]))
+    whole = Whole(one, np.full(len(one), total1), np.full(len(one), types1), pairs, n2[first], two, total2, types2, d2, d3)
+    return Trie(gram[n3 > 0], n3[n3 > 0], plan.p1, whole)
 
 
 def _sums(rows: pd.DataFrame, doc: np.ndarray, **values: np.ndarray) -> pd.DataFrame:
@@ -216,8 +329,11 @@ def _sums(rows: pd.DataFrame, doc: np.ndarray, **values: np.ndarray) -> pd.DataF
 
 
 def _score_shard(plan: Plan, group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("chunk").reset_index(drop=True)
     shard = int(group["shard"].iloc[0])
+    told = group[group["chunk"] < 0]
+    group = group[group["chunk"] >= 0].sort_values("chunk").reset_index(drop=True)
+    if not len(group):
+        return pd.DataFrame({"chunk": pd.array([], "int64"), "kind": pd.array([], "int64"), "sums": []})
     if shard < 0:
         return pd.DataFrame({"chunk": group["chunk"], "kind": 0, "sums": group["events"]})
     train = np.concatenate([np.pad(np.unpackbits(np.frombuffer(t, np.uint8))[:n], (0, CHUNK - n)) for t, n in zip(group["train"], group["n_docs"], strict=True)]).astype(bool)
@@ -243,10 +359,13 @@ def _score_shard(plan: Plan, group: pd.DataFrame) -> pd.DataFrame:
     gram, doc = gram[order], doc[order]
     del order
     at = _runs(gram)
-    n = np.add.reduceat(train[doc].astype(np.int64), at)
     different = gram[at]
-    seen = n > 0
-    trie = Trie(different[seen], n[seen], plan.p1)
+    if shard >= plan.shards:
+        trie = _hot_trie(plan, told)
+    else:
+        n = np.add.reduceat(train[doc].astype(np.int64), at)
+        seen = n > 0
+        trie = Trie(different[seen], n[seen], plan.p1)
     score = np.concatenate([trie.log10(different[x : x + (1 << 20)]) for x in range(0, len(different), 1 << 20)])
     return _sums(group, doc, score=np.repeat(score, np.diff(np.append(at, len(gram)))))
 
@@ -289,6 +408,9 @@ def lm_scores(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> Dat
     plan = Plan(top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), n_docs, tokens + n_docs, kinds)
     shared = Shared(spark, plan)  # FREQUENT words at most
     events = docs.mapInArrow(lambda batches: _events(shared.value, batches), "shard int, chunk long, n_docs int, train binary, events binary")
+    if plan.buckets:
+        asked = docs.mapInArrow(lambda batches: _hot_grams(shared.value, batches), "bucket int, grams binary, counts binary")
+        events = events.unionByName(asked.groupBy("bucket").applyInPandas(lambda g: _whole_counts(shared.value, g), events.schema))
     sums = events.groupBy("shard").applyInPandas(lambda g: _score_shard(shared.value, g), "chunk long, kind int, sums binary")
     columns = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return sums.groupBy("chunk").applyInPandas(lambda g: _total(shared.value, g), columns)

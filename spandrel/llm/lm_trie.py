@@ -13,6 +13,7 @@ leave-one-out estimate.
 from __future__ import annotations
 
 import mmap
+from typing import NamedTuple
 
 import numpy as np
 
@@ -130,55 +131,75 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code.astype(np.uint8), mean.astype(np.float32)
 
 
-def _discount(counts: np.ndarray) -> float:
-    once, twice = int((counts == 1).sum()), int((counts == 2).sum())
+def discount(once: int, twice: int) -> float:
     return once / (once + 2 * twice) if once else 0.5
 
 
+def _discount(counts: np.ndarray) -> float:
+    return discount(int((counts == 1).sum()), int((counts == 2).sum()))
+
+
 def _runs(x: np.ndarray) -> np.ndarray:
     """Where the runs of equal values of a sorted array begin."""
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
 
 
+class Whole(NamedTuple):
+    """Counts of a corpus of which a trie holds some n-grams only: contexts w2 and (w2, w1) with their totals and different successors,
+    pairs (w2, w3) with their counts, all sorted, and the discounts of both levels."""
+
+    one: np.ndarray
+    total1: np.ndarray
+    types1: np.ndarray
+    pairs: np.ndarray
+    n2: np.ndarray
+    two: np.ndarray
+    total2: np.ndarray
+    types2: np.ndarray
+    d2: float
+    d3: float
+
+
+def _whole(grams: np.ndarray, counts: np.ndarray) -> Whole:
+    v = np.uint64(18)
+    # bigrams: (w2, w3) summed over w1
+    pair = ((grams >> np.uint64(36)) << v) | (grams & np.uint64(VOCABULARY - 1))
+    order = np.argsort(pair, kind="stable")
+    at = _runs(pair[order])
+    pairs = pair[order][at]
+    n2 = np.add.reduceat(counts[order], at) if len(at) else np.zeros(0, np.int64)
+    at1, at2 = _runs(pairs >> v), _runs(grams >> v)
+    total1, types1 = (np.add.reduceat(n2, at1), np.diff(np.append(at1, len(pairs)))) if len(at1) else (n2, n2)
+    total2, types2 = (np.add.reduceat(counts, at2), np.diff(np.append(at2, len(grams)))) if len(at2) else (counts, counts)
+    return Whole((pairs >> v)[at1], total1, types1, pairs, n2, (grams >> v)[at2], total2, types2, _discount(n2), _discount(counts))
+
+
 class Trie:
-    """grams: sorted distinct (w2, w1, w3), 18 bits each from the top; counts: how often each was seen; p1: probability of each word."""
+    """grams: sorted distinct (w2, w1, w3), 18 bits each from the top; counts: how often each was seen; p1: probability of each word;
+    whole: the corpus's counts, where grams are only some of its."""
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, p1: np.ndarray):
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, p1: np.ndarray, whole: Whole | None = None):
         v, mask = np.uint64(18), np.uint64(VOCABULARY - 1)
         self.log1 = np.log10(p1)
         w3, w21 = grams & mask, grams >> v
-        # bigrams: (w2, w3) summed over w1
-        pair = ((grams >> np.uint64(36)) << v) | w3
-        order = np.argsort(pair, kind="stable")
-        at = _runs(pair[order])
-        big = pair[order][at]
-        n2 = np.add.reduceat(counts[order], at) if len(at) else np.zeros(0, np.int64)
-        ctx = big >> v
-        at1 = _runs(ctx)
-        one = ctx[at1]
-        total1, types1 = (np.add.reduceat(n2, at1), np.diff(np.append(at1, len(big)))) if len(at1) else (n2, n2)
-        d2 = _discount(n2)
+        one, total1, types1, big, n2, two, total2, types2, d2, d3 = whole or _whole(grams, counts)
         back1 = d2 * types1 / np.maximum(total1, 1)
-        which1 = np.repeat(np.arange(len(one)), types1)
+        which1 = np.searchsorted(one, big >> v)
         p2 = np.maximum(n2 - d2, 0) / total1[which1] + back1[which1] * p1[(big & mask).astype(np.int64)]
         # trigrams
-        at2 = _runs(w21)
-        two = w21[at2]
-        total2, types2 = (np.add.reduceat(counts, at2), np.diff(np.append(at2, len(grams)))) if len(at2) else (counts, counts)
-        d3 = _discount(counts)
         back2 = d3 * types2 / np.maximum(total2, 1)
-        which2 = np.repeat(np.arange(len(two)), types2)
-        lower = p2[np.searchsorted(big, pair)]
+        which2 = np.searchsorted(two, w21)
+        lower = p2[np.searchsorted(big, ((grams >> np.uint64(36)) << v) | w3)]
         p3 = np.maximum(counts - d3, 0) / total2[which2] + back2[which2] * lower
         self.block = block = Block()
         self.contexts1, self.contexts2 = EliasFano(one, block), None
         of1 = np.searchsorted(one, two >> v)
         self.bigrams = EliasFano(which1.astype(np.uint64) * np.uint64(VOCABULARY) + (big & mask), block)
-        self.to_bigrams = EliasFano(np.append(at1, len(big)), block)
+        self.to_bigrams = EliasFano(np.searchsorted(which1, np.arange(len(one) + 1)), block)
         self.contexts2 = EliasFano(of1.astype(np.uint64) * np.uint64(VOCABULARY) + (two & mask), block)
         self.to_contexts2 = EliasFano(np.searchsorted(of1, np.arange(len(one) + 1)), block)
         self.trigrams = EliasFano(which2.astype(np.uint64) * np.uint64(VOCABULARY) + w3, block)
-        self.to_trigrams = EliasFano(np.append(at2, len(grams)), block)
+        self.to_trigrams = EliasFano(np.searchsorted(which2, np.arange(len(two) + 1)), block)
         codes = [quantise(np.log10(x)) for x in (p2, back1, p3, back2)]
         self.codes, self.means = [block.add(c) for c, _ in codes], [m for _, m in codes]
         block.seal()

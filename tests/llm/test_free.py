@@ -187,6 +187,36 @@ def test_lm_scores(spark, monkeypatch):
     assert lm_scoring.lm_scores(docs(spark, [])).count() == 0
 
 
+def test_hot_contexts_are_scored_by_the_whole_corpus(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SHARD", 300)
+    monkeypatch.setattr(lm_scoring, "HELD_GRAMS", 50)
+    r = random.Random(13)
+    texts = [" ".join(r.choices("abcdef", [9, 5, 3, 2, 1, 1], k=r.randint(8, 20))) for _ in range(300)]
+    out = {x.doc_id: x.score for x in lm_scoring.lm_scores(docs(spark, texts)).collect()}
+    events = {k: list(zip(["<s>", "<s>", *t.split()], ["<s>", *t.split()], [*t.split(), None])) for k, t in enumerate(texts)}  # noqa: B905
+    train = [e for k, es in events.items() if zlib.crc32(str(k).encode()) % 7 != 2 for e in es]
+    c3, c2, c1 = Counter(train), Counter(e[1:] for e in train), Counter(e[2] for e in train)
+    n, v = len(train), len(c1) - 1
+
+    def discount(counts):
+        once, twice = counts.count(1), counts.count(2)
+        return once / (once + 2 * twice) if once else 0.5
+
+    d2 = {w: discount([x for g, x in c2.items() if g[0] == w]) for w in {*"abcdef", "<s>"}}
+    d3 = {w: discount([x for g, x in c3.items() if g[1] == w]) for w in d2}
+
+    def p(w1, w2, w3):
+        p = (c1[w3] + (w3 is None)) / (n + 2)
+        for d, seen in ((d2[w2], {g[-1]: x for g, x in c2.items() if g[0] == w2}), (d3[w2], {g[-1]: x for g, x in c3.items() if g[:2] == (w1, w2)})):
+            if seen:
+                p = max(seen.get(w3, 0) - d, 0) / sum(seen.values()) + d * len(seen) / sum(seen.values()) * p
+        return p
+
+    assert v == 6
+    for k, es in events.items():
+        assert out[k] == pytest.approx(sum(math.log10(p(*e)) for e in es), rel=1e-4), k
+
+
 def test_encoder_equals_the_tokenizer():
     path = public_tokenizers.path("byte_bpe_50k.json")
     r = random.Random(8)
