@@ -17,7 +17,8 @@ Only spans that validate change. Text between them stays as it is, so the result
 the pseudonyms of the matches. Built from SQL functions alone.
 
 Defined cases: null stays null; empty and very long texts are handled whole; overlapping candidates go to the leftmost, then to the first
-kind in the pattern; what looks like a value but fails validation stays; other columns are untouched.
+kind in the pattern; what looks like a value but fails validation stays; a card may stand next to other numbers: its usual written forms go
+before other spans that overlap them, then the longest; other columns are untouched.
 """
 
 from __future__ import annotations
@@ -41,7 +42,12 @@ KINDS = {
     "phone": r"(?<![0-9+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
 }
-PATTERN = "|".join(KINDS.values())
+#: Cards aside: which spans are cards depends on their check digits, so a text's own are added to this.
+PATTERN = "|".join(v for k, v in KINDS.items() if k != "card")
+#: From each number on, as many digits as a card that starts within a card's length can reach.
+CARD_RUN = r"(?<![0-9])(?=([0-9](?:[ -]?[0-9]){12,37}))"
+#: How cards are usually written.
+CARD_FORMS = r"^(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{1,3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})\z"
 #: A text without these can't hold any of the kinds.
 HINT = r"[0-9@]|(?i:password|passwd|token|secret|api_key)"
 #: Days from 1900-01-01 to 2099-12-31 are 17 times 4297.
@@ -125,6 +131,37 @@ def card(match: Column, key: str = KEY, inverse: bool = False) -> Column:
     return _let(only_digits(match), done)
 
 
+def cards(text: Column) -> Column:
+    """The different spans of a text that are cards: whole numbers in a row, of 13-19 digits that pass Luhn. Usual forms first, then the longest."""
+
+    def passes(span: Column) -> Column:
+        return _let(only_digits(span), lambda d: F.substring(d, -1, 1) == luhn_digit(F.substring(d, F.lit(1), F.length(d) - 1)))
+
+    def valid(run: Column) -> Column:
+        spans = F.array(*[F.regexp_extract(run, rf"^[0-9](?:[ -]?[0-9]){{{n - 1}}}(?![0-9])", 0) for n in range(19, 12, -1)])
+        return F.filter(spans, lambda s: F.when(s != "", passes(s)).otherwise(False))
+
+    def chosen(found: Column) -> Column:
+        usual = F.array_distinct(F.flatten(F.transform(found, lambda x: F.filter(x["spans"], lambda s: s.rlike(CARD_FORMS)))))
+
+        def others(usual: Column) -> Column:
+            def free(x: Column) -> Column:  # those that end before any usual form
+                return F.filter(x["spans"], lambda s: ~F.exists(usual, lambda u: F.call_function("instr", x["run"], u).between(1, F.length(s))))
+
+            rest = F.array_except(F.flatten(F.transform(found, free)), usual)
+            return F.concat(_longest(usual), _longest(rest))
+
+        return _let(usual, others)
+
+    runs = F.regexp_extract_all(text, F.lit(CARD_RUN), F.lit(1))
+    found = F.filter(F.transform(runs, lambda r: F.struct(r.alias("run"), valid(r).alias("spans"))), lambda x: F.size(x["spans"]) > 0)
+    return _let(found, chosen)
+
+
+def _longest(spans: Column) -> Column:
+    return F.array_sort(spans, lambda a, b: F.length(b) - F.length(a))
+
+
 def mod97(text: Column) -> Column:
     def add(s: Column, i: Column) -> Column:
         c = F.substring(text, i, F.lit(1))
@@ -231,10 +268,14 @@ def pseudonym(match: Column, key: str = KEY) -> Column:
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, counted: str | None = None) -> DataFrame:
     """docs with the personal values in text replaced; with counted, also how many spans changed, under that name."""
     t = F.col(text)
-    found = F.when(t.rlike(HINT), F.regexp_extract_all(t, F.lit(f"({PATTERN})"), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    with_matches = docs.withColumn("_matches", found)
+    none = F.array().cast("array<string>")
+    with_cards = docs.withColumn("_cards", F.when(t.rlike(CARD_RUN), cards(t)).otherwise(none))
+    own = F.concat(F.lit(PATTERN + "|(?<![0-9])(?:"), F.array_join("_cards", "|"), F.lit(")(?![0-9])"))
+    with_pattern = with_cards.withColumn("_pattern", F.when(F.size("_cards") > 0, own).otherwise(F.lit(PATTERN)))
+    found = F.when(t.rlike(HINT), F.regexp_extract_all(t, F.col("_pattern"), F.lit(0))).otherwise(none)
+    with_matches = with_pattern.withColumn("_matches", found)
     with_new = with_matches.withColumn("_new", F.transform("_matches", lambda m: pseudonym(m, key)))
-    pieces = F.split(t, PATTERN)
+    pieces = F.split(t, F.col("_pattern"))
     joined = F.array_join(F.zip_with(pieces, F.col("_new"), lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
     out = with_new.withColumn("_out", F.when(F.size("_matches") > 0, joined).otherwise(t))
     if counted:
