@@ -1,41 +1,48 @@
 """Exact Jaccard self-join of documents on word n-grams, by vertical partitioning.
 
-The n-grams' global order is that of their 64-bit hashes. It is cut into fragments, so every document's set falls into
-segments.
+The n-grams have one global order: by the number of different sets that hold them, then by hash. Rare ones come first.
 
-Finding candidates. Two sets of which the smaller has n members, with Jaccard at least t, differ in at most
-d = n (1 - t) / t members. Cut the order into m > d fragments: a differing member spoils one fragment, so at least
-m - d segments are equal in both. Documents with an equal segment share a signature and become candidates. A segment
-spans the whole document, so a passage, line or licence that many documents share makes no signature equal by itself.
-m depends on n; sizes are therefore put in classes that grow by 1 / t, and a document signs for its own class
-and the one below, which holds every possible smaller partner. Empty segments don't sign; a document with so many
-that its equal ones could all be empty signs under other orders as well.
+Finding candidates. Of two sets with Jaccard at least t, each holds at least t of its own n members in common with the
+other, so their first n - ceil(t n) + 1 members in the global order share one. An n-gram that one set alone holds
+leads to no partner, and a line, licence or passage that many documents share stands at the end of the order: a document
+with enough n-grams of its own is no candidate at all. The order's counts take one exchange: the different n-grams
+of a chunk of documents go, counted, to fragments of the hash space; a fragment answers with those that occur in two
+sets or more.
 
-Grouping. Documents sorted by signature stream past; each bucket of equal signatures gives a star around its first
-document, so groups of thousands of copies give as many rows as members. The components of the stars are clusters, and every possible link
-lies within one. A cluster is dealt into tiles of bounded size, which meet tile against tile, each meeting one task.
+Grouping. Documents sorted by shared leading n-gram stream past; each bucket gives a star around its first document, so
+groups of thousands of copies give as many rows as members. The components of the stars are clusters, and every
+possible link lies within one.
 
-Counting. In a meeting the order is cut into fragments; each fragment's overlaps of all the pairs are counted separately, as a product of
-0/1 matrices, and the counts are summed per pair. The sums decide exactly. A meeting returns only a spanning forest of its links, at
-most one row per document, so no pairs are sent, however large the group; components of the forests are the result.
+Counting. In a meeting of documents the order is cut into fragments; each fragment's overlaps of all the pairs are
+counted separately, as a product of 0/1 matrices, and the counts are summed per pair. The sums decide exactly. A
+meeting returns only a spanning forest of its links, at most one row per document; components of the forests are the
+result. A cluster of up to TILE documents is one meeting. A larger one is first held against a pivot, every document
+sent once: those linked to it are connected and need no comparison among each other. Jaccard distance is a metric, so one of them
+and a document at distance d of the pivot can only be linked if their distances differ by no more than 1 - t: the
+documents left over meet only those in that ring. This is repeated with a pivot among the left over ones.
 
-Only documents that are in some cluster send their sets; a bit table of fixed size (BITS) tells the tasks which, and a
-false hit only costs a row.
+Equal sets stand as one: nodes are the different sets, whatever the documents' ids.
 
 Defined cases: null, empty and blank texts have an empty set and no link; texts with fewer than n words have one member,
-their whole sequence; repeated rows with the same doc_id count once; an empty table gives an empty result.
+their whole sequence; repeated rows, rows that share a doc_id and rows without one are documents of their own; a
+component's id is the smallest doc_id in it, null if none has one; an empty table gives an empty result; other columns pass
+through, but for those with the names of the results, which are replaced. Sets are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import stored
 from .components import components
@@ -45,184 +52,192 @@ from .textops import Words, blocks, mix64, shingles, string_parts
 #: The threshold as a fraction, for exact integer comparisons: 90 / 100.
 THRESHOLD = (90, 100)
 N_WORDS = 3
-#: Orders of the hashes that are tried before empty segments sign.
-ORDERS = 6
+#: N-grams are counted and ordered by so many bits of their hash; equal ones of different n-grams only weaken the order.
+ORDER_BITS = 48
+#: Documents and bytes of text that send their n-grams together, and the n-grams of a fragment of the hash space.
+CHUNK, CHUNK_BYTES = 4096, 4 << 20
+FRAGMENT_GRAMS = 2_000_000
 #: A tile has at most about so many documents, and so many n-grams.
 TILE, TILE_GRAMS = 2048, 1 << 21
 #: Small clusters are dealt to meetings of about so many n-grams.
-SHARE_GRAMS = 1 << 21
+SHARE_GRAMS = 1 << 20
 #: Cells of the 0/1 matrix of one fragment.
 FRAGMENT_CELLS = 1 << 22
-BITS = 1 << 23
+#: A large cluster is held against so many pivots, one after the other; what is left over meets tile against tile.
+PIVOTS = 8
 
 
-def size_classes(threshold: tuple[int, int], most: int = 1 << 40) -> np.ndarray:
-    """First size of each class: every partner of a set of a class, no smaller than it, is in that class or the next."""
-    num, den = threshold
-    first = [1]
-    while first[-1] < most:
-        # class [b, e): partners of b ... e - 1 reach (e - 1) * den / num, which must stay below the end of the next class
-        first.append(max(first[-1] + 1, first[-1] * den // num + 1))
-    return np.array(first, np.int64)
-
-
-def fragments_of(threshold: tuple[int, int], classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How many members the sets of each class can differ in from a partner, and how many fragments the class cuts the order into.
-
-    Some fragments are to spare: about twice as many as are likely to be empty, so that few documents have all their equal ones empty.
-    """
-    num, den = threshold
-    least, largest = classes[:-1], classes[1:] - 1
-    differ = largest * (den - num) // num
-    few = (differ + 2).astype(np.float64)
-    return differ, differ + 2 + (2 * few * np.exp(-least / few)).astype(np.int64)
-
-
-def signatures(ids: np.ndarray, h: np.ndarray, first: np.ndarray, classes: np.ndarray, cuts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, id) rows. h: the sets, each sorted, laid end to end; first: where each begins, and one past the last.
-
-    A document that has so many empty segments that all its equal ones could be empty signs again under another order of the
-    hashes; after ORDERS of them its empty segments sign too.
-    """
-    out_s, out_i = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    n = np.diff(first)
-    own = np.searchsorted(classes, n, "right") - 1
-    spread = mix64(h ^ np.uint64(0x5851F42D4C957F2D))
-    differ, pieces = cuts
-    for below in (0, 1):
-        use = np.flatnonzero((n > 0) & (own - below >= 0))
-        for turn in range(ORDERS):
-            if not len(use):
-                break
-            level = own[use] - below
-            m, size = pieces[level], n[use]
-            at = np.repeat(first[use], size) + (np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size))
-            row = np.repeat(np.arange(len(use)), size)
-            order = h[at] if not turn else mix64(h[at] + np.uint64(turn * 0x9E3779B97F4A7C15 % 2**64))
-            # the fragment of a hash: its top 32 bits scaled to m
-            frag = ((order >> np.uint64(32)) * m[row].astype(np.uint64)) >> np.uint64(32)
-            base = np.concatenate([[0], np.cumsum(m)])
-            slot = base[row] + frag.astype(np.int64)
-            if turn:
-                by = np.argsort(slot, kind="stable")
-                slot, at = slot[by], at[by]
-            total = np.zeros(base[-1], np.uint64)
-            starts = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
-            total[slot[starts]] = np.add.reduceat(spread[at], starts)
-            held = np.bincount(slot, minlength=base[-1])
-            owner = np.repeat(np.arange(len(use)), m)
-            index = np.arange(base[-1]) - np.repeat(base[:-1], m)
-            n_empty = np.bincount(owner[held == 0], minlength=len(use))
-            # at least m - differ segments of a linked pair are equal
-            open_ = n_empty >= m - differ[level]
-            keep = held > 0
-            if turn == ORDERS - 1:
-                keep |= open_[owner]
-            tag = mix64(level[owner].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + index.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + held.astype(np.uint64) + np.uint64(turn << 40))
-            out_s.append(mix64(total + tag)[keep])
-            out_i.append(ids[use[owner]][keep])
-            use = use[open_]
-    return np.concatenate(out_s), np.concatenate(out_i)
-
-
-def _sets(batch: pa.RecordBatch, n_words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, sets laid end to end, first) of each block of texts. Column 0 is the id, column 1 the text."""
-    offsets, raw = string_parts(batch.column(1))
-    ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+def _sets(texts: pa.Array, n_words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(a, b, sets laid end to end, first) of each block [a, b) of texts; each set is sorted."""
+    offsets, raw = string_parts(texts)
     for a, b in blocks(offsets):
         w = Words(offsets[a : b + 1] - offsets[a], raw[offsets[a] : offsets[b]])
         h, doc = shingles(w, n_words)
-        cut = np.searchsorted(doc, np.arange(b - a + 1))
-        sets = [np.unique(h[cut[k] : cut[k + 1]]) for k in range(b - a)]
-        first = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-        yield ids[a:b], np.concatenate(sets) if sets else np.zeros(0, np.uint64), first
+        order = np.lexsort((h, doc))
+        h, doc = h[order], doc[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.zeros(0, bool)
+        h, doc = h[new], doc[new]
+        yield a, b, h, np.searchsorted(doc, np.arange(b - a + 1))
 
 
 def _int64(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-def describe(docs: DataFrame, n_words: int = N_WORDS) -> DataFrame:
-    """doc_id, n_shingles and set_key, a 128-bit digest of the set (null when empty)."""
+def describe(docs: DataFrame, text: str = "text", n_words: int = N_WORDS) -> DataFrame:
+    """docs with n_shingles and node, a digest of the set (null when it is empty)."""
+    at = docs.columns.index(text)
 
     def run(batches):
         for batch in batches:
-            for ids, h, first in _sets(batch, n_words):
-                keys = [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([_int64(ids), _int64(np.diff(first)), pa.array(keys, pa.binary())], names=["doc_id", "n_shingles", "set_key"])
-
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary")
-
-
-def _signed(docs: DataFrame, n_words: int, threshold: tuple[int, int]) -> DataFrame:
-    classes = size_classes(threshold)
-    cuts = fragments_of(threshold, classes)
+            sizes, nodes = [], []
+            for a, b, h, first in _sets(batch.column(at), n_words):
+                sizes.append(np.diff(first))
+                nodes += [int.from_bytes(hashlib.blake2b(h[x:y].tobytes(), digest_size=8).digest(), "little", signed=True) if y > x else None for x, y in zip(first[:-1], first[1:], strict=True)]
+            more = [_int64(np.concatenate(sizes) if sizes else np.zeros(0, np.int64)), pa.array(nodes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "n_shingles", "node"])
+
+    more = [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType())]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of numbers, laid end to end and compressed. The first ascends and is kept as gaps, byte by byte of all."""
+    gaps = np.diff(arrays[0].astype(np.uint64), prepend=np.zeros(1, np.uint64))
+    parts = [np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T), *arrays[1:]]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in parts))
+
+
+def _unpacked(raw: bytes, *kinds: str) -> list[np.ndarray]:
+    data = zstandard.ZstdDecompressor().decompress(raw)
+    n = len(data) // (8 + sum(np.dtype(k).itemsize for k in kinds))
+    gaps = np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n).reshape(8, n).T).view(np.uint64).ravel()
+    out, at = [np.cumsum(gaps, dtype=np.uint64)], 8 * n
+    for k in kinds:
+        out.append(np.frombuffer(data, k, n, at))
+        at += n * np.dtype(k).itemsize
+    return out
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values of a sorted array begin."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+def _sent(fragments: int, n_words: int):
+    """Rows (node, text) to rows of chunks: to each fragment the chunk's different n-grams in its part of the hash space, with the number of the chunk's
+    documents that hold each, and the document where it is one; and to the chunk itself (fragment below 0) the documents' nodes and sizes (grams), and
+    the documents of n-grams that several of its documents hold (counts)."""
+    shift = np.uint64(64 - ORDER_BITS)
+
+    def chunk(number, nodes, grams, docs, sizes):
+        order = np.argsort(grams, kind="stable")
+        grams, docs = grams[order], docs[order]
+        at = _runs(grams)
+        held = np.diff(np.append(at, len(grams)))
+        several = np.repeat(held > 1, held)
+        own = np.bincount(docs, minlength=len(nodes))
+        head = np.stack([nodes, sizes, own]).tobytes()
+        rows = [(-1 - number % 4096, number, head, _packed(grams[several], docs[several].astype(np.uint16)))]
+        kinds, one = grams[at], np.where(held == 1, docs[at], 65535).astype(np.uint16)
+        fragment = ((kinds >> np.uint64(ORDER_BITS - 32)) * np.uint64(fragments)) >> np.uint64(32)
+        cut = np.searchsorted(fragment, np.arange(fragments + 1, dtype=np.uint64))
+        rows += [(f, number, b"", _packed(kinds[x:y], one[x:y], held[x:y].astype(np.uint16))) for f, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=["fragment", "chunk", "head", "grams"])
 
     def run(batches):
+        number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 28
         for batch in batches:
-            for ids, h, first in _sets(batch, n_words):
-                s, i = signatures(ids, h, first, classes, cuts)
-                if len(s):
-                    yield pa.RecordBatch.from_arrays([_int64(s), _int64(i)], names=["sig", "id"])
+            node = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            offsets, _ = string_parts(batch.column(1))
+            for x, y in blocks(offsets, CHUNK_BYTES):
+                for lo in range(x, y, CHUNK):
+                    hi = min(lo + CHUNK, y)
+                    grams, docs, sizes = [], [], []
+                    for a, b, h, first in _sets(batch.column(1).slice(lo, hi - lo), n_words):
+                        n = np.diff(first)
+                        d = np.repeat(np.arange(a, b), n)
+                        g = h >> shift
+                        new = np.concatenate([[True], (g[1:] != g[:-1]) | (d[1:] != d[:-1])]) if len(g) else np.zeros(0, bool)
+                        grams.append(g[new]), docs.append(d[new]), sizes.append(n)
+                    yield chunk(number, node[lo:hi], np.concatenate(grams), np.concatenate(docs), np.concatenate(sizes))
+                    number += 1
+
+    return run
+
+
+def _counted(group: pd.DataFrame) -> pd.DataFrame:
+    """A fragment's answer to each chunk: its n-grams that two sets or more hold, with their numbers of sets. A chunk's own row passes through."""
+    if group["fragment"].iloc[0] < 0:
+        return group[["chunk", "head", "grams"]]
+    parts = [_unpacked(g, "<u2", "<u2") for g in group["grams"]]
+    size = [len(p[0]) for p in parts]
+    gram = np.concatenate([p[0] for p in parts])
+    n = np.concatenate([p[2] for p in parts]).astype(np.int64)
+    order = np.argsort(gram, kind="stable")
+    at = _runs(gram[order])
+    total = np.empty(len(gram), np.int64)
+    total[order] = np.repeat(np.add.reduceat(n[order], at), np.diff(np.append(at, len(gram)))) if len(at) else 0
+    rows, end = [], np.cumsum(size)
+    for chunk, (g, one, _), x, y in zip(group["chunk"], parts, end - size, end, strict=True):
+        keep = total[x:y] > 1
+        if keep.any():
+            rows.append((chunk, None, _packed(g[keep], one[keep], np.minimum(total[x:y][keep], 2**32 - 1).astype(np.uint32))))
+    return pd.DataFrame(rows, columns=["chunk", "head", "grams"])
+
+
+def _leading(threshold: tuple[int, int]):
+    """A chunk's answers to (gram, node) rows: the n-grams with which its documents lead, of those that other sets hold too."""
+    num, den = threshold
 
-    return docs.mapInArrow(run, "sig long, id long")
+    def lead(group: pd.DataFrame) -> pd.DataFrame:
+        own = group[group["head"].notna()].iloc[0]
+        nodes, sizes, held = np.frombuffer(own["head"], np.int64).reshape(3, -1)
+        parts = [_unpacked(g, "<u2", "<u4") for g, head in zip(group["grams"], group["head"], strict=True) if head is None]
+        if not parts:
+            return pd.DataFrame({"gram": np.zeros(0, np.int64), "node": np.zeros(0, np.int64)})
+        gram, one, total = (np.concatenate(x) for x in zip(*parts, strict=True))
+        # n-grams of several of the chunk's documents
+        g2, d2 = _unpacked(own["grams"], "<u2")
+        many = one == 65535
+        order = np.argsort(gram[many])
+        of, t2 = gram[many][order], total[many][order]
+        gram, doc, total = np.concatenate([gram[~many], g2]), np.concatenate([one[~many], d2]).astype(np.int64), np.concatenate([total[~many], t2[np.searchsorted(of, g2)]])
+        order = np.lexsort((gram, total, doc))
+        gram, doc = gram[order], doc[order]
+        shared = np.bincount(doc, minlength=len(nodes))
+        place = np.arange(len(doc)) - (np.cumsum(shared) - shared)[doc]
+        lead = sizes - (sizes * num + den - 1) // den + 1  # so many lead; those that no other set holds come first
+        keep = place < (lead - (held - shared))[doc]
+        return pd.DataFrame({"gram": gram[keep].astype(np.int64), "node": nodes[doc[keep]]})
+
+    return lead
 
 
 def _stars(batches):
-    """Rows sorted by (sig, id) to (first id of the signature, other id), each once a batch."""
-    last_sig, first_id = None, None
+    """Rows sorted by (gram, node) to (first node of the n-gram, other node), each once a batch."""
+    last, centre = None, None
     for batch in batches:
-        sig, ident = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(sig):
+        gram, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(gram):
             continue
-        new = np.concatenate([[last_sig is None or sig[0] != last_sig], sig[1:] != sig[:-1]])
-        begin = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
-        root = np.where(begin >= 0, ident[np.maximum(begin, 0)], first_id if first_id is not None else 0)
-        last_sig, first_id = sig[-1], root[-1]
-        apart = root != ident
+        new = np.concatenate([[last is None or gram[0] != last], gram[1:] != gram[:-1]])
+        begin = np.maximum.accumulate(np.where(new, np.arange(len(gram)), -1))
+        root = np.where(begin >= 0, node[np.maximum(begin, 0)], centre if centre is not None else 0)
+        last, centre = gram[-1], root[-1]
+        apart = root != node
         if apart.any():
-            pairs = np.unique(np.stack([root[apart], ident[apart]], 1), axis=0)
+            pairs = np.unique(np.stack([root[apart], node[apart]], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
-def _bit_of(ident: np.ndarray) -> np.ndarray:
-    return mix64(ident.view(np.uint64) if ident.dtype == np.int64 else ident.astype(np.uint64)) & np.uint64(BITS - 1)
-
-
-def _bit_table(ids: DataFrame) -> np.ndarray:
-    """A table of BITS bits with those of the given ids set. Each task sends its own table's set words, and the driver gets at most BITS / 64 of them."""
-
-    def run(batches):
-        table = np.zeros(BITS, bool)
-        for batch in batches:
-            table[_bit_of(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))] = True
-        packed = np.packbits(table, bitorder="little").view(np.int64)
-        at = np.flatnonzero(packed)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(packed[at])], names=["at", "word"])
-
-    found = ids.mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word"))
-    words = np.zeros(BITS // 64, np.int64)
-    got = found.toPandas()
-    words[got["at"].to_numpy(np.int64)] = got["word"].to_numpy(np.int64)
-    return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
-
-
-def _wanted_sets(docs: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
-    """id, grams (the sorted set, as bytes) of the wanted documents, and of a few more."""
-    bits = np.packbits(_bit_table(wanted)).tobytes()
-    shared = docs.sparkSession.sparkContext.broadcast(bits)  # BITS / 8 bytes, whatever the input
-
-    def run(batches):
-        table = np.unpackbits(np.frombuffer(shared.value, np.uint8)).astype(bool)
-        for batch in batches:
-            keep = table[_bit_of(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))]
-            if not keep.any():
-                continue
-            for ids, h, first in _sets(batch.filter(pa.array(keep)), n_words):
-                grams = [h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([_int64(ids), pa.array(grams, pa.binary())], names=["id", "grams"])
-
-    return docs.mapInArrow(run, "id long, grams binary")
+def candidates(texts: DataFrame, grams: int, n_words: int, threshold: tuple[int, int]) -> DataFrame:
+    """a, b: links whose components hold every pair of nodes that could reach the threshold. texts: node, text; grams: about how many n-grams they have."""
+    sent = texts.mapInArrow(_sent(max(1, -(-grams // FRAGMENT_GRAMS)), n_words), "fragment int, chunk long, head binary, grams binary")
+    answers = sent.groupBy("fragment").applyInPandas(_counted, "chunk long, head binary, grams binary")
+    leading = answers.groupBy("chunk").applyInPandas(_leading(threshold), "gram long, node long")
+    return leading.repartition("gram").sortWithinPartitions("gram", "node").mapInArrow(_stars, "a long, b long")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -252,74 +267,160 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _meetings(threshold: tuple[int, int]):
+def _read(grams) -> list[np.ndarray]:
+    return [np.frombuffer(g, np.uint64) for g in grams]
+
+
+def _linked(left: list[np.ndarray], right: list[np.ndarray], threshold: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     num, den = threshold
+    o = np.rint(overlaps(left, right)).astype(np.int64)
+    na, nb = np.array([len(x) for x in left]), np.array([len(x) for x in right])
+    return np.nonzero((den * o >= num * (na[:, None] + nb[None, :] - o)) & (o > 0))
 
-    def linked(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        o = np.rint(overlaps(left, right)).astype(np.int64)
-        na, nb = np.array([len(x) for x in left]), np.array([len(x) for x in right])
-        return np.nonzero((den * o >= num * (na[:, None] + nb[None, :] - o)) & (o > 0))
+
+def _meet(threshold: tuple[int, int]):
+    """Rows (cluster, side, node, grams) of a meeting to the edges of a forest of its links. Side 0 meets itself; 1 meets 2."""
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["cluster", "tile", "id"])
-        cluster, tile, ids = (group[c].to_numpy() for c in ("cluster", "tile", "id"))
-        sets = [np.frombuffer(g, np.uint64) for g in group["grams"]]
-        low, high = group["low"].iloc[0], group["high"].iloc[0]
-        out_a, out_b = [], []
-        edge = np.concatenate([[0], np.flatnonzero(cluster[1:] != cluster[:-1]) + 1, [len(ids)]])
+        group = group.sort_values(["cluster", "side", "node"])
+        cluster, side, node = (group[c].to_numpy() for c in ("cluster", "side", "node"))
+        sets = _read(group["grams"])
+        edge = np.append(_runs(cluster), len(cluster))
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for x, y in zip(edge[:-1], edge[1:], strict=True):
             own = sets[x:y]
-            if low == high:
-                i, j = linked(own, own)
+            if side[x] == 0:
+                i, j = _linked(own, own, threshold)
                 i, j = i[i < j], j[i < j]
             else:
-                cut = int((tile[x:y] == tile[x]).sum())
-                if cut == y - x:
+                cut = int((side[x:y] == 1).sum())
+                if cut in (0, y - x):
                     continue
-                i, j = linked(own[:cut], own[cut:])
+                i, j = _linked(own[:cut], own[cut:], threshold)
                 j = j + cut
             label = forest(y - x, i, j)
             moved = np.flatnonzero(label != np.arange(y - x))
-            out_a.append(ids[x + label[moved]]), out_b.append(ids[x + moved])
-        none = np.zeros(0, np.int64)
-        return pd.DataFrame({"a": np.concatenate([none, *out_a]), "b": np.concatenate([none, *out_b])})
+            out_a.append(node[x + label[moved]]), out_b.append(node[x + moved])
+        return pd.DataFrame({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
     return meet
 
 
-def _links(docs: DataFrame, clusters: DataFrame, n_words: int, threshold: tuple[int, int]) -> DataFrame:
-    """a, b: links that span the same components as all the links within clusters (id, cluster, n)."""
+def _against_pivot(group: pd.DataFrame) -> pd.DataFrame:
+    """Rows of a cluster's tile and its pivot (side 1) to each node's overlap with the pivot and the size of their union."""
+    is_pivot = (group["side"] == 1).to_numpy()
+    pivot = group[is_pivot].iloc[0]
+    rest = group[~is_pivot]
+    sets, p = _read(rest["grams"]), np.frombuffer(pivot["grams"], np.uint64)
+    both = overlaps(sets, [p])[:, 0].astype(np.int64) if sets else np.zeros(0, np.int64)
+    union = np.array([len(x) for x in sets], np.int64) + len(p) - both
+    return pd.DataFrame({"cluster": rest["cluster"], "node": rest["node"], "pivot": pivot["node"], "both": both, "total": union})
+
+
+def _tile(count, salt: int = 0):
+    return F.pmod(F.xxhash64("node", F.lit(salt)), count).cast("int")
+
+
+def _met(left: DataFrame, right: DataFrame | None, tiles: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Links of left rows with right ones (or among themselves) of the same cluster, tile against tile. Rows: cluster, node, grams; tiles: cluster, l, r."""
+    there = lambda rows, own, other: rows.join(tiles, "cluster").withColumn("own", _tile(F.col(own))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+    own = there(left, "l", "r" if right is not None else "l")
+    if right is None:
+        side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+        rows = own.select("cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), side.alias("side"), "node", "grams")
+    else:
+        rows = own.select("cluster", F.col("own").alias("low"), F.col("other").alias("high"), F.lit(1).alias("side"), "node", "grams")
+        met = there(right, "r", "l").select("cluster", F.col("other").alias("low"), F.col("own").alias("high"), F.lit(2).alias("side"), "node", "grams")
+        rows = rows.unionByName(met)
+    return rows.groupBy("cluster", "low", "high").applyInPandas(_meet(threshold), "a long, b long")
+
+
+def _large(rows: DataFrame, threshold: tuple[int, int]) -> list[DataFrame]:
+    """Links that connect what all the links of large clusters connect. rows: cluster, node, grams."""
+    num, den = threshold
+    tiles_of = lambda df, name: df.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum(F.length("grams")) / (8 * TILE_GRAMS))).cast("int").alias(name))
+    links, open_ = [], rows
+    for turn in range(PIVOTS):
+        sizes = stored(tiles_of(open_, "l"), "open")
+        if sizes.filter("l > 1").isEmpty():
+            break
+        # one pivot for each cluster, to each of its tiles
+        pivot = open_.groupBy("cluster").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node"))
+        sent = open_.join(sizes, "cluster").withColumn("tile", _tile(F.col("l"))).withColumn("side", F.lit(0))
+        chosen = open_.join(pivot, ["cluster", "node"]).join(sizes, "cluster").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("l") - 1))).withColumn("side", F.lit(1))
+        met = sent.unionByName(chosen).groupBy("cluster", "tile").applyInPandas(_against_pivot, "cluster long, node long, pivot long, both long, total long")
+        rated = stored(met, "pivot")
+        near = F.col("both") * den >= F.col("total") * num
+        links.append(rated.filter(near).filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")))
+        # distances to the pivot that differ by more than 1 - t part a pair; in thousandths, rounded outwards
+        far = F.ceil((F.col("total") - F.col("both")) * 1000 / F.col("total")).cast("int")
+        width = -(-1000 * (den - num) // den) + 2
+        rated = rated.withColumn("near", near).withColumn("far", far)
+        rest = rated.filter(~F.col("near"))
+        first = rest.groupBy("cluster").agg(F.min("far").alias("least"))
+        ring = rated.filter("near").join(first, "cluster").filter(F.col("far") >= F.col("least") - width).select("cluster", "node")
+        probe = rest.filter(F.col("far") <= 2 * width).select("cluster", "node")
+        inner, outer = open_.join(ring, ["cluster", "node"], "left_semi"), open_.join(probe, ["cluster", "node"], "left_semi")
+        both = stored(tiles_of(inner, "l").join(tiles_of(outer, "r"), "cluster"), "rings")
+        links.append(_met(inner, outer, both, threshold))
+        open_ = stored(open_.join(rest.select("cluster", "node"), ["cluster", "node"], "left_semi"), "left")
+    links.append(_met(open_, None, tiles_of(open_, "l"), threshold))
+    return links
+
+
+def _links(sets: DataFrame, clusters: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """a, b: links that span the same components as all the links within clusters. sets: node, grams; clusters: node, n, cluster."""
     size = clusters.groupBy("cluster").agg(F.count("*").alias("many"), F.sum("n").alias("grams"))
-    tiles = F.greatest(F.ceil(F.col("many") / TILE), F.ceil(F.col("grams") / TILE_GRAMS)).cast("int")
-    size = stored(size.withColumn("tiles", tiles), "clusters")
+    size = stored(size.withColumn("large", (F.col("many") > TILE) | (F.col("grams") > TILE_GRAMS)), "clusters")
+    seen = size.agg(F.coalesce(F.sum(F.when(~F.col("large"), F.col("grams"))), F.lit(0)), F.coalesce(F.max("large"), F.lit(False))).first()
+    rows = clusters.select("node", "cluster").join(size.select("cluster", "large"), "cluster").join(sets, "node").select("cluster", "node", "grams", "large")
     # clusters of one tile share meetings
-    small = size.filter("tiles = 1").agg(F.coalesce(F.sum("grams"), F.lit(0))).first()[0]
-    shares = max(1, -(-int(small) // SHARE_GRAMS))
-    placed = clusters.join(size.select("cluster", "tiles"), "cluster").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    meeting = F.when(F.col("tiles") == 1, -1 - F.pmod(F.xxhash64("cluster"), F.lit(shares))).otherwise(F.col("cluster"))
-    sent = sent.select("id", "cluster", "tile", meeting.alias("meeting"), F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), (F.col("tiles") > 1).alias("large"))
-    sets = _wanted_sets(docs, clusters.select("id"), n_words)
-    rows = sent.join(sets, "id")
-    return rows.groupBy("large", "meeting", "low", "high").applyInPandas(_meetings(threshold), "a long, b long")
-
-
-def jaccard_join(docs: DataFrame, ident: str = "doc_id", text: str = "text", n_words: int = N_WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles and component_id, the smallest doc_id reachable by links, for every document."""
-    docs = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text")).filter(F.col("doc_id").isNotNull())
-    info = stored(describe(docs, n_words), "sets")
-    info1 = info.groupBy("doc_id").agg(F.max_by("n_shingles", "n_shingles").alias("n_shingles"), F.max_by("set_key", "n_shingles").alias("set_key"))
-    classes = info1.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    member = stored(info1.join(classes, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "classes")
-
-    signed = _signed(docs, n_words, threshold)
-    stars = signed.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_stars, "a long, b long")
-    rep_a, rep_b = member.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), member.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb"))
-    pairs = stored(stars.distinct(), "stars").join(rep_a, "a").join(rep_b, "b").filter("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    near = components(pairs)
-    sizes = member.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
+    shares = max(1, -(-int(seen[0]) // SHARE_GRAMS))
+    small = rows.filter(~F.col("large")).withColumn("side", F.lit(0)).withColumn("meeting", F.pmod(F.xxhash64("cluster"), F.lit(shares)))
+    links = [small.groupBy("meeting").applyInPandas(_meet(threshold), "a long, b long")]
+    if seen[1]:
+        links += _large(stored(rows.filter("large").drop("large"), "large"), threshold)
+    return reduce(DataFrame.unionByName, links)
+
+
+def _grams(texts: DataFrame, n_words: int) -> DataFrame:
+    """node, grams: the sorted set, as bytes."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b, h, first in _sets(batch.column(1), n_words):
+                grams = [h[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(grams, pa.binary())], names=["node", "grams"])
+
+    return texts.mapInArrow(run, "node long, grams binary")
+
+
+def jaccard_join(docs: DataFrame, ident: str = "doc_id", text: str = "text", n_words: int = N_WORDS, threshold: tuple[int, int] = THRESHOLD, carry: list[str] | None = None) -> DataFrame:
+    """The columns in carry (the ident when None) of every row, with n_shingles, component_id (the smallest ident reachable by links)
+    and kept: true for one row of each component, that with the smallest ident, and for rows with an empty set."""
+    carry = [c for c in ([ident] if carry is None else carry) if c not in ("n_shingles", "component_id", "kept")]
+    given = docs.select(*[F.col(c).alias(f"in_{c}") for c in dict.fromkeys([*carry, ident, text])])
+    # written at once, so that the rows' numbers stay
+    marked = stored(describe(given, f"in_{text}", n_words).withColumn("row", F.monotonically_increasing_id()), "sets")
+    i = F.col(f"in_{ident}")
+    sized = marked.filter("node is not null").groupBy("node").agg(F.min(F.struct(i.isNull().alias("none"), i.alias("id"), F.col("row"))).alias("head"), F.max("n_shingles").alias("n"))
+    classes = stored(sized, "classes")
+    # one row for each different set
+    texts = marked.select("row", "node", F.col(f"in_{text}").alias("text")).join(classes.select(F.col("head.row").alias("row")), "row", "left_semi").select("node", "text")
+    grams = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    near = components(candidates(texts, int(grams), n_words, threshold))
     # a component's own smallest member has no row of its own
-    clusters = near.select(F.col("node").alias("id"), F.col("component").alias("cluster")).union(near.select("component", "component").distinct()).join(sizes, "id")
-    linked = components(_links(docs, stored(clusters, "near"), n_words, threshold))
-    found = member.join(linked.withColumnRenamed("node", "rep"), "rep", "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    clusters = near.select("node", F.col("component").alias("cluster")).union(near.select("component", "component").distinct())
+    clusters = stored(clusters.join(classes.select("node", "n"), "node"), "near")
+    sets = _grams(texts.join(clusters.select("node"), "node", "left_semi"), n_words)
+    linked = components(_links(sets, clusters, threshold))
+    of = classes.join(linked, "node", "left").select("node", "head", F.coalesce("component", "node").alias("component"))
+    first = of.groupBy("component").agg(F.min("head").alias("first"))
+    out = marked.join(of.select("node", "component").join(first, "component").select("node", "first"), "node", "left")
+    alone = F.col("node").isNull()
+    return out.select(
+        *[F.col(f"in_{c}").alias(c) for c in carry],
+        "n_shingles",
+        F.when(alone, i).otherwise(F.col("first.id")).alias("component_id"),
+        (alone | (F.col("first.row") == F.col("row"))).alias("kept"),
+    )

@@ -45,7 +45,7 @@ QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_chat_format, op4_mixin
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import jaccard_join
 
-    return jaccard_join(table(spark, sf_dir, "documents"))
+    return jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES |= {f.__name__: f for f in (op9_ngram_join,)}

@@ -99,20 +99,52 @@ def test_clusters_of_many_tiles(spark, monkeypatch):
     assert [got[k] for k in range(40)] == label and len(set(label)) > 1
 
 
-@pytest.mark.parametrize("threshold", [(90, 100), (80, 100), (50, 100)])
-def test_signatures_find_every_pair_that_may_link(threshold):
+def linked_groups(texts, n, threshold):
+    """Brute force: for every text the smallest index of its component."""
     num, den = threshold
-    rng = np.random.default_rng(3)
-    classes = ngram_join.size_classes(threshold)
-    cuts = ngram_join.fragments_of(threshold, classes)
-    for n in [*range(1, 80), 200, 777]:
-        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64) * np.uint64(2))
-        for drop in {0, 1, len(a) * (den - num) // den}:
-            b = np.unique(np.concatenate([a[drop:], rng.integers(0, 1 << 63, rng.integers(0, 3)).astype(np.uint64)]))
-            o = len(np.intersect1d(a, b))
-            if len(b) and den * o >= num * (len(a) + len(b) - o):
-                s, i = ngram_join.signatures(np.array([1, 2]), np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), classes, cuts)
-                assert set(s[i == 1]) & set(s[i == 2])
+    sets = [frozenset(zip(*(w[k:] for k in range(n)))) if len(w) >= n else frozenset([tuple(w)] if w else []) for w in map(words, texts)]
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]) and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize(("n", "threshold"), [(3, (90, 100)), (5, (80, 100)), (2, (50, 100))])
+def test_ngram_join_chains_passages_and_thresholds(spark, monkeypatch, n, threshold):
+    # many tiles, chunks and fragments; a passage that most texts share; chains of copies of copies
+    monkeypatch.setattr(ngram_join, "TILE", 12)
+    monkeypatch.setattr(ngram_join, "CHUNK", 9)
+    monkeypatch.setattr(ngram_join, "FRAGMENT_GRAMS", 500)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 2)
+    r = random.Random(11)
+    passage = [f"p{k}" for k in range(40)]
+    texts = []
+    for g in range(6):
+        now = [f"g{g}w{r.randint(0, 60)}" for _ in range(r.choice([8, 25, 90]))]
+        for _ in range(r.choice([1, 5, 40])):
+            now = list(now)
+            for _ in range(r.randint(0, 3)):
+                now[r.randrange(len(now))] = "new" + str(r.randint(0, 50))
+            texts.append(" ".join(now[: len(now) // 2] + passage + now[len(now) // 2 :]) if r.random() < 0.7 else " ".join(now))
+    got = {x.doc_id: x for x in ngram_join.jaccard_join(docs(spark, texts), n_words=n, threshold=threshold).collect()}
+    want = linked_groups(texts, n, threshold)
+    assert [got[k].component_id for k in range(len(texts))] == want
+    assert {k for k in got if got[k].kept} == set(want)
+
+
+def test_ngram_join_of_rows_without_own_ids(spark):
+    base = [f"w{k}" for k in range(60)]
+    near = " ".join([*base[:-1], "end"])
+    rows = [(None, " ".join(base)), (7, near), (7, "quite another text of seven words"), (3, near), (3, near), (None, None), (None, "only here"), (9, "")]
+    given = spark.createDataFrame([(k, t, "s", 5) for k, t in rows], "doc_id long, text string, kept string, n_shingles long")
+    out = ngram_join.jaccard_join(given, carry=["doc_id", "text", "kept"])
+    assert out.columns == ["doc_id", "text", "n_shingles", "component_id", "kept"]
+    got = sorted(((x.doc_id, x.text, x.component_id, x.kept) for x in out.collect()), key=str)
+    assert sorted(str(x) for x in got if x[3]) == sorted(str(x) for x in [(3, near, 3, True), (7, rows[2][1], 7, True), (None, None, None, True), (None, "only here", None, True), (9, "", 9, True)])
+    assert [x[2] for x in got if x[1] in (near, rows[0][1])] == [3] * 4
 
 
 def test_embedding_join_equals_brute_force(spark, monkeypatch):
