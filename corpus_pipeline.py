@@ -22,13 +22,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, Jaccard 0.8 or more): the one with the smallest doc_id. Rows without a doc_id stay."""
+    """One row of each group of near copies (five-word shingles, Jaccard 0.8 or more): the one with the smallest doc_id. Rows without words stay."""
     from spandrel.llm.ngram_join import jaccard_join
 
-    held = docs.select(*COLUMNS)
-    heads = jaccard_join(held, n_words=5, threshold=(80, 100)).filter("doc_id = component_id").select("doc_id")
-    one = held.filter(F.col("doc_id").isNotNull()).join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(held.filter(F.col("doc_id").isNull())).select(*COLUMNS)
+    return jaccard_join(docs, n_words=5, threshold=(80, 100), carry=COLUMNS).filter("kept").select(*COLUMNS)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
