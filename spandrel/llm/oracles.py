@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from . import chat_format, embedding_join, mixing, ngram_join
-from .quality_rules import FALSE_RANGE, ITERATIONS, PRIOR_RANGE, START_FALSE, START_PRIOR, START_TRUE, TRUE_RANGE
+from .quality_rules import ENDED, ITERATIONS, RUNS, START
 
 _WORD = r"[^\x20\x09-\x0D]+"
-_RULES = ("length", "symbols", "lines", "word_size", "repeats", "capitals")
+_RULES = ("length", "symbols", "lines", "word_size", "repeats", "capitals", "letters", "runs", "endings")
 
 
 def _quality() -> str:
@@ -14,22 +14,27 @@ def _quality() -> str:
     odds = "ln(s.prior / (1 - s.prior)) + " + " + ".join(
         f"case v{j} when 1 then ln((1 - s.g[{j + 1}]) / (1 - s.b[{j + 1}])) when -1 then ln(s.g[{j + 1}] / s.b[{j + 1}]) else 0 end" for j in k
     )
-    g = ", ".join(f"coalesce(least(greatest(sum(n * q) filter (where v{j} < 0) / nullif(sum(n * q) filter (where v{j} <> 0), 0), {FALSE_RANGE[0]}), {FALSE_RANGE[1]}), case when sum(n * q) filter (where v{j} <> 0) > 0 then {FALSE_RANGE[0]} else any_value(g[{j + 1}]) end)" for j in k)
-    b = ", ".join(f"coalesce(least(greatest(sum(n * (1 - q)) filter (where v{j} < 0) / nullif(sum(n * (1 - q)) filter (where v{j} <> 0), 0), {TRUE_RANGE[0]}), {TRUE_RANGE[1]}), case when sum(n * (1 - q)) filter (where v{j} <> 0) > 0 then {TRUE_RANGE[0]} else any_value(b[{j + 1}]) end)" for j in k)
-    any_bad = " or ".join(f"v{j} < 0" for j in k)
-    step = f"select i + 1 as i, least(greatest(sum(n * q) / sum(n), {PRIOR_RANGE[0]}), {PRIOR_RANGE[1]}) as prior, [{g}] as g, [{b}] as b from"
-    start = f"(select 0 as i, pattern.*, case when {any_bad} then {1 - START_TRUE} else {START_TRUE} end as q, {START_PRIOR} as prior, [{', '.join([str(START_FALSE)] * len(_RULES))}] as g, [{', '.join([str(START_TRUE)] * len(_RULES))}] as b from pattern) group by i"
-    later = f"(select s.i, pattern.*, 1 / (1 + exp(-({odds}))) as q, s.prior, s.g, s.b from pattern, state s where s.i < {ITERATIONS}) group by i"
+    # how often a rule says bad: of good, of bad and of all documents on which it votes
+    sums = {"x": "n * q", "y": "n * (1 - q)", "z": "n"}
+    rates = ", ".join(f"(coalesce(sum({e}) filter (where v{j} < 0), 0) + 0.5) / (coalesce(sum({e}) filter (where v{j} <> 0), 0) + 1) as {c}{j}" for j in k for c, e in sums.items())
+    g, b = (", ".join(f"case when y{j} <= x{j} then z{j} else {c}{j} end" for j in k) for c in "xy")
+    against = " + ".join(f"case when v{j} < 0 then least(0, ln(2 * (sum(n) filter (where v{j} < 0) over () + 0.5) / (sum(n) filter (where v{j} <> 0) over () + 1))) else 0 end" for j in k)
+    step = f"select i + 1 as i, prior, [{g}] as g, [{b}] as b from (select i, (sum(n * q) + 0.5) / (sum(n) + 1) as prior, {rates} from"
+    start = f"(select 0 as i, pattern.*, 1 / (1 + exp(-(ln({START}::double / (1 - {START}::double)) + {against}))) as q from pattern) group by i)"
+    later = f"(select s.i, pattern.*, 1 / (1 + exp(-({odds}))) as q from pattern, state s where s.i < {ITERATIONS}) group by i)"
     return rf"""with recursive base as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{_WORD}') as w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORD}')) as lines from documents),
       win as (select doc_id, i, w[i::int] || ' ' || w[i::int + 1] || ' ' || w[i::int + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from base)),
       rep as (select doc_id, count(distinct p) as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as p from (select *, count(*) over (partition by doc_id, g) as c from win) where c > 1) group by 1),
       f as (select base.doc_id, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
-        length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) as n_upper, len(string_split(t, chr(10))) as n_lines, coalesce(n_repeat_words, 0) as n_repeat_words from base left join rep on base.doc_id = rep.doc_id),
-      v as (select *, case when n_words < 50 then -1 when n_words >= 100 then 1 else 0 end as v0, case when 10 * n_symbols > n_words then -1 when 50 * n_symbols <= n_words then 1 else 0 end as v1,
+        length(regexp_replace(t, '[^\p{{Lu}}]', '', 'g')) as n_upper, length(regexp_replace(t, '\P{{L}}+', '', 'g')) as n_letters, len(regexp_extract_all(t, '{RUNS}')) as n_runs, len(regexp_extract_all(t, '{ENDED}')) as n_ended, len(string_split(t, chr(10))) as n_lines, coalesce(n_repeat_words, 0) as n_repeat_words from base left join rep on base.doc_id = rep.doc_id),
+      v as (select *, case when n_words < 80 then -1 when n_words >= 150 then 1 else 0 end as v0, case when 10 * n_symbols > n_words then -1 when 50 * n_symbols <= n_words then 1 else 0 end as v1,
         case when n_dup_lines >= 3 and 10 * n_dup_lines > 3 * n_lines then -1 when n_lines >= 2 and 10 * n_dup_lines <= n_lines then 1 else 0 end as v2,
         case when word_chars < 2 * n_words or word_chars > 14 * n_words then -1 when word_chars >= 3 * n_words and word_chars <= 10 * n_words and n_words >= 20 then 1 else 0 end as v3,
         case when 20 * n_repeat_words > 9 * n_words then -1 when 5 * n_repeat_words <= n_words and n_words >= 20 then 1 else 0 end as v4,
-        case when 10 * n_upper > 3 * word_chars then -1 when 10 * n_upper <= word_chars and n_words >= 20 then 1 else 0 end as v5 from f),
+        case when 10 * n_upper > 3 * word_chars then -1 when 10 * n_upper <= word_chars and n_words >= 20 then 1 else 0 end as v5,
+        case when 25 * n_letters < 22 * word_chars then -1 when 20 * n_letters >= 19 * word_chars and n_words >= 20 then 1 else 0 end as v6,
+        case when 20 * n_runs > n_words then -1 when n_runs = 0 and n_words >= 20 then 1 else 0 end as v7,
+        case when 2 * n_ended < n_lines then -1 when 10 * n_ended >= 9 * n_lines and n_words >= 20 then 1 else 0 end as v8 from f),
       pattern as (select {', '.join(f'v{j}' for j in k)}, count(*)::double as n from v group by all),
       state as ({step} {start} union all {step} {later})
       select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed,
@@ -49,7 +54,7 @@ def _mixing() -> str:
     w = mixing.WEIGHTS
     weight = "case (row_number() over (order by source nulls last) - 1) % 3 " + " ".join(f"when {k} then {x}" for k, x in enumerate(w)) + " end"
     return f"""with d as (select doc_id, source, coalesce('=' || source, '') as key, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::bigint as size from documents),
-      c as (select *, length(bin(size)) * 4 + (size >> greatest(length(bin(size)) - 3, 0)) % 4 as cls, coalesce(doc_id, 0) % {mixing.CELLS} as cell from d),
+      c as (select *, length(bin(size)) * 4 + (size >> greatest(length(bin(size)) - 3, 0)) % 4 as cls, (('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8))::bigint) % greatest({mixing.CELLS}, (select (count(*) + {mixing.CELL_ROWS - 1}) // {mixing.CELL_ROWS} from documents)) as cell from d),
       s as (select key, any_value(source) as source, sum(size)::bigint as source_size from c group by 1),
       w as (select *, ({weight})::bigint as w, source_size * {mixing.CAP} as lim from s),
       o as (select *, lim::double / w as fills from w),

@@ -1,14 +1,19 @@
 """Quality rules by weak supervision.
 
-Six rules each vote good (1), bad (-1) or abstain (0) on a document. Expectation-maximisation estimates how often
-each rule is right about good and about bad documents, and the share of good ones; a document's posterior probability of being good then replaces
-the all-must-pass filter. As the rules are independent given the class, the posterior's log odds are a weighted sum
-of the votes, so scoring is one projection. EM sees only the histogram of vote patterns, at most 3^6 rows whatever
-the corpus.
+Nine rules each vote good (1), bad (-1) or abstain (0) on a document. Expectation-maximisation estimates how often
+each rule says bad about good and about bad documents, and the share of good ones; a document's posterior probability of being good
+then replaces the all-must-pass filter. As the rules are independent given the class, the posterior's log odds are a
+weighted sum of the votes, so scoring is one projection. EM sees only the histogram of vote patterns, at most 3^9 rows
+whatever the corpus.
+
+The rules needn't be right. One that says bad about as often of good documents as of bad ones gets a weight near zero
+and is outvoted (v_length is such a rule on prose of any length); one that others confirm gets a large weight. The only
+guard is that a rule may not count the wrong way round: where EM finds that it says bad more often of good documents, its
+votes have no weight. Half a vote is added on either side, so that no estimate is 0 or 1.
 
 Defined cases: a null or empty text has no words, fails the base rules and is not kept; ties and repeated rows are
 scored alike; an empty table gives an empty result; columns of the input whose names clash with the results are
-replaced by the results.
+replaced by the results, any other name is allowed.
 """
 
 from __future__ import annotations
@@ -18,15 +23,16 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, stored
+from .common import SPACE, fresh, stored
 
+#: The same symbol twice, and a line that ends in punctuation.
+RUNS = r"##|\*\*|\$\$|%%|&&|\|\||<<|>>"
+ENDED = r"[.!?…:;)][\x20\x09]*(?:\n|\z)"
 #: Up to so many different repeated windows, a text is searched for each of them.
 FEW = 16
-ITERATIONS = 12
-#: Where EM starts: the share of good documents, and how often a rule calls a good and a bad document bad.
-START_PRIOR, START_FALSE, START_TRUE = 0.8, 0.004, 0.9
-#: Bounds of the estimates. A rule stays likelier to call a bad document bad than a good one, so the classes can't swap.
-PRIOR_RANGE, FALSE_RANGE, TRUE_RANGE = (0.05, 0.95), (0.0005, 0.004), (0.2, 0.99)
+ITERATIONS = 40
+#: Where EM starts: the chance of being good of a document without a bad vote.
+START = 0.9
 #: Documents at or above this posterior are kept.
 KEEP_FROM = 0.5
 
@@ -70,22 +76,28 @@ def _repeated(words: Column) -> Column:
     return F.when(F.size(words) < 3, F.lit(0)).otherwise(_bound(windows(words), count)).cast("long")
 
 
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_upper", "n_letters", "n_runs", "n_ended", "n_dup_lines", "n_lines", "n_repeat_words")
+
+
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_upper and n_lines (all long)."""
-    t, w = F.coalesce(F.col(text), F.lit("")), F.col("_words")
+    """docs with FEATURES (all long), which replace columns of those names."""
+    split = fresh(docs, "words")
+    t, w = F.coalesce(F.col(text), F.lit("")), F.col(split)
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    split = docs.withColumn("_words", F.filter(F.split(t, SPACE + "+"), lambda x: x != ""))
-    return split.withColumns(
-        {
-            "n_words": F.size(w).cast("long"),
-            "word_chars": F.length(F.array_join(w, "")).cast("long"),
-            "n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
-            "n_upper": F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long"),
-            "n_dup_lines": _bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-            "n_lines": (F.regexp_count(t, F.lit("\n")) + 1).cast("long"),
-            "n_repeat_words": _repeated(w),
-        }
-    ).drop("_words")
+    found = {
+        "n_words": F.size(w).cast("long"),
+        "word_chars": F.length(F.array_join(w, "")).cast("long"),
+        "n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
+        "n_upper": F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long"),
+        "n_letters": F.length(F.regexp_replace(t, r"\P{L}+", "")).cast("long"),
+        "n_runs": F.regexp_count(t, F.lit(RUNS)).cast("long"),
+        "n_ended": F.regexp_count(t, F.lit(ENDED)).cast("long"),
+        "n_dup_lines": _bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "n_lines": (F.regexp_count(t, F.lit("\n")) + 1).cast("long"),
+        "n_repeat_words": _repeated(w),
+    }
+    kept = [c for c in docs.columns if c not in FEATURES]
+    return docs.withColumn(split, F.filter(F.split(t, SPACE + "+"), lambda x: x != "")).select(*kept, *[v.alias(k) for k, v in found.items()])
 
 
 def _vote(bad: Column, good: Column) -> Column:
@@ -96,31 +108,36 @@ def rules() -> dict[str, Column]:
     """Each rule's vote, over the columns of features(). Integer comparisons only, so that no rounding decides."""
     n, enough = F.col("n_words"), F.col("n_words") >= 20
     return {
-        "v_length": _vote(n < 50, n >= 100),
+        "v_length": _vote(n < 80, n >= 150),
         "v_symbols": _vote(10 * F.col("n_symbols") > n, 50 * F.col("n_symbols") <= n),
         "v_lines": _vote((F.col("n_dup_lines") >= 3) & (10 * F.col("n_dup_lines") > 3 * F.col("n_lines")), (F.col("n_lines") >= 2) & (10 * F.col("n_dup_lines") <= F.col("n_lines"))),
         "v_word_size": _vote((F.col("word_chars") < 2 * n) | (F.col("word_chars") > 14 * n), (F.col("word_chars") >= 3 * n) & (F.col("word_chars") <= 10 * n) & enough),
         "v_repeats": _vote(20 * F.col("n_repeat_words") > 9 * n, (5 * F.col("n_repeat_words") <= n) & enough),
         "v_capitals": _vote(10 * F.col("n_upper") > 3 * F.col("word_chars"), (10 * F.col("n_upper") <= F.col("word_chars")) & enough),
+        "v_letters": _vote(25 * F.col("n_letters") < 22 * F.col("word_chars"), (20 * F.col("n_letters") >= 19 * F.col("word_chars")) & enough),
+        "v_runs": _vote(20 * F.col("n_runs") > n, (F.col("n_runs") == 0) & enough),
+        "v_endings": _vote(2 * F.col("n_ended") < F.col("n_lines"), (10 * F.col("n_ended") >= 9 * F.col("n_lines")) & enough),
     }
 
 
 def fit(patterns: list[tuple[tuple[int, ...], int]], iterations: int = ITERATIONS) -> tuple[float, list[float], list[float]]:
     """EM over (votes, number of documents): the share of good documents, and how often each rule that votes says bad
-    about good and about bad documents. It starts from the belief that one bad vote makes a document suspect."""
+    about good and about bad documents. It starts from the belief that a bad vote makes a document suspect, the more so the fewer the rule calls bad."""
     k = len(patterns[0][0]) if patterns else 0
     total = sum(n for _, n in patterns)
-    prior, on_good, on_bad = START_PRIOR, [START_FALSE] * k, [START_TRUE] * k
-    belief = [1 - START_TRUE if -1 in votes else START_TRUE for votes, _ in patterns]
+    prior, on_good, on_bad = 0.5, [0.5] * k, [0.5] * k
+    called = [[(n, votes[j] < 0) for votes, n in patterns if votes[j]] for j in range(k)]
+    against = [min(0.0, math.log(2 * (sum(n for n, no in x if no) + 0.5) / (sum(n for n, _ in x) + 1))) for x in called]
+    belief = [1 / (1 + math.exp(-(math.log(START / (1 - START)) + sum(a for v, a in zip(votes, against, strict=True) if v < 0)))) for votes, _ in patterns]
     for _ in range(iterations):
-        prior = min(max(sum(n * q for (_, n), q in zip(patterns, belief, strict=True)) / total, PRIOR_RANGE[0]), PRIOR_RANGE[1]) if total else prior
+        prior = (sum(n * q for (_, n), q in zip(patterns, belief, strict=True)) + 0.5) / (total + 1)
         for j in range(k):
             said = [(n, q, votes[j] < 0) for (votes, n), q in zip(patterns, belief, strict=True) if votes[j]]
-            good, bad = sum(n * q for n, q, _ in said), sum(n * (1 - q) for n, q, _ in said)
-            if good:
-                on_good[j] = min(max(sum(n * q for n, q, x in said if x) / good, FALSE_RANGE[0]), FALSE_RANGE[1])
-            if bad:
-                on_bad[j] = min(max(sum(n * (1 - q) for n, q, x in said if x) / bad, TRUE_RANGE[0]), TRUE_RANGE[1])
+            good, good_no = sum(n * q for n, q, _ in said), sum(n * q for n, q, no in said if no)
+            bad, bad_no = sum(n * (1 - q) for n, q, _ in said), sum(n * (1 - q) for n, q, no in said if no)
+            on_good[j], on_bad[j] = (good_no + 0.5) / (good + 1), (bad_no + 0.5) / (bad + 1)
+            if on_bad[j] <= on_good[j]:
+                on_good[j] = on_bad[j] = (good_no + bad_no + 0.5) / (good + bad + 1)
         belief = [1 / (1 + math.exp(-log_odds(votes, prior, on_good, on_bad))) for votes, _ in patterns]
     return prior, on_good, on_bad
 
@@ -136,12 +153,12 @@ def log_odds(votes: tuple[int, ...], prior: float, on_good: list[float], on_bad:
 
 def quality_rules(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The columns in carry (all but the text when None), the features, votes, base_failed, log_odds, posterior and kept."""
-    carry = [c for c in docs.columns if c != text] if carry is None else carry
-    ours = [*(f := ["n_words", "word_chars", "n_symbols", "n_upper", "n_dup_lines", "n_lines", "n_repeat_words"]), *rules()]
-    carry = [c for c in carry if c not in {*ours, "base_failed", "log_odds", "posterior", "kept"}]
     votes = list(rules())
-    found = stored(features(docs.select(*dict.fromkeys([*carry, text])), text).select(*carry, *f).withColumns(rules()), "quality")
-    # at most 3^6 patterns, whatever the number of documents
+    ours = {*FEATURES, *votes, "base_failed", "log_odds", "posterior", "kept"}
+    carry = [c for c in (docs.columns if carry is None else carry) if c not in ours and (carry is not None or c != text)]
+    given = docs.select(*[F.col(c).alias(f"in_{c}") for c in dict.fromkeys([*carry, text])])
+    found = stored(features(given, f"in_{text}").select(*[f"in_{c}" for c in carry], *FEATURES).withColumns(rules()), "quality")
+    # at most 3^9 patterns, whatever the number of documents
     seen = found.groupBy(*votes).count().collect()
     prior, on_good, on_bad = fit(sorted((tuple(r[v] for v in votes), r["count"]) for r in seen))
     odds = F.lit(math.log(prior / (1 - prior)))
@@ -151,4 +168,5 @@ def quality_rules(docs: DataFrame, text: str = "text", carry: list[str] | None =
     n, rep = F.col("n_words"), F.col("n_repeat_words")
     out = found.withColumn("base_failed", (n < 50) | (100 * rep > 50 * n)).withColumn("log_odds", odds)
     out = out.withColumn("posterior", 1 / (1 + F.exp(-F.col("log_odds"))))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= KEEP_FROM))
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= KEEP_FROM))
+    return out.select(*[F.col(f"in_{c}").alias(c) for c in carry], *FEATURES, *votes, "base_failed", "log_odds", "posterior", "kept")
