@@ -1,394 +1,212 @@
 """Language-model scores of whole documents, learnt from the corpus itself.
 
-Three passes, none of which holds the corpus or the model in one place.
-
-1. Words are counted: each task sends the different words of its batches with their counts, by hash to shards, which add
-   them. Words with more than 1 / FREQUENT of all tokens, at most FREQUENT of them, become the vocabulary that every task
-   gets; all others are the class <unk>, which spends its probability on its words by their own smoothed counts.
-2. Texts become trigram events over the vocabulary, at most 1024 documents to a chunk, one 64-bit number each, sorted
-   and packed, and go by context word to shards of about SHARD events; a frequent context's documents are dealt over several shards. A
-   shard builds the trie (lm_trie) of its training events, looks up each of its different trigrams once, and returns
-   sums per document. The different trigrams of frequent contexts are counted beforehand over all documents, by successor and by longer
-   context, and each of such a context's shards gets the whole corpus's counts of what its documents hold. Words outside
-   the vocabulary go by hash to shards of their own, which count them and return their part of both scores.
-3. The sums of a chunk are added.
-
-Every hot thing is split: a hot word is one event per batch in pass 1, a hot context has several shards. A shard's size doesn't
-grow with the corpus; their number does.
+The model is an order-3 trie (lm_trie) of all the corpus's words and n-grams: none is pruned, capped or estimated from a part.
+It is never in one place. Every chunk of documents gets the trie of the n-grams that its own texts hold, with the
+counts of the whole corpus, and is scored by it; as smoothing needs an n-gram's and its context's counts only, these tries agree.
+
+1. Chunks send their different words by hash to shards, which gives the number of training tokens and of different words.
+2. Chunks send their different words, bigrams and trigrams with their training counts, as sorted hashes of BITS more bits
+   than the text has, to shards of the hash space, and their own words in order to themselves.
+3. A shard adds the counts and answers each chunk, in the chunk's order.
+4. A chunk builds its trie and returns its documents' scores.
+
+However frequent an n-gram or a context, a chunk sends it once, and no shard gathers the successors of a context; a shard's size doesn't
+grow with the corpus, their number does. A document is in one chunk, so memory follows the longest text.
 
 Base score: unigrams with one added. Defined cases: a null or empty text is its end token alone; repeated rows are scored
-alike and trained on as often as they stand; an empty table gives an empty result; without training documents every word is
-unknown; a null doc_id counts as the empty string for the split; other columns are ignored.
+alike and trained on as often as they stand; equal texts get equal scores; an empty table gives an empty result; without training
+documents every word is unknown; a null doc_id counts as the empty string for the split; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, stored
-from .lm_trie import VOCABULARY, Trie, Whole, _runs, discount
+from .common import stored
+from .exchange import pack, pack_sorted, runs, unpack, unpack_sorted
+from .lm_trie import Counts, Trie
 from .textops import Words, blocks, mix64, string_parts
 
-FREQUENT = 1 << 17
-SHARD = 4_000_000
-CHUNK = 1024
-CHUNK_BYTES = 8 << 20
-#: Trigrams of frequent contexts that a task adds up before it sends them.
-HELD_GRAMS = 1 << 20
-UNK, BEGIN, END, FIRST = 0, 1, 2, 3
+#: Documents and bytes of text to a chunk, and about how many n-grams to a shard.
+CHUNK, CHUNK_BYTES = 4096, 4 << 20
+SHARD = 2_000_000
+#: Hashes have so many bits more than the number of bytes of all texts: of two million n-grams about one meets another.
+BITS = 20
 #: The split: of crc32(doc_id) modulo 7, this remainder is held out.
 FOLDS, HELD = 7, 2
-
-
-def _press(a: np.ndarray) -> bytes:
-    """A sorted array of 64-bit numbers as gaps, byte by byte of all, compressed."""
-    gaps = np.diff(a, prepend=np.zeros(1, a.dtype))
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes())
-
-
-def _unpress(b: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
-    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
-
-
-def _pressed(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
-
-
-def _unpressed(b: bytes, *kinds: str) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(b)
-    n = len(raw) // sum(np.dtype(k).itemsize for k in kinds)
-    out, at = [], 0
-    for k in kinds:
-        out.append(np.frombuffer(raw, k, n, at))
-        at += n * np.dtype(k).itemsize
-    return out
+#: Word numbers within a chunk: before a text, its end, and the first word.
+BEGIN, END, FIRST = 0, 1, 2
+_SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 
 def held_out(ids: list) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % FOLDS == HELD for i in ids], bool)
 
 
-def _added(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(h, kind="stable")
-    h, n = h[order], n[order]
-    at = _runs(h)
-    return h[at], np.add.reduceat(n, at) if len(at) else n
-
-
-def count_words(docs: DataFrame, shards: int) -> DataFrame:
-    """word (hash), n: words of the training documents that may be frequent; and a row of each shard with a null word, its tokens (n)
-    and different words (kinds)."""
+def _chunks(batches):
+    """(number, ids, held-out flags, words of each text, hash of each word, in order) of chunks of rows (doc_id, text)."""
+    number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 28
+    for batch in batches:
+        offsets, raw = string_parts(batch.column(1))
+        for x, y in blocks(offsets, CHUNK_BYTES):
+            for lo in range(x, y, CHUNK):
+                hi = min(lo + CHUNK, y)
+                ids = batch.column(0).slice(lo, hi - lo)
+                parts = []
+                for a, b in blocks(offsets[lo : hi + 1]):
+                    w = Words(offsets[lo + a : lo + b + 1] - offsets[lo + a], raw[offsets[lo + a] : offsets[lo + b]])
+                    parts.append((np.diff(w.first), w.hashes()))
+                size, h = (np.concatenate(p) for p in zip(*parts, strict=True))
+                yield number, ids, held_out(ids.to_pylist()), size.astype(np.int64), h
+                number += 1
+
+
+def count_tokens(docs: DataFrame, shards: int) -> DataFrame:
+    """tokens and kinds (training words and different ones, by shard of the hash space) and all_tokens (of all documents)."""
 
     def send(batches):
-        for batch in batches:
-            offsets, raw = string_parts(batch.column(1))
-            train = ~held_out(batch.column(0).to_pylist())
-            hs, ns = [], []
-            for a, b in blocks(offsets):
-                w = Words(offsets[a : b + 1] - offsets[a], raw[offsets[a] : offsets[b]])
-                h = np.sort(w.hashes()[train[a:b][w.doc]])
-                at = _runs(h)
-                hs.append(h[at]), ns.append(np.diff(np.append(at, len(h))))
-            if not hs:
-                continue
-            h, n = _added(np.concatenate(hs), np.concatenate(ns))
-            shard = (h % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            cut = np.searchsorted(shard[order], np.arange(shards + 1))
-            rows = [(s, _pressed(h[order[x:y]], n[order[x:y]].astype(np.uint32))) for s, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "words"])
+        for _, _, held, size, h in _chunks(batches):
+            h, n = np.unique(h[np.repeat(~held, size)], return_counts=True)
+            cut = np.searchsorted((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64))
+            rows = [(s, pack_sorted(h[x:y], n[x:y].astype(np.uint32)), 0) for s, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+            s, w, a = zip(*[*rows, (0, None, int(size.sum()))], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(w, pa.binary()), pa.array(a, pa.int64())], names=["shard", "words", "tokens"])
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        parts = [_unpressed(b, "<u8", "<u4") for b in group["words"]]
-        h, n = _added(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64))
-        total = int(n.sum())
-        much = n * FREQUENT > total
-        return pd.DataFrame(
-            {"word": pd.array([*h[much].view(np.int64), None], "Int64"), "n": np.append(n[much], total), "kinds": np.append(np.zeros(much.sum(), np.int64), len(h))}
-        )
-
-    sent = docs.select("doc_id", "text").mapInArrow(send, "shard int, words binary")
-    return sent.groupBy("shard").applyInPandas(add, "word long, n long, kinds long")
-
-
-class Plan:
-    """What the tasks of pass 2 need: the vocabulary, its counts and how events are dealt. Its size is bounded by FREQUENT."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, n_docs: int, tokens: int, kinds: int):
-        order = np.argsort(words)
-        self.words, self.counts = words[order], counts[order]
-        self.n_docs, self.tokens = n_docs, tokens  # tokens: with the end tokens
-        rare = tokens - n_docs - int(counts.sum())
-        self.rare, self.rare_kinds = rare, kinds - len(words)
-        known = np.concatenate([[rare + 1, 0, n_docs + 1], self.counts]).astype(np.float64)
-        self.p1 = np.maximum(known / (tokens + 2), 1e-300)
-        self.norm = np.log10(tokens + kinds + (n_docs > 0) + 1)
-        self.shards = max(1, -(-tokens // SHARD))
-        as_context = np.concatenate([[rare, 2 * n_docs, 0], self.counts]).astype(np.float64)
-        share = as_context * self.shards * 2 / max(tokens, 1)
-        self.split = np.where(share > 1, np.ceil(share), 1).astype(np.int64)  # shards of each context word
-        hot = self.split > 1
-        base = (mix64(np.arange(len(known), dtype=np.uint64)) % np.uint64(self.shards)).astype(np.int64)
-        base[hot] = self.shards + np.cumsum(self.split[hot]) - self.split[hot]
-        self.base = base
-        self.model_shards = int(self.shards + self.split[hot].sum())
-        self.rare_shards = max(1, -(-rare // SHARD))
-        self.hot = np.flatnonzero(hot)  # the context words of several shards, in the order of their shards
-        self.buckets = int(-(-2 * as_context[hot].sum() // SHARD))  # that count their trigrams
-
-
-def _chunks(offsets: np.ndarray):
-    for a, b in blocks(offsets, CHUNK_BYTES):
-        for x in range(a, b, CHUNK):
-            yield x, min(b, x + CHUNK)
-
-
-def _chunk_events(plan: Plan, batches):
-    """Per chunk: its number, ids, held-out flags, the sorted events with their shards, and what else pass 2 needs of it."""
-    part = TaskContext.get().partitionId() if TaskContext.get() else 0
-    number = 0
-    for batch in batches:
-        ids = batch.column(0)
-        offsets, raw = string_parts(batch.column(1))
-        held = held_out(ids.to_pylist())
-        deal = mix64(np.array([zlib.crc32(str(i).encode()) for i in ids.to_pylist()], np.uint64))
-        for a, b in _chunks(offsets):
-            chunk, number = (part << 28) | number, number + 1
-            n = b - a
-            seqs, docs, rare_h, rare_d = [], [], [], []
-            for x, y in blocks(offsets[a : b + 1]):
-                x, y = x + a, y + a
-                w = Words(offsets[x : y + 1] - offsets[x], raw[offsets[x] : offsets[y]])
-                h = w.hashes()
-                at = np.minimum(np.searchsorted(plan.words, h), max(len(plan.words) - 1, 0))
-                known = plan.words[at] == h if len(plan.words) else np.zeros(len(h), bool)
-                rare_h.append(h[~known]), rare_d.append(w.doc[~known] + (x - a))
-                seq = np.full(len(h) + y - x, END, np.int64)
-                seq[np.arange(len(h)) + w.doc] = np.where(known, at + FIRST, UNK)
-                seqs.append(seq)
-                docs.append(np.repeat(np.arange(y - x), np.diff(w.first) + 1) + (x - a))
-            w3, d = np.concatenate(seqs), np.concatenate(docs)
-            new = np.concatenate([[True], d[1:] != d[:-1]])
-            w2 = np.concatenate([[BEGIN], w3[:-1]])
-            w2[new] = BEGIN
-            w1 = np.concatenate([[BEGIN], w2[:-1]])
-            w1[new] = BEGIN
-            key = np.sort((w2.astype(np.uint64) << np.uint64(46)) | (w1.astype(np.uint64) << np.uint64(28)) | (w3.astype(np.uint64) << np.uint64(10)) | d.astype(np.uint64))
-            ctx, doc = (key >> np.uint64(46)).astype(np.int64), (key & np.uint64(CHUNK - 1)).astype(np.int64)
-            shard = plan.base[ctx] + (deal[a:b][doc] % plan.split[ctx].astype(np.uint64)).astype(np.int64) * (plan.split[ctx] > 1)
-            yield chunk, ids.slice(a, n), held[a:b], key, shard, w3, d, np.concatenate(rare_h), np.concatenate(rare_d)
-
-
-def _events(plan: Plan, batches):
-    for chunk, ids, held, key, shard, w3, d, h, rd in _chunk_events(plan, batches):
-        n = len(ids)
-        train = np.packbits(~held).tobytes()
-        order = np.argsort(shard, kind="stable")
-        rows = []
-        at = _runs(shard[order])
-        for x, y in zip(at, np.append(at[1:], len(order)), strict=True):
-            rows.append((int(shard[order[x]]), chunk, n, train, _press(key[order[x:y]])))
-        own = (h % np.uint64(plan.rare_shards)).astype(np.int64)
-        order = np.lexsort((h, own))
-        at = np.append(_runs(own[order]), len(order))  # a chunk may have no rare word
-        for x, y in zip(at[:-1], at[1:], strict=True):
-            k = order[x:y]
-            rows.append((plan.model_shards + int(own[k[0]]), chunk, n, train, _pressed(h[k], rd[k].astype(np.uint16))))
-        # what needs no shard: the frequent words' part of the base score
-        c = np.concatenate([[0, 0, plan.n_docs], plan.counts])[w3]
-        listed = w3 != UNK
-        base = np.bincount(d[listed], weights=np.log10(c[listed] + 1.0), minlength=n)
-        sure = np.bincount(d[listed & (c > 0)], minlength=n)
-        doc_ids = np.array([0 if i is None else i for i in ids.to_pylist()], np.int64)
+        parts = [unpack_sorted(b, "<u4") for b in group["words"] if b is not None]
+        kinds = len(np.unique(np.concatenate([p[0] for p in parts]))) if parts else 0
+        return pd.DataFrame({"tokens": [sum(int(p[1].sum()) for p in parts)], "kinds": [kinds], "all_tokens": [int(group["tokens"].sum())]})
+
+    return docs.mapInArrow(send, "shard int, words binary, tokens long").groupBy("shard").applyInPandas(add, "tokens long, kinds long, all_tokens long")
+
+
+class Plan(NamedTuple):
+    """tokens and kinds: of the training documents, with their ends; shards and bits of the hash space."""
+
+    n_docs: int
+    tokens: int
+    kinds: int
+    shards: int
+    bits: int
+
+
+class Grams:
+    """The different n-grams of a chunk. words: the hashes of its different words, ascending; seq: its texts' word numbers, each text with its end."""
+
+    def __init__(self, words: np.ndarray, seq: np.ndarray, doc: np.ndarray):
+        self.size = size = len(words) + FIRST
+        new = np.concatenate([[True], doc[1:] != doc[:-1]])
+        w2 = np.concatenate([[BEGIN], seq[:-1]])
+        w2[new] = BEGIN
+        w1 = np.concatenate([[BEGIN], w2[:-1]])
+        w1[new] = BEGIN
+        # each level by its context, and an event's place in it
+        self.pairs, self.pair_of = np.unique(w2 * size + seq, return_inverse=True)
+        self.contexts, of = np.unique(w2 * size + w1, return_inverse=True)
+        self.triples, self.triple_of = np.unique(of * size + seq, return_inverse=True)
+        self.seq = seq
+        # a context w1 w2 occurs as often as that bigram; before the first word it is the beginning alone
+        c2, c1 = self.contexts // size, self.contexts % size
+        self.first = c2 == BEGIN
+        self.as_pair = np.searchsorted(self.pairs, np.where(self.first, self.pairs[0], c1 * size + c2))
+        h = np.concatenate([np.array([3, 5], np.uint64), words])
+        two = mix64(h[self.pairs // size] * _SEEDS[0] + h[self.pairs % size] * _SEEDS[1])
+        t = self.triples // size
+        three = mix64(h[c1[t]] * _SEEDS[2] + mix64(h[c2[t]] * _SEEDS[0] + h[self.triples % size] * _SEEDS[1]))
+        self.hashes = np.concatenate([mix64(h), two, three])
+
+    def counts(self, train: np.ndarray) -> np.ndarray:
+        """How often each word, bigram and trigram occurs in the training texts of the chunk."""
+        n = [np.bincount(x[train], minlength=m) for x, m in ((self.seq, self.size), (self.pair_of, len(self.pairs)), (self.triple_of, len(self.triples)))]
+        return np.concatenate(n)
+
+    def order(self, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Its n-grams in the order of their hashes, these, and where each shard's begin."""
+        key = self.hashes >> np.uint64(64 - plan.bits)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        top = key >> np.uint64(plan.bits - 32)
+        return order, key, np.searchsorted(top * np.uint64(plan.shards) >> np.uint64(32), np.arange(plan.shards + 1, dtype=np.uint64))
+
+
+def _asked(plan: Plan, batches):
+    """Rows of chunks for the shards (own null), and each chunk's own row for itself, under a shard below zero."""
+    for number, ids, held, size, h in _chunks(batches):
+        words, at = np.unique(h, return_inverse=True)
+        doc = np.repeat(np.arange(len(ids)), size + 1)
+        seq = np.full(len(doc), END, np.int64)
+        seq[np.arange(len(h)) + np.repeat(np.arange(len(ids)), size)] = at + FIRST
+        grams = Grams(words, seq, doc)
+        order, key, cut = grams.order(plan)
+        n = grams.counts(~held[doc])[order].astype(np.uint32)
+        known = np.array([0 if i is None else i for i in ids.to_pylist()], np.int64)
         none = np.array([i is None for i in ids.to_pylist()], bool)
-        rows.append((-1 - (chunk % 4096), chunk, n, train, _pressed(doc_ids, np.bincount(d, minlength=n).astype(np.int64), sure.astype(np.int64), base, none)))
-        names = ["shard", "chunk", "n_docs", "train", "events"]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=names)
-
-
-def _grouped(gram: np.ndarray, to: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((to, gram))
-    gram, to, n = gram[order], to[order], n[order]
-    at = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (to[1:] != to[:-1])])) if len(gram) else np.zeros(0, np.int64)
-    return gram[at], to[at], np.add.reduceat(n, at) if len(at) else n
-
-
-def _successor(gram: np.ndarray) -> np.ndarray:
-    return ((gram >> np.uint64(36)) << np.uint64(18)) | (gram & np.uint64(VOCABULARY - 1))
-
-
-def _hot_grams(plan: Plan, batches):
-    """The different trigrams of hot contexts for each of their shards, with training counts: once to a bucket by (w2, w3), once by (w2, w1)."""
-
-    def sent(held):
-        gram, to, n = _grouped(*[np.concatenate(x) for x in zip(*held, strict=True)])
-        rows = []
-        for side, by in enumerate((_successor(gram), gram >> np.uint64(18))):
-            bucket = (mix64(by) % np.uint64(plan.buckets)).astype(np.int64) + side * plan.buckets
-            order = np.argsort(bucket, kind="stable")
-            at = _runs(bucket[order])
-            for x, y in zip(at, np.append(at[1:], len(order)), strict=True):
-                k = order[x:y]
-                rows.append((int(bucket[k[0]]), _press(gram[k]), _pressed(to[k].astype(np.int32), n[k].astype(np.uint32))))
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "grams", "counts"])
-
-    waiting, size = [], 0
-    for _, _, held, key, shard, *_ in _chunk_events(plan, batches):
-        hot = shard >= plan.shards
-        if not hot.any():
-            continue
-        waiting.append(_grouped(key[hot] >> np.uint64(10), shard[hot], (~held)[(key[hot] & np.uint64(CHUNK - 1)).astype(np.int64)].astype(np.int64)))
-        size += len(waiting[-1][0])
-        if size >= HELD_GRAMS:
-            yield sent(waiting)
-            waiting, size = [], 0
-    if waiting:
-        yield sent(waiting)
-
-
-def _whole_counts(plan: Plan, group: pd.DataFrame) -> pd.DataFrame:
-    """A bucket's counts over all documents, as rows for the shards that asked: chunk -1 has trigrams, their counts and those of (w2, w3); -2 has
-    longer contexts, their totals and different successors; -3 has a context word's total, different successors and counts of counts."""
-    parts = [_unpressed(b, "<i4", "<u4") for b in group["counts"]]
-    gram, to, n = _grouped(np.concatenate([_unpress(b) for b in group["grams"]]), np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]).astype(np.int64))
-    at = _runs(gram)
-    n3 = np.add.reduceat(n, at)
-    rows = []
-
-    def tell(kind, to, what, *counts):
-        order = np.lexsort((what, to))
-        starts = np.append(_runs(to[order]), len(order))
-        for x, y in zip(starts[:-1], starts[1:], strict=True):
-            k = order[x:y]
-            rows.append((int(to[k[0]]), kind, 0, _press(what[k]), _pressed(*[c[k].astype(np.int64) for c in counts])))
-
-    if int(group["bucket"].iloc[0]) < plan.buckets:
-        pairs, which = np.unique(_successor(gram[at]), return_inverse=True)
-        n2 = np.zeros(len(pairs), np.int64)
-        np.add.at(n2, which, n3)
-        size = np.diff(np.append(at, len(gram)))
-        c3, c2 = np.repeat(n3, size), np.repeat(n2[which], size)
-        tell(-1, to[c2 > 0], gram[c2 > 0], c3[c2 > 0], c2[c2 > 0])
-        for w in np.unique(pairs >> np.uint64(18)):
-            own2, own3 = n2[pairs >> np.uint64(18) == w], n3[gram[at] >> np.uint64(36) == w]
-            stats = [np.array([x]) for x in (own2.sum(), (own2 > 0).sum(), (own2 == 1).sum(), (own2 == 2).sum(), (own3 == 1).sum(), (own3 == 2).sum())]
-            for k in range(int(plan.split[int(w)])):
-                tell(-3, np.array([plan.base[int(w)] + k]), np.array([w]), *stats)
-    else:
-        contexts, which = np.unique(gram[at] >> np.uint64(18), return_inverse=True)
-        total, types = np.zeros(len(contexts), np.int64), np.bincount(which, weights=n3 > 0, minlength=len(contexts))
-        np.add.at(total, which, n3)
-        what, to, _ = _grouped(gram >> np.uint64(18), to, n)
-        k = np.searchsorted(contexts, what)
-        seen = total[k] > 0
-        tell(-2, to[seen], what[seen], total[k][seen], types[k][seen])
-    columns = ["shard", "chunk", "n_docs", "train", "events"]
-    return pd.DataFrame(rows, columns=columns)
-
-
-def _told(rows: pd.DataFrame, kind: int, numbers: int) -> list[np.ndarray]:
-    """What rows of a kind hold together: keys that ascend, and their counts."""
-    rows = rows[rows["chunk"] == kind]
-    parts = [(_unpress(a), *_unpressed(b, *["<i8"] * numbers)) for a, b in zip(rows["train"], rows["events"], strict=True)]
-    if not parts:
-        return [np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * numbers]
-    out = [np.concatenate(x) for x in zip(*parts, strict=True)]
-    order = np.argsort(out[0], kind="stable")
-    return [x[order] for x in out]
-
-
-def _hot_trie(plan: Plan, told: pd.DataFrame) -> Trie:
-    gram, n3, n2 = _told(told, -1, 2)
-    two, total2, types2 = _told(told, -2, 2)
-    word, total1, types1, *counts = (x if k == 0 else x.sum() for k, x in enumerate(_told(told, -3, 6)))
-    pairs, first = np.unique(_successor(gram), return_index=True)
-    one = word[:1] if total1 else word[:0]
-    d2, d3 = discount(int(counts[0]), int(counts[1])), discount(int(counts[2]), int(counts[3]))
-    whole = Whole(one, np.full(len(one), total1), np.full(len(one), types1), pairs, n2[first], two, total2, types2, d2, d3)
-    return Trie(gram[n3 > 0], n3[n3 > 0], plan.p1, whole)
-
-
-def _sums(rows: pd.DataFrame, doc: np.ndarray, **values: np.ndarray) -> pd.DataFrame:
-    """Per chunk, the documents that occur and the sums of their values. doc: place in chunk k of rows is k * CHUNK + place."""
-    size = len(rows) * CHUNK
-    seen = np.flatnonzero(np.bincount(doc, minlength=size))
-    sums = [np.bincount(doc, weights=v, minlength=size)[seen] for v in values.values()]
-    cut = np.searchsorted(seen, np.arange(len(rows) + 1) * CHUNK)
-    out = [_pressed((seen[x:y] % CHUNK).astype(np.uint16), *[s[x:y] for s in sums]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
-    return pd.DataFrame({"chunk": rows["chunk"].to_numpy(), "kind": len(values), "sums": out})
-
-
-def _score_shard(plan: Plan, group: pd.DataFrame) -> pd.DataFrame:
-    shard = int(group["shard"].iloc[0])
-    told = group[group["chunk"] < 0]
-    group = group[group["chunk"] >= 0].sort_values("chunk").reset_index(drop=True)
-    if not len(group):
-        return pd.DataFrame({"chunk": pd.array([], "int64"), "kind": pd.array([], "int64"), "sums": []})
-    if shard < 0:
-        return pd.DataFrame({"chunk": group["chunk"], "kind": 0, "sums": group["events"]})
-    train = np.concatenate([np.pad(np.unpackbits(np.frombuffer(t, np.uint8))[:n], (0, CHUNK - n)) for t, n in zip(group["train"], group["n_docs"], strict=True)]).astype(bool)
-    if shard >= plan.model_shards:
-        parts = [_unpressed(b, "<u8", "<u2") for b in group["events"]]
-        h = np.concatenate([p[0] for p in parts])
-        doc = np.concatenate([p[1].astype(np.int64) + k * CHUNK for k, p in enumerate(parts)])
-        order = np.argsort(h, kind="stable")
-        h, doc = h[order], doc[order]
-        at = _runs(h)
-        n = np.add.reduceat(train[doc].astype(np.int64), at)
-        c = np.repeat(n, np.diff(np.append(at, len(h))))
-        own = np.log10(c + 1.0) - np.log10(plan.rare + plan.rare_kinds + 1)
-        return _sums(group, doc, score=own, base=np.log10(c + 1.0), known=(c > 0).astype(np.float64))
-    keys = [_unpress(b) for b in group["events"]]
-    size = [len(k) for k in keys]
-    key = np.concatenate(keys)
-    del keys
-    doc = (key & np.uint64(CHUNK - 1)).astype(np.int32) + np.repeat(np.arange(len(size), dtype=np.int32) * CHUNK, size)
-    gram = key >> np.uint64(10)
-    del key
-    order = np.argsort(gram, kind="stable")
-    gram, doc = gram[order], doc[order]
-    del order
-    at = _runs(gram)
-    different = gram[at]
-    if shard >= plan.shards:
-        trie = _hot_trie(plan, told)
-    else:
-        n = np.add.reduceat(train[doc].astype(np.int64), at)
-        seen = n > 0
-        trie = Trie(different[seen], n[seen], plan.p1)
-    score = np.concatenate([trie.log10(different[x : x + (1 << 20)]) for x in range(0, len(different), 1 << 20)])
-    return _sums(group, doc, score=np.repeat(score, np.diff(np.append(at, len(gram)))))
-
-
-def _total(plan: Plan, group: pd.DataFrame) -> pd.DataFrame:
-    own = group[group["kind"] == 0].iloc[0]
-    ids, tokens, known, base, none = _unpressed(own["sums"], "<i8", "<i8", "<i8", "<f8", "?")
-    score, base, known = np.zeros(len(ids)), base.copy(), known.astype(np.float64)
-    # in a fixed order, so that reruns agree to the last digit
-    for kind, b in sorted(zip(group["kind"], group["sums"], strict=True)):
-        if kind == 1:
-            d, s = _unpressed(b, "<u2", "<f8")
-            score[d] += s
-        elif kind == 3:
-            d, s, x, k = _unpressed(b, "<u2", "<f8", "<f8", "<f8")
-            score[d] += s
-            base[d] += x
-            known[d] += k
-    doc_ids = pd.array(np.where(none, 0, ids), "Int64")
+        rows = [(-1 - number, number, pack_sorted(words), pack(seq.astype(np.uint32)), pack(known, size, held, none))]
+        rows += [(s, number, pack_sorted(key[x:y], n[x:y]), None, None) for s, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+        columns = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["shard", "chunk", "grams", "seq", "docs"])
+
+
+def _answered(group: pd.DataFrame) -> pd.DataFrame:
+    """The corpus's count of each n-gram that a chunk asked for, in its order. A chunk's own row passes through."""
+    if group["shard"].iloc[0] < 0:
+        return group
+    parts = [unpack_sorted(g, "<u4") for g in group["grams"]]
+    size = np.array([len(p[0]) for p in parts])
+    key = np.concatenate([p[0] for p in parts])
+    n = np.concatenate([p[1] for p in parts]).astype(np.int64)
+    order = np.argsort(key, kind="stable")
+    at = runs(key[order])
+    total = np.empty(len(key), np.int64)
+    total[order] = np.repeat(np.add.reduceat(n[order], at), np.diff(np.append(at, len(key))))
+    end = np.cumsum(size)
+    return group.assign(grams=[pack(total[y - k : y]) for k, y in zip(size, end, strict=True)])
+
+
+def _scored(plan: Plan, group: pd.DataFrame) -> pd.DataFrame:
+    mine = group["shard"] < 0
+    own = group[mine].iloc[0]
+    known, size, held, none = unpack(own["docs"], "<i8", "<i8", "?", "?")
+    words = unpack_sorted(own["grams"])[0]
+    seq = unpack(own["seq"], "<u4")[0].astype(np.int64)
+    doc = np.repeat(np.arange(len(known)), size + 1)
+    g = Grams(words, seq, doc)
+    order, _, _ = g.order(plan)
+    count = np.empty(len(order), np.int64)
+    count[order] = np.concatenate([unpack(b, "<i8")[0] for b in group[~mine].sort_values("shard")["grams"]])
+    c1, c2, c3 = np.split(count, [g.size, g.size + len(g.pairs)])
+    # each training text begins once
+    follows = c1.copy()
+    follows[BEGIN], follows[END] = plan.n_docs, 0
+    of, w3 = g.triples // g.size, g.triples % g.size
+    n2 = np.where(g.first, plan.n_docs, c2[g.as_pair])
+    one, two, there = np.flatnonzero(follows), n2 > 0, c3 > 0
+    place = np.cumsum(two) - 1
+    w2, w1 = g.contexts // g.size, g.contexts % g.size
+    counts = Counts(g.size, one, follows[one], g.pairs[c2 > 0], c2[c2 > 0], w1[two], w2[two], n2[two], place[of[there]], w3[there], c3[there])
+    trie = Trie(counts, (c1 + 1) / (plan.tokens + plan.kinds + 1))
+    score = trie.log10(w1[of], w2[of], w3)[g.triple_of]
+    n = len(known)
+    doc_ids = pd.array(known, "Int64")
     doc_ids[none] = pd.NA
-    held = held_out([None if x else int(i) for i, x in zip(ids, none, strict=True)])
     return pd.DataFrame(
-        {"doc_id": doc_ids, "held_out": held, "n_tokens": tokens, "n_known": np.rint(known).astype(np.int64), "train_tokens": plan.tokens, "base_score": base - tokens * plan.norm, "score": score}
+        {
+            "doc_id": doc_ids,
+            "held_out": held,
+            "n_tokens": size + 1,
+            "n_known": np.bincount(doc, weights=c1[seq] > 0, minlength=n).astype(np.int64),
+            "train_tokens": plan.tokens,
+            "base_score": np.bincount(doc, weights=np.log10(c1[seq] + 1.0), minlength=n) - (size + 1) * np.log10(plan.tokens + plan.kinds + 1),
+            "score": np.bincount(doc, weights=score, minlength=n),
+        }
     )
 
 
@@ -396,21 +214,15 @@ def lm_scores(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> Dat
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark = docs.sparkSession
     docs = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    counted = stored(count_words(docs, shards), "lm-words")
-    total = counted.filter("word is null").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).first()
-    tokens, kinds = int(total["n"] or 0), int(total["kinds"] or 0)
     trained = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) != HELD
-    n_docs = docs.filter(trained).count()
-    # fewer than FREQUENT words can each have more than 1 / FREQUENT of the tokens
-    top = counted.filter(F.col("word").isNotNull() & (F.col("n") * FREQUENT > tokens)).select("word", "n").toPandas()
-    assert len(top) + FIRST <= VOCABULARY
-    plan = Plan(top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), n_docs, tokens + n_docs, kinds)
-    shared = Shared(spark, plan)  # FREQUENT words at most
-    events = docs.mapInArrow(lambda batches: _events(shared.value, batches), "shard int, chunk long, n_docs int, train binary, events binary")
-    if plan.buckets:
-        asked = docs.mapInArrow(lambda batches: _hot_grams(shared.value, batches), "bucket int, grams binary, counts binary")
-        events = events.unionByName(asked.groupBy("bucket").applyInPandas(lambda g: _whole_counts(shared.value, g), events.schema))
-    sums = events.groupBy("shard").applyInPandas(lambda g: _score_shard(shared.value, g), "chunk long, kind int, sums binary")
+    seen = docs.agg(F.count(F.when(trained, 1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
+    shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), seen["size"] // (1 << 26))
+    told = stored(count_tokens(docs, shards), "lm-words").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "kinds", "all_tokens")]).first()
+    n_docs = int(seen["n"])
+    bits = min(64, max(40, BITS + int(seen["size"]).bit_length()))
+    plan = Plan(n_docs, int(told["tokens"]) + n_docs, int(told["kinds"]) + (n_docs > 0), max(1, -(-int(told["all_tokens"]) * 2 // SHARD)), bits)
+    schema = "shard long, chunk long, grams binary, seq binary, docs binary"
+    asked = docs.mapInArrow(lambda batches: _asked(plan, batches), schema)
+    answers = asked.groupBy("shard").applyInPandas(_answered, schema)
     columns = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return sums.groupBy("chunk").applyInPandas(lambda g: _total(shared.value, g), columns)
+    return answers.groupBy("chunk").applyInPandas(lambda g: _scored(plan, g), columns)

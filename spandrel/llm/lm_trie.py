@@ -2,12 +2,12 @@
 
 Order 3, stored by context from the nearest word out: a context word w2 has successors (bigrams) and longer contexts (w1 w2), which
 have successors of their own (trigrams). The children of a context lie together and ascend, so a level is one
-monotone sequence context * VOCABULARY + word, and the pointers into it are another; both are Elias-Fano coded. A lookup is a search for
-the successor within its context's pointers. Probabilities and back-off weights are one-byte codes of equally filled
-bins. All levels lie in one memory-mapped block.
+monotone sequence context * words + word, and the pointers into it are another; both are Elias-Fano coded. A lookup is a search for
+the successor within its context's pointers. All levels lie in one memory-mapped block.
 
-Probabilities are interpolated absolute discounting; the discounts come from the counts of counts, which is their
-leave-one-out estimate.
+Probabilities are smoothed by adding STRENGTH tokens of the next lower order's distribution to each context, down to unigrams with one
+added. They need a context's count and the n-gram's, nothing else, so any part of a corpus's n-grams makes a trie that agrees with
+every other part. One-byte codes stand for fixed values, closer for likely words, so equal n-grams have equal codes in every trie.
 """
 
 from __future__ import annotations
@@ -17,8 +17,10 @@ from typing import NamedTuple
 
 import numpy as np
 
-#: Word numbers are below this; three of them and a document's place fit 64 bits.
-VOCABULARY = 1 << 18
+#: How many tokens of the lower order's distribution a context of one and of two words gets.
+STRENGTH = (30.0, 2.0)
+#: Codes 0-255 stand for probabilities of 1 down to 10 ** -LEAST.
+LEAST = 13.0
 _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: _NTH[b, k]: place of the k-th one of byte b.
 _NTH = np.array([([p for p in range(8) if b >> p & 1] + [0] * 8)[:8] for b in range(256)], np.uint8)
@@ -55,7 +57,7 @@ class Block:
 
 
 class EliasFano:
-    """A monotone sequence of integers: low bits as they are, high bits as gaps in unary."""
+    """A monotone sequence of integers: low bits as they are, high bits as gaps in unary, with the ones counted at every 64 bits."""
 
     def __init__(self, values: np.ndarray, block: Block):
         self.n = len(values)
@@ -63,20 +65,29 @@ class EliasFano:
         self.low_bits = max(0, (top // max(self.n, 1)).bit_length() - 1)
         values = values.astype(np.uint64)
         high = (values >> np.uint64(self.low_bits)).astype(np.int64) + np.arange(self.n)
-        bits = np.zeros(-(-(int(high[-1]) + 1 if self.n else 1) // 8) * 8, bool)
+        bits = np.zeros(-(-(int(high[-1]) + 1 if self.n else 1) // 64) * 64, bool)
         bits[high] = True
         packed = np.packbits(bits, bitorder="little")
-        ones = _POP[packed].astype(np.int64)
+        ones = _POP[packed].reshape(-1, 8).sum(1, dtype=np.int64)
         self._low = block.add(_pack(values & np.uint64((1 << self.low_bits) - 1), self.low_bits))
         self._high = block.add(packed)
-        self._rank = block.add((np.cumsum(ones) - ones).astype(np.int32))
+        self._rank = block.add((np.cumsum(ones) - ones).astype(np.uint32))
         self.block = block
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """The i-th values."""
         rank, high = self.block.view(self._rank), self.block.view(self._high)
-        byte = np.searchsorted(rank, i, "right") - 1
-        place = byte * 8 + _NTH[high[byte], i - rank[byte]]
+        word = np.searchsorted(rank, i.astype(np.uint32), "right") - 1
+        left = i - rank[word]
+        byte = word * 8
+        for _ in range(7):  # over the bytes before the one that holds it
+            ones = _POP[high[byte]]
+            further = left >= ones
+            if not further.any():
+                break
+            left = left - np.where(further, ones, 0)
+            byte = byte + further
+        place = byte * 8 + _NTH[high[byte], left]
         low = _unpack(self.block.view(self._low), self.low_bits, i)
         return ((place - i).astype(np.uint64) << np.uint64(self.low_bits)) | low
 
@@ -102,8 +113,8 @@ def _pack(values: np.ndarray, width: int) -> np.ndarray:
     if not width:
         return np.zeros(1, np.uint8)
     out = []
-    for a in range(0, len(values), 1 << 19):  # a multiple of 8 values fills whole bytes
-        v = values[a : a + (1 << 19)]
+    for a in range(0, len(values), 1 << 17):  # a multiple of 8 values fills whole bytes
+        v = values[a : a + (1 << 17)]
         bits = (v[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
         out.append(np.packbits(bits.astype(bool).ravel(), bitorder="little"))
     return np.concatenate([*out, np.zeros(8, np.uint8)])
@@ -120,113 +131,75 @@ def _unpack(packed: np.ndarray, width: int, i: np.ndarray) -> np.ndarray:
     return (word >> (bit & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)
 
 
-def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One-byte codes of x and what each stands for: the means of up to 256 equally filled bins."""
-    if not len(x):
-        return np.zeros(0, np.uint8), np.zeros(1, np.float32)
-    edges = np.unique(np.quantile(x, np.linspace(0, 1, 257)[1:-1], method="nearest"))
-    code = np.searchsorted(edges, x, "left")
-    n = np.bincount(code, minlength=len(edges) + 1)
-    mean = np.bincount(code, weights=x, minlength=len(edges) + 1) / np.maximum(n, 1)
-    return code.astype(np.uint8), mean.astype(np.float32)
-
-
-def discount(once: int, twice: int) -> float:
-    return once / (once + 2 * twice) if once else 0.5
-
+def quantise(log10: np.ndarray) -> np.ndarray:
+    """One-byte codes of log probabilities. The steps are a hundredth of a decade near 1 and a twentieth at 10 ** -3."""
+    return np.rint(255 * np.sqrt(np.minimum(-log10, LEAST) / LEAST)).astype(np.uint8)
 
-def _discount(counts: np.ndarray) -> float:
-    return discount(int((counts == 1).sum()), int((counts == 2).sum()))
 
+VALUES = -LEAST * (np.arange(256) / 255) ** 2
 
-def _runs(x: np.ndarray) -> np.ndarray:
-    """Where the runs of equal values of a sorted array begin."""
-    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
 
+class Counts(NamedTuple):
+    """Training counts of some n-grams, over the whole corpus; only those that occur. words: how many word numbers there are.
 
-class Whole(NamedTuple):
-    """Counts of a corpus of which a trie holds some n-grams only: contexts w2 and (w2, w1) with their totals and different successors,
-    pairs (w2, w3) with their counts, all sorted, and the discounts of both levels."""
+    one, n1: context words and how often each is followed; two1, two2, n2: contexts w1 w2 (two2 * words + two1 ascends) and how often each is followed;
+    pairs, c2: w2 * words + w3, ascending; of, w3, c3: trigrams by the index of their context in two (of * words + w3 ascends).
+    """
 
+    words: int
     one: np.ndarray
-    total1: np.ndarray
-    types1: np.ndarray
+    n1: np.ndarray
     pairs: np.ndarray
+    c2: np.ndarray
+    two1: np.ndarray
+    two2: np.ndarray
     n2: np.ndarray
-    two: np.ndarray
-    total2: np.ndarray
-    types2: np.ndarray
-    d2: float
-    d3: float
-
-
-def _whole(grams: np.ndarray, counts: np.ndarray) -> Whole:
-    v = np.uint64(18)
-    # bigrams: (w2, w3) summed over w1
-    pair = ((grams >> np.uint64(36)) << v) | (grams & np.uint64(VOCABULARY - 1))
-    order = np.argsort(pair, kind="stable")
-    at = _runs(pair[order])
-    pairs = pair[order][at]
-    n2 = np.add.reduceat(counts[order], at) if len(at) else np.zeros(0, np.int64)
-    at1, at2 = _runs(pairs >> v), _runs(grams >> v)
-    total1, types1 = (np.add.reduceat(n2, at1), np.diff(np.append(at1, len(pairs)))) if len(at1) else (n2, n2)
-    total2, types2 = (np.add.reduceat(counts, at2), np.diff(np.append(at2, len(grams)))) if len(at2) else (counts, counts)
-    return Whole((pairs >> v)[at1], total1, types1, pairs, n2, (grams >> v)[at2], total2, types2, _discount(n2), _discount(counts))
+    of: np.ndarray
+    w3: np.ndarray
+    c3: np.ndarray
 
 
 class Trie:
-    """grams: sorted distinct (w2, w1, w3), 18 bits each from the top; counts: how often each was seen; p1: probability of each word;
-    whole: the corpus's counts, where grams are only some of its."""
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, p1: np.ndarray, whole: Whole | None = None):
-        v, mask = np.uint64(18), np.uint64(VOCABULARY - 1)
-        self.log1 = np.log10(p1)
-        w3, w21 = grams & mask, grams >> v
-        one, total1, types1, big, n2, two, total2, types2, d2, d3 = whole or _whole(grams, counts)
-        back1 = d2 * types1 / np.maximum(total1, 1)
-        which1 = np.searchsorted(one, big >> v)
-        p2 = np.maximum(n2 - d2, 0) / total1[which1] + back1[which1] * p1[(big & mask).astype(np.int64)]
-        # trigrams
-        back2 = d3 * types2 / np.maximum(total2, 1)
-        which2 = np.searchsorted(two, w21)
-        lower = p2[np.searchsorted(big, ((grams >> np.uint64(36)) << v) | w3)]
-        p3 = np.maximum(counts - d3, 0) / total2[which2] + back2[which2] * lower
+    """p1: the probability of each word. Every trigram's bigram and contexts are among the counts."""
+
+    def __init__(self, c: Counts, p1: np.ndarray, strength: tuple[float, float] = STRENGTH):
+        self.words, self.log1 = c.words, np.log10(p1)
+        s1, s2 = strength
+        first, word = c.pairs // c.words, c.pairs % c.words
+        parent = np.searchsorted(c.one, first)
+        p2 = (c.c2 + s1 * p1[word]) / (c.n1[parent] + s1)
+        up = np.searchsorted(c.one, c.two2)
+        lower = p2[np.searchsorted(c.pairs, c.two2[c.of] * c.words + c.w3)]
+        p3 = (c.c3 + s2 * lower) / (c.n2[c.of] + s2)
         self.block = block = Block()
-        self.contexts1, self.contexts2 = EliasFano(one, block), None
-        of1 = np.searchsorted(one, two >> v)
-        self.bigrams = EliasFano(which1.astype(np.uint64) * np.uint64(VOCABULARY) + (big & mask), block)
-        self.to_bigrams = EliasFano(np.searchsorted(which1, np.arange(len(one) + 1)), block)
-        self.contexts2 = EliasFano(of1.astype(np.uint64) * np.uint64(VOCABULARY) + (two & mask), block)
-        self.to_contexts2 = EliasFano(np.searchsorted(of1, np.arange(len(one) + 1)), block)
-        self.trigrams = EliasFano(which2.astype(np.uint64) * np.uint64(VOCABULARY) + w3, block)
-        self.to_trigrams = EliasFano(np.searchsorted(which2, np.arange(len(two) + 1)), block)
-        codes = [quantise(np.log10(x)) for x in (p2, back1, p3, back2)]
-        self.codes, self.means = [block.add(c) for c, _ in codes], [m for _, m in codes]
+        starts = lambda owner, n: EliasFano(np.searchsorted(owner, np.arange(n + 1)), block)
+        self.contexts1 = EliasFano(c.one, block)
+        self.bigrams, self.to_bigrams = EliasFano(parent * c.words + word, block), starts(parent, len(c.one))
+        self.contexts2, self.to_contexts2 = EliasFano(up * c.words + c.two1, block), starts(up, len(c.one))
+        self.trigrams, self.to_trigrams = EliasFano(c.of * c.words + c.w3, block), starts(c.of, len(c.two1))
+        self.codes = [block.add(np.append(quantise(np.log10(x)), np.uint8(0))) for x in (p2, s1 / (c.n1 + s1), p3, s2 / (c.n2 + s2))]
         block.seal()
 
     def _value(self, level: int, at: np.ndarray) -> np.ndarray:
-        return self.means[level][self.block.view(self.codes[level])[at]].astype(np.float64)
-
-    def log10(self, grams: np.ndarray) -> np.ndarray:
-        """log10 P(w3 | w1 w2) of (w2, w1, w3) rows."""
-        v, mask = np.uint64(18), np.uint64(VOCABULARY - 1)
-        size = np.uint64(VOCABULARY)
-        w1, w2, w3 = (grams >> v) & mask, grams >> np.uint64(36), grams & mask
-        out = self.log1[w3.astype(np.int64)].copy()
-        c1 = self.contexts1.find(w2, np.zeros(len(w2), np.int64), np.full(len(w2), self.contexts1.n))
-        k = np.flatnonzero(c1 >= 0)
+        return VALUES[self.block.view(self.codes[level])[at]]
+
+    def log10(self, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray) -> np.ndarray:
+        """log10 P(w3 | w1 w2) of each row."""
+        size = self.words
+        key = lambda context, word: context.astype(np.uint64) * np.uint64(size) + word.astype(np.uint64)
+        within = lambda pointers, c: (pointers.access(c).astype(np.int64), pointers.access(c + 1).astype(np.int64))
+        out = self.log1[w3].copy()
+        heads, of = np.unique(w2, return_inverse=True)
+        c = self.contexts1.find(heads.astype(np.uint64), np.zeros(len(heads), np.int64), np.full(len(heads), self.contexts1.n))[of]
+        k = np.flatnonzero(c >= 0)
         if not len(k):
             return out
-        c = c1[k]
-        lo, hi = self.to_bigrams.access(c).astype(np.int64), self.to_bigrams.access(c + 1).astype(np.int64)
-        at = self.bigrams.find(c.astype(np.uint64) * size + w3[k], lo, hi)
+        c = c[k]
+        at = self.bigrams.find(key(c, w3[k]), *within(self.to_bigrams, c))
         out[k] = np.where(at >= 0, self._value(0, np.maximum(at, 0)), out[k] + self._value(1, c))
-        lo, hi = self.to_contexts2.access(c).astype(np.int64), self.to_contexts2.access(c + 1).astype(np.int64)
-        c2 = self.contexts2.find(c.astype(np.uint64) * size + w1[k], lo, hi)
-        j = np.flatnonzero(c2 >= 0)
-        if len(j):
-            c, k = c2[j], k[j]
-            lo, hi = self.to_trigrams.access(c).astype(np.int64), self.to_trigrams.access(c + 1).astype(np.int64)
-            at = self.trigrams.find(c.astype(np.uint64) * size + w3[k], lo, hi)
+        c = self.contexts2.find(key(c, w1[k]), *within(self.to_contexts2, c))
+        k, c = k[c >= 0], c[c >= 0]
+        if len(k):
+            at = self.trigrams.find(key(c, w3[k]), *within(self.to_trigrams, c))
             out[k] = np.where(at >= 0, self._value(2, np.maximum(at, 0)), out[k] + self._value(3, c))
         return out
