@@ -5,7 +5,7 @@ they reach r, 2r, 3r, ...; one random offset per source is added, and a document
 number its stretch crosses. A document's copies thus come from its rank within its source alone. Documents are ranked
 by size, which keeps the words taken within about one document of the target.
 
-Ranks are found without bringing a source together: a source is cut into cells by size class and by doc_id, cells are
+Ranks are found without bringing a source together: a source is cut into cells by size class and by a hash of doc_id, cells are
 counted with partial aggregation, a running sum over the cells gives each cell's first rank, and rows are numbered
 within their cell. A hot source is spread over its cells.
 
@@ -16,7 +16,7 @@ the full ones.
 
 Defined cases: a null text has size 0; rows of a null source form a source; repeated rows are separate documents; an
 empty table gives an empty result; a source without words gets target 0 and no copies; columns of the input whose names clash with the
-results are replaced. Equal inputs give equal results: the offset depends on seed and source only, and ties of size
+results are replaced, any other name is allowed. Equal inputs give equal results: the offset depends on seed and source only, and ties of size
 and doc_id fall by a hash of the row.
 """
 
@@ -30,8 +30,8 @@ from .common import SPACE, stored
 
 WEIGHTS = (3, 1, 2)
 BUDGET, CAP = 1.5, 2
-#: Into so many parts a size class of a source is cut by doc_id.
-CELLS = 64
+#: Into at least so many parts a size class of a source is cut by doc_id; more where that leaves more than about CELL_ROWS rows to each.
+CELLS, CELL_ROWS = 64, 1 << 20
 SEED = "mix"
 
 
@@ -71,28 +71,32 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", ident: str
     """Every document once, with size, source_size, target, copies and taken (copies times size)."""
     ours = {"size", "source_size", "target", "copies", "taken"}
     carry = [c for c in (docs.columns if carry is None else carry) if c not in ours]
+    held = [f"in_{c}" for c in carry]
     key = F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))
-    sized = docs.select(*carry, key.alias("_key"), F.col(source).alias("_source"), F.col(ident).alias("_id"), n_words(F.col(text)).alias("size"))
-    cell = F.pmod(F.coalesce(F.col("_id"), F.lit(0)), F.lit(CELLS)).cast("int")
-    sized = stored(sized.withColumn("_class", size_class(F.col("size"))).withColumn("_cell", cell), "mix")
-    at = ["_key", "_class", "_cell"]
-    cells = sized.groupBy(*at).agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.first("_source").alias("_source"))
+    given = [F.col(c).alias(f"in_{c}") for c in carry]
+    sized = docs.select(*given, key.alias("key"), F.col(source).alias("source"), F.col(ident).alias("id"), n_words(F.col(text)).alias("size"))
+    sized = stored(sized.withColumn("class", size_class(F.col("size"))), "mix")
+    # a window holds the rows of one cell; their number follows the table's
+    n_cells = max(CELLS, -(-sized.count() // CELL_ROWS))
+    cell = F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long"), F.lit(n_cells))
+    sized = sized.withColumn("cell", cell)
+    at = ["key", "class", "cell"]
+    cells = sized.groupBy(*at).agg(F.count("*").alias("n"), F.sum("size").alias("words"), F.first("source").alias("source"))
     cells = stored(cells, "mix-cells")
-    sources = cells.groupBy(F.col("_key").alias("key")).agg(F.first("_source").alias("source"), F.sum("words").alias("source_size"))
-    upto = Window.partitionBy("_key").orderBy("_class", "_cell").rowsBetween(Window.unboundedPreceding, -1)
-    first = cells.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).drop("n", "words", "_source")
-    known = targets(sources, **how).withColumnRenamed("key", "_key")
-    first = first.join(known, "_key")
-    within = Window.partitionBy(*at).orderBy("size", "_id", F.xxhash64(*carry))
-    rank = F.col("before") + F.row_number().over(within)
-    out = sized.join(first, at).withColumn("_rank", rank)
+    sources = cells.groupBy("key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
+    upto = Window.partitionBy("key").orderBy("class", "cell").rowsBetween(Window.unboundedPreceding, -1)
+    first = cells.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).drop("n", "words", "source")
+    first = first.join(targets(sources, **how), "key")
+    within = Window.partitionBy(*at).orderBy("size", "id", F.xxhash64(*held))
+    out = sized.join(first, at).withColumn("rank", F.col("before") + F.row_number().over(within))
     r = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    copies = F.floor(F.col("_rank") * r + F.col("offset")) - F.floor((F.col("_rank") - 1) * r + F.col("offset"))
-    return out.select(*carry, "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    copies = F.floor(F.col("rank") * r + F.col("offset")) - F.floor((F.col("rank") - 1) * r + F.col("offset"))
+    back = [F.col(h).alias(c) for h, c in zip(held, carry, strict=True)]
+    return out.select(*back, "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, text: str = "text", source: str = "source", ident: str = "doc_id", **how) -> DataFrame:
     """The mixture itself: docs' rows, each as many times as it was drawn."""
-    drawn = mix(docs.withColumnsRenamed({c: f"in_{c}" for c in docs.columns}), f"in_{text}", f"in_{source}", f"in_{ident}", **how).filter("copies > 0")
-    again = drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    drawn = mix(docs.select(*[F.col(c).alias(f"in_{c}") for c in docs.columns]), f"in_{text}", f"in_{source}", f"in_{ident}", **how).filter("copies > 0")
+    again = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return again.select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])
