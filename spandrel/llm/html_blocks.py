@@ -7,7 +7,11 @@ from html.parser import HTMLParser
 # Element names of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
-SILENT = set("script style noscript template iframe object svg math head title textarea select".split())
+SILENT = set("script style noscript template iframe head title textarea select".split())
+#: What may stand in a head; anything else ends one that was left open.
+IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
+#: Within these, every element is part of the line.
+EMBEDDED = set("svg math object".split())
 #: An element of a key ends any open one of its values, up to the nearest element of SCOPES.
 ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
@@ -29,7 +33,7 @@ class _Parser(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, tuple[str, ...]]] = []
-        self.silent = 0
+        self.silent = self.embedded = 0
         self.parts: list[str] = []
         self.linked = self.in_link = 0
         self.out: list[Block] = []
@@ -45,12 +49,20 @@ class _Parser(HTMLParser):
     def _close(self, place: int) -> None:
         """Close every element from this place of the stack on."""
         for tag, _ in self.stack[place:]:
-            if tag not in INLINE:
+            if self._breaks(tag) and tag not in EMBEDDED:
                 self.flush()
             self.silent -= tag in SILENT
+            self.embedded -= tag in EMBEDDED
             self.in_link -= tag == "a"
         del self.stack[place:]
 
+    def _breaks(self, tag: str) -> bool:
+        return tag not in INLINE and not self.embedded
+
+    def _end_head(self) -> None:
+        if self.stack and self.stack[-1][0] == "head":
+            self._close(len(self.stack) - 1)
+
     def _nearest(self, tags: set[str], scopes: set[str]) -> int | None:
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] in tags:
@@ -60,15 +72,17 @@ class _Parser(HTMLParser):
         return None
 
     def handle_starttag(self, tag, attrs):
+        if tag not in IN_HEAD:
+            self._end_head()
         if tag in VOID:
             if tag == "br":
                 self.parts.append(" ")
-            elif tag not in INLINE:
+            elif self._breaks(tag):
                 self.flush()
             return
         if tag == "body":
             self._close(0)
-        if tag not in INLINE:
+        if self._breaks(tag) and tag not in EMBEDDED:
             self.flush()
             if (k := self._nearest({"p"}, SCOPES | {"td", "th", "li", "dd"})) is not None:
                 self._close(k)
@@ -81,6 +95,7 @@ class _Parser(HTMLParser):
                     names += [f"{key[0]}.{word}", *(f"w.{x}" for x in word.split("-") if x)]
         self.stack.append((tag, tuple(names)))
         self.silent += tag in SILENT
+        self.embedded += tag in EMBEDDED
         self.in_link += tag == "a"
 
     def handle_startendtag(self, tag, attrs):
@@ -93,10 +108,12 @@ class _Parser(HTMLParser):
             if self.stack[k][0] == tag:
                 self._close(k)
                 return
-        if tag not in INLINE:
+        if self._breaks(tag):
             self.flush()
 
     def handle_data(self, data):
+        if not data.isspace():
+            self._end_head()
         if self.silent:
             return
         if not self.parts:

@@ -7,8 +7,8 @@ made-up pages (html_pages) with a fixed seed, so it needs no labelled pages and
 The text of a page is its main blocks: character references decoded, white space inside a block made one space, trimmed, joined in order by
 line breaks. A <br> is white space.
 
-Defined cases: null and empty pages give an empty text; pages of any length are read whole; broken markup is read as browsers do, as far as
-open elements go; repeated rows give equal results; an empty table gives an empty result; other columns are ignored.
+Defined cases: null and empty pages give an empty text; pages of any length are read whole, long ones in windows that carry the state on; broken markup is read as browsers do, as far as
+open elements go; repeated rows give equal results; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ INPUT, HIDDEN = PATH + WORDS + COUNTS, 20
 PAGES, EPOCHS, RATE, BATCH, SEED = 900, 8, 0.01, 24, 11
 
 
+#: A page of more blocks is read in windows of so many.
+LONG = 20_000
 #: So many different paths are kept at a time.
 KEPT_PATHS = 20_000
 
@@ -46,19 +48,21 @@ def _path_vector(path: tuple[str, ...], known: dict) -> np.ndarray:
     return known[path]
 
 
-def features(blocks: list[Block], known: dict | None = None) -> np.ndarray:
+def features(blocks: list[Block], known: dict | None = None, first: int = 0, last: int | None = None) -> np.ndarray:
+    """A row for each block of a page, or for those from first to last."""
     n, known = len(blocks), {} if known is None else known
-    x = np.zeros((n, INPUT), np.float32)
-    for k, b in enumerate(blocks):
-        words = b.text.split()
+    last = n if last is None else min(last, n)
+    x = np.zeros((last - first, INPUT), np.float32)
+    for j, b in enumerate(blocks[first:last]):
+        k, words = j, b.text.split()
         x[k, :PATH] = _path_vector(b.path, known)
-        for w in words[:: max(1, len(words) // 48)]:  # evenly spread over the whole block
+        for w in words:
             x[k, PATH + zlib.crc32(w.lower().encode("utf-8", "replace")) % WORDS] += 1
         m, chars = len(words), len(b.text)
         x[k, PATH : PATH + WORDS] /= max(1.0, float(x[k, PATH : PATH + WORDS].sum()))
         x[k, PATH + WORDS :] = (
             np.log1p(m) / 4, min(1.0, b.linked / max(1, chars)), b.text.count(".") / m, b.text.count(",") / m, float("©" in b.text),
-            b.text[-1] in ".!?", k / n, (n - 1 - k) / n, len(b.path) / 10, 1.0,
+            b.text[-1] in ".!?", (first + k) / n, (n - 1 - first - k) / n, len(b.path) / 10, 1.0,
         )
     return x
 
@@ -67,10 +71,10 @@ def _sigmoid(x):
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
 
-def _lstm(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, keep: bool):
-    """x: steps, batch, inputs. Returns the outputs, and with keep what the backward pass needs."""
+def _lstm(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.ndarray, keep: bool = False, state: list | None = None):
+    """x: steps, batch, inputs. Returns the outputs, and with keep what the backward pass needs. state: where to begin, and then where it ended."""
     steps, n, _ = x.shape
-    h, c = np.zeros((n, HIDDEN), x.dtype), np.zeros((n, HIDDEN), x.dtype)
+    h, c = state or (np.zeros((n, HIDDEN), x.dtype), np.zeros((n, HIDDEN), x.dtype))
     out, saved = np.zeros((steps, n, HIDDEN), x.dtype), []
     into = (x.reshape(steps * n, -1) @ w + b).reshape(steps, n, -1)
     for t in range(steps):
@@ -85,6 +89,8 @@ def _lstm(x: np.ndarray, mask: np.ndarray, w: np.ndarray, u: np.ndarray, b: np.n
         c = np.where(m, new, c)
         h = np.where(m, o * th, h)
         out[t] = h
+    if state is not None:
+        state[:] = h, c
     return out, saved
 
 
@@ -116,6 +122,26 @@ class Labeller:
         both = np.concatenate([ahead, back[::-1]], 2)
         return _sigmoid(both @ p["o"] + p["c"]), both, sa, sb
 
+    def label_long(self, blocks: list[Block], known: dict, window: int) -> np.ndarray:
+        """Main or not, for the blocks of one long page, window by window in each direction: only the outputs are kept for all of it."""
+        p, n = self.p, len(blocks)
+        out, windows = np.zeros((n, 2 * HIDDEN), np.float32), [(a, min(a + window, n)) for a in range(0, n, window)]
+        zeros = lambda: [np.zeros((1, HIDDEN), np.float32) for _ in range(2)]
+        ahead, back = zeros(), zeros()
+        for a, b in windows:
+            x = features(blocks, known, a, b)[:, None]
+            out[a:b, :HIDDEN] = _lstm(x, np.ones((b - a, 1), bool), p["wf"], p["uf"], p["bf"], state=ahead)[0][:, 0]
+        for a, b in reversed(windows):
+            x = features(blocks, known, a, b)[::-1, None]
+            out[a:b, HIDDEN:] = _lstm(x, np.ones((b - a, 1), bool), p["wb"], p["ub"], p["bb"], state=back)[0][::-1, 0]
+        return _sigmoid(out @ p["o"] + p["c"]) >= 0.5
+
+    def main_of(self, pages: list[list[Block]], known: dict) -> list[np.ndarray]:
+        """Main or not, for the blocks of each page. Pages of more than LONG blocks run in windows, by themselves."""
+        short = [k for k, page in enumerate(pages) if len(page) <= LONG]
+        found = dict(zip(short, self.label([features(pages[k], known) for k in short]), strict=True))
+        return [found[k] if k in found else self.label_long(page, known, LONG) for k, page in enumerate(pages)]
+
     def label(self, pages: list[np.ndarray], area: int = 200_000) -> list[np.ndarray]:
         """Main or not, for the blocks of each page. Pages of like length run together, up to an area of steps times pages."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
@@ -193,12 +219,12 @@ def extract(pages: DataFrame, ident: str = "page_id", url: str = "url", html: st
         known: dict = {}
         for batch in batches:
             sources = batch.column(2)
-            for a in range(0, len(sources), 512):
-                found = [blocks_of(h.as_py() or "") for h in sources.slice(a, 512)]
-                main = shared.value.label([features(b, known) for b in found])
+            for a in range(0, len(sources), 128):
+                found = [blocks_of(h.as_py() or "") for h in sources.slice(a, 128)]
+                main = shared.value.main_of(found, known)
                 texts = ["\n".join(b.text for b, keep in zip(page, labels, strict=True) if keep) for page, labels in zip(found, main, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, 512), batch.column(1).slice(a, 512), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
+                    [batch.column(0).slice(a, 128), batch.column(1).slice(a, 128), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
                 )
 
     given = pages.select(F.col(ident).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).alias("html"))
