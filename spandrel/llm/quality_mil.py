@@ -4,11 +4,12 @@ A document is a bag of passages of PASSAGE words. Every passage is encoded: its
 through a tanh layer; a gated attention (tanh times sigmoid) weighs the passages, and the weighted mean of their
 encodings is scored by a logistic unit. Weights are learnt from document labels alone, with numpy, on the driver.
 
-Training uses the SAMPLE labelled documents of smallest hash (bounded, a parameter) whose crc32(doc_id) modulo 3 is not 1, and of each at most
-TRAIN_PASSAGES passages, evenly spread. Scoring uses every passage of every whole text. Inputs are the text only.
+Training uses the SAMPLE labelled documents of smallest hash (bounded, a parameter) whose crc32(doc_id) modulo 3 is not 1, and of these the ones
+of at most LONGEST characters, with all their passages. Scoring uses every passage of every whole text. Inputs are the text only.
 
 Defined cases: a null or empty text is one empty passage; repeated rows score alike; without any label, or only one kind, the
-score is the same for all, the smoothed share of label 1; several labels for a doc_id count as several rows; null labels are ignored.
+score is the same for all, the smoothed share of label 1; several labels for a doc_id count as several rows; of several
+texts of a doc_id the smallest is learnt from; null labels are ignored; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from .textops import Words, blocks, string_parts
 
 PASSAGE = 64
 SAMPLE = 4000
-TRAIN_PASSAGES = 24
+LONGEST = 1 << 18
 FOLDS, HELD = 3, 1
 STATS, HASHED = 20, 44
 HIDDEN, ATTENTION = 24, 16
@@ -173,16 +174,12 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
             offsets, raw = string_parts(batch.column(2))
             for a, b in blocks(offsets):
                 x, first = passages(offsets[a : b + 1] - offsets[a], raw[offsets[a] : offsets[b]])
-                out = []
-                for k in range(b - a):
-                    rows = np.arange(first[k], first[k + 1])
-                    if len(rows) > TRAIN_PASSAGES:
-                        rows = rows[np.linspace(0, len(rows) - 1, TRAIN_PASSAGES).astype(int)]
-                    out.append(x[rows].tobytes())
+                out = [x[first[k] : first[k + 1]].tobytes() for k in range(b - a)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(out, pa.binary())], names=["doc_id", "label", "bag"])
 
-    texts = docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("text"))
-    found = texts.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "label", "text")
+    texts = docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("text")).filter(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST)
+    # however often a doc_id stands, one text of it is collected
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy(F.col("doc_id").cast("long").alias("doc_id"), "label").agg(F.min("text").alias("text"))
     rows = found.mapInArrow(bags, "doc_id long, label int, bag binary").toPandas().sort_values(["doc_id", "label", "bag"])
     return train([np.frombuffer(b, np.float32).reshape(-1, STATS + HASHED) for b in rows["bag"]], rows["label"].to_numpy(np.float64))
 
