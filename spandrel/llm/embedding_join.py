@@ -30,8 +30,9 @@ from .components import components
 
 THRESHOLD = 0.93
 TILE = 2048
-#: Allowance for the rounding of single-precision products of unit vectors in the screen; far above it, and far below any bound that matters.
-SLACK = 1e-5
+EXACT = 1024
+#: Allowance for the rounding of double-precision sums of unit vectors' products, far above it.
+SLACK = 1e-9
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,8 +46,11 @@ def possible_pairs(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.n
     """Index pairs whose cosine could reach the threshold, by int8 products and their error bounds."""
     qa, sa, ea = quantise(a)
     qb, sb, eb = quantise(b)
-    # products of int8 sum to less than 2**24 over 1000 dimensions, where single precision is exact; SLACK covers more
-    product = (qa.astype(np.float32) @ qb.astype(np.float32).T) * sa[:, None].astype(np.float32) * sb[None, :].astype(np.float32)
+    # products of int8 sum to less than 2**24 over EXACT dimensions, where single precision is exact
+    product = np.zeros((len(a), len(b)))
+    for k in range(0, a.shape[1], EXACT):
+        product += qa[:, k : k + EXACT].astype(np.float32) @ qb[:, k : k + EXACT].astype(np.float32).T
+    product *= sa[:, None] * sb[None, :]
     na, nb = np.sqrt(((sa[:, None] * qa) ** 2).sum(1)), np.sqrt(((sb[:, None] * qb) ** 2).sum(1))
     bound = ea[:, None] * nb[None, :] + na[:, None] * eb[None, :] + ea[:, None] * eb[None, :]
     return np.nonzero(product >= threshold - bound - SLACK)
