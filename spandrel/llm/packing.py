@@ -2,8 +2,8 @@
 
 Tokens. The tokenizer splits text into pre-tokens before it merges, so equal pre-tokens always give equal ids. Each block
 of texts is cut at white space into units (a word with the single space before it, or a run of white space), every different unit
-is encoded once, and the ids are laid out again. Texts with white space beyond ASCII, or whose units don't survive the
-round trip, are encoded whole.
+is encoded once, and the ids are laid out again. Texts with white space beyond ASCII, or with one of the tokenizer's own added
+tokens, are encoded whole.
 
 Cutting. A document is its ids and an end id. Longer ones are cut into full sequences; their first piece is the
 remainder. A full piece is a sequence by itself.
@@ -11,10 +11,11 @@ remainder. A full piece is a sequence by itself.
 Packing. The other pieces are dealt by hash into groups of about GROUP pieces, so a task's memory is bounded and
 each group wastes at most its own last bins. A group is packed best-fit decreasing; then underfull bins are searched: a
 document moves to a fuller bin that has room, one is exchanged for one, or two small ones for one large, whenever that raises the
-sum of squared fills. Emptied bins disappear.
+sum of squared fills, until a pass over all of them finds no change. Emptied bins disappear.
 
 Defined cases: a null or empty text is the end id alone; texts of any length are handled whole; repeated rows are
-packed as separate documents; an empty table gives an empty result; other columns are ignored.
+packed as separate documents, and so are rows that share a doc_id or have none; an empty table gives an empty result; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,55 +35,34 @@ from .textops import blocks, span_hashes, string_parts
 SEQUENCE = 2048
 END_ID = 0
 GROUP = 30_000
-#: Local search looks at this many of the least full bins at a time, and stops after so many passes without gain.
-BENCH, PASSES = 256, 4
+#: Local search takes underfull bins in windows of so many, each half over the one before.
+BENCH = 256
 #: Bytes of text that are cut into units together.
 BLOCK = 2 << 20
 
 
-#: Fixed value: how a byte-level tokenizer cuts text into pre-tokens.
-PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-def _ranked(path: str):
-    """The same tokenizer as a table of ranks, which encodes long texts several times faster; None where the file's merges don't follow its ids."""
-    import json
-
-    import tiktoken
-
-    spec = json.load(open(path, encoding="utf-8"))
-    model, pre = spec["model"], spec["pre_tokenizer"] or {}
-    usual = model.get("type", "BPE") == "BPE" and spec["normalizer"] is None and not model.get("ignore_merges") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]] if usual else []
-    made = [model["vocab"].get("".join(m), -1) for m in merges]
-    if not usual or any(x >= y for x, y in zip(made, made[1:])):
-        return None
-    # bytes are written as printable characters: those that are, as themselves, the others from 256 on
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
-    ranks = {bytes(byte_of[c] for c in s): i for s, i in model["vocab"].items() if all(c in byte_of for c in s)}
-    return tiktoken.Encoding("ranked", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
-
-
-def _tokenizer(path: str):
-    """The tokenizer, the number of bytes that each id stands for, and its table of ranks, loaded once a worker."""
+def encoder(path: str) -> Encoder:
+    """The encoder of a tokenizer's file, loaded once a worker; it keeps what it has learnt from task to task."""
     import tokenizers
 
-    loaded = tokenizers.__dict__.setdefault("_by_path", {})
+    loaded = tokenizers.__dict__.setdefault("_encoders", {})
     if path not in loaded:
-        t = tokenizers.Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        loaded[path] = t, np.array([len(s) for _, s in sorted((i, s) for s, i in t.get_vocab(with_added_tokens=False).items())], np.int64), _ranked(path)
+        loaded[path] = Encoder(path)
     return loaded[path]
 
 
 class Encoder:
     """ids of whole texts. Different units are encoded once a worker and kept; the store is emptied when it has grown too large."""
 
-    KEEP = 400_000
+    KEEP = 1_000_000
 
     def __init__(self, path: str):
-        self.tokenizer, self.bytes_of, self.ranked = _tokenizer(path)
+        import tokenizers
+
+        self.tokenizer = t = tokenizers.Tokenizer.from_file(path)
+        # the number of bytes that each id stands for, and the strings that become one id wherever they stand
+        self.bytes_of = np.array([len(s) for _, s in sorted((i, s) for s, i in t.get_vocab(with_added_tokens=False).items())], np.int64)
+        self.added = [x.content.encode() for x in t.get_added_tokens_decoder().values()]
         self._reset()
 
     def _reset(self):
@@ -91,8 +71,6 @@ class Encoder:
         self.ids = np.zeros(0, np.uint32)
 
     def plain(self, text: str) -> np.ndarray:
-        if self.ranked is not None:
-            return np.array(self.ranked.encode_ordinary(text), np.uint32)
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _learn(self, keys: np.ndarray, units: list[bytes]) -> None:
@@ -119,7 +97,8 @@ class Encoder:
         """The ids of each text of a block."""
         n_docs = len(offsets) - 1
         odd = np.zeros(n_docs, bool)
-        hits = _odd_space(raw)
+        data = raw.tobytes()
+        hits = np.concatenate([_odd_space(raw), *(_places(data, a) for a in self.added)])
         if len(hits):
             odd[np.searchsorted(offsets, hits, "right") - 1] = True
         space = _IS_SPACE[raw]
@@ -157,7 +136,6 @@ class Encoder:
         fresh = self.keys[pos] != different if len(self.keys) else np.ones(len(different), bool)
         if fresh.any():
             w = where[fresh]
-            data = raw.tobytes()
             self._learn(different[fresh], [data[a:b] for a, b in zip(start[w].tolist(), end[w].tolist(), strict=True)])
         pos = np.minimum(np.searchsorted(self.keys, key), max(len(self.keys) - 1, 0))
         count = np.diff(self.first)[pos] if len(self.keys) else np.zeros(len(key), np.int64)
@@ -185,17 +163,25 @@ def _odd_space(raw: np.ndarray) -> np.ndarray:
     return np.concatenate([lone, np.flatnonzero(two)])
 
 
+def _places(data: bytes, what: bytes) -> np.ndarray:
+    out, at = [], data.find(what)
+    while at >= 0:
+        out.append(at)
+        at = data.find(what, at + 1)
+    return np.array(out, np.int64)
+
+
 def pieces(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
-    """doc_id, row (a number of the document's own), piece, start, length, ids_crc32, and with_ids the ids as bytes."""
+    """doc_id, piece, start, length, ids_crc32, and with_ids the ids as bytes."""
 
     def run(batches):
-        encoder = Encoder(path)
+        known = encoder(path)
         for batch in batches:
             offsets, raw = string_parts(batch.column(1))
-            known, row = batch.column(0), batch.column(2)
+            ident = batch.column(0)
             for a, b in blocks(offsets, BLOCK):
                 out = []
-                for k, ids in enumerate(encoder.block(offsets[a : b + 1] - offsets[a], raw[offsets[a] : offsets[b]])):
+                for k, ids in enumerate(known.block(offsets[a : b + 1] - offsets[a], raw[offsets[a] : offsets[b]])):
                     ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
                     rest = len(ids) % SEQUENCE or SEQUENCE
                     begin = 0
@@ -205,12 +191,12 @@ def pieces(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text"
                         begin = stop
                 i, p, s, n, c, x = zip(*out, strict=True)
                 i = pa.array(i, pa.int64())
-                columns = [known.take(i), row.take(i), pa.array(p, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64())]
-                names = ["doc_id", "row", "piece", "start", "length", "ids_crc32"]
+                columns = [ident.take(i), pa.array(p, pa.int32()), pa.array(s, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64())]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(x, pa.binary())] if with_ids else []), names=names + (["ids"] if with_ids else []))
 
-    given = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
-    return given.mapInArrow(run, "doc_id long, row long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else ""))
+    given = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return given.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else ""))
 
 
 def best_fit(lengths: np.ndarray, size: int = SEQUENCE) -> list[list[int]]:
@@ -252,11 +238,19 @@ def _improve(small: list[int], large: list[int], lengths: np.ndarray, size: int)
         small.remove(i), large.append(i)
         return True
     best = None  # (gain, out of small, out of large)
-    pairs = [(by[x][0] + by[y][0], (by[x][1], by[y][1])) for x in range(len(by)) for y in range(x)] if len(by) <= 64 else []
-    choices = sorted([(n, (i,)) for n, i in by] + pairs)
+    # one document of each length, and two where there are; lengths of one bin sum to its size, so few differ
+    of: dict[int, list[int]] = {}
+    for n, i in by:
+        of.setdefault(n, []).append(i)
+    sizes = list(of)
+    choices = [(n, (of[n][0],)) for n in sizes]
+    for x, n in enumerate(sizes):
+        choices += [(n + m, (of[n][0], of[m][0])) for m in sizes[:x]]
+        if len(of[n]) > 1:
+            choices.append((2 * n, tuple(of[n][:2])))
+    choices.sort()
     keys = [c[0] for c in choices]
-    for j in large:
-        n = int(lengths[j])
+    for n, j in {int(lengths[j]): j for j in large}.items():
         at = bisect.bisect_right(keys, n + room) - 1
         if at >= 0 and keys[at] > n and (best is None or keys[at] - n > best[0]):
             best = (keys[at] - n, choices[at][1], j)
@@ -270,21 +264,24 @@ def _improve(small: list[int], large: list[int], lengths: np.ndarray, size: int)
 
 
 def local_search(bins: list[list[int]], lengths: np.ndarray, size: int = SEQUENCE) -> list[list[int]]:
-    """Bins after moves and exchanges between underfull ones, without those that became empty."""
-    for _ in range(PASSES):
-        fill = np.array([int(lengths[b].sum()) for b in bins])
-        order = np.argsort(fill, kind="stable")
-        bench = [k for k in order[:BENCH].tolist() if fill[k] < size]
+    """Bins after moves and exchanges between underfull ones, without those that became empty.
+
+    Windows over the underfull bins, least full first, are searched until a pass changes nothing. Every change raises the sum of squared fills, so it ends.
+    """
+    gained = True
+    while gained:
         gained = False
-        for place, k in enumerate(bench):
-            for other in reversed(bench[place + 1 :]):
-                while bins[k] and _improve(bins[k], bins[other], lengths, size):
-                    gained = True
-                if not bins[k]:
-                    break
+        fill = np.array([int(lengths[b].sum()) for b in bins])
+        under = [k for k in np.argsort(fill, kind="stable").tolist() if fill[k] < size]
+        for start in range(0, max(1, len(under) - BENCH // 2), BENCH // 2):
+            window = under[start : start + BENCH]
+            for place, k in enumerate(window):
+                for other in reversed(window[place + 1 :]):
+                    while bins[k] and _improve(bins[k], bins[other], lengths, size):
+                        gained = True
+                    if not bins[k]:
+                        break
         bins = [b for b in bins if b]
-        if not gained:
-            break
     return bins
 
 
@@ -302,20 +299,21 @@ def pack_lengths(lengths: np.ndarray, size: int = SEQUENCE) -> tuple[np.ndarray,
 
 def pack(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids) of every piece."""
-    found = stored(pieces(docs, path, ident, text, with_ids), "pieces")
+    # written at once, so that the rows' numbers stay
+    found = stored(pieces(docs, path, ident, text, with_ids).withColumn("own", F.monotonically_increasing_id()), "pieces")
     part = found.filter(F.col("length") < SEQUENCE)
     groups = max(1, -(-part.count() // GROUP))
-    keyed = part.select("row", "piece", "length").withColumn("group", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)))
+    keyed = part.select("own", "length").withColumn("group", F.pmod(F.xxhash64("own"), F.lit(groups)))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "row", "piece"], ascending=[False, True, True])
+        group = group.sort_values(["length", "own"], ascending=[False, True])
         where, offset = pack_lengths(group["length"].to_numpy())
-        return pd.DataFrame({"row": group["row"], "piece": group["piece"], "sequence_id": group["group"] * (1 << 32) + where, "offset": offset})
+        return pd.DataFrame({"own": group["own"], "sequence_id": group["group"] * (1 << 32) + where, "offset": offset})
 
-    placed = keyed.groupBy("group").applyInPandas(run, "row long, piece int, sequence_id long, offset long")
+    placed = keyed.groupBy("group").applyInPandas(run, "own long, sequence_id long, offset long")
     rest = ["ids"] if with_ids else []
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *rest]
-    packed = part.join(placed, ["row", "piece"]).select(*columns)
+    packed = part.join(placed, "own").select(*columns)
     # a full piece is a sequence of its own; these are numbered below zero
-    full = found.filter(F.col("length") == SEQUENCE).withColumn("sequence_id", -(F.monotonically_increasing_id() + 1)).withColumn("offset", F.lit(0).cast("long"))
+    full = found.filter(F.col("length") == SEQUENCE).withColumn("sequence_id", -(F.col("own") + 1)).withColumn("offset", F.lit(0).cast("long"))
     return packed.unionByName(full.select(*columns))
