@@ -18,7 +18,8 @@ the pseudonyms of the matches. Built from SQL functions alone.
 
 Defined cases: null stays null; empty and very long texts are handled whole; overlapping candidates go to the leftmost, then to the first
 kind in the pattern; what looks like a value but fails validation stays; a card may stand next to other numbers: its usual written forms go
-before other spans that overlap them, then the longest; other columns are untouched.
+before other spans that overlap them, then the longest; other columns are untouched, whatever their
+names; ties and repeated rows are treated alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,11 +29,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: The key of runs that set none of their own, such as tests; whoever knows it can invert the permutations.
 KEY = "spandrel-pseudonyms"
+KEY_SETTING = "spandrel.pseudonyms.key"
 ROUNDS = 8
 #: The kinds of value, in order of preference, and what they look like.
 KINDS = {
-    "email": r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?<![\w.%+-])[\w.%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "key": r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
     "secret": r"(?i:password|passwd|token|secret|api_key)\s{0,3}[=:]\s{0,3}[\"']?[0-9A-Za-z_+/-]{8,}[\"']?",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![0-9A-Za-z])",
@@ -265,20 +268,24 @@ def pseudonym(match: Column, key: str = KEY) -> Column:
     return _let(kind_of(match), chosen)
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY, counted: str | None = None) -> DataFrame:
-    """docs with the personal values in text replaced; with counted, also how many spans changed, under that name."""
-    t = F.col(text)
+def pseudonymise(docs: DataFrame, text: str = "text", key: str | None = None, counted: str | None = None) -> DataFrame:
+    """docs with the personal values in text replaced; with counted, also how many spans changed, under that name.
+
+    key: the secret that the permutations depend on; None takes the session's KEY_SETTING, or KEY where that is unset.
+    """
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, None) or KEY
+    given = docs.select(*[F.col(c).alias(f"in_{c}") for c in docs.columns])
+    t = F.col(f"in_{text}")
     none = F.array().cast("array<string>")
-    with_cards = docs.withColumn("_cards", F.when(t.rlike(CARD_RUN), cards(t)).otherwise(none))
-    own = F.concat(F.lit(PATTERN + "|(?<![0-9])(?:"), F.array_join("_cards", "|"), F.lit(")(?![0-9])"))
-    with_pattern = with_cards.withColumn("_pattern", F.when(F.size("_cards") > 0, own).otherwise(F.lit(PATTERN)))
-    found = F.when(t.rlike(HINT), F.regexp_extract_all(t, F.col("_pattern"), F.lit(0))).otherwise(none)
-    with_matches = with_pattern.withColumn("_matches", found)
-    with_new = with_matches.withColumn("_new", F.transform("_matches", lambda m: pseudonym(m, key)))
-    pieces = F.split(t, F.col("_pattern"))
-    joined = F.array_join(F.zip_with(pieces, F.col("_new"), lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
-    out = with_new.withColumn("_out", F.when(F.size("_matches") > 0, joined).otherwise(t))
-    if counted:
-        out = out.withColumn(counted, F.size(F.filter(F.zip_with("_matches", "_new", lambda m, n: m != n), lambda x: x)).cast("long"))
-    kept = [c for c in docs.columns if c != counted]
-    return out.select(*[F.col("_out").alias(c) if c == text else F.col(c) for c in kept], *([counted] if counted else []))
+    with_cards = given.withColumn("cards", F.when(t.rlike(CARD_RUN), cards(t)).otherwise(none))
+    own = F.concat(F.lit(PATTERN + "|(?<![0-9])(?:"), F.array_join("cards", "|"), F.lit(")(?![0-9])"))
+    with_pattern = with_cards.withColumn("pattern", F.when(F.size("cards") > 0, own).otherwise(F.lit(PATTERN)))
+    found = F.when(t.rlike(HINT), F.regexp_extract_all(t, F.col("pattern"), F.lit(0))).otherwise(none)
+    with_matches = with_pattern.withColumn("matches", found)
+    with_new = with_matches.withColumn("new", F.transform("matches", lambda m: pseudonym(m, key)))
+    pieces = F.split(t, F.col("pattern"))
+    joined = F.array_join(F.zip_with(pieces, F.col("new"), lambda p, n: F.concat(p, F.coalesce(n, F.lit("")))), "")
+    out = with_new.withColumn("out", F.when(F.size("matches") > 0, joined).otherwise(t))
+    changed = F.size(F.filter(F.zip_with("matches", "new", lambda m, n: m != n), lambda x: x)).cast("long")
+    kept = [F.col("out").alias(c) if c == text else F.col(f"in_{c}").alias(c) for c in docs.columns if c != counted]
+    return out.select(*kept, *([changed.alias(counted)] if counted else []))
