@@ -6,8 +6,8 @@ Finding candidates. Of two sets with Jaccard at least t, each holds at least t o
 other, so their first n - ceil(t n) + 1 members in the global order share one. An n-gram that one set alone holds
 leads to no partner, and a line, licence or passage that many documents share stands at the end of the order: a document
 with enough n-grams of its own is no candidate at all. The order's counts take one exchange: the different n-grams
-of a chunk of documents go, counted, to fragments of the hash space; a fragment answers with those that occur in two
-sets or more.
+of a chunk of documents go, counted, to fragments of the hash space; a fragment answers with those that occur
+twice or more (copies in other chunks count again, which leaves the order one and the same for all).
 
 Grouping. Documents sorted by shared leading n-gram stream past; each bucket gives a star around its first document, so
 groups of thousands of copies give as many rows as members. The components of the stars are clusters, and every
@@ -38,7 +38,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +47,7 @@ from pyspark.sql import types as T
 from .common import stored
 from .components import components
 from .embedding_join import forest
+from .exchange import pack_sorted, runs, unpack_sorted
 from .textops import Words, blocks, mix64, shingles, string_parts
 
 #: The threshold as a fraction, for exact integer comparisons: 90 / 100.
@@ -101,49 +102,26 @@ def describe(docs: DataFrame, text: str = "text", n_words: int = N_WORDS) -> Dat
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
 
 
-def _packed(*arrays: np.ndarray) -> bytes:
-    """Arrays of numbers, laid end to end and compressed. The first ascends and is kept as gaps, byte by byte of all."""
-    gaps = np.diff(arrays[0].astype(np.uint64), prepend=np.zeros(1, np.uint64))
-    parts = [np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T), *arrays[1:]]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in parts))
-
-
-def _unpacked(raw: bytes, *kinds: str) -> list[np.ndarray]:
-    data = zstandard.ZstdDecompressor().decompress(raw)
-    n = len(data) // (8 + sum(np.dtype(k).itemsize for k in kinds))
-    gaps = np.ascontiguousarray(np.frombuffer(data, np.uint8, 8 * n).reshape(8, n).T).view(np.uint64).ravel()
-    out, at = [np.cumsum(gaps, dtype=np.uint64)], 8 * n
-    for k in kinds:
-        out.append(np.frombuffer(data, k, n, at))
-        at += n * np.dtype(k).itemsize
-    return out
-
-
-def _runs(x: np.ndarray) -> np.ndarray:
-    """Where the runs of equal values of a sorted array begin."""
-    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-
-
 def _sent(fragments: int, n_words: int):
     """Rows (node, text) to rows of chunks: to each fragment the chunk's different n-grams in its part of the hash space, with the number of the chunk's
-    documents that hold each, and the document where it is one; and to the chunk itself (fragment below 0) the documents' nodes and sizes (grams), and
+    documents (those with equal sets count as one) that hold each, and the document where it is one; and to the chunk itself (fragment below 0) the documents' nodes and sizes (grams), and
     the documents of n-grams that several of its documents hold (counts)."""
     shift = np.uint64(64 - ORDER_BITS)
 
     def chunk(number, nodes, grams, docs, sizes):
         order = np.argsort(grams, kind="stable")
         grams, docs = grams[order], docs[order]
-        at = _runs(grams)
+        at = runs(grams)
         held = np.diff(np.append(at, len(grams)))
         several = np.repeat(held > 1, held)
         own = np.bincount(docs, minlength=len(nodes))
         head = np.stack([nodes, sizes, own]).tobytes()
-        rows = [(-1 - number % 4096, number, head, _packed(grams[several], docs[several].astype(np.uint16)))]
+        rows = [(-1 - number, number, head, pack_sorted(grams[several], docs[several].astype(np.uint16)))]
         kinds, one = grams[at], np.where(held == 1, docs[at], 65535).astype(np.uint16)
         fragment = ((kinds >> np.uint64(ORDER_BITS - 32)) * np.uint64(fragments)) >> np.uint64(32)
         cut = np.searchsorted(fragment, np.arange(fragments + 1, dtype=np.uint64))
-        rows += [(f, number, b"", _packed(kinds[x:y], one[x:y], held[x:y].astype(np.uint16))) for f, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
-        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
+        rows += [(f, number, b"", pack_sorted(kinds[x:y], one[x:y], held[x:y].astype(np.uint16))) for f, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)]
         return pa.RecordBatch.from_arrays(columns, names=["fragment", "chunk", "head", "grams"])
 
     def run(batches):
@@ -153,15 +131,17 @@ def _sent(fragments: int, n_words: int):
             offsets, _ = string_parts(batch.column(1))
             for x, y in blocks(offsets, CHUNK_BYTES):
                 for lo in range(x, y, CHUNK):
-                    hi = min(lo + CHUNK, y)
+                    # equal sets once
+                    _, at = np.unique(node[lo : min(lo + CHUNK, y)], return_index=True)
+                    at = lo + np.sort(at)
                     grams, docs, sizes = [], [], []
-                    for a, b, h, first in _sets(batch.column(1).slice(lo, hi - lo), n_words):
+                    for a, b, h, first in _sets(batch.column(1).take(pa.array(at)), n_words):
                         n = np.diff(first)
                         d = np.repeat(np.arange(a, b), n)
                         g = h >> shift
                         new = np.concatenate([[True], (g[1:] != g[:-1]) | (d[1:] != d[:-1])]) if len(g) else np.zeros(0, bool)
                         grams.append(g[new]), docs.append(d[new]), sizes.append(n)
-                    yield chunk(number, node[lo:hi], np.concatenate(grams), np.concatenate(docs), np.concatenate(sizes))
+                    yield chunk(number, node[at], np.concatenate(grams), np.concatenate(docs), np.concatenate(sizes))
                     number += 1
 
     return run
@@ -171,35 +151,36 @@ def _counted(group: pd.DataFrame) -> pd.DataFrame:
     """A fragment's answer to each chunk: its n-grams that two sets or more hold, with their numbers of sets. A chunk's own row passes through."""
     if group["fragment"].iloc[0] < 0:
         return group[["chunk", "head", "grams"]]
-    parts = [_unpacked(g, "<u2", "<u2") for g in group["grams"]]
+    parts = [unpack_sorted(g, "<u2", "<u2") for g in group["grams"]]
     size = [len(p[0]) for p in parts]
     gram = np.concatenate([p[0] for p in parts])
     n = np.concatenate([p[2] for p in parts]).astype(np.int64)
     order = np.argsort(gram, kind="stable")
-    at = _runs(gram[order])
+    at = runs(gram[order])
     total = np.empty(len(gram), np.int64)
     total[order] = np.repeat(np.add.reduceat(n[order], at), np.diff(np.append(at, len(gram)))) if len(at) else 0
     rows, end = [], np.cumsum(size)
     for chunk, (g, one, _), x, y in zip(group["chunk"], parts, end - size, end, strict=True):
         keep = total[x:y] > 1
         if keep.any():
-            rows.append((chunk, None, _packed(g[keep], one[keep], np.minimum(total[x:y][keep], 2**32 - 1).astype(np.uint32))))
+            rows.append((chunk, None, pack_sorted(g[keep], one[keep], np.minimum(total[x:y][keep], 2**32 - 1).astype(np.uint32))))
     return pd.DataFrame(rows, columns=["chunk", "head", "grams"])
 
 
 def _leading(threshold: tuple[int, int]):
-    """A chunk's answers to (gram, node) rows: the n-grams with which its documents lead, of those that other sets hold too."""
+    """A chunk's answers to (gram, node, mate) rows: the n-grams with which its documents lead, of those that other sets hold too. Each n-gram goes
+    with its first node in the chunk; the others are linked to that one here, in rows with a mate, which may go anywhere."""
     num, den = threshold
 
     def lead(group: pd.DataFrame) -> pd.DataFrame:
         own = group[group["head"].notna()].iloc[0]
         nodes, sizes, held = np.frombuffer(own["head"], np.int64).reshape(3, -1)
-        parts = [_unpacked(g, "<u2", "<u4") for g, head in zip(group["grams"], group["head"], strict=True) if head is None]
+        parts = [unpack_sorted(g, "<u2", "<u4") for g, head in zip(group["grams"], group["head"], strict=True) if head is None]
         if not parts:
-            return pd.DataFrame({"gram": np.zeros(0, np.int64), "node": np.zeros(0, np.int64)})
+            return pd.DataFrame({"gram": np.zeros(0, np.int64), "node": np.zeros(0, np.int64), "mate": pd.array([], "Int64")})
         gram, one, total = (np.concatenate(x) for x in zip(*parts, strict=True))
         # n-grams of several of the chunk's documents
-        g2, d2 = _unpacked(own["grams"], "<u2")
+        g2, d2 = unpack_sorted(own["grams"], "<u2")
         many = one == 65535
         order = np.argsort(gram[many])
         of, t2 = gram[many][order], total[many][order]
@@ -210,15 +191,29 @@ def _leading(threshold: tuple[int, int]):
         place = np.arange(len(doc)) - (np.cumsum(shared) - shared)[doc]
         lead = sizes - (sizes * num + den - 1) // den + 1  # so many lead; those that no other set holds come first
         keep = place < (lead - (held - shared))[doc]
-        return pd.DataFrame({"gram": gram[keep].astype(np.int64), "node": nodes[doc[keep]]})
+        gram, doc = gram[keep], doc[keep]
+        order = np.lexsort((doc, gram))
+        gram, doc = gram[order], doc[order]
+        at = runs(gram)
+        root = np.repeat(doc[at], np.diff(np.append(at, len(gram))))
+        pairs = np.unique(np.stack([root, doc], 1)[root != doc], axis=0)
+        a, b = nodes[pairs[:, 0]], nodes[pairs[:, 1]]
+        anywhere = mix64(a.view(np.uint64) ^ mix64(b.view(np.uint64))).view(np.int64)
+        mate = pd.array(np.concatenate([np.zeros(len(at), np.int64), b]), "Int64")
+        mate[: len(at)] = pd.NA
+        return pd.DataFrame({"gram": np.concatenate([gram[at].astype(np.int64), anywhere]), "node": np.concatenate([nodes[doc[at]], a]), "mate": mate})
 
     return lead
 
 
 def _stars(batches):
-    """Rows sorted by (gram, node) to (first node of the n-gram, other node), each once a batch."""
+    """Rows sorted by (gram, node) to (first node of the n-gram, other node), each once a batch; links found before pass through."""
     last, centre = None, None
     for batch in batches:
+        found = batch.column(2).is_valid()
+        linked, batch = batch.filter(found), batch.filter(pc.invert(found))
+        if linked.num_rows:
+            yield pa.RecordBatch.from_arrays([linked.column(1), linked.column(2)], names=["a", "b"])
         gram, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         if not len(gram):
             continue
@@ -234,9 +229,9 @@ def _stars(batches):
 
 def candidates(texts: DataFrame, grams: int, n_words: int, threshold: tuple[int, int]) -> DataFrame:
     """a, b: links whose components hold every pair of nodes that could reach the threshold. texts: node, text; grams: about how many n-grams they have."""
-    sent = texts.mapInArrow(_sent(max(1, -(-grams // FRAGMENT_GRAMS)), n_words), "fragment int, chunk long, head binary, grams binary")
+    sent = texts.mapInArrow(_sent(max(1, -(-grams // FRAGMENT_GRAMS)), n_words), "fragment long, chunk long, head binary, grams binary")
     answers = sent.groupBy("fragment").applyInPandas(_counted, "chunk long, head binary, grams binary")
-    leading = answers.groupBy("chunk").applyInPandas(_leading(threshold), "gram long, node long")
+    leading = answers.groupBy("chunk").applyInPandas(_leading(threshold), "gram long, node long, mate long")
     return leading.repartition("gram").sortWithinPartitions("gram", "node").mapInArrow(_stars, "a long, b long")
 
 
@@ -285,7 +280,7 @@ def _meet(threshold: tuple[int, int]):
         group = group.sort_values(["cluster", "side", "node"])
         cluster, side, node = (group[c].to_numpy() for c in ("cluster", "side", "node"))
         sets = _read(group["grams"])
-        edge = np.append(_runs(cluster), len(cluster))
+        edge = np.append(runs(cluster), len(cluster))
         out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for x, y in zip(edge[:-1], edge[1:], strict=True):
             own = sets[x:y]
@@ -405,14 +400,14 @@ def jaccard_join(docs: DataFrame, ident: str = "doc_id", text: str = "text", n_w
     i = F.col(f"in_{ident}")
     sized = marked.filter("node is not null").groupBy("node").agg(F.min(F.struct(i.isNull().alias("none"), i.alias("id"), F.col("row"))).alias("head"), F.max("n_shingles").alias("n"))
     classes = stored(sized, "classes")
-    # one row for each different set
-    texts = marked.select("row", "node", F.col(f"in_{text}").alias("text")).join(classes.select(F.col("head.row").alias("row")), "row", "left_semi").select("node", "text")
-    grams = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    near = components(candidates(texts, int(grams), n_words, threshold))
+    texts = marked.filter("node is not null").select("row", "node", F.col(f"in_{text}").alias("text"))
+    grams = marked.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    near = components(candidates(texts.select("node", "text"), int(grams), n_words, threshold))
     # a component's own smallest member has no row of its own
     clusters = near.select("node", F.col("component").alias("cluster")).union(near.select("component", "component").distinct())
-    clusters = stored(clusters.join(classes.select("node", "n"), "node"), "near")
-    sets = _grams(texts.join(clusters.select("node"), "node", "left_semi"), n_words)
+    clusters = stored(clusters.join(classes.select("node", "n", "head.row"), "node"), "near")
+    # one row for each different set that has a candidate
+    sets = _grams(texts.join(clusters.select("row"), "row", "left_semi").select("node", "text"), n_words)
     linked = components(_links(sets, clusters, threshold))
     of = classes.join(linked, "node", "left").select("node", "head", F.coalesce("component", "node").alias("component"))
     first = of.groupBy("component").agg(F.min("head").alias("first"))
