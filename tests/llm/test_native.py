@@ -152,3 +152,71 @@ def test_feistel_is_a_permutation(spark):
     cards = spark.createDataFrame([("4041894974608795",), ("0000000000000000",), ("6011000990139424",)], ["c"])
     two = cards.select("c", pseudonyms.card(pseudonyms.card(F.col("c")), inverse=True).alias("d")).collect()
     assert all(x.c == x.d for x in two)
+
+
+def test_em_recovers_planted_accuracies_and_outvotes_a_noisy_rule():
+    """Votes drawn with known rates: EM finds them, gives a rule that guesses no weight, and keeps documents that only that rule calls bad."""
+    r = random.Random(31)
+    on_good, on_bad, abstain = [0.02, 0.05, 0.3, 0.1], [0.8, 0.7, 0.3, 0.6], [0.1, 0.2, 0.0, 0.3]
+    counts, truth = {}, {}
+    for _ in range(60_000):
+        good = r.random() < 0.85
+        votes = tuple(0 if r.random() < a else -1 if r.random() < (g if good else b) else 1 for g, b, a in zip(on_good, on_bad, abstain))
+        counts[votes] = counts.get(votes, 0) + 1
+        truth[votes] = truth.get(votes, 0) + good
+    prior, g, b = quality_rules.fit(sorted(counts.items()), 200)
+    assert prior == pytest.approx(0.85, abs=0.02)
+    for k in (0, 1, 3):
+        assert g[k] == pytest.approx(on_good[k], abs=0.02) and b[k] == pytest.approx(on_bad[k], abs=0.06)
+    assert abs(quality_rules.weights(g[2], b[2])[1]) < 0.25  # the rule that guesses
+    assert quality_rules.log_odds((1, 1, -1, 1), prior, g, b) > 0 > quality_rules.log_odds((-1, -1, 1, 0), prior, g, b)
+    right = sum(max(truth[v], n - truth[v]) for v, n in counts.items())
+    ours = sum(truth[v] if quality_rules.log_odds(v, prior, g, b) >= 0 else n - truth[v] for v, n in counts.items())
+    must = sum(truth[v] if -1 not in v else n - truth[v] for v, n in counts.items())
+    assert ours > 0.995 * right and ours > must + 5000
+
+
+def test_verdicts_differ_from_all_must_pass(spark):
+    r = random.Random(32)
+    prose = lambda n: " ".join("".join(r.choice("aeioubcdlmnrst") for _ in range(r.randint(2, 8))) for _ in range(n)) + "."
+    rows = [(k, prose(200 if k % 3 else 60), "s", "x") for k in range(90)]
+    rows += [(100 + k, prose(150).replace(" ", " ### ").replace(".", ""), "s", "x") for k in range(12)]
+    out = {x.doc_id: x for x in quality_rules.quality_rules(docs(spark, rows)).collect()}
+    # of 60 words: called bad by v_length alone, which the others outvote
+    assert all(out[k].v_length == -1 and out[k].kept for k in range(0, 90, 3))
+    assert all(out[k].kept for k in range(90)) and not any(out[100 + k].kept for k in range(12))
+
+
+CLASH = "doc_id long, text string, source string, words string, key string, `class` string, cell string, `offset` string, `before` string, rank string, matches string, new string, cards string, pattern string, `out` string, in_text string, _words string, n_words string, size string, kept string"
+
+
+def test_columns_of_any_name_are_allowed(spark):
+    rows = [(k, "word " * (30 + k) + "bob@example.org 4111111111111111", "ab"[k % 2], *[f"v{k}"] * 17) for k in range(8)]
+    df = spark.createDataFrame(rows, CLASH)
+    q = quality_rules.quality_rules(df)
+    assert {c for c in df.columns if c != "text"} <= set(q.columns) and len(set(q.columns)) == len(q.columns) and q.filter("words = 'v3'").count() == 1
+    m = mixing.mix(df)
+    assert set(df.columns) <= set(m.columns) and m.filter("`before` = 'v2' and rank = 'v2' and `offset` = 'v2' and size > 30").count() == 1
+    assert mixing.mixed_documents(df).columns == df.columns
+    p = pseudonyms.pseudonymise(df, counted="kept")
+    assert p.columns == [c for c in df.columns if c != "kept"] + ["kept"]
+    got = {x.doc_id: x for x in p.collect()}
+    assert all(got[k].matches == got[k].out == got[k].in_text == f"v{k}" and got[k].kept == 2 and "bob@" not in got[k].text for k in range(8))
+    assert pseudonyms.pseudonymise(df.limit(0)).count() == quality_rules.quality_rules(df.limit(0)).count() == mixing.mix(df.limit(0)).count() == 0
+
+
+def test_hostile_texts_of_a_megabyte(spark):
+    n = 1 << 20
+    texts = ["a@b" + ".c" * (n // 2), "a" * n + "@", "@" * n, "1 " * (n // 2), "1" * n, "1.1." * (n // 4), "password = " + "x" * n, "DE89" + "A" * n, "(" * n, "1-" * (n // 2), "+1 " * (n // 3), "word " * (n // 5)]
+    out = {x.doc_id: x.text for x in pseudonyms.pseudonymise(docs(spark, [(k, t, "s", "x") for k, t in enumerate(texts)])).collect()}
+    assert len(out) == len(texts) and out[0].endswith("@pseudonym.example") and out[2] == texts[2] and out[11] == texts[11]
+
+
+def test_another_key_gives_other_pseudonyms(spark):
+    d = docs(spark, [(1, "card 4111111111111111", "s", "x")])
+    one = pseudonyms.pseudonymise(d).first().text
+    spark.conf.set(pseudonyms.KEY_SETTING, "secret")
+    try:
+        assert pseudonyms.pseudonymise(d).first().text != one == pseudonyms.pseudonymise(d, key=pseudonyms.KEY).first().text
+    finally:
+        spark.conf.unset(pseudonyms.KEY_SETTING)
