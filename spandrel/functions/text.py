@@ -40,7 +40,7 @@ def collapse(text: Column, sep: str = ", ") -> Column:
 
 def values(text: Column, sep: str = ";") -> Column:
     """The trimmed, non-empty values of a list written as text."""
-    return F.filter(F.transform(F.split(text, re.escape(sep)), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, re.escape(sep)), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def explode_values(df: DataFrame, column: str, out: str, sep: str = ";") -> DataFrame:
@@ -103,3 +103,32 @@ def ratio_of_deflate(text: Column) -> Column:
         return pd.Series([None if x is None or not x else len(b := x.encode()) / len(zlib.compress(b)) for x in s], dtype="float64")
 
     return run(text)
+
+
+def gene_text(text: Column, n_genes: Column) -> Column:
+    """The collapsed value of a site in one gene; at a site in several genes it can't be told whose it is."""
+    return F.when(n_genes == 1, collapse(text))
+
+
+def located(text: Column) -> Column:
+    """struct<feature, index> of "intron12-intron12": where both halves name the same part; else nulls."""
+    feature, index = F.regexp_extract(text, r"^([a-z]+)(\d+)-\1\2$", 1), F.regexp_extract(text, r"^([a-z]+)(\d+)-\1\2$", 2)
+    return F.struct(F.nullif(feature, F.lit("")).alias("feature"), F.nullif(index, F.lit("")).try_cast("int").alias("index"))
+
+
+def is_intronic(genic: Column, exonic: Column) -> Column:
+    return F.coalesce(genic, F.lit(False)) & ~F.coalesce(exonic, F.lit(False))
+
+
+def band_label(chrom: Column, band: Column) -> Column:
+    return F.concat(F.replace(chrom, F.lit("chr"), F.lit("")), band)
+
+
+def support(vector: Column) -> Column:
+    """struct<callers, agreeing> of a support vector such as 101."""
+    return F.struct(F.length(vector).alias("callers"), F.regexp_count(vector, F.lit("1")).alias("agreeing"))
+
+
+def query_value(text: Column) -> Column:
+    """A value for a quoted search: quotes and backslashes go, white space becomes one blank."""
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[\"\\]", " "), r"\s+", " "))

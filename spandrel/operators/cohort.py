@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.coords import MAIN_CHROMS
 from .intervals import overlap_join
-from .report import crosstab, doubling_edges, edge_bins
+from .report import crosstab, doubling_edges, edge_bins, numbered, running_sum
 from .screen import majority
 
 
@@ -36,6 +36,17 @@ def per_sample(raw: DataFrame, calls: DataFrame, ancestry: DataFrame) -> DataFra
     return ancestry.join(raw, "sample").join(tr, "sample")
 
 
+def ancestry_qc(raw: DataFrame, calls: DataFrame, ancestry: DataFrame) -> DataFrame:
+    """Per group: samples known, called and with a repeat, and both insertion counts; a row of group null for called samples without ancestry."""
+    tr = calls.groupBy("sample").agg(F.countDistinct("SVID").alias("n_insertions_tr"))
+    known = ancestry.join(raw, "sample", "left").join(tr, "sample", "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    by = known.groupBy("superpop").agg(F.count("*").alias("n_known"), F.count("n_insertions_raw").alias("n_called"), F.count("n_insertions_tr").alias("n_with_repeat"), total("n_insertions_raw").alias("raw"), total("n_insertions_tr").alias("with_repeat"))
+    none = F.lit(0).cast("long")
+    unknown = raw.join(ancestry.select("sample"), "sample", "left_anti").agg(F.lit(None).cast("string").alias("superpop"), none.alias("n_known"), F.count("*").alias("n_called"), none.alias("n_with_repeat"), F.sum("n_insertions_raw").cast("long").alias("raw"), none.alias("with_repeat"))
+    return by.unionByName(unknown)
+
+
 def population_summary(samples: DataFrame, by: str, value: str, order: list[str]) -> DataFrame:
     """count, mean and median per group, rounded half to even, in the given order."""
     place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(by))
@@ -72,7 +83,7 @@ def comparison(df: DataFrame, by: str, categories: list[str], metrics: list[str]
 def motif_ranks(calls: DataFrame, motif: str) -> DataFrame:
     """motif, n, and its rank by frequency; equal counts by motif."""
     n = calls.groupBy(motif).agg(F.count("*").alias("n"))
-    return n.withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), motif)))
+    return numbered(n, [F.col("n").desc(), F.col(motif)], "rank").withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def site_landscape(calls: DataFrame, site: list[str], sample: str, motif: str, first_by: str) -> DataFrame:
@@ -94,9 +105,8 @@ def agreement_rate(df: DataFrame, a: Column, b: Column) -> DataFrame:
 
 def percentile_rows(df: DataFrame, value: str, tie: str, shares: list[float]) -> DataFrame:
     """The rows at index int(p (n - 1)) of the sorted table. Indices come from the count; ranks from a running sum over values."""
-    counts = df.groupBy(value).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    known = counts.withColumn("_end", upto).withColumn("_total", F.sum("_n").over(Window.partitionBy()))
+    counts = running_sum(df.groupBy(value).agg(F.count("*").alias("_n")), value, "_n", "_end")
+    known = counts.join(F.broadcast(counts.agg(F.sum("_n").alias("_total"))))  # one row
     wanted = known.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares]))).withColumn("_at", F.floor(F.col("share") * (F.col("_total") - 1)))
     hit = wanted.filter((F.col("_at") < F.col("_end")) & (F.col("_at") >= F.col("_end") - F.col("_n"))).select(value, "share", (F.col("_at") - F.col("_end") + F.col("_n") + 1).alias("_rn"))
     rows = df.join(hit.select(value).distinct(), value).withColumn("_rn", F.row_number().over(Window.partitionBy(value).orderBy(tie)))

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.coords import interval_distance, normalize_chrom
+from ..functions.coords import normalize_chrom
 from ..functions.motifs import Equivalence, canonical_motif, rotation_distance
+from .intervals import window_join
 
 CLASSES = ("pathogenic", "reference", "benign", "unknown", "interruption")
 STATUSES = ("pathogenic_expansion", "pathogenic_motif", "locus_novel_motif", "locus_known_motif", "no_locus_match")
@@ -38,8 +39,7 @@ def ranges() -> dict[str, tuple[Column, Column]]:
 def disease_screen(calls: DataFrame, loci: DataFrame, window: int = 0, max_edits: int = 0, stranded: bool = False, chrom: str = "chrom", point: str = "point", motif: str = "motif", units: str = "rep_units", gene: str = "gene") -> DataFrame:
     """calls with status, id, distance_bp, n_nearby, motif_class, motif_edits, matched_motif, est_copies, allele_class, gene_agrees.
 
-    loci: id, gene, chrom, start, end, ref_copies, motifs (array of struct class, motif) and the ranges. It is a curated list of tens of rows;
-    Spark broadcasts it by its size.
+    loci: id, gene, chrom, start, end, ref_copies, motifs (array of struct class, motif) and the ranges. Pairs are found by bins of a contig.
     """
     how = Equivalence(reverse_complement=not stranded)
     own = [c for c in calls.columns]
@@ -47,9 +47,7 @@ def disease_screen(calls: DataFrame, loci: DataFrame, window: int = 0, max_edits
     key = ["_chrom", "_point", "_motif"]
     q = calls.withColumns({"_chrom": normalize_chrom(F.col(chrom)), "_point": F.col(point).cast("long"), "_motif": F.coalesce(F.col(motif), F.lit(""))})
     named = loci.select(*[F.col(c).alias(f"l_{c}") for c in loci.columns])
-    near = (F.col("_chrom") == F.col("l_chrom")) & (F.col("l_start") < F.col("_point") + 1 + window) & (F.col("l_end") > F.col("_point") - window)
-    pairs = q.select(*key).distinct().join(named, near)
-    pairs = pairs.withColumn("distance_bp", interval_distance(F.col("_point"), F.col("_point") + 1, F.col("l_start"), F.col("l_end")))
+    pairs = window_join(q.select(*key).distinct(), named, "_chrom", "_point", "l_chrom", "l_start", "l_end", window).withColumnRenamed("distance", "distance_bp")
     pairs = pairs.withColumn("n_nearby", F.count("*").over(Window.partitionBy(*key)))
     listed = pairs.withColumn("_x", F.explode_outer("l_motifs"))
     rank = F.coalesce(F.array_position(F.array(*[F.lit(c) for c in CLASSES]), F.col("_x.class")).cast("int"), F.lit(len(CLASSES) + 1))
@@ -81,5 +79,5 @@ def disease_screen(calls: DataFrame, loci: DataFrame, window: int = 0, max_edits
 def as_text(screened: DataFrame, stamp: str) -> DataFrame:
     """The screen's columns as strings, blank where null, %g for copies."""
     shown = {c: F.coalesce(F.lower(F.col(c).cast("string")) if t == "boolean" else F.col(c).cast("string"), F.lit("")) for c, t in screened.dtypes}
-    shown["est_copies"] = F.coalesce(F.regexp_replace(F.format_string("%.5f", F.col("est_copies")), r"\.?0+$", ""), F.lit(""))
+    shown["est_copies"] = F.when(F.col("est_copies").isNull(), "").otherwise(F.regexp_replace(F.format_string("%.5f", F.col("est_copies")), r"\.?0+$", ""))
     return screened.select(*[v.alias(k) for k, v in shown.items()], F.lit(stamp).alias("catalog"))

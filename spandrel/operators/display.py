@@ -17,8 +17,10 @@ def nice_step(span: float, bins: int) -> float:
     return next(k * power for k in (1, 2, 5, 10) if k * power >= raw - 1e-12)
 
 
-def stacked_histogram(df: DataFrame, value: str, series: str, step: float) -> DataFrame:
-    return df.groupBy((F.floor(F.col(value) / step) * step).cast("double").alias("from"), series).agg(F.count("*").alias("n"))
+def stacked_histogram(df: DataFrame, value: str, series: str, step: float, medians: bool = False) -> DataFrame:
+    """from (of each bin), series, n; with medians also each series' median."""
+    n = df.groupBy((F.floor(F.col(value) / step) * step).cast("double").alias("from"), series).agg(F.count("*").alias("n"))
+    return n.join(df.groupBy(series).agg(F.median(value).cast("double").alias("median")), series) if medians else n
 
 
 def axis_max(values: Column) -> Column:
@@ -44,7 +46,7 @@ def clean_prose(text: Column) -> Column:
 
 def short_authors(authors: Column, most: int = 3) -> Column:
     """The first authors, and how many more there are."""
-    a = F.filter(F.transform(F.split(authors, ","), F.trim), lambda x: x != "")
+    a = F.filter(F.transform(F.split(authors, ","), lambda x: F.trim(x)), lambda x: x != "")
     more = F.size(a) - most
     first = F.array_join(F.slice(a, 1, most), ", ")
     return F.when(more > 0, F.concat(first, F.lit(" +"), more.cast("string"))).otherwise(first)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.coords import interval_distance
+from ..sources.shared import written
 
 BIN = 4096
 
@@ -71,16 +72,30 @@ def insertion_purity(df: DataFrame, keys: list[str], start: str = "rep_start", e
 
 
 def nearest(left: DataFrame, right: DataFrame, on: list[str], value: str, r_value: str, tie: str) -> DataFrame:
-    """Every left row with the right row of the same keys whose value is nearest, by union and two running windows: sorted neighbours on either
-    side are the only candidates, so no pairs are made. Ties go to the smaller value, then the smaller tie column."""
-    low = Window.partitionBy(*on).orderBy("_v", F.col("_side").desc(), "_t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    high = Window.partitionBy(*on).orderBy(F.col("_v").desc(), F.col("_side").desc(), F.col("_t").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """Every left row with the right row of the same keys whose value is nearest. Ties go to the smaller value, then the smaller tie column.
+
+    Both sides are sorted together, range by range, so a key's rows may lie in many ranges; the neighbours on either side are the only
+    candidates, found by running windows within a range, and past its ends by those that the ranges before and after hand on.
+    """
+    spark = left.sparkSession
     hit = F.struct(F.col("_v").alias("v"), F.col("_t").alias("t"))
     a = left.select(*on, F.col(value).alias("_v"), F.lit(0).alias("_side"), F.lit(None).cast("long").alias("_t"), F.struct(*left.columns).alias("_row"))
     best = right.groupBy(*on, F.col(r_value).alias("_v")).agg(F.min(tie).cast("long").alias("_t"))
     b = best.select(*on, "_v", F.lit(1).alias("_side"), "_t", F.lit(None).cast(a.schema["_row"].dataType).alias("_row"))
-    both = a.unionByName(b).withColumn("_low", F.last(F.when(F.col("_side") == 1, hit), ignorenulls=True).over(low))
-    both = both.withColumn("_high", F.last(F.when(F.col("_side") == 1, hit), ignorenulls=True).over(high)).filter("_side = 0")
+    cut = a.unionByName(b).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *on, "_v")
+    both = written(cut.withColumn("_r", F.spark_partition_id()), "nearest")
+    own = ["_r", *on]
+    low = Window.partitionBy(*own).orderBy("_v", F.col("_side").desc(), "_t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    high = Window.partitionBy(*own).orderBy(F.col("_v").desc(), F.col("_side").desc(), F.col("_t").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a row for each key and range
+    ends = both.filter("_side = 1").groupBy(*own).agg(F.max(hit).alias("_last"), F.min(hit).alias("_first"))
+    every = both.select(*own).distinct().join(ends, own, "left")
+    before = Window.partitionBy(*on).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*on).orderBy(F.col("_r").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    handed = every.select(*own, F.last("_last", ignorenulls=True).over(before).alias("_lower"), F.last("_first", ignorenulls=True).over(after).alias("_upper"))
+    both = both.withColumn("_low", F.last(F.when(F.col("_side") == 1, hit), ignorenulls=True).over(low))
+    both = both.withColumn("_high", F.last(F.when(F.col("_side") == 1, hit), ignorenulls=True).over(high)).filter("_side = 0").join(handed, own)
+    both = both.withColumn("_low", F.coalesce("_low", "_lower")).withColumn("_high", F.coalesce("_high", "_upper"))
     nearer = F.when(F.col("_low").isNull(), F.col("_high")).when(F.col("_high").isNull(), F.col("_low"))
     nearer = nearer.when(F.col("_v") - F.col("_low")["v"] <= F.col("_high")["v"] - F.col("_v"), F.col("_low")).otherwise(F.col("_high"))
     out = both.withColumn("_n", nearer)

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.motifs import reverse_complement
+from ..sources.shared import written
+
 
 def crosstab(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
     """Counts by row and each listed value, 0 where there are none."""
@@ -49,11 +52,52 @@ def pooled(df: DataFrame, value: str, cap: float) -> DataFrame:
 
 
 def ecdf(df: DataFrame, value: str) -> DataFrame:
-    """value, cumulative share. Counted per value first, so the running sum holds one row per different value."""
+    """value, cumulative share. Counted per value first; values are summed range by range, after the totals of the ranges before."""
     n = df.groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    upto = running_sum(n, "value", "n", "upto")
     total = n.agg(F.sum("n").alias("total"))
-    w = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return n.withColumn("upto", F.sum("n").over(w)).join(F.broadcast(total)).select("value", "n", F.round(F.col("upto") / F.col("total"), 6).alias("share"))
+    return upto.join(F.broadcast(total)).select("value", "n", F.round(F.col("upto") / F.col("total"), 6).alias("share"))
+
+
+def running_sum(df: DataFrame, order: str, weight: str, out: str) -> DataFrame:
+    """df with the sum of weight up to each row in the order of a column of different values, without one window over all rows."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = written(df.repartitionByRange(n, order).withColumn("_r", F.spark_partition_id()), "running")
+    sizes = part.groupBy("_r").agg(F.sum(weight).alias("_n"))
+    before = sizes.select("_r", (F.sum("_n").over(Window.orderBy("_r")) - F.col("_n")).alias("_b"))  # a row for each range
+    own = F.sum(weight).over(Window.partitionBy("_r").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return part.join(F.broadcast(before), "_r").withColumn(out, F.col("_b") + own).drop("_r", "_b")
+
+
+def density(df: DataFrame, value: str, low: float, high: float, points: int = 50, width: float | None = None) -> DataFrame:
+    """Gaussian kernel density at evenly spaced points. Counted per value first; the points are a table of fixed size."""
+    n = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    about = n.agg(F.sum("n").alias("total"), F.sum(F.col("v") * F.col("n")).alias("s1"), F.sum(F.col("v") * F.col("v") * F.col("n")).alias("s2"))
+    deviation = F.sqrt((F.col("s2") - F.col("s1") * F.col("s1") / F.col("total")) / F.nullif(F.col("total") - 1, F.lit(0)))
+    # the usual rule for the width: a fifth root of the number of values
+    h = F.lit(float(width)) if width else deviation * F.pow(F.col("total").cast("double"), F.lit(-0.2))
+    at = F.sequence(F.lit(0), F.lit(points - 1))
+    spread = n.join(F.broadcast(about.select("total", h.alias("h")))).withColumn("k", F.explode(at))
+    x = F.lit(float(low)) + F.col("k") * F.lit((high - low) / (points - 1))
+    z = (x - F.col("v")) / F.col("h")
+    mass = F.sum(F.col("n") * F.exp(-0.5 * z * z) / (F.col("total") * F.col("h") * F.lit((2 * 3.141592653589793) ** 0.5)))
+    return spread.groupBy("k").agg(F.round(mass, 9).alias("density"))
+
+
+def side_by_side(left: DataFrame, right: DataFrame, left_order: list[Column], right_order: list[Column]) -> DataFrame:
+    """Two tables joined by position in their orders; the shorter one is filled with nulls. Positions are counted range by range."""
+    a, b = numbered(left, left_order, "_at"), numbered(right, right_order, "_at")
+    return a.join(b, "_at", "full_outer").drop("_at")
+
+
+def numbered(df: DataFrame, order: list[Column], out: str, ranges: int | None = None) -> DataFrame:
+    """df with each row's place (from 0) in a total order. The order is cut into ranges, each numbered by itself after the sizes of those before."""
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = written(df.repartitionByRange(n, *order).withColumn("_r", F.spark_partition_id()), "numbered")
+    sizes = part.groupBy("_r").agg(F.count("*").alias("_n"))
+    before = sizes.select("_r", (F.sum("_n").over(Window.orderBy("_r")) - F.col("_n")).alias("_b"))  # a row for each range
+    own = F.row_number().over(Window.partitionBy("_r").orderBy(*order))
+    return part.join(F.broadcast(before), "_r").withColumn(out, F.col("_b") + own - 1).drop("_r", "_b")
 
 
 def ladder(df: DataFrame, value: str, limits: list[float]) -> DataFrame:
@@ -79,10 +123,11 @@ def top(df: DataFrame, column: str, n: int) -> DataFrame:
 
 
 def with_other(df: DataFrame, column: str, weight: str, keep: int) -> DataFrame:
-    """Totals of the keep heaviest values, and of Other."""
+    """Totals of the keep heaviest values, and of Other, which is what they leave of the sum."""
     t = df.groupBy(column).agg(F.sum(weight).alias("total"))
-    r = t.withColumn("_r", F.row_number().over(Window.orderBy(F.col("total").desc(), column)))
-    return r.groupBy(F.when(F.col("_r") <= keep, F.col(column)).otherwise("Other").alias(column)).agg(F.sum("total").alias("total"))
+    first = t.orderBy(F.col("total").desc(), column).limit(keep)
+    rest = t.join(first.select(column), column, "left_anti").agg(F.lit("Other").alias(column), F.sum("total").alias("total")).filter("total is not null")
+    return first.unionByName(rest)
 
 
 def filter_chain(df: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
@@ -102,11 +147,15 @@ def share_of_total(df: DataFrame, key: str) -> DataFrame:
 
 
 def kmers(text: Column, k: int) -> Column:
-    n = F.length(text)
-    return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(text, i, F.lit(k))))
+    """Every run of k characters. The characters are cut once: to find a place in a text takes a walk from its start."""
+    cut = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - k + 1), lambda i: F.array_join(F.slice(c, i, k), ""))
+    return F.when(F.length(text) >= k, F.transform(F.array(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))), cut)[0])
 
 
-def kmer_spectrum(df: DataFrame, text: str, k: int, cap: int = 255) -> DataFrame:
-    """occurrences (capped), n_kmers."""
-    counts = df.select(F.explode(kmers(F.col(text), k)).alias("kmer")).groupBy("kmer").count()
+def kmer_spectrum(df: DataFrame, text: str, k: int, cap: int = 255, strands: bool = False) -> DataFrame:
+    """occurrences (capped), n_kmers. strands: for DNA, a k-mer and its reverse complement are one, and those with other letters than ACGT are left out."""
+    found = df.select(F.explode(kmers(F.col(text), k)).alias("kmer"))
+    if strands:
+        found = found.withColumn("kmer", F.upper("kmer")).filter(~F.col("kmer").rlike("[^ACGT]")).select(F.least("kmer", reverse_complement(F.col("kmer"))).alias("kmer"))
+    counts = found.groupBy("kmer").count()
     return counts.groupBy(F.least("count", F.lit(cap)).alias("occurrences")).agg(F.count("*").alias("n_kmers"))

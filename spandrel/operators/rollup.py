@@ -9,8 +9,8 @@ from pyspark.sql.window import Window
 from ..functions.coords import point_distance
 from ..functions.motifs import size_class
 from ..functions.text import catalogues
-from .intervals import best_hit, segments
-from .screen import rollup
+from .intervals import best_hit, overlap_join, segments
+from .screen import verdict_of, verdict_rank
 
 SITE = ["chrom", "ins_coord"]
 
@@ -33,28 +33,41 @@ def build_loci(calls: DataFrame, platforms: tuple[str, ...] = ("ucsc", "trexplor
 
     invariant: columns that are the same on every call of a site; a value that isn't null is taken.
     """
-    calls = calls.distinct()
-    top = dominant(calls, SITE, "SVID", "sample", [F.max("insert_size")]).select(*SITE, "SVID")
+    # one exchange: what follows groups by the site and more, which its partitioning already serves
+    calls = calls.repartition(*SITE).distinct()
     held = [c for c in calls.columns if any(c.startswith(f"{p}_") for p in platforms) and not c.endswith("_novelty")]
     own = ["canonical_motif", "motif_length", *held]
-    rep = best_hit(calls.join(top, [*SITE, "SVID"]).select(*SITE, "SVID", *own), SITE, [F.col(c).asc_nulls_last() for c in own])
     verdicts = [c for c in ("novelty", *(f"{p}_novelty" for p in platforms)) if c in calls.columns]
-    mean = {"purity": "mean_purity", "insertion_purity": "insertion_purity", "repeat_coverage": "repeat_coverage"}
-    median = {"insert_size": "median_len", "rep_units": "median_units", "depth": "median_depth"}
-    agg = calls.groupBy(*SITE).agg(
-        F.countDistinct("sample").alias("n_samples"),
-        F.count("*").alias("n_carrier_alleles"),
-        F.countDistinct("SVID").alias("n_alleles"),
-        F.countDistinct("canonical_motif").alias("n_motifs"),
-        F.countDistinct(F.when(F.col("novelty") != "known", F.col("SVID"))).alias("n_novel_alleles"),
-        F.min("insert_size").alias("min_len"),
-        F.max("insert_size").alias("max_len"),
-        *[F.median(c).alias(a) for c, a in median.items() if c in calls.columns],
-        *[F.round(F.avg(c), 6).alias(a) for c, a in mean.items() if c in calls.columns],
-        *[rollup(c).alias(c) for c in verdicts],
-        *[F.any_value(c, ignoreNulls=True).alias(c) for c in invariant],
+    mean = {c: a for c, a in {"purity": "mean_purity", "insertion_purity": "insertion_purity", "repeat_coverage": "repeat_coverage"}.items() if c in calls.columns}
+    median = {c: a for c, a in {"insert_size": "median_len", "rep_units": "median_units", "depth": "median_depth"}.items() if c in calls.columns}
+    # a null sorts after values within a record, as in a sort with nulls last
+    first = F.min(F.struct(*[x for k, c in enumerate(own) for x in (F.col(c).isNull().alias(f"n{k}"), F.col(c).alias(c))])).alias("own")
+    records = calls.groupBy(*SITE, "SVID").agg(
+        F.countDistinct("sample").alias("carriers"),
+        F.count("*").alias("n"),
+        F.collect_set("canonical_motif").alias("motifs"),
+        F.max((F.col("novelty") != "known").cast("int")).alias("is_novel"),
+        F.min("insert_size").alias("low"),
+        F.max("insert_size").alias("high"),
+        *[x for c in mean for x in (F.sum(c).alias(f"s_{c}"), F.count(c).alias(f"c_{c}"))],
+        *[F.min(verdict_rank(F.col(c))).alias(f"v_{c}") for c in verdicts],
+        first,
     )
-    out = agg.join(rep, SITE)
+    top = F.min(F.struct((-F.col("carriers")).alias("a"), F.col("high").isNull().alias("n"), (-F.col("high")).alias("b"), F.col("SVID"), F.col("own"))).alias("top")
+    sites = records.groupBy(*SITE).agg(
+        F.sum("n").alias("n_carrier_alleles"),
+        F.count("*").alias("n_alleles"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("motifs")))).cast("long").alias("n_motifs"),
+        F.sum(F.coalesce("is_novel", F.lit(0))).alias("n_novel_alleles"),
+        F.min("low").alias("min_len"),
+        F.max("high").alias("max_len"),
+        *[F.round(F.sum(f"s_{c}") / F.nullif(F.sum(f"c_{c}"), F.lit(0)), 6).alias(a) for c, a in mean.items()],
+        *[verdict_of(F.min(f"v_{c}")).alias(c) for c in verdicts],
+        top,
+    )
+    rest = calls.groupBy(*SITE).agg(F.countDistinct("sample").alias("n_samples"), *[F.median(c).alias(a) for c, a in median.items()], *[F.any_value(c, ignoreNulls=True).alias(c) for c in invariant])
+    order = ["n_samples", "n_carrier_alleles", "n_alleles", "n_motifs", "n_novel_alleles", "min_len", "max_len", *median.values(), *mean.values(), *verdicts, *invariant]
+    out = sites.join(rest, SITE).select(*SITE, *order, F.col("top.SVID").alias("SVID"), *[F.col(f"top.own.{c}").alias(c) for c in own])
     known = {p: F.col(f"{p}_novelty") == "known" for p in platforms if f"{p}_novelty" in verdicts}
     return out.select(
         F.concat_ws(":", "chrom", "ins_coord").alias("locus_id"),
@@ -63,7 +76,7 @@ def build_loci(calls: DataFrame, platforms: tuple[str, ...] = ("ucsc", "trexplor
         F.col("canonical_motif").alias("motif"),
         F.col("motif_length").cast("int").alias("motif_len"),
         size_class(F.col("motif_length")).alias("motif_class"),
-        *[c for c in agg.columns if c not in SITE],
+        *order,
         (F.col("novelty") != "known").alias("novel"),
         (catalogues(**known) if known else F.lit(None).cast("string")).alias("catalogs"),
         F.col("SVID").alias("representative_svid"),
@@ -80,10 +93,9 @@ def build_segments(calls: DataFrame) -> DataFrame:
 
 def with_disease_loci(loci: DataFrame, curated: DataFrame, window: int = 10) -> DataFrame:
     """loci with the nearest curated locus within window; ties go to the smaller id."""
-    s = curated.select(*[F.col(c).alias(f"s_{c}") for c in curated.columns])
-    on = (F.col("s_chrom") == F.col("chrom")) & F.col("pos").between(F.col("s_start") - window, F.col("s_end") + window)
-    d = point_distance(F.col("pos"), F.col("s_start"), F.col("s_end"))
-    hit = loci.select("locus_id", "chrom", "pos").join(s, on).withColumn("disease_distance_bp", d)
+    s = curated.select(*[F.col(c).alias(f"s_{c}") for c in curated.columns]).withColumns({"_from": F.col("s_start") - window, "_to": F.col("s_end") + window + 1})
+    asked = loci.select("locus_id", "chrom", "pos").withColumn("_next", F.col("pos") + 1)
+    hit = overlap_join(asked, s, "chrom", "pos", "_next", "s_chrom", "_from", "_to").withColumn("disease_distance_bp", point_distance(F.col("pos"), F.col("s_start"), F.col("s_end")))
     first = best_hit(hit, ["locus_id"], [F.col("disease_distance_bp"), F.col("s_id")]).select("locus_id", "disease_distance_bp", *[F.col(f"s_{c}").alias(f"disease_{c}") for c in curated.columns if c not in ("chrom", "start", "end")])
     return loci.join(first, "locus_id", "left").withColumn("disease_locus", F.col("disease_id").isNotNull())
 

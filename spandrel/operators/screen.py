@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.coords import normalize_chrom, to_internal
 from ..functions.motifs import Equivalence, Tolerance, compare, with_canonical
@@ -82,11 +81,12 @@ def screen(calls: DataFrame, catalogue: DataFrame, prefix: str = "", chrom: str
     rows = with_canonical(rows, "motif", "_tc", how).select(F.col("chrom").alias("_rc"), F.col("start").alias("_rs"), F.col("end").alias("_re"), F.col("motif").alias("_rm"), "_tc", *[F.col(c).alias(f"_x_{c}") for c in extra])
     pairs = window_join(asked, rows, "_chrom", "_point", "_rc", "_rs", "_re", window)
     pairs = pairs.withColumn("_m", compare(F.col("_motif"), F.col("_qc"), F.col("_tc"), how, tolerance))
-    copies = F.coalesce(F.col("_x_copy_num"), F.lit(0.0)) if "copy_num" in extra else F.lit(0.0)
-    order = [F.when(F.col("_m.kind") != "", 0).otherwise(1), F.col("_m.edits"), F.col("distance"), copies.desc(), F.col("_rs"), F.col("_re"), F.col("_rm")]
-    ranked = pairs.withColumn("n_nearby", F.count("*").over(Window.partitionBy(*key)))
-    best = best_hit(ranked, key, order)
-    best = best.select(*key, "n_nearby", "_rs", "_re", "distance", "_rm", "_tc", "_m", *[f"_x_{c}" for c in extra])
+    copies = F.coalesce(F.col("_x_copy_num").cast("double"), F.lit(0.0)) if "copy_num" in extra else F.lit(0.0)
+    # the order of candidates is that of a struct, whose least one aggregate finds along with their number
+    order = [F.when(F.col("_m.kind") != "", 0).otherwise(1), F.col("_m.edits"), F.col("distance"), -copies, F.col("_rs"), F.col("_re"), F.col("_rm")]
+    held = ["_rs", "_re", "distance", "_rm", "_tc", "_m", *[f"_x_{c}" for c in extra]]
+    least = F.min(F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)], *[F.col(c).alias(f"h{k}") for k, c in enumerate(held)])).alias("_best")
+    best = pairs.groupBy(*key).agg(F.count("*").alias("n_nearby"), least).select(*key, "n_nearby", *[F.col(f"_best.h{k}").alias(c) for k, c in enumerate(held)])
     covered = catalogue.select(F.col("chrom").alias("_chrom")).distinct().withColumn("_covered", F.lit(True))
     out = q.join(best, key, "left").join(covered, "_chrom", "left")
     novelty = F.when(F.col("_covered").isNull(), "unscreened").when(F.col("n_nearby").isNull(), "novel_locus").when(F.col("_m.kind") != "", "known").otherwise("novel_motif")
@@ -145,16 +145,16 @@ def agreement_predicate(mode: str, a: Column, b: Column) -> Column:
     return {"both_novel": na & nb, "either_novel": na | nb, "both_known": ~na & ~nb, "disagree": na != nb}[mode]
 
 
-def sweep(df: DataFrame, grid: dict[str, list], rule, metrics: dict[str, Column]) -> DataFrame:
-    """Every setting of the grid evaluated in one pass: settings are a small table of len(product) rows, joined by broadcast, and
-    metrics aggregate the rows that rule(setting columns) admits."""
+def sweep_filters(df: DataFrame, grid: dict[str, list], rule, unit: str) -> DataFrame:
+    """A row for each setting of the grid: its values, n (rows that rule admits) and n_units (different units among them). One pass: a unit's rows are
+    counted under every setting at once, then the units. operators.sweep does the same for the screen's own knobs."""
     from itertools import product
 
-    spark = df.sparkSession
-    settings = spark.createDataFrame([tuple(map(float, x)) for x in product(*grid.values())], [f"s_{k}" for k in grid])
-    held = df.withColumn("_all", F.lit(1)).join(F.broadcast(settings.withColumn("_all", F.lit(1))), "_all")
-    keep = rule({k: F.col(f"s_{k}") for k in grid})
-    return held.withColumn("_keep", keep).groupBy(*[f"s_{k}" for k in grid]).agg(*[m.alias(n) for n, m in metrics.items()])
+    settings = [dict(zip(grid, map(float, x), strict=True)) for x in product(*grid.values())]
+    per = df.groupBy(unit).agg(*[F.count_if(rule({k: F.lit(v) for k, v in s.items()})).alias(f"n{t}") for t, s in enumerate(settings)])
+    one = per.agg(*[c for t in range(len(settings)) for c in (F.coalesce(F.sum(f"n{t}"), F.lit(0)).alias(f"n{t}"), F.count_if(F.col(f"n{t}") > 0).alias(f"u{t}"))])
+    rows = [F.struct(*[F.lit(v).alias(f"s_{k}") for k, v in s.items()], F.col(f"n{t}").alias("n"), F.col(f"u{t}").alias("n_units")) for t, s in enumerate(settings)]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def parse_axis(text: str) -> list[float | None]:

@@ -19,6 +19,22 @@ def nearest_vectors(index: DataFrame, query: list[float], k: int = 5, threshold:
     return scored.orderBy(F.col("score").desc(), ident).limit(k).withColumn("accepted", F.col("score") >= threshold)
 
 
+TERM = r"^HP:[0-9]{7}$"
+
+
+def phenotype_genes(index: DataFrame, query: DataFrame, terms: DataFrame, edges: DataFrame, genes: DataFrame, k: int = 5, threshold: float = 0.3) -> DataFrame:
+    """gene_symbol of the genes tied to a query's terms and to their parents and children.
+
+    index: id, vector (unit length); query: one row with a vector q; terms: id, obsolete; edges: child, parent; genes: hpo_id, gene_symbol. Of the k nearest ids
+    those at or above the threshold count, if they have a term's form, exist and aren't obsolete.
+    """
+    scored = index.crossJoin(F.broadcast(query)).withColumn("score", dot(F.col("vector"), F.col("q"))).select("id", "score")  # one row
+    near = scored.orderBy(F.col("score").desc(), "id").limit(k).filter((F.col("score") >= threshold) & F.col("id").rlike(TERM))
+    known = near.join(terms.filter(~F.col("obsolete")), "id").select(F.col("id").alias("term"))
+    every = known.unionByName(related_terms(known, edges).select(F.col("related").alias("term"))).distinct()
+    return genes_for_terms(genes, every.select(F.col("term").alias("hpo_id")))
+
+
 def related_terms(terms: DataFrame, edges: DataFrame) -> DataFrame:
     """Parents and children of the given terms. edges: child, parent."""
     up = terms.join(edges, F.col("term") == F.col("child")).select("term", F.lit("parent").alias("relation"), F.col("parent").alias("related"))

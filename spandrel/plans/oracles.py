@@ -15,6 +15,9 @@ _POINTS = f"(select c_custkey, 'chr' || c_nationkey as chrom, floor(c_acctbal)::
 _CAT = f"(select s_suppkey, 'chr' || s_nationkey as chrom, floor(s_acctbal)::bigint as start, floor(s_acctbal)::bigint + 500 as stop, {_dna('s_suppkey', 3)} as motif from supplier)"
 
 
+_SHORT = _CAT.replace("+ 500 as stop", "+ 60 as stop")
+
+
 def _distance(p: str, s: str, e: str) -> str:
     return f"case when {p} + 1 > {s} and {p} < {e} then 0 when {p} >= {e} then {p} - {e} + 1 else {s} - {p} end"
 
@@ -98,24 +101,24 @@ ORACLES: dict[str, str] = {
     "any_value_block": "select s_nationkey, any_value(n_name) as n_name, count(*) as n from supplier join nation on s_nationkey = n_nationkey group by 1",
     "array_count_sort": """with a as (select l_partkey as locus_id, l_orderkey as sample, max(l_quantity::int) as len, count(*) filter (where l_returnflag = 'N') as n_arrays from lineitem group by 1, 2),
       r as (select *, row_number() over (partition by locus_id order by len, sample) as rn, count(*) over (partition by locus_id) as n from a) select locus_id, n_arrays from r where rn = (n + 1) // 2 order by n_arrays desc, locus_id limit 100""",
-    "disease_locus_join": f"""with p as (select c_custkey as locus_id, chrom, point as pos from {_POINTS}), s as (select * from {_CAT} where s_suppkey % 2 = 0),
+    "disease_locus_join": f"""with p as (select c_custkey as locus_id, chrom, point as pos from {_POINTS}), s as (select * from {_CAT}),
       hit as (select locus_id, s_suppkey, greatest(0, start - pos, pos - stop) as d, row_number() over (partition by locus_id order by greatest(0, start - pos, pos - stop), s_suppkey) as rn from p join s on s.chrom = p.chrom and pos between start - 10 and stop + 10)
       select p.*, d as disease_distance_bp, s_suppkey as disease_id, s_suppkey is not null as disease_locus from p left join (select * from hit where rn = 1) h on p.locus_id = h.locus_id""",
     "range_join_best_hit": f"""with hit as (select c_custkey, s_suppkey, {_distance('point', 'start', 'stop')} as distance from {_POINTS} p join {_CAT} c on p.chrom = c.chrom and start < point + 11 and stop > point - 10),
       r as (select *, row_number() over (partition by c_custkey order by distance, s_suppkey) as rn, count(*) over (partition by c_custkey) as n from hit)
       select p.c_custkey, s_suppkey as r_id, distance, coalesce(n, 0) as n_nearby from {_POINTS} p left join (select * from r where rn = 1) r on p.c_custkey = r.c_custkey""",
     "range_join_pairs": f"select a.s_suppkey as r_id, b.s_suppkey as or_id, least(a.stop, b.stop) - greatest(a.start, b.start) as shared from {_CAT} a join {_CAT} b on a.chrom = b.chrom and b.start < a.stop and b.stop > a.start and a.s_suppkey < b.s_suppkey",
-    "range_semi": f"select c_custkey, chrom, point from {_POINTS} p where exists (select 1 from {_CAT} c where s_suppkey % 10 < 3 and c.chrom = p.chrom and c.start < p.point + 1 and c.stop > p.point)",
-    "range_anti": f"select c_custkey, chrom, point from {_POINTS} p where not exists (select 1 from {_CAT} c where s_suppkey % 10 < 3 and c.chrom = p.chrom and c.start < p.point + 1 and c.stop > p.point)",
-    "range_overlap_fraction": f"select a.s_suppkey as r_id, b.s_suppkey as or_id from {_CAT} a join {_CAT} b on a.chrom = b.chrom and b.start < a.stop and b.stop > a.start where b.s_suppkey % 10 < 3 and (least(a.stop, b.stop) - greatest(a.start, b.start)) / (b.stop - b.start) >= 0.5",
-    "coverage_unscreened": _screen(10, "where s_suppkey < 10") + f" select p.c_custkey, {_STATUS} as novelty, coalesce(r.n, 0) as n_nearby from p left join (select * from r where rn = 1) r on p.c_custkey = r.c_custkey",
+    "range_semi": f"select c_custkey, chrom, point from {_POINTS} p where exists (select 1 from {_SHORT} c where c.chrom = p.chrom and c.start < p.point + 1 and c.stop > p.point)",
+    "range_anti": f"select c_custkey, chrom, point from {_POINTS} p where not exists (select 1 from {_SHORT} c where c.chrom = p.chrom and c.start < p.point + 1 and c.stop > p.point)",
+    "range_overlap_fraction": f"select a.s_suppkey as r_id, b.s_suppkey as or_id from {_CAT} a join {_SHORT} b on a.chrom = b.chrom and b.start < a.stop and b.stop > a.start where (least(a.stop, b.stop) - greatest(a.start, b.start)) / (b.stop - b.start) >= 0.5",
+    "coverage_unscreened": _screen(10).replace("'chr' || c_nationkey", "'chr' || 2 * c_nationkey") + f" select p.c_custkey, {_STATUS} as novelty, coalesce(r.n, 0) as n_nearby from p left join (select * from r where rn = 1) r on p.c_custkey = r.c_custkey",
     "novelty_screen": _screen(25) + f" select p.c_custkey, {_STATUS} as ucsc_novelty, coalesce(r.n, 0) as ucsc_n_nearby, r.start as ucsc_start, r.distance as ucsc_distance, r.cm as ucsc_motif, case when r.pc = r.cc then 'exact' when r.n is not null then '' end as ucsc_match from p left join (select * from r where rn = 1) r on p.c_custkey = r.c_custkey",
     "nearest_locus": """with c as (select c_custkey, c_nationkey as k, floor(c_acctbal * 100)::bigint as at from customer), s as (select s_nationkey as k, floor(s_acctbal * 100)::bigint as at, s_suppkey from supplier),
       r as (select c.c_custkey, s_suppkey, abs(c.at - s.at) as d, row_number() over (partition by c.c_custkey order by abs(c.at - s.at), s.at, s_suppkey) as rn from c join s on c.k = s.k)
       select c.c_custkey, s_suppkey as nearest_s_suppkey, d as nearest_distance from c left join (select * from r where rn = 1) r on c.c_custkey = r.c_custkey""",
     "annotation_join_checked": "select p_brand, count(*) as n, sum(p_size)::bigint as total_size, count(*) filter (where p_size is null) as unmatched from lineitem left join part on l_partkey = p_partkey group by 1",
     "completeness_check": "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 100000)",
-    "gene_join": "select distinct p_name as gene_symbol from part where p_brand in (select distinct p_brand from part order by 1 limit 3) and p_name <> '-'",
+    "gene_join": "select distinct p_name as gene_symbol from part where p_brand in (select p_brand from part where p_size = 50) and p_name <> '-'",
     "related_terms": "with e as (select n_nationkey::bigint as child, n_regionkey::bigint as parent from nation), t as (select distinct parent as term from e) select distinct term, 'parent' as relation, parent as related from t join e on term = child union select distinct term, 'child', child from t join e on term = parent",
     "canonical_motif": f"select p_partkey, motif, {_canonical('motif')} as canonical from {_MOTIFS}",
     "canonical_motif_both_strands": f"select p_partkey, least({_canonical('motif')}, {_canonical('rc')}) as canonical, rc, round((length(motif) - length(translate(motif, 'GC', ''))) / length(motif), 6) as gc from (select *, {_RC} as rc from {_MOTIFS})",
@@ -141,7 +144,9 @@ ORACLES: dict[str, str] = {
     "top_with_other": "with t as (select p_brand, sum(p_size)::bigint as total from part group by 1), r as (select *, row_number() over (order by total desc, p_brand) as r from t) select case when r <= 3 then p_brand else 'Other' end as p_brand, sum(total)::bigint as total from r group by 1",
     "share_of_total": "select lang, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from documents group by 1",
     "distinct_per_group": "select l_returnflag, count(distinct (l_partkey, l_suppkey)) as n_pairs, count(distinct l_suppkey) filter (where l_linestatus = 'O') as n_open_suppliers, arg_max(l_orderkey, (l_extendedprice, l_orderkey)) as dearest from lineitem group by 1",
-    "kmer_spectrum": "with k as (select substr(p_name, unnest(range(1, length(p_name) - 2))::int, 4) as kmer from part where length(p_name) >= 4), c as (select kmer, count(*) as n from k group by 1) select least(n, 255) as occurrences, count(*) as n_kmers from c group by 1",
+    "kmer_spectrum_dna": f"""with s as (select upper({_dna('p_partkey', 12)} || case when p_size % 5 = 0 then 'N' else '' end || {_dna('p_partkey + 1', 12)}) as q from part), k as (select substr(q, unnest(range(1, length(q) - 1))::int, 3) as kmer from s where length(q) >= 3),
+      c as (select least(kmer, reverse(translate(kmer, 'ACGT', 'TGCA'))) as kmer, count(*) as n from k where not contains(kmer, 'N') group by 1) select least(n, 255) as occurrences, count(*) as n_kmers from c group by 1""",
+    "kmer_spectrum": "with k as (select substr(text, unnest(range(1, length(text) - 2))::int, 4) as kmer from documents where length(text) >= 4), c as (select kmer, count(*) as n from k group by 1) select least(n, 255) as occurrences, count(*) as n_kmers from c group by 1",
     "jaccard_agreement": "select round(coalesce(count(*) filter (where a and b) / nullif(count(*) filter (where a or b), 0), 0.0), 6) as agreement from (select quality <> 1 as a, toxic <> 0 as b from labels)",
     "balanced_accuracy": "select round((avg(case when quality = 1 then (toxic = 0)::int end) + avg(case when quality <> 1 then (toxic <> 0)::int end)) / 2, 6) as balanced_accuracy from labels",
     "grid_sweep": "with g as (select q::double as s_quantity, d::double as s_discount from (select unnest([10, 20, 30, 40]) as q), (select unnest([0.02, 0.05, 0.08]) as d)) select s_quantity, s_discount, count(*) filter (where k) as n, count(distinct l_orderkey) filter (where k) as n_orders from (select g.*, l_orderkey, l_quantity >= s_quantity and l_discount >= s_discount as k from lineitem, g) group by 1, 2",
@@ -149,7 +154,7 @@ ORACLES: dict[str, str] = {
     "unpivot_metrics": "select o_orderstatus, 'mean' as metric, round(avg(o_totalprice), 2) as value from orders group by 1 union all select o_orderstatus, 'max', round(max(o_totalprice), 2) from orders group by 1",
     "knn_cosine": "with q as (select embedding as e from embeddings where vec_id = 0), s as (select vec_id, list_sum(list_transform(list_zip(embedding, (select e from q)), lambda x: x[1]::double * x[2]::double)) as s from embeddings) select vec_id, round(s, 4) as score, s >= 0.5 as accepted from s order by s desc, vec_id limit 10",
     "event_windows": "select time_bucket(interval 1 day, ts) as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2",
-    "ancestry_burden": """with c as (select c_custkey as s, c_mktsegment as superpop from customer where c_custkey % 5 <> 0), o as (select superpop, o_orderstatus as verdict, o_orderdate, o_orderpriority from orders join c on o_custkey = s),
+    "ancestry_burden": """with c as (select c_custkey as s, c_mktsegment as superpop from customer where c_acctbal > 0), o as (select superpop, o_orderstatus as verdict, o_orderdate, o_orderpriority from orders join c on o_custkey = s),
       e as (select distinct superpop, v as verdict from o, (select unnest(['F', 'O', 'P', 'X']) as v)), n as (select superpop, verdict, count(*) as n_calls, count(distinct (o_orderdate, o_orderpriority)) as n_sites from o group by 1, 2)
       select e.superpop, e.verdict, coalesce(n_calls, 0) as n_calls, coalesce(n_sites, 0) as n_sites from e left join n on e.superpop = n.superpop and e.verdict = n.verdict""",
     "population_summary": "with n as (select o_custkey as s, count(*) as n from orders group by 1) select c_mktsegment as superpop, count(*) as n, round_even(avg(n), 0)::bigint as mean, round_even(median(n), 0)::bigint as median from customer join n on c_custkey = s group by 1",
@@ -169,3 +174,65 @@ ORACLES: dict[str, str] = {
     "display_scales": "with t as (select greatest(10.0, pow(10.0, ceil(log10(max(p_retailprice))))) as top from part) select p_partkey, round(least(greatest(100 * ln(1 + p_size) / ln(1 + top), 0.0), 100.0), 6) as place, round(greatest(4.0, 100 * sqrt(p_size / 50)), 6) as width from part, t",
     "dominant_motifs": "with s as (select l_orderkey, l_returnflag as motif, sum(l_quantity::bigint)::bigint as bases, sum(l_linenumber)::bigint as copies from lineitem group by 1, 2) select l_orderkey, motif, bases, copies from (select *, row_number() over (partition by l_orderkey order by bases desc, motif desc) as rn from s) where rn = 1",
 }
+
+# --- tolerant comparison, disease screen and others in plain SQL -------------------------------------------------------
+
+
+def _unit(m: str) -> str:
+    return f"coalesce(substr({m}, 1, list_filter(range(1, length({m})), lambda k: length({m}) % k = 0 and repeat(substr({m}, 1, k::int), (length({m}) // k)::int) = {m})[1]::int), {m})"
+
+
+def _turns(u: str) -> str:
+    return f"list_transform(range(0, length({u})), lambda i: substr({u}, i::int + 1) || substr({u}, 1, i::int))"
+
+
+def _mention(term: str) -> str:
+    return f"regexp_matches(text, '(?i)(?:^|[^0-9A-Za-z_]){term}(?:[^0-9A-Za-z_]|$)')"
+
+
+def _ladder(strategies: dict[str, list[str]], must: str) -> str:
+    parts = []
+    for name, terms in strategies.items():
+        hit = " and ".join(_mention(t) for t in terms)
+        parts.append(f"select '{name}' as strategy, {len(terms)}::int as specificity, count(*) filter (where {hit}) as hits, count(*) filter (where {hit} and {_mention(must)}) as mentioning from documents")
+    return f"select *, round(mentioning / nullif(hits, 0), 6) as coverage from ({' union all '.join(parts)})"
+
+
+_LAID = "list_min(list_transform({turns}, lambda t: list_sum(list_transform(range(1, length({whole}) + 1), lambda j: (substr(repeat(t, length({whole})::int), j::int, 1) <> substr({whole}, j::int, 1))::int))))"
+_TOLERANT = f"""with p as (select *, {_canonical('motif')} as pc, {_unit('motif')} as u from {_POINTS}), c as (select *, {_canonical('motif')} as cc from {_CAT}),
+  pair as (select p.c_custkey, pc, u, cc, c.start, c.stop, c.motif as cm, {_distance('p.point', 'c.start', 'c.stop')} as distance from p join c on p.chrom = c.chrom and c.start < p.point + 26 and c.stop > p.point - 25),
+  kinds as (select distinct pc, u, cc, case when length(pc) <= length(cc) then pc else cc end as a, case when length(pc) <= length(cc) then cc else pc end as b from pair),
+  told as (select pc, u, cc, case when pc = cc then 0 when abs(length(pc) - length(cc)) <= 1 then list_min(list_transform({_turns('u')}, lambda f: levenshtein(f, cc))) end as near,
+    case when 2 * length(a) <= length(b) then {_LAID.format(turns=_turns('a'), whole='b')} end as laid from kinds),
+  judged as (select pc, u, cc, case when pc = cc then 'exact' when near <= 1 then 'fuzzy' when laid <= 1 then 'subrepeat' else '' end as kind, case when pc = cc then 0 when near <= 1 then near when laid <= 1 then laid else 2 end as edits from told),
+  r as (select pair.c_custkey, kind, edits, row_number() over (partition by c_custkey order by case when kind <> '' then 0 else 1 end, edits, distance, start, stop, cm) as rn from pair join judged using (pc, u, cc))
+  select case when p.chrom not in (select chrom from c) then 'unscreened' when kind is null then 'novel_locus' when kind <> '' then 'known' else 'novel_motif' end as novelty, kind as match, count(*) as n, sum(edits)::bigint as edits
+  from p left join (select * from r where rn = 1) r on p.c_custkey = r.c_custkey group by 1, 2"""
+_BOTH = f"least({_canonical('m')}, {_canonical('rc')})"
+_FOLD = f"(select {_BOTH} from (select m, reverse(translate(m, 'ACGT', 'TGCA')) as rc))"
+_DISEASE = f"""with forms as (select m, {_BOTH} as f from (select m, reverse(translate(m, 'ACGT', 'TGCA')) as rc from (select motif as m from {_POINTS} union select motif from {_CAT} union select 'ACG'))),
+  p as (select p.*, f, c_custkey % 60 as units from {_POINTS} p join forms on m = motif), c as (select c.*, 'L' || lpad(s_suppkey::varchar, 6, '0') as id, f, (select f from forms where m = 'ACG') as ref from {_CAT} c join forms on m = motif),
+  hit as (select c_custkey, id, case when p.f = c.f then 1 when p.f = ref then 2 else 6 end as rank, {_distance('p.point', 'c.start', 'c.stop')} as distance from p join c on p.chrom = c.chrom and c.start < p.point + 51 and c.stop > p.point - 50),
+  r as (select *, row_number() over (partition by c_custkey order by rank, distance, id) as rn, count(*) over (partition by c_custkey) as n from hit),
+  j as (select p.*, id, rank, n, case when id is not null then 10.0 + units end as copies from p left join (select * from r where rn = 1) r on p.c_custkey = r.c_custkey),
+  k as (select *, case when id is null or copies is null then 'unknown' when copies >= 40 then 'pathogenic' when copies between 1 and 39 then 'benign' else 'unknown' end as allele_class from j)
+  select case when id is null then 'no_locus_match' when rank = 6 then 'locus_novel_motif' when rank = 1 and allele_class = 'pathogenic' then 'pathogenic_expansion' when rank = 1 then 'pathogenic_motif' else 'locus_known_motif' end as status,
+    case when rank = 1 then 'pathogenic' when rank = 2 then 'reference' else 'none' end as motif_class, allele_class, case when id is not null then true end as gene_agrees, count(*) as n, sum(coalesce(n, 0))::bigint as nearby from k group by 1, 2, 3, 4"""
+_PURE = f"({_dna('p_partkey', 5)})"
+ORACLES |= {
+    "novelty_screen_tolerant": _TOLERANT,
+    "disease_screen": _DISEASE,
+    "rotation_distance": f"""with m as (select distinct {_dna('p_partkey', 12)} as motif from part), d as (select motif, {_canonical('motif')} as qc, {_unit('motif')} as u, (select {_canonical("x")} from (select 'ACGTT' as x)) as tc from m),
+      e as (select motif, case when qc = tc then 0 when abs(length(qc) - length(tc)) > 2 then 3 else least(3, list_min(list_transform({_turns('u')}, lambda f: levenshtein(f, tc)))) end as edits from d)
+      select edits::int as edits, count(*) as n from part join e on motif = {_dna('p_partkey', 12)} group by 1""",
+    "query_ladder": _ladder({"narrow": ["the", "and", "license"], "middle": ["the", "license"], "wide": ["license"], "none": ["zzzz"]}, "public"),
+    "longest_pure_segments": f"""with s as (select p_partkey, repeat({_dna('p_partkey', 5)}, (p_size % 9 + 1)::int) || {_dna('p_partkey + 7', 9)} as q from part),
+      c as (select p_partkey, q, p, i, list_max(list_filter(range(1, length(q) // p + 1), lambda c: substr(q, i::int, (p * c)::int) = repeat(substr(q, i::int, p::int), c::int))) as c from s, (select unnest(range(1, 13)) as p), (select unnest(range(1, 60)) as i) where p < length(q) and i <= length(q)),
+      r as (select *, row_number() over (partition by p_partkey order by p * c desc, p, i) as rn from c where c > 1)
+      select s.p_partkey, coalesce(substr(r.q, i::int, p::int), '') as motif, coalesce(c, 0)::int as copies from s left join r on r.p_partkey = s.p_partkey and rn = 1""",
+    "event_sessions": """with e as (select user_id, ts, case when ts > lag(ts) over (partition by user_id order by ts) + interval 6 hours then 1 else 0 end as new from events where ts is not null and user_id is not null),
+      s as (select *, sum(new) over (partition by user_id order by ts rows between unbounded preceding and current row) as k from e)
+      select user_id, min(ts) as session_start, max(ts) + interval 6 hours as session_end, count(*) as n from s group by user_id, k""",
+    "exon_ladder": """with s as (select p_partkey, list_sort(list_distinct(list_filter([1, 50, p_size - 1, p_size, p_size + 1], lambda x: x between 1 and 50))) as l from part)
+      select p_partkey, array_to_string(flatten(list_transform(l, lambda x, i: case when i > 1 and x - l[i - 1] > 1 then [-1, x] else [x] end)), ',') as ladder from s""",
+}

@@ -258,7 +258,7 @@ def array_count_sort(spark, sf_dir):
 @query
 def disease_locus_join(spark, sf_dir):
     points = _points(spark, sf_dir).select(F.col("c_custkey").alias("locus_id"), "chrom", F.col("point").alias("pos"))
-    curated = _catalogue(spark, sf_dir).filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("id"), "chrom", "start", "end")
+    curated = _catalogue(spark, sf_dir).select(F.col("s_suppkey").alias("id"), "chrom", "start", "end")
     return rollup.with_disease_loci(points, curated, 10)
 
 
@@ -281,8 +281,9 @@ def range_join_pairs(spark, sf_dir):
     return j.select("r_id", "or_id", (F.least("r_end", "or_end") - F.greatest("r_start", "or_start")).alias("shared"))
 
 
-def _some_catalogue(spark, sf_dir):
-    return _named(_catalogue(spark, sf_dir).filter("s_suppkey % 10 < 3"))
+def _short_catalogue(spark, sf_dir):
+    """The same starts, but intervals short enough to leave points outside."""
+    return _named(_catalogue(spark, sf_dir).withColumn("end", F.col("start") + 60))
 
 
 def _intervals_of_points(spark, sf_dir):
@@ -291,17 +292,17 @@ def _intervals_of_points(spark, sf_dir):
 
 @query
 def range_semi(spark, sf_dir):
-    return intervals.overlap_join(_intervals_of_points(spark, sf_dir), _some_catalogue(spark, sf_dir), "chrom", "point", "stop", "r_chrom", "r_start", "r_end", "left_semi").select("c_custkey", "chrom", "point")
+    return intervals.overlap_join(_intervals_of_points(spark, sf_dir), _short_catalogue(spark, sf_dir), "chrom", "point", "stop", "r_chrom", "r_start", "r_end", "left_semi").select("c_custkey", "chrom", "point")
 
 
 @query
 def range_anti(spark, sf_dir):
-    return intervals.overlap_join(_intervals_of_points(spark, sf_dir), _some_catalogue(spark, sf_dir), "chrom", "point", "stop", "r_chrom", "r_start", "r_end", "left_anti").select("c_custkey", "chrom", "point")
+    return intervals.overlap_join(_intervals_of_points(spark, sf_dir), _short_catalogue(spark, sf_dir), "chrom", "point", "stop", "r_chrom", "r_start", "r_end", "left_anti").select("c_custkey", "chrom", "point")
 
 
 @query
 def range_overlap_fraction(spark, sf_dir):
-    a, b = _named(_catalogue(spark, sf_dir)), _some_catalogue(spark, sf_dir)
+    a, b = _named(_catalogue(spark, sf_dir)), _short_catalogue(spark, sf_dir)
     b = b.select(*[F.col(c).alias("o" + c) for c in b.columns])
     j = intervals.overlap_join(a, b, "r_chrom", "r_start", "r_end", "or_chrom", "or_start", "or_end")
     return j.filter(intervals.overlap_fraction_at_least("r_start", "r_end", "or_start", "or_end", 0.5)).select("r_id", "or_id")
@@ -309,7 +310,9 @@ def range_overlap_fraction(spark, sf_dir):
 
 @query
 def coverage_unscreened(spark, sf_dir):
-    out = screen.screen(_points(spark, sf_dir), _catalogue(spark, sf_dir).filter("s_suppkey < 10").drop("s_suppkey"), window=10)
+    # every other contig of the points, and those past the suppliers' nations, have no interval at all
+    points = _points(spark, sf_dir).withColumn("chrom", F.concat(F.lit("chr"), 2 * F.substring("chrom", 4, 9).cast("int")))
+    out = screen.screen(points, _catalogue(spark, sf_dir).drop("s_suppkey"), window=10)
     return out.select("c_custkey", "novelty", F.col("n_nearby").cast("long").alias("n_nearby"))
 
 
@@ -327,7 +330,7 @@ def novelty_screen_tolerant(spark, sf_dir):
 
 @query
 def disease_screen(spark, sf_dir):
-    s = _catalogue(spark, sf_dir).filter("s_suppkey % 3 = 0")
+    s = _catalogue(spark, sf_dir)
     n = lambda x: F.lit(x).cast("double")
     loci = s.select(
         F.concat(F.lit("L"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0")).alias("id"), F.lit("G").alias("gene"), "chrom", "start", "end", F.lit(10.0).alias("ref_copies"),
@@ -362,7 +365,7 @@ def completeness_check(spark, sf_dir):
 @query
 def gene_join(spark, sf_dir):
     p = _t(spark, sf_dir, "part").select(F.col("p_name").alias("gene_symbol"), F.col("p_brand").alias("hpo_id"))
-    terms = p.select("hpo_id").distinct().orderBy("hpo_id").limit(3)
+    terms = _t(spark, sf_dir, "part").filter("p_size = 50").select(F.col("p_brand").alias("hpo_id"))
     return search.genes_for_terms(p, terms, placeholder="-")
 
 
@@ -553,7 +556,14 @@ def distinct_per_group(spark, sf_dir):
 
 @query
 def kmer_spectrum(spark, sf_dir):
-    return report.kmer_spectrum(_t(spark, sf_dir, "part"), "p_name", 4)
+    return report.kmer_spectrum(_t(spark, sf_dir, "documents"), "text", 4)
+
+
+@query
+def kmer_spectrum_dna(spark, sf_dir):
+    """Both strands as one, and nothing that holds N."""
+    p = _t(spark, sf_dir, "part").select(F.concat(_dna(F.col("p_partkey"), 12), F.when(F.col("p_size") % 5 == 0, "N").otherwise(""), F.lower(_dna(F.col("p_partkey") + 1, 12))).alias("seq"))
+    return report.kmer_spectrum(p, "seq", 3, strands=True)
 
 
 @query
@@ -572,7 +582,7 @@ def balanced_accuracy(spark, sf_dir):
 def grid_sweep(spark, sf_dir):
     grid = {"quantity": [10, 20, 30, 40], "discount": [0.02, 0.05, 0.08]}
     rule = lambda s: (F.col("l_quantity") >= s["quantity"]) & (F.col("l_discount") >= s["discount"])
-    return screen.sweep(_t(spark, sf_dir, "lineitem"), grid, rule, {"n": F.count_if("_keep"), "n_orders": F.countDistinct(F.when(F.col("_keep"), F.col("l_orderkey")))})
+    return screen.sweep_filters(_t(spark, sf_dir, "lineitem"), grid, rule, "l_orderkey").withColumnRenamed("n_units", "n_orders")
 
 
 @query
@@ -620,8 +630,8 @@ def event_sessions(spark, sf_dir):
 # --- J29 ff.: cohorts, validation, display ---------------------------------------------------------------------------
 
 
-def _samples(spark, sf_dir):
-    return _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sample"), F.col("c_mktsegment").alias("superpop"))
+def _samples(spark, sf_dir, known: str = "true"):
+    return _t(spark, sf_dir, "customer").filter(known).select(F.col("c_custkey").alias("sample"), F.col("c_mktsegment").alias("superpop"))
 
 
 @query
@@ -629,7 +639,7 @@ def ancestry_burden(spark, sf_dir):
     from ..operators import cohort
 
     calls = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("sample"), F.col("o_orderstatus").alias("verdict"), "o_orderdate", "o_orderpriority")
-    df, _ = cohort.with_ancestry(calls, _samples(spark, sf_dir).filter("sample % 5 <> 0"))
+    df, _ = cohort.with_ancestry(calls, _samples(spark, sf_dir, "c_acctbal > 0"))
     return cohort.burden(df.filter("superpop is not null"), "superpop", "verdict", ["F", "O", "P", "X"], ["o_orderdate", "o_orderpriority"])
 
 
@@ -727,8 +737,8 @@ def display_scales(spark, sf_dir):
 def exon_ladder(spark, sf_dir):
     from ..operators import display
 
-    p = _t(spark, sf_dir, "part").filter("p_size <= 12")
-    return p.select("p_partkey", F.array_join(display.exon_ladder(F.col("p_size").cast("int"), F.lit(12)), ",").alias("ladder"))
+    p = _t(spark, sf_dir, "part")
+    return p.select("p_partkey", F.array_join(display.exon_ladder(F.col("p_size").cast("int"), F.lit(50)), ",").alias("ladder"))
 
 
 @query
@@ -737,3 +747,6 @@ def dominant_motifs(spark, sf_dir):
 
     segs = _t(spark, sf_dir, "lineitem").select("l_orderkey", F.lit("repeat").alias("seg_type"), F.col("l_returnflag").alias("motif"), F.lit(0).alias("start"), F.col("l_quantity").cast("long").alias("end"), F.col("l_linenumber").cast("long").alias("units"))
     return display.dominant_motifs(segs, ["l_orderkey"])
+
+
+from . import product_queries, source_queries  # noqa: E402, F401  they register themselves

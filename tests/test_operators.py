@@ -128,3 +128,74 @@ def test_reports(spark):
     assert screen.parse_axis("0:1:0.5") == [0.0, 0.5, 1.0] and screen.parse_axis("none") == [None]
     best = search.best_strategy(spark.createDataFrame([("n", 3, 0, None), ("m", 2, 9, 0.9), ("w", 1, 99, 1.0)], "strategy string, specificity int, hits long, coverage double")).first()
     assert best.strategy == "m"
+
+
+def test_numbered_and_running_sum_over_ranges(spark):
+    df = spark.createDataFrame([(k * 7 % 101, k) for k in range(101)], ["v", "w"])
+    got = {x.v: x.at for x in report.numbered(df, [F.col("v").desc()], "at").collect()}
+    assert got == {v: 100 - v for v in range(101)}
+    upto = {x.v: x.s for x in report.running_sum(df, "v", "w", "s").collect()}
+    by = {k * 7 % 101: k for k in range(101)}
+    assert upto == {v: sum(by[u] for u in range(v + 1)) for v in range(101)}
+    both = report.side_by_side(df.select("v"), df.select("w").limit(3), [F.col("v")], [F.col("w")]).collect()
+    assert len(both) == 101 and sum(x.w is not None for x in both) == 3
+
+
+def test_nearest_over_many_ranges(spark):
+    r = random.Random(12)
+    a, b = [(k, 0, r.randint(0, 4000)) for k in range(300)], [(k, 0, r.randint(0, 4000)) for k in range(12)]
+    out = intervals.nearest(spark.createDataFrame(a, ["i", "g", "v"]), spark.createDataFrame(b, ["j", "g", "w"]), ["g"], "v", "w", "j").collect()
+    assert len(out) == 300
+    for x in out:
+        assert (x.nearest_distance, x.nearest_j) == min((abs(x.v - w), w, j) for j, _, w in b)[::2]
+
+
+def test_values_are_trimmed_and_sources_keep_classes(spark, tmp_path):
+    from spandrel.functions import text
+    from spandrel.sources import tables
+
+    got = spark.sql("select ' a ; 0b0;; c1 ' as t").select(text.values(F.col("t")).alias("v")).first().v
+    assert got == ["a", "0b0", "c1"]
+    (tmp_path / "d.json").write_text('[{"id": "L", "gene": "G", "chrom": "4", "start_hg38": 1, "stop_hg38": 9, "pathogenic_motif_reference_orientation": ["CAG"], "benign_motif_reference_orientation": ["CAA"]}]')
+    d = tables.disease_catalogue(spark, str(tmp_path / "d.json")).first()
+    assert [(m["class"], m["motif"]) for m in d.motifs] == [("pathogenic", "CAG"), ("benign", "CAA")]
+
+
+def test_sweep_equals_single_screens(spark):
+    from spandrel.operators import sweep
+
+    r = random.Random(14)
+    word = lambda n: "".join(r.choice("AC") for _ in range(n))
+    calls = spark.createDataFrame([(f"chr{r.randint(1, 3)}", r.randint(1, 60), word(r.randint(1, 3)), r.random()) for _ in range(120)], "chrom string, ins_coord long, motif string, purity double")
+    cats = {n: spark.createDataFrame([(f"chr{r.randint(1, 2)}", s := r.randint(0, 60), s + r.randint(1, 9), word(r.randint(1, 7))) for _ in range(15)], "chrom string, start long, end long, motif string") for n in ("a", "b")}
+    axes = {"window": [0, 4], "max_motif_edits": [0, 1], "min_subrepeat_motif": [None, 1], "min_reference_length": [None, 5], "min_purity": [None, 0.4]}
+    rows = sweep.sweep(calls, cats, sweep.settings_of(axes)).collect()
+    assert len(rows) == 32
+    for x in (rows[0], rows[13], rows[22], rows[31]):
+        tol = Tolerance(int(x.max_motif_edits), None, None if x.min_subrepeat_motif is None else int(x.min_subrepeat_motif))
+        df = calls.withColumn("point", F.col("ins_coord") - 1)
+        for n, c in cats.items():
+            df = screen.screen(df, c, f"{n}_", window=int(x.window), tolerance=tol, repeat_filter=screen.RepeatFilter(min_length=None if x.min_reference_length is None else int(x.min_reference_length)))
+        df = df.withColumn("novelty", screen.combined(F.col("a_novelty"), F.col("b_novelty"))).filter(F.lit(True) if x.min_purity is None else F.col("purity") >= x.min_purity)
+        n = {v.novelty: v["count"] for v in df.groupBy("novelty").count().collect()}
+        assert (x.rows_known, x.rows_novel_motif, x.rows_novel_locus, x.rows_unscreened) == tuple(n.get(v, 0) for v in screen.VERDICTS)
+        loci = {(v.status): v.n for v in sweep.two_scopes(df, ["chrom", "ins_coord"]).filter("scope = 'locus'").collect()}
+        assert (x.loci_known, x.loci_novel_motif, x.loci_novel_locus, x.loci_unscreened) == tuple(loci.get(v, 0) for v in screen.VERDICTS)
+
+
+def test_tandem_repeats_and_compression_against_plain_code(spark):
+    import zlib
+
+    from spandrel.functions import motifs, text
+
+    seqs = ["ACGT" * 9 + "TTG", "CAGCAGCAGCAGTTT", "A" * 30, "ACGGT", "", None, "GATTACA" * 4 + "C" + "GATTACA" * 3]
+    got = spark.createDataFrame([(k, s) for k, s in enumerate(seqs)], "i int, s string")
+    found = {}
+    for x in motifs.repeats(got, "s").collect():
+        found.setdefault(x.i, []).append((x.rep_start, x.rep_end, x.motif))
+        unit = seqs[x.i][x.rep_start : x.rep_end]
+        agree = max(sum(u == v for u, v in zip(unit, (x.motif[k:] + x.motif[:k]) * 40)) for k in range(len(x.motif))) / len(unit)
+        assert agree >= 0.7 and abs(agree - x.purity) <= 0.2
+    assert found[0][0][0] == 0 and found[0][0][1] >= 36 and found[0][0][2] == "ACGT" and found[2] == [(0, 30, "A")] and 3 not in found and 4 not in found and 5 not in found
+    ratio = {x.i: x.r for x in got.select("i", text.ratio_of_deflate(F.col("s")).alias("r")).collect()}
+    assert all(ratio[k] == (len(s) / len(zlib.compress(s.encode())) if s else None) for k, s in enumerate(seqs))
