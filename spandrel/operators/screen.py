@@ -70,15 +70,18 @@ def screen(calls: DataFrame, catalogue: DataFrame, prefix: str = "", chrom: str
     """calls with prefix + novelty, n_nearby, start, end, distance, motif, canonical, motif_edits, match and the catalogue's annotations.
 
     Every row stays. A contig without any catalogue row is unscreened. Candidates are ranked by whether the motif matches, edits,
-    distance, copies (more first) and their place in (chrom, start, end, motif) order.
+    distance, copies (more first) and their place in (chrom, start, end, motif) order. A column canonical of the catalogue is taken as its motifs' canonical
+    form under the same equivalence.
     """
     # different queries are screened once, and rows follow by what they ask
     key = ["_chrom", "_point", "_motif"]
     q = calls.withColumns({"_chrom": normalize_chrom(F.col(chrom)), "_point": F.col(point).cast("long"), "_motif": F.upper(F.trim(F.coalesce(F.col(motif), F.lit(""))))})
     asked = with_canonical(q.select(*key).distinct(), "_motif", "_qc", how)
-    extra = [c for c in catalogue.columns if c not in ("chrom", "start", "end", "motif")]
+    extra = [c for c in catalogue.columns if c not in ("chrom", "start", "end", "motif", "canonical")]
     rows, _ = repeat_filter.apply(catalogue)
-    rows = with_canonical(rows, "motif", "_tc", how).select(F.col("chrom").alias("_rc"), F.col("start").alias("_rs"), F.col("end").alias("_re"), F.col("motif").alias("_rm"), "_tc", *[F.col(c).alias(f"_x_{c}") for c in extra])
+    # a catalogue that was kept with its canonical motifs (sources.platforms.cached, under the same equivalence) has them ready
+    rows = rows.withColumnRenamed("canonical", "_tc") if "canonical" in catalogue.columns else with_canonical(rows, "motif", "_tc", how)
+    rows = rows.select(F.col("chrom").alias("_rc"), F.col("start").alias("_rs"), F.col("end").alias("_re"), F.col("motif").alias("_rm"), "_tc", *[F.col(c).alias(f"_x_{c}") for c in extra])
     pairs = window_join(asked, rows, "_chrom", "_point", "_rc", "_rs", "_re", window)
     pairs = pairs.withColumn("_m", compare(F.col("_motif"), F.col("_qc"), F.col("_tc"), how, tolerance))
     copies = F.coalesce(F.col("_x_copy_num").cast("double"), F.lit(0.0)) if "copy_num" in extra else F.lit(0.0)
