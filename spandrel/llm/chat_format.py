@@ -137,4 +137,6 @@ def digests(formatted: DataFrame) -> DataFrame:
         F.length("masked").cast("long").alias("loss_chars"),
         F.sha2("masked", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"),
+        "attachment_tokens",
     )

@@ -47,7 +47,7 @@ def _chat() -> str:
     return f"""with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -1, 0, 'user', '{said}' union all select -1, 1, 'assistant', '{said}'),
       e as (select *, replace(replace(text, '\\', '\\\\'), '<|', '<\\|') as body, replace(replace(replace(role, '\\', '\\\\'), '<|', '<\\|'), chr(10), '<\\n|') as head from t)
       select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256, coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
-        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256, sum(length(head) + length(body) + {extra})::bigint as formatted_chars from e group by 1""".replace("\\\\\\\\", "\\\\").replace("'\\\\', '\\\\'", "'\\', '\\\\'")
+        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256, sum(length(head) + length(body) + {extra})::bigint as formatted_chars, 0::bigint as n_attachments, 0::bigint as attachment_tokens from e group by 1""".replace("\\\\\\\\", "\\\\").replace("'\\\\', '\\\\'", "'\\', '\\\\'")
 
 
 def _mixing() -> str:
