@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextvars
 import pickle
 import tempfile
 import uuid
@@ -34,15 +35,38 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: Paths of the tables written in this context while a caller keeps a list of them.
+_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read again: lineage ends here and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def settled(spark: SparkSession, name: str, make) -> DataFrame:
+    """What make() returns, stored. The tables that were written on the way are deleted, as nothing reads them any more."""
+    mark = _made.set([])
+    try:
+        out = stored(make(), name)
+        *gone, kept = _made.get()
+    finally:
+        _made.reset(mark)
+    files = spark._jvm.org.apache.hadoop.fs
+    for path in gone:
+        at = files.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if (made := _made.get()) is not None:
+        made.append(kept)
+    return out
+
+
 class Shared:
     """A broadcast object of this package's own classes: its code travels with it, so executors need no copy of the package."""
 

@@ -1,7 +1,8 @@
 """Connected components of a distributed edge list, by alternating large-star and small-star steps.
 
 Each step keeps the components and moves links towards the smallest member; a constant number of rows per link
-crosses the network, and nothing is collected but a count. Written tables cut the lineage between steps.
+crosses the network, and nothing is collected but a count. Written tables cut the lineage between steps. The join on a large star's centre is an
+inner sort-merge join, whose large partitions adaptive execution splits.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ comparison of vectors in many dimensions does; memory and the rows sent do not:
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and those whose label is null, link with
 nothing; vectors of different lengths don't link; repeated vec_ids count as separate vectors for links and share a row's
-component; an empty table gives an empty result.
+component; ties (equal vectors) count as links; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
