@@ -1,15 +1,17 @@
 """A corpus pipeline of five stages, each over all that the one before kept.
 
 documents -> quality rules -> n-gram Jaccard join -> pseudonyms -> mixing -> packing. Every stage takes (spark, docs, sf_dir); all but the
-last return the columns of documents, in their order. What a stage returns is written and read again before the next.
+last return the columns of documents, in their order. What a stage returns is written and read again before the next, and what it wrote on the way is deleted.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spandrel.llm.common import stored, table
+from spandrel.llm.common import settled, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -54,14 +56,13 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("ngram_jaccard_join", near_duplicates), ("pii_pseudonyms", private), ("source_mixing", mixed), ("best_fit_packing", packed)]
 
-#: The tokenizer has no SQL form, so the pipeline is tested against a brute-force version.
+#: The tokenizer has no SQL form, so the pipeline is tested against a brute-force version (tests/llm/test_pipeline.py).
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stored(docs, f"stage-{name}")
-    return docs
+        if k + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        docs = settled(spark, f"stage-{name}", partial(stage, spark, docs, sf_dir))
