@@ -71,7 +71,7 @@ class Encoder:
         self.ids = np.zeros(0, np.uint32)
 
     def plain(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def _learn(self, keys: np.ndarray, units: list[bytes]) -> None:
         """Encode the units, each alone; those that begin with a space and go on with none are encoded as one text."""
@@ -83,7 +83,7 @@ class Encoder:
         at = np.minimum(np.searchsorted(ends, want), max(len(ends) - 1, 0))
         if len(joined) and (ends[-1] != want[-1] or (ends[at] != want).any()):  # a unit was not taken alone
             joined, rest, ids, at = joined[:0], np.arange(len(units)), ids[:0], at[:0]
-        more = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch([units[k].decode("utf-8") for k in rest], add_special_tokens=False)]
+        more = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([units[k].decode("utf-8") for k in rest], add_special_tokens=False)]
         n = np.concatenate([np.diff(self.first), np.diff(at, prepend=-1), [len(m) for m in more]]).astype(np.int64)
         every = np.concatenate([self.keys, keys[joined], keys[rest]])
         ids = np.concatenate([self.ids, ids, *more])
@@ -225,62 +225,73 @@ def best_fit(lengths: np.ndarray, size: int = SEQUENCE) -> list[list[int]]:
     return bins
 
 
-def _improve(small: list[int], large: list[int], lengths: np.ndarray, size: int) -> bool:
-    """One change that moves fill from the bin small to the fuller bin large: a move, or the exchange of one or two of
-    small's documents for one of large's. Raising the fuller bin raises the sum of squared fills."""
-    room = size - int(lengths[large].sum())
-    if not room or not small:
-        return False
-    by = sorted((int(lengths[i]), i) for i in small)
-    fit = bisect.bisect_right(by, (room, 1 << 60)) - 1
-    if fit >= 0:
-        i = by[fit][1]
-        small.remove(i), large.append(i)
-        return True
-    best = None  # (gain, out of small, out of large)
-    # one document of each length, and two where there are; lengths of one bin sum to its size, so few differ
+def _offer(small: list[int], lengths: list[int]) -> tuple[list[int], list[tuple[int, tuple[int, ...]]]]:
+    """What a bin can give: one document of each of its lengths, and two together, as sorted sums and the documents of each. Lengths of one bin sum to its
+    size at most, so few differ."""
     of: dict[int, list[int]] = {}
-    for n, i in by:
-        of.setdefault(n, []).append(i)
-    sizes = list(of)
+    for i in sorted(small):
+        of.setdefault(lengths[i], []).append(i)
+    sizes = sorted(of)
     choices = [(n, (of[n][0],)) for n in sizes]
     for x, n in enumerate(sizes):
         choices += [(n + m, (of[n][0], of[m][0])) for m in sizes[:x]]
         if len(of[n]) > 1:
             choices.append((2 * n, tuple(of[n][:2])))
     choices.sort()
-    keys = [c[0] for c in choices]
-    for n, j in {int(lengths[j]): j for j in large}.items():
-        at = bisect.bisect_right(keys, n + room) - 1
-        if at >= 0 and keys[at] > n and (best is None or keys[at] - n > best[0]):
-            best = (keys[at] - n, choices[at][1], j)
+    return [c[0] for c in choices], choices
+
+
+def _improve(small: list[int], large: list[int], lengths: list[int], room: int, offer) -> int:
+    """One change that moves fill from the bin small to the fuller bin large, which has room: a move, or the exchange of one or two of small's
+    documents (its offer) for one of large's. Raising the fuller bin raises the sum of squared fills. Returns by how much large grew."""
+    keys, choices = offer
+    best = None  # (gain, out of small, out of large)
+    if keys[0] <= room:  # the largest single document that fits moves
+        at = bisect.bisect_right(keys, room) - 1
+        while len(choices[at][1]) > 1:
+            at -= 1
+        best = (keys[at], choices[at][1], None)
+    else:
+        for n, j in {lengths[j]: j for j in large}.items():
+            at = bisect.bisect_right(keys, n + room) - 1
+            if at >= 0 and keys[at] > n and (best is None or keys[at] - n > best[0]):
+                best = (keys[at] - n, choices[at][1], j)
     if best is None:
-        return False
-    _, out, j = best
+        return 0
+    gain, out, j = best
     for i in out:
         small.remove(i), large.append(i)
-    large.remove(j), small.append(j)
-    return True
+    if j is not None:
+        large.remove(j), small.append(j)
+    return gain
 
 
 def local_search(bins: list[list[int]], lengths: np.ndarray, size: int = SEQUENCE) -> list[list[int]]:
     """Bins after moves and exchanges between underfull ones, without those that became empty.
 
-    Windows over the underfull bins, least full first, are searched until a pass changes nothing. Every change raises the sum of squared fills, so it ends.
+    Windows over the underfull bins, least full first, are searched until a pass changes nothing, or until no fewer bins could hold the documents. Every
+    change raises the sum of squared fills, so it ends.
     """
+    known, least = lengths.tolist(), -(-int(lengths.sum()) // size)
+    fill = [sum(known[i] for i in b) for b in bins]
     gained = True
-    while gained:
+    while gained and len(bins) > least:
         gained = False
-        fill = np.array([int(lengths[b].sum()) for b in bins])
-        under = [k for k in np.argsort(fill, kind="stable").tolist() if fill[k] < size]
+        under = sorted((k for k in range(len(bins)) if fill[k] < size), key=fill.__getitem__)
         for start in range(0, max(1, len(under) - BENCH // 2), BENCH // 2):
             window = under[start : start + BENCH]
             for place, k in enumerate(window):
+                offer = _offer(bins[k], known) if bins[k] else None
                 for other in reversed(window[place + 1 :]):
-                    while bins[k] and _improve(bins[k], bins[other], lengths, size):
-                        gained = True
+                    while bins[k] and fill[other] < size and fill[k] <= fill[other]:
+                        gain = _improve(bins[k], bins[other], known, size - fill[other], offer)
+                        if not gain:
+                            break
+                        fill[k], fill[other], gained = fill[k] - gain, fill[other] + gain, True
+                        offer = _offer(bins[k], known) if bins[k] else None
                     if not bins[k]:
                         break
+        fill = [f for f, b in zip(fill, bins, strict=True) if b]
         bins = [b for b in bins if b]
     return bins
 
@@ -310,7 +321,8 @@ def pack(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text",
         where, offset = pack_lengths(group["length"].to_numpy())
         return pd.DataFrame({"own": group["own"], "sequence_id": group["group"] * (1 << 32) + where, "offset": offset})
 
-    placed = keyed.groupBy("group").applyInPandas(run, "own long, sequence_id long, offset long")
+    # small rows, but much work: a task for each group
+    placed = keyed.repartition(groups, "group").groupBy("group").applyInPandas(run, "own long, sequence_id long, offset long")
     rest = ["ids"] if with_ids else []
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *rest]
     packed = part.join(placed, "own").select(*columns)
