@@ -6,6 +6,11 @@ import numpy as np
 import zstandard
 
 
+def shards_of(total: int, most: int, tasks: int) -> int:
+    """Into how many shards numbers go of which each holds at most most; small totals still keep the given number of tasks busy."""
+    return max(1, -(-total // most), min(tasks, -(-total // (most // 8))))
+
+
 def runs(x: np.ndarray) -> np.ndarray:
     """Where the runs of equal values of a sorted array begin."""
     return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)

@@ -31,15 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .exchange import pack, pack_sorted, runs, unpack, unpack_sorted
+from .exchange import pack, pack_sorted, runs, shards_of, unpack, unpack_sorted
 from .lm_trie import Counts, Trie
 from .textops import Words, blocks, mix64, string_parts
 
 #: Documents and bytes of text to a chunk, and about how many n-grams to a shard.
 CHUNK, CHUNK_BYTES = 4096, 4 << 20
 SHARD = 2_000_000
-#: Hashes have so many bits more than the number of bytes of all texts: of two million n-grams about one meets another.
-BITS = 20
+#: Hashes have so many bits more than the number of bytes of all texts: about one n-gram in ten thousand meets another.
+BITS, LEAST_BITS = 12, 40
 #: The split: of crc32(doc_id) modulo 7, this remainder is held out.
 FOLDS, HELD = 7, 2
 #: Word numbers within a chunk: before a text, its end, and the first word.
@@ -99,24 +99,31 @@ class Plan(NamedTuple):
 
 
 class Grams:
-    """The different n-grams of a chunk. words: the hashes of its different words, ascending; seq: its texts' word numbers, each text with its end."""
+    """The different n-grams of a chunk. words: the hashes of its different words by their numbers; seq: its texts' word numbers, each text with its end."""
 
     def __init__(self, words: np.ndarray, seq: np.ndarray, doc: np.ndarray):
         self.size = size = len(words) + FIRST
         new = np.concatenate([[True], doc[1:] != doc[:-1]])
         w2 = np.concatenate([[BEGIN], seq[:-1]])
         w2[new] = BEGIN
-        w1 = np.concatenate([[BEGIN], w2[:-1]])
-        w1[new] = BEGIN
         # each level by its context, and an event's place in it
         self.pairs, self.pair_of = np.unique(w2 * size + seq, return_inverse=True)
-        self.contexts, of = np.unique(w2 * size + w1, return_inverse=True)
+        # an event's context w1 w2 is the bigram of the event before it; before a text's first word there is the beginning alone
+        c1, c2 = self.pairs // size, self.pairs % size
+        leads = np.flatnonzero(c2 != END)
+        leads = leads[np.argsort((c2 * size + c1)[leads])]
+        self.as_pair = np.concatenate([[0], leads])
+        c1, c2 = (np.concatenate([[BEGIN], c[leads]]) for c in (c1, c2))
+        self.contexts = c2 * size + c1
+        self.first = np.arange(len(leads) + 1) == 0
+        place = np.zeros(len(self.pairs), np.int64)
+        place[leads] = np.arange(1, len(leads) + 1)
+        of = np.concatenate([[0], place[self.pair_of[:-1]]])
+        of[new] = 0
         self.triples, self.triple_of = np.unique(of * size + seq, return_inverse=True)
+        self.pair_of_triple = np.empty(len(self.triples), np.int64)
+        self.pair_of_triple[self.triple_of] = self.pair_of
         self.seq = seq
-        # a context w1 w2 occurs as often as that bigram; before the first word it is the beginning alone
-        c2, c1 = self.contexts // size, self.contexts % size
-        self.first = c2 == BEGIN
-        self.as_pair = np.searchsorted(self.pairs, np.where(self.first, self.pairs[0], c1 * size + c2))
         h = np.concatenate([np.array([3, 5], np.uint64), words])
         two = mix64(h[self.pairs // size] * _SEEDS[0] + h[self.pairs % size] * _SEEDS[1])
         t = self.triples // size
@@ -131,25 +138,31 @@ class Grams:
     def order(self, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Its n-grams in the order of their hashes, these, and where each shard's begin."""
         key = self.hashes >> np.uint64(64 - plan.bits)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal hashes are asked and answered alike, in whatever order
         key = key[order]
         top = key >> np.uint64(plan.bits - 32)
         return order, key, np.searchsorted(top * np.uint64(plan.shards) >> np.uint64(32), np.arange(plan.shards + 1, dtype=np.uint64))
 
 
+def _ranked(often: np.ndarray) -> np.ndarray:
+    """The order in which a chunk's words are numbered: the most frequent first, so that numbers are small."""
+    return np.argsort(-often.astype(np.int64), kind="stable")
+
+
 def _asked(plan: Plan, batches):
     """Rows of chunks for the shards (own null), and each chunk's own row for itself, under a shard below zero."""
     for number, ids, held, size, h in _chunks(batches):
-        words, at = np.unique(h, return_inverse=True)
+        words, at, often = np.unique(h, return_inverse=True, return_counts=True)
+        rank = _ranked(often)
         doc = np.repeat(np.arange(len(ids)), size + 1)
         seq = np.full(len(doc), END, np.int64)
-        seq[np.arange(len(h)) + np.repeat(np.arange(len(ids)), size)] = at + FIRST
-        grams = Grams(words, seq, doc)
+        seq[np.arange(len(h)) + np.repeat(np.arange(len(ids)), size)] = np.argsort(rank)[at] + FIRST
+        grams = Grams(words[rank], seq, doc)
         order, key, cut = grams.order(plan)
         n = grams.counts(~held[doc])[order].astype(np.uint32)
         known = np.array([0 if i is None else i for i in ids.to_pylist()], np.int64)
         none = np.array([i is None for i in ids.to_pylist()], bool)
-        rows = [(-1 - number, number, pack_sorted(words), pack(seq.astype(np.uint32)), pack(known, size, held, none))]
+        rows = [(-1 - number, number, pack_sorted(words, often.astype(np.uint32)), pack(seq.astype(np.uint32)), pack(known, size, held, none))]
         rows += [(s, number, pack_sorted(key[x:y], n[x:y]), None, None) for s, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
         columns = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["shard", "chunk", "grams", "seq", "docs"])
@@ -175,7 +188,8 @@ def _scored(plan: Plan, group: pd.DataFrame) -> pd.DataFrame:
     mine = group["shard"] < 0
     own = group[mine].iloc[0]
     known, size, held, none = unpack(own["docs"], "<i8", "<i8", "?", "?")
-    words = unpack_sorted(own["grams"])[0]
+    words, often = unpack_sorted(own["grams"], "<u4")
+    words = words[_ranked(often)]
     seq = unpack(own["seq"], "<u4")[0].astype(np.int64)
     doc = np.repeat(np.arange(len(known)), size + 1)
     g = Grams(words, seq, doc)
@@ -187,13 +201,18 @@ def _scored(plan: Plan, group: pd.DataFrame) -> pd.DataFrame:
     follows = c1.copy()
     follows[BEGIN], follows[END] = plan.n_docs, 0
     of, w3 = g.triples // g.size, g.triples % g.size
+    # an n-gram occurs no more often than its parts, even where its hash has met another's
+    c2 = np.minimum(c2, np.minimum(follows[g.pairs // g.size], c1[g.pairs % g.size]))
     n2 = np.where(g.first, plan.n_docs, c2[g.as_pair])
+    c3 = np.minimum(c3, np.minimum(n2[of], c2[g.pair_of_triple]))
     one, two, there = np.flatnonzero(follows), n2 > 0, c3 > 0
     place = np.cumsum(two) - 1
     w2, w1 = g.contexts // g.size, g.contexts % g.size
-    counts = Counts(g.size, one, follows[one], g.pairs[c2 > 0], c2[c2 > 0], w1[two], w2[two], n2[two], place[of[there]], w3[there], c3[there])
+    seen = c2 > 0
+    pair = (np.cumsum(seen) - 1)[g.pair_of_triple[there]]
+    counts = Counts(g.size, one, follows[one], g.pairs[seen], c2[seen], w1[two], w2[two], n2[two], place[of[there]], w3[there], pair, c3[there])
     trie = Trie(counts, (c1 + 1) / (plan.tokens + plan.kinds + 1))
-    score = trie.log10(w1[of], w2[of], w3)[g.triple_of]
+    score = trie.scores(g.pairs, g.contexts, g.pair_of_triple, of, w3)[g.triple_of]
     n = len(known)
     doc_ids = pd.array(known, "Int64")
     doc_ids[none] = pd.NA
@@ -216,11 +235,12 @@ def lm_scores(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> Dat
     docs = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
     trained = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) != HELD
     seen = docs.agg(F.count(F.when(trained, 1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()
-    shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), seen["size"] // (1 << 26))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards_of(int(seen["size"]), 1 << 26, tasks)
     told = stored(count_tokens(docs, shards), "lm-words").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "kinds", "all_tokens")]).first()
     n_docs = int(seen["n"])
-    bits = min(64, max(40, BITS + int(seen["size"]).bit_length()))
-    plan = Plan(n_docs, int(told["tokens"]) + n_docs, int(told["kinds"]) + (n_docs > 0), max(1, -(-int(told["all_tokens"]) * 2 // SHARD)), bits)
+    bits = min(64, max(LEAST_BITS, BITS + int(seen["size"]).bit_length()))
+    plan = Plan(n_docs, int(told["tokens"]) + n_docs, int(told["kinds"]) + (n_docs > 0), shards_of(2 * int(told["all_tokens"]), SHARD, tasks), bits)
     schema = "shard long, chunk long, grams binary, seq binary, docs binary"
     asked = docs.mapInArrow(lambda batches: _asked(plan, batches), schema)
     answers = asked.groupBy("shard").applyInPandas(_answered, schema)

@@ -26,6 +26,12 @@ _POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 _NTH = np.array([([p for p in range(8) if b >> p & 1] + [0] * 8)[:8] for b in range(256)], np.uint8)
 
 
+#: Masks and numbers for counting the ones of 64-bit words byte by byte.
+_N = {k: np.uint64(k) for k in (1, 2, 3, 4, 7, 8, 56, 255)}
+_M = [np.uint64(x) for x in (0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F)]
+_EACH, _TOP = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+
+
 class Block:
     """A memory-mapped block that arrays are laid in one after another."""
 
@@ -63,72 +69,90 @@ class EliasFano:
         self.n = len(values)
         top = int(values[-1]) if self.n else 0
         self.low_bits = max(0, (top // max(self.n, 1)).bit_length() - 1)
+        self.most = top >> self.low_bits
         values = values.astype(np.uint64)
         high = (values >> np.uint64(self.low_bits)).astype(np.int64) + np.arange(self.n)
-        bits = np.zeros(-(-(int(high[-1]) + 1 if self.n else 1) // 64) * 64, bool)
+        # a zero ends each high part, the last one too
+        bits = np.zeros(-(-(self.most + self.n + 1) // 64) * 64, bool)
         bits[high] = True
         packed = np.packbits(bits, bitorder="little")
         ones = _POP[packed].reshape(-1, 8).sum(1, dtype=np.int64)
         self._low = block.add(_pack(values & np.uint64((1 << self.low_bits) - 1), self.low_bits))
-        self._high = block.add(packed)
+        self._high = block.add(packed.view(np.uint64))
         self._rank = block.add((np.cumsum(ones) - ones).astype(np.uint32))
         self.block = block
 
+    def _place(self, i: np.ndarray, of_ones: bool) -> np.ndarray:
+        """Where the i-th one (or zero) of the high bits is: the word by its count of ones before, the byte by the word's running counts, the bit by table."""
+        rank, words = self.block.view(self._rank), self.block.view(self._high)
+        before = rank.astype(np.int64) if of_ones else 64 * np.arange(len(rank)) - rank
+        at = np.searchsorted(before, i, "right") - 1
+        left = (i - before[at]).astype(np.uint64)
+        w = words[at] if of_ones else ~words[at]
+        x = w - ((w >> _N[1]) & _M[0])
+        x = (x & _M[1]) + ((x >> _N[2]) & _M[1])
+        upto = ((x + (x >> _N[4])) & _M[2]) * _EACH  # byte k: ones of bytes 0 to k
+        byte = ((((((left * _EACH) | _TOP) - upto) & _TOP) >> _N[7]) * _EACH) >> _N[56]  # bytes of which left is past
+        left = left - (((upto << _N[8]) >> (byte << _N[3])) & _N[255])
+        return at * 64 + (byte << _N[3]).astype(np.int64) + _NTH[(w >> (byte << _N[3])) & _N[255], left]
+
+    def _lows(self, i: np.ndarray) -> np.ndarray:
+        return _unpack(self.block.view(self._low), self.low_bits, i)
+
     def access(self, i: np.ndarray) -> np.ndarray:
         """The i-th values."""
-        rank, high = self.block.view(self._rank), self.block.view(self._high)
-        word = np.searchsorted(rank, i.astype(np.uint32), "right") - 1
-        left = i - rank[word]
-        byte = word * 8
-        for _ in range(7):  # over the bytes before the one that holds it
-            ones = _POP[high[byte]]
-            further = left >= ones
-            if not further.any():
-                break
-            left = left - np.where(further, ones, 0)
-            byte = byte + further
-        place = byte * 8 + _NTH[high[byte], left]
-        low = _unpack(self.block.view(self._low), self.low_bits, i)
-        return ((place - i).astype(np.uint64) << np.uint64(self.low_bits)) | low
+        return ((self._place(i, True) - i).astype(np.uint64) << np.uint64(self.low_bits)) | self._lows(i)
 
     def find(self, want: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Where want is within [lo, hi), or -1."""
-        lo, hi, end = lo.copy(), hi.copy(), hi
+        """Where want is within [lo, hi), or -1: its high part names a few neighbours, among which its low bits are searched."""
+        out = np.full(len(want), -1, np.int64)
+        part = (want >> np.uint64(self.low_bits)).astype(np.int64)
+        k = np.flatnonzero((part <= self.most) & (lo < hi))
+        if not len(k):
+            return out
+        part, low = part[k], want[k] & np.uint64((1 << self.low_bits) - 1)
+        # so many values have a smaller or the same high part
+        upto = self._place(part, False) - part
+        below = np.where(part > 0, self._place(np.maximum(part - 1, 0), False) - part + 1, 0)
+        lo, end = np.maximum(lo[k], below), np.minimum(hi[k], upto)
+        a, b = lo.copy(), end.copy()
         while True:
-            open_ = np.flatnonzero(lo < hi)
+            open_ = np.flatnonzero(a < b)
             if not len(open_):
                 break
-            mid = (lo[open_] + hi[open_]) // 2
-            less = self.access(mid) < want[open_]
-            lo[open_[less]] = mid[less] + 1
-            hi[open_[~less]] = mid[~less]
-        out = np.full(len(want), -1, np.int64)
-        inside = np.flatnonzero(lo < end)
-        hit = self.access(lo[inside]) == want[inside]
-        out[inside[hit]] = lo[inside[hit]]
+            mid = (a[open_] + b[open_]) // 2
+            less = self._lows(mid) < low[open_]
+            a[open_[less]] = mid[less] + 1
+            b[open_[~less]] = mid[~less]
+        inside = np.flatnonzero(a < end)
+        hit = inside[self._lows(a[inside]) == low[inside]]
+        out[k[hit]] = a[hit]
         return out
 
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
-    if not width:
-        return np.zeros(1, np.uint8)
-    out = []
-    for a in range(0, len(values), 1 << 17):  # a multiple of 8 values fills whole bytes
-        v = values[a : a + (1 << 17)]
-        bits = (v[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
-        out.append(np.packbits(bits.astype(bool).ravel(), bitorder="little"))
-    return np.concatenate([*out, np.zeros(8, np.uint8)])
+    """Numbers of so many bits, end to end in 64-bit words: 64 of them fill width words."""
+    groups = -(-len(values) // 64)
+    out = np.zeros((groups, width + 1), np.uint64)
+    v = np.zeros(groups * 64, np.uint64)
+    v[: len(values)] = values
+    v = v.reshape(groups, 64)
+    for j in range(64 if width else 0):
+        word, bit = j * width >> 6, j * width & 63
+        out[:, word] |= v[:, j] << np.uint64(bit)
+        if bit + width > 64:
+            out[:, word + 1] |= v[:, j] >> np.uint64(64 - bit)
+    return np.append(out[:, :width].ravel(), np.uint64(0))
 
 
 def _unpack(packed: np.ndarray, width: int, i: np.ndarray) -> np.ndarray:
     if not width:
         return np.zeros(len(i), np.uint64)
-    bit = i * width
-    byte = bit >> 3
-    word = np.zeros(len(i), np.uint64)
-    for k in range(-(-(width + 7) // 8)):
-        word |= packed[byte + k].astype(np.uint64) << np.uint64(8 * k)
-    return (word >> (bit & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)
+    at = i * width
+    word, bit = at >> 6, (at & 63).astype(np.uint64)
+    # what the next word holds of it, shifted in two steps as a shift by 64 isn't defined
+    over = (packed[np.minimum(word + 1, len(packed) - 1)] << (np.uint64(63) - bit)) << np.uint64(1)
+    return ((packed[word] >> bit) | over) & np.uint64((1 << width) - 1)
 
 
 def quantise(log10: np.ndarray) -> np.ndarray:
@@ -143,7 +167,8 @@ class Counts(NamedTuple):
     """Training counts of some n-grams, over the whole corpus; only those that occur. words: how many word numbers there are.
 
     one, n1: context words and how often each is followed; two1, two2, n2: contexts w1 w2 (two2 * words + two1 ascends) and how often each is followed;
-    pairs, c2: w2 * words + w3, ascending; of, w3, c3: trigrams by the index of their context in two (of * words + w3 ascends).
+    pairs, c2: w2 * words + w3, ascending; of, w3, pair, c3: trigrams by the index of their context in two (of * words + w3 ascends), and the index of their
+    bigram in pairs.
     """
 
     words: int
@@ -156,6 +181,7 @@ class Counts(NamedTuple):
     n2: np.ndarray
     of: np.ndarray
     w3: np.ndarray
+    pair: np.ndarray
     c3: np.ndarray
 
 
@@ -166,11 +192,11 @@ class Trie:
         self.words, self.log1 = c.words, np.log10(p1)
         s1, s2 = strength
         first, word = c.pairs // c.words, c.pairs % c.words
-        parent = np.searchsorted(c.one, first)
+        place = np.full(c.words, -1)
+        place[c.one] = np.arange(len(c.one))
+        parent, up = place[first], place[c.two2]
         p2 = (c.c2 + s1 * p1[word]) / (c.n1[parent] + s1)
-        up = np.searchsorted(c.one, c.two2)
-        lower = p2[np.searchsorted(c.pairs, c.two2[c.of] * c.words + c.w3)]
-        p3 = (c.c3 + s2 * lower) / (c.n2[c.of] + s2)
+        p3 = (c.c3 + s2 * p2[c.pair]) / (c.n2[c.of] + s2)
         self.block = block = Block()
         starts = lambda owner, n: EliasFano(np.searchsorted(owner, np.arange(n + 1)), block)
         self.contexts1 = EliasFano(c.one, block)
@@ -185,21 +211,41 @@ class Trie:
 
     def log10(self, w1: np.ndarray, w2: np.ndarray, w3: np.ndarray) -> np.ndarray:
         """log10 P(w3 | w1 w2) of each row."""
-        size = self.words
-        key = lambda context, word: context.astype(np.uint64) * np.uint64(size) + word.astype(np.uint64)
-        within = lambda pointers, c: (pointers.access(c).astype(np.int64), pointers.access(c + 1).astype(np.int64))
-        out = self.log1[w3].copy()
-        heads, of = np.unique(w2, return_inverse=True)
-        c = self.contexts1.find(heads.astype(np.uint64), np.zeros(len(heads), np.int64), np.full(len(heads), self.contexts1.n))[of]
-        k = np.flatnonzero(c >= 0)
-        if not len(k):
+        pairs, pair = np.unique(w2 * self.words + w3, return_inverse=True)
+        contexts, context = np.unique(w2 * self.words + w1, return_inverse=True)
+        return self.scores(pairs, contexts, pair, context, w3)
+
+    def _children(self, level: EliasFano, pointers: EliasFano, heads: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """Where each key (parent * words + word, parents by their place in heads' order) is among its parent's children; -1 if it isn't. Keys ascend."""
+        at = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1]])) if len(heads) else np.zeros(0, np.int64)
+        each, size = heads[at], np.diff(np.append(at, len(heads)))
+        known = np.maximum(each, 0)
+        lo, hi = (np.where(each >= 0, pointers.access(x).astype(np.int64), 0) for x in (known, known + 1))
+        return level.find((np.maximum(heads, 0) * self.words + keys).astype(np.uint64), np.repeat(lo, size), np.repeat(hi, size))
+
+    def scores(self, pairs: np.ndarray, contexts: np.ndarray, pair: np.ndarray, context: np.ndarray, w3: np.ndarray) -> np.ndarray:
+        """log10 P of trigrams. pairs: different w2 * words + w3; contexts: different w2 * words + w1, both ascending; each trigram by its place in either, and its
+        last word. Trigrams are in the order of their contexts."""
+        if not self.contexts1.n or not len(pairs):
+            return self.log1[w3]
+        # the same words head pairs and contexts
+        first = pairs // self.words
+        at = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
+        heads = first[at].astype(np.uint64)
+        root = self.contexts1.find(heads, np.zeros(len(heads), np.int64), np.full(len(heads), self.contexts1.n))
+        parent = np.repeat(root, np.diff(np.append(at, len(first))))
+        at = self._children(self.bigrams, self.to_bigrams, parent, pairs % self.words)
+        two = np.where(at >= 0, self._value(0, np.maximum(at, 0)), self.log1[pairs % self.words] + np.where(parent >= 0, self._value(1, np.maximum(parent, 0)), 0.0))
+        out = two[pair]
+        if not self.contexts2.n:
             return out
-        c = c[k]
-        at = self.bigrams.find(key(c, w3[k]), *within(self.to_bigrams, c))
-        out[k] = np.where(at >= 0, self._value(0, np.maximum(at, 0)), out[k] + self._value(1, c))
-        c = self.contexts2.find(key(c, w1[k]), *within(self.to_contexts2, c))
-        k, c = k[c >= 0], c[c >= 0]
-        if len(k):
-            at = self.trigrams.find(key(c, w3[k]), *within(self.to_trigrams, c))
-            out[k] = np.where(at >= 0, self._value(2, np.maximum(at, 0)), out[k] + self._value(3, c))
+        first = contexts // self.words
+        at = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
+        parent = np.repeat(root, np.diff(np.append(at, len(first))))
+        own = self._children(self.contexts2, self.to_contexts2, parent, contexts % self.words)
+        k = np.flatnonzero(own[context] >= 0)
+        k = k[np.argsort(own[context[k]], kind="stable")] if len(k) and (np.diff(own[context[k]]) < 0).any() else k
+        c = own[context[k]]
+        at = self._children(self.trigrams, self.to_trigrams, c, w3[k])
+        out[k] = np.where(at >= 0, self._value(2, np.maximum(at, 0)), out[k] + self._value(3, c))
         return out
