@@ -181,6 +181,10 @@ def test_elias_fano_and_trie():
         ef = lm_trie.EliasFano(np.array(values, np.int64), block)
         block.seal()
         assert ef.access(np.arange(len(values))).tolist() == list(values)
+        if len(set(values)) == len(values):
+            want = np.concatenate([np.array(values, np.int64), rng.integers(0, 1 << 40, 500)])
+            found = ef.find(want.astype(np.uint64), np.zeros(len(want), np.int64), np.full(len(want), len(values)))
+            assert found.tolist() == [{int(v): i for i, v in enumerate(values)}.get(int(x), -1) for x in want]
     # a chain of words with few successors; every context's probabilities sum to about one, seen or not, whatever the order found
     seq = rng.integers(2, 9, 3000)
     w1, w2, w3 = np.concatenate([[0, 0], seq[:-2]]), np.concatenate([[0], seq[:-1]]), seq
@@ -189,7 +193,8 @@ def test_elias_fano_and_trie():
     one, n1 = np.unique(w2, return_counts=True)
     contexts, n2 = np.unique(w2 * size + w1, return_counts=True)
     triples, c3 = np.unique(np.searchsorted(contexts, w2 * size + w1) * size + w3, return_counts=True)
-    counts = lm_trie.Counts(size, one, n1, pairs, c2, contexts % size, contexts // size, n2, triples // size, triples % size, c3)
+    pair = np.searchsorted(pairs, contexts[triples // size] // size * size + triples % size)
+    counts = lm_trie.Counts(size, one, n1, pairs, c2, contexts % size, contexts // size, n2, triples // size, triples % size, pair, c3)
     trie = lm_trie.Trie(counts, np.full(9, 1 / 9))
     every = np.arange(9)
     for a in range(9):
@@ -230,6 +235,18 @@ def test_lm_scores(spark, monkeypatch):
     assert lm_scoring.lm_scores(docs(spark, [])).count() == 0
 
 
+def test_lm_scores_stand_hashes_that_meet(spark, monkeypatch):
+    """With far too few bits, n-grams take one another's counts: scores are then worse, but no text is lost and no probability is above 1."""
+    monkeypatch.setattr(lm_scoring, "BITS", -100)
+    monkeypatch.setattr(lm_scoring, "LEAST_BITS", 33)
+    original = textops.mix64
+    monkeypatch.setattr(lm_scoring, "mix64", lambda x: original(x) & np.uint64(0x00000FFF80000000 | 0xFF << 56))
+    r = random.Random(23)
+    texts = [" ".join(r.choices([f"w{k}" for k in range(400)], k=r.randint(0, 60))) for _ in range(150)]
+    out = lm_scoring.lm_scores(docs(spark, texts)).collect()
+    assert len(out) == 150 and all(x.score <= 0 and math.isfinite(x.score) for x in out)
+
+
 @pytest.mark.parametrize(("shard", "chunk"), [(300, 7), (10**6, 4096)])
 def test_lm_scores_equal_an_interpolated_trigram_model(spark, monkeypatch, shard, chunk):
     """All n-grams of the corpus by brute force, hot and rare ones, copies in training and held out; equal texts score equal."""
