@@ -97,3 +97,17 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op5_html_text,)}
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .byte_bpe import Ranks, encode, read_ranks
+
+    ranks = Ranks(read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")))
+    out = encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, carry=["doc_id"])
+    digest = F.sha2(F.array_join("ids", ",").cast("binary"), 256)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2(ranks.decoded(F.col("ids")), 256).alias("decoded_sha256"))
+
+
+QUERIES |= {f.__name__: f for f in (op12_byte_bpe,)}
