@@ -33,8 +33,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Shared, fresh, stored
-from .textops import span_hashes, string_parts
+from .common import Shared, fresh, scratch, stored
+from .textops import blocks, span_hashes, string_parts
 
 #: Spans of longer pre-tokens have no bit set of their own.
 WIDEST = 62
@@ -42,6 +42,8 @@ WIDEST = 62
 FREQUENT = 1_500_000
 #: Slots of the literal map of ranks, for each token.
 SLOTS = 2
+#: Bytes of pre-tokens that are counted together, and that are looked up together; longer texts are taken alone.
+COUNTED, LOOKED_UP = 8 << 20, 1 << 20
 #: What stands before and after each piece where pieces are joined: characters that stand for no byte.
 OPEN, SHUT = "Ā", "ā"
 #: A place among the spans of a pre-token: 64 times its first byte, and its number of bytes.
@@ -185,21 +187,35 @@ def pretokens(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?U)" + pattern), F.lit(0))
 
 
-def _different(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """offsets and bytes of strings, which different string each is, and a place and the hash of each different one."""
-    offsets, raw = string_parts(words)
-    code, h = pd.factorize(span_hashes(raw, offsets[:-1], offsets[1:]))
+def _hashes(offsets: np.ndarray, raw: np.ndarray, seed: int = 1) -> np.ndarray:
+    """The hash of each string, a block of them at a time."""
+    parts = [span_hashes(raw[offsets[a] : offsets[b]], offsets[a:b] - offsets[a], offsets[a + 1 : b + 1] - offsets[a], seed) for a, b in blocks(offsets)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def _different(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which different string each string is, and a place and the hash of each different one."""
+    code, h = pd.factorize(_hashes(offsets, raw))
     place = np.empty(len(h), np.int64)
     place[code[::-1]] = np.arange(len(code))[::-1]
-    return offsets, raw, code, place, np.asarray(h, np.uint64)
+    return code, place, np.asarray(h, np.uint64)
+
+
+def _slices(lists: pa.ListArray, size: int) -> Iterator[pa.ListArray]:
+    """A column of lists of strings in runs of at most so many bytes together."""
+    first = np.asarray(lists.offsets, np.int64) - lists.offsets[0].as_py()
+    at, _ = string_parts(lists.flatten())
+    for a, b in blocks(at[first], size):
+        yield lists.slice(a, b - a)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words = batch.column(0).flatten()
-        if len(words):
-            _, _, code, place, _ = _different(words)
-            yield pa.RecordBatch.from_arrays([words.take(pa.array(place)).cast(pa.string()), pa.array(np.bincount(code), pa.int64())], names=["word", "n"])
+        for lists in _slices(batch.column(0), COUNTED):
+            words = lists.flatten()
+            if len(words):
+                code, place, _ = _different(*string_parts(words))
+                yield pa.RecordBatch.from_arrays([words.take(pa.array(place)).cast(pa.string()), pa.array(np.bincount(code), pa.int64())], names=["word", "n"])
 
 
 class Known:
@@ -207,9 +223,9 @@ class Known:
 
     def __init__(self, words: pa.Array, ids: pa.Array):
         offsets, raw = string_parts(words)
-        key = span_hashes(raw, offsets[:-1], offsets[1:])
+        key = _hashes(offsets, raw)
         order = np.argsort(key)
-        self.key, self.check = key[order], span_hashes(raw, offsets[:-1], offsets[1:], 2)[order]
+        self.key, self.check = key[order], _hashes(offsets, raw, 2)[order]
         first = np.asarray(ids.offsets, np.int64)
         size = np.diff(first)[order]
         self.first = np.concatenate([[0], np.cumsum(size)])
@@ -232,11 +248,9 @@ def _parts(known: Known, lists: pa.ListArray) -> pa.Array:
     """For each list of pre-tokens, runs of known ids, each with the unknown pre-token after it (null after the last run)."""
     words = lists.flatten()
     size = np.diff(np.asarray(lists.offsets, np.int64))
-    if len(words):
-        offsets, raw, code, place, h = _different(words)
-        at = known.find(offsets, raw, place, h)[code]
-    else:
-        at = np.zeros(0, np.int64)
+    offsets, raw = string_parts(words)
+    code, place, h = _different(offsets, raw)
+    at = known.find(offsets, raw, place, h)[code]
     doc = np.repeat(np.arange(len(lists)), size)
     new = at < 0
     n_parts = np.bincount(doc[new], minlength=len(lists)) + 1
@@ -257,15 +271,16 @@ def _parts(known: Known, lists: pa.ListArray) -> pa.Array:
 def frequent(docs: DataFrame, ranks: Ranks, text: str, pattern: str) -> Known:
     """The ids of the pre-tokens that are most frequent in all texts: all from some count on, at most FREQUENT."""
     words = docs.select(pretokens(F.col(text), pattern).alias("words")).mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = stored(words.filter(F.octet_length("word") <= WIDEST), "bpe-words")
-    levels = words.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("kinds")).orderBy(F.desc("n")).collect()
-    least, total = 1 << 62, 0
-    for level in levels:  # at most 1000
-        total += level.kinds
-        if total > FREQUENT:
-            break
-        least = level.n
-    found = words.filter(F.col("n") >= least).select("word", ranks.with_ids(lambda ids: ids(F.col("word"))).alias("ids")).toArrow()
+    with scratch(docs.sparkSession):
+        words = stored(words.filter(F.octet_length("word") <= WIDEST), "bpe-words")
+        levels = words.groupBy(F.least("n", F.lit(1000)).alias("n")).agg(F.count("*").alias("kinds")).orderBy(F.desc("n")).collect()
+        least, total = 1 << 62, 0
+        for level in levels:  # at most 1000
+            total += level.kinds
+            if total > FREQUENT:
+                break
+            least = level.n
+        found = words.filter(F.col("n") >= least).select("word", ranks.with_ids(lambda ids: ids(F.col("word"))).alias("ids")).toArrow()
     return Known(found.column("word").combine_chunks(), found.column("ids").combine_chunks())
 
 
@@ -278,8 +293,11 @@ def encode(docs: DataFrame, ranks: Ranks, pattern: str, text: str = "text", carr
 
     def split(batches):
         for batch in batches:
-            lists = batch.column(batch.num_columns - 1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _parts(shared.value, lists)], names=[*batch.schema.names[:-1], parts])
+            *others, lists = batch.columns
+            at = 0
+            for some in _slices(lists, LOOKED_UP):
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(some)) for c in others), _parts(shared.value, some)], names=[*batch.schema.names[:-1], parts])
+                at += len(some)
 
     kept = docs.select(*carry, pretokens(F.col(text), pattern).alias(words))
     schema = StructType([*kept.select(*carry).schema.fields, *StructType.fromDDL(f"{parts} array<struct<ids array<int>, word string>>").fields])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import contextvars
 import pickle
 import tempfile
@@ -50,20 +51,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def settled(spark: SparkSession, name: str, make) -> DataFrame:
-    """What make() returns, stored. The tables that were written on the way are deleted, as nothing reads them any more."""
-    mark = _made.set([])
-    try:
-        out = stored(make(), name)
-        *gone, kept = _made.get()
-    finally:
-        _made.reset(mark)
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     files = spark._jvm.org.apache.hadoop.fs
-    for path in gone:
+    for path in paths:
         at = files.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    if (made := _made.get()) is not None:
-        made.append(kept)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables written in this context are deleted at its end, also if it fails: for work whose result doesn't read them."""
+    made: list[str] = []
+    mark = _made.set(made)
+    try:
+        yield made
+    finally:
+        _made.reset(mark)
+        _delete(spark, made)
+
+
+def settled(spark: SparkSession, name: str, make) -> DataFrame:
+    """What make() returns, stored. The tables that were written on the way are deleted, as nothing reads them any more."""
+    with scratch(spark) as made:
+        out = stored(make(), name)
+        kept = made.pop()
+    if (outer := _made.get()) is not None:
+        outer.append(kept)
     return out
 
 

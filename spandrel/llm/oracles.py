@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, embedding_join, mixing, ngram_join
+from . import chat_format, embedding_join, mixing, ngram_join, phrases
 from .quality_rules import ENDED, ITERATIONS, RUNS, START
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -90,4 +90,20 @@ def _ngrams() -> str:
       select n.doc_id, n_shingles, min(other) as component_id from n join reach on n.doc_id = node group by 1, 2"""
 
 
-ORACLES = {"op1_quality_rules": _quality(), "op2_chat_format": _chat(), "op4_mixing": _mixing(), "op7_embedding_join": _embeddings(), "op9_ngram_join": _ngrams()}
+def _collocations() -> str:
+    """Phrases are counted from every window of words; a cut's parts are looked up by their text."""
+    longest = phrases.LONGEST
+    grams = " union all ".join(f"select lang, {k} as k, array_to_string(w[i:i + {k - 1}], ' ') as g from (select lang, w, unnest(range(1, len(w) - {k - 2})) as i from piece)" for k in range(1, longest + 1))
+    return f"""with piece as (select lang, regexp_extract_all(p, '[^\\x20\\x09]+') as w from (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as p from documents)),
+      total as (select lang, sum(len(w)) as n from piece group by 1),
+      f as (select lang, k, g, count(*) as a from ({grams}) group by 1, 2, 3 having count(*) >= {phrases.LEAST}),
+      c as (select lang, k, g, a, string_split(g, ' ') as w from f where k > 1),
+      within as (select lang, g, max(a) as most from (select lang, a, array_to_string(w[:k - 1], ' ') as g from c union all select lang, a, array_to_string(w[2:], ' ') as g from c) group by 1, 2),
+      open as (select c.* from c left join within using (lang, g) where most is null or most < a),
+      cut as (select o.lang, o.g, o.a, j, x.a as l, y.a as r, n, ((1000::hugeint * o.a * n) // (x.a::hugeint * y.a))::bigint as score
+              from (select *, unnest(range(1, k)) as j from open) o join total using (lang) join f x on x.lang = o.lang and x.g = array_to_string(w[:j], ' ') join f y on y.lang = o.lang and y.g = array_to_string(w[j + 1:], ' ')),
+      worst as (select *, row_number() over (partition by lang, g order by score, j) as nth from cut)
+      select * from (select lang, row_number() over (partition by lang order by score desc, a desc, g) as rank, g as phrase, a, l, r, n::bigint as n, score from worst where nth = 1) where rank <= {phrases.TOP}"""
+
+
+ORACLES = {"op1_quality_rules": _quality(), "op2_chat_format": _chat(), "op4_mixing": _mixing(), "op7_embedding_join": _embeddings(), "op9_ngram_join": _ngrams(), "op11_collocations": _collocations()}

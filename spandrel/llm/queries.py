@@ -111,3 +111,12 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op12_byte_bpe,)}
+
+
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op11_collocations,)}
