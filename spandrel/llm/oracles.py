@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, embedding_join, mixing, ngram_join, phrases
+from . import chat_format, embedding_join, mixing, ngram_join, phrases, spelling
 from .quality_rules import ENDED, ITERATIONS, RUNS, START
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -106,4 +106,25 @@ def _collocations() -> str:
       select * from (select lang, row_number() over (partition by lang order by score desc, a desc, g) as rank, g as phrase, a, l, r, n::bigint as n, score from worst where nth = 1) where rank <= {phrases.TOP}"""
 
 
-ORACLES = {"op1_quality_rules": _quality(), "op2_chat_format": _chat(), "op4_mixing": _mixing(), "op7_embedding_join": _embeddings(), "op9_ngram_join": _ngrams(), "op11_collocations": _collocations()}
+def _spelling() -> str:
+    """Near words meet where a letter less makes them equal, at the same place or as a whole word; crc32 is taken by its table of 256."""
+    low, full, poly = 0xFF, 0xFFFFFFFF, 0xEDB88320
+    letters = spelling.LETTERS.replace(r"\u00C0", "\u00c0").replace(r"\u00FF", "\u00ff")
+    return f"""with recursive bits as (select i, i::bigint as c, 0 as k from range(256) r(i) union all select i, case when c & 1 = 1 then xor(c >> 1, {poly}) else c >> 1 end, k + 1 from bits where k < 8),
+      tab as (select list(c order by i) as t from bits where k = 8),
+      run as (select coalesce(doc_id::varchar, '') as d, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{letters}')) as r from documents),
+      once as (select d, r, count(*) as m from run group by 1, 2),
+      byte as (select d, r, m, flatten(list_transform(string_split(d || ':' || r, ''), lambda x: case when unicode(x) < 128 then [unicode(x)::bigint] else [192 + unicode(x)::bigint // 64, 128 + unicode(x)::bigint % 64] end)) as b from once),
+      crc as (select d, r, m, xor(list_reduce(list_prepend({full}::bigint, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & {low}) + 1])), {full}) as h from byte, tab),
+      said as (select m, case when h % {spelling.PLANTED} = 0 then r[:h % length(r)] || r[h % length(r) + 2:] else r end as w from crc),
+      w as (select w, sum(m)::bigint as n from said where length(w) >= {spelling.SHORTEST} group by 1 having sum(m) >= {spelling.LEAST}),
+      less as (select w, n, i, w[:i - 1] || w[i + 1:] as s from (select w, n, unnest(range(1, length(w) + 1)) as i from w)),
+      pair as (select distinct a.w as a, b.w as b, b.n from less a join less b on a.s = b.s and a.i = b.i and a.w <> b.w union select distinct a.w, b.w, b.n from less a join w b on a.s = b.w union select distinct b.w, a.w, a.n from less a join w b on a.s = b.w),
+      near as (select a, count(*) as n_near, max(n) as most from pair group by 1),
+      form as (select w.w, w.n, coalesce(n_near, 0) as n_near, case when most >= {spelling.TIMES} * w.n then (select min(b) from pair where pair.a = w.w and pair.n = most) end as form, case when most >= {spelling.TIMES} * w.n then most end as form_n from w left join near on a = w.w),
+      way as (select w, w as tip from form union all select way.w, form.form from way join form on form.w = tip where form.form is not null),
+      root as (select way.w, tip as root from way join form on form.w = tip where form.form is null)
+      select form.w as word, form, root, n, n_near, form_n from form join root using (w)"""
+
+
+ORACLES = {"op1_quality_rules": _quality(), "op2_chat_format": _chat(), "op4_mixing": _mixing(), "op7_embedding_join": _embeddings(), "op9_ngram_join": _ngrams(), "op11_collocations": _collocations(), "op13_spelling": _spelling()}

@@ -120,3 +120,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op11_collocations,)}
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_groups
+
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op13_spelling,)}
