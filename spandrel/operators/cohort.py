@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.coords import MAIN_CHROMS
 from .intervals import overlap_join
 from .report import crosstab, doubling_edges, edge_bins, numbered, running_sum
+from .quantiles import with_quantiles
 from .screen import majority
 
 
@@ -50,7 +51,8 @@ def ancestry_qc(raw: DataFrame, calls: DataFrame, ancestry: DataFrame) -> DataFr
 def population_summary(samples: DataFrame, by: str, value: str, order: list[str]) -> DataFrame:
     """count, mean and median per group, rounded half to even, in the given order."""
     place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(by))
-    out = samples.groupBy(by).agg(F.count("*").alias("n"), F.bround(F.avg(value)).cast("long").alias("mean"), F.bround(F.median(value)).cast("long").alias("median"))
+    means = samples.groupBy(by).agg(F.count("*").alias("n"), F.bround(F.avg(value)).cast("long").alias("mean"))
+    out = with_quantiles(means, samples, [by], {"median": (value, 0.5)}).withColumn("median", F.bround("median").cast("long"))
     return out.orderBy(F.when(place == 0, len(order) + 1).otherwise(place), by)
 
 
@@ -67,14 +69,16 @@ def carrier_frequency(calls: DataFrame, site: list[str], sample: str, verdict: s
 
 def by_motif_length(calls: DataFrame, length: str, insertion: list[str], sample: str, metrics: list[str]) -> DataFrame:
     """Hits, different insertions and samples, mean and median of the metrics (half to even) per motif length."""
-    parts = [x for m in metrics for x in (F.bround(F.avg(m), 3).alias(f"mean_{m}"), F.bround(F.median(m).cast("double"), 3).alias(f"median_{m}"))]
-    return calls.groupBy(length).agg(F.count("*").alias("hits"), F.countDistinct(*insertion).alias("n_insertions"), F.countDistinct(sample).alias("n_samples"), *parts)
+    means = calls.groupBy(length).agg(F.count("*").alias("hits"), F.countDistinct(*insertion).alias("n_insertions"), F.countDistinct(sample).alias("n_samples"), *[F.bround(F.avg(m), 3).alias(f"mean_{m}") for m in metrics])
+    out = with_quantiles(means, calls, [length], {f"median_{m}": (m, 0.5) for m in metrics})
+    return out.select(length, "hits", "n_insertions", "n_samples", *[x for m in metrics for x in (f"mean_{m}", F.bround(f"median_{m}", 3).alias(f"median_{m}"))])
 
 
 def comparison(df: DataFrame, by: str, categories: list[str], metrics: list[str]) -> DataFrame:
     """metric, then a column per category: count, share, mean and median of each metric."""
     total = df.agg(F.count("*").alias("_total"))
-    agg = df.groupBy(by).agg(F.count("*").cast("double").alias("n"), *[x for m in metrics for x in (F.round(F.avg(m), 4).alias(f"mean_{m}"), F.round(F.median(m).cast("double"), 4).alias(f"median_{m}"))])
+    agg = df.groupBy(by).agg(F.count("*").cast("double").alias("n"), *[F.round(F.avg(m), 4).alias(f"mean_{m}") for m in metrics])
+    agg = with_quantiles(agg, df, [by], {f"median_{m}": (m, 0.5) for m in metrics}).withColumns({f"median_{m}": F.round(f"median_{m}", 4) for m in metrics})
     agg = agg.join(F.broadcast(total)).withColumn("pct", F.round(100 * F.col("n") / F.col("_total"), 4)).drop("_total")  # one row
     long = agg.unpivot(by, [c for c in agg.columns if c != by], "metric", "value")
     return long.groupBy("metric").pivot(by, categories).agg(F.first("value"))

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def nice_step(span: float, bins: int) -> float:
     """A bin width of 1, 2 or 5 times a power of ten that gives at most so many bins."""
@@ -20,7 +22,7 @@ def nice_step(span: float, bins: int) -> float:
 def stacked_histogram(df: DataFrame, value: str, series: str, step: float, medians: bool = False) -> DataFrame:
     """from (of each bin), series, n; with medians also each series' median."""
     n = df.groupBy((F.floor(F.col(value) / step) * step).cast("double").alias("from"), series).agg(F.count("*").alias("n"))
-    return n.join(df.groupBy(series).agg(F.median(value).cast("double").alias("median")), series) if medians else n
+    return n.join(quantiles(df, [series], {"median": (value, 0.5)}), series) if medians else n
 
 
 def axis_max(values: Column) -> Column:

@@ -1,11 +1,15 @@
 """Interval joins, union length and segments.
 
-Spark has no range join. Intervals are put in bins of a contig; the join is then an equality on (contig, bin) with the overlap as a residual, and a
-pair that shares several bins is kept in the first of them only, so nothing needs deduplicating.
+Spark has no range join. Intervals are put in bins of a contig; the join is then an equality on (contig, level, bin) with the overlap as a residual,
+and a pair that shares several bins is kept in the first of them only, so nothing needs deduplicating. Bins grow from level to level: an
+interval lies in the level of its own length, where it touches two bins at most, and is looked up from above by the longer ones of the other side.
+So a row gives two rows for each level that the other side has, however long it is.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,31 +17,62 @@ from pyspark.sql.window import Window
 from ..functions.coords import interval_distance
 from ..sources.shared import written
 
-BIN = 4096
+#: The size of a bin of level 0, and how many times larger it is in the next level.
+BIN, STEP = 4096, 8
+#: Levels up to bins of 2^63 bases.
+LEVELS = 17
+
+
+def _level(start: Column, end: Column, size: int) -> Column:
+    """The first level whose bins are as long as the interval."""
+    k = F.lit(LEVELS)
+    for level in reversed(range(LEVELS)):
+        if size * STEP**level < 1 << 63:
+            k = F.when(end - start <= size * STEP**level, level).otherwise(k)
+    return F.when(end.isNotNull() & start.isNotNull(), k)
+
 
+def _bin(at: Column, level: Column, size: int) -> Column:
+    return F.floor(at / (size * F.pow(F.lit(float(STEP)), level)))
 
-def _bins(start: Column, end: Column, size: int) -> tuple[Column, Column]:
-    return F.floor(start / size), F.floor(F.greatest(start, end - 1) / size)
+
+def _placed(df: DataFrame, other: DataFrame, start: str, end: str, o_start: str, o_end: str, size: int, left: bool) -> DataFrame:
+    """df with a row for each bin of its own level (_own), and of the higher ones that the other side's intervals have.
+
+    _turn says which side's level it is: on 0 left rows are in their own and right rows in that or a lower one, on 1 right rows are in their own
+    and left rows in a lower one.
+    """
+    own = df.withColumn("_own", _level(F.col(start), F.col(end), size))
+    there = other.select(_level(F.col(o_start), F.col(o_end), size).alias("_level")).distinct()  # at most LEVELS + 1 rows
+    mine, theirs = (0, 1) if left else (1, 0)
+    looked_up = own.withColumn("_level", F.explode(F.sequence(F.col("_own"), F.lit(LEVELS)))).filter((F.col("_level") > F.col("_own")) | F.lit(not left))
+    looked_up = looked_up.join(F.broadcast(there), "_level").withColumn("_turn", F.lit(theirs))
+    out = own.withColumn("_level", F.col("_own")).withColumn("_turn", F.lit(mine))
+    if not left:
+        # on their own turn right rows meet longer left rows' levels never, only shorter ones'
+        out = out.filter(F.col("_own") > 0)
+    out = out.select(*looked_up.columns).unionByName(looked_up)
+    first, last = _bin(F.col(start), F.col("_level"), size), _bin(F.greatest(F.col(start), F.col(end) - 1), F.col("_level"), size)
+    return out.withColumn("_first", first).withColumn("_bin", F.explode(F.sequence(first, last)))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, chrom: str, start: str, end: str, r_chrom: str, r_start: str, r_end: str, how: str = "inner", bin_size: int = BIN) -> DataFrame:
     """Rows of left and right whose half-open intervals overlap on a contig. how: inner, left_semi or left_anti.
 
-    Column names of the two sides must differ. Skewed bins are split by adaptive execution, as nothing above the join needs its
-    partitioning.
+    Column names of the two sides must differ. Rows with a null among contig, start or end overlap nothing. Skewed bins are split by adaptive execution, as
+    nothing above the join needs its partitioning.
     """
-    a, b = _bins(F.col(start), F.col(end), bin_size)
-    c, d = _bins(F.col(r_start), F.col(r_end), bin_size)
     if how != "inner":
         # different intervals are looked up once, and rows follow by their interval
         keys = [chrom, start, end]
         hit = overlap_join(left.select(*keys).distinct(), right.select(r_chrom, r_start, r_end), chrom, start, end, r_chrom, r_start, r_end, "inner", bin_size).select(*keys).distinct()
         return left.join(hit, keys, how).select(*left.columns)
-    ll = left.withColumn("_lo", a).withColumn("_bin", F.explode(F.sequence(a, b)))
-    rr = right.withColumn("_ro", c).withColumn("_rbin", F.explode(F.sequence(c, d)))
-    on = (F.col(chrom) == F.col(r_chrom)) & (F.col("_bin") == F.col("_rbin"))
-    residual = (F.col(r_start) < F.col(end)) & (F.col(r_end) > F.col(start)) & (F.col("_bin") == F.greatest("_lo", "_ro"))
-    return ll.join(rr, on & residual).drop("_lo", "_bin", "_ro", "_rbin")
+    ll = _placed(left, right, start, end, r_start, r_end, bin_size, True)
+    rr = _placed(right, left, r_start, r_end, start, end, bin_size, False)
+    rr = rr.select(*right.columns, *[F.col(c).alias(f"_r{c}") for c in ("_level", "_turn", "_first", "_bin")])
+    on = (F.col(chrom) == F.col(r_chrom)) & (F.col("_level") == F.col("_r_level")) & (F.col("_turn") == F.col("_r_turn")) & (F.col("_bin") == F.col("_r_bin"))
+    residual = (F.col(r_start) < F.col(end)) & (F.col(r_end) > F.col(start)) & (F.col("_bin") == F.greatest("_first", "_r_first"))
+    return ll.join(rr, on & residual).select(*left.columns, *right.columns)
 
 
 def window_join(points: DataFrame, intervals: DataFrame, chrom: str, point: str, r_chrom: str, r_start: str, r_end: str, window: int = 10, bin_size: int = BIN) -> DataFrame:
@@ -74,10 +109,15 @@ def insertion_purity(df: DataFrame, keys: list[str], start: str = "rep_start", e
 def nearest(left: DataFrame, right: DataFrame, on: list[str], value: str, r_value: str, tie: str) -> DataFrame:
     """Every left row with the right row of the same keys whose value is nearest. Ties go to the smaller value, then the smaller tie column.
 
+    Left rows with a null among keys and value stay, with nothing nearest; right ones with a null there are near nothing.
+
     Both sides are sorted together, range by range, so a key's rows may lie in many ranges; the neighbours on either side are the only
     candidates, found by running windows within a range, and past its ends by those that the ranges before and after hand on.
     """
     spark = left.sparkSession
+    known = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in [*on, value]])
+    none = left.filter(~known).select(*left.columns, F.lit(None).cast("long").alias(f"nearest_{tie}"), F.lit(None).cast(left.schema[value].dataType).alias("nearest_distance"))
+    left, right = left.filter(known), right.filter(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in [*on, r_value]]))
     hit = F.struct(F.col("_v").alias("v"), F.col("_t").alias("t"))
     a = left.select(*on, F.col(value).alias("_v"), F.lit(0).alias("_side"), F.lit(None).cast("long").alias("_t"), F.struct(*left.columns).alias("_row"))
     best = right.groupBy(*on, F.col(r_value).alias("_v")).agg(F.min(tie).cast("long").alias("_t"))
@@ -99,7 +139,7 @@ def nearest(left: DataFrame, right: DataFrame, on: list[str], value: str, r_valu
     nearer = F.when(F.col("_low").isNull(), F.col("_high")).when(F.col("_high").isNull(), F.col("_low"))
     nearer = nearer.when(F.col("_v") - F.col("_low")["v"] <= F.col("_high")["v"] - F.col("_v"), F.col("_low")).otherwise(F.col("_high"))
     out = both.withColumn("_n", nearer)
-    return out.select("_row.*", F.col("_n")["t"].alias(f"nearest_{tie}"), F.abs(F.col("_v") - F.col("_n")["v"]).alias("nearest_distance"))
+    return out.select("_row.*", F.col("_n")["t"].alias(f"nearest_{tie}"), F.abs(F.col("_v") - F.col("_n")["v"]).alias("nearest_distance")).unionByName(none)
 
 
 def segments(alleles: DataFrame, keys: list[str], size: str = "insert_size", start: str = "rep_start", end: str = "rep_end", motif: str = "motif", purity: str = "purity", units: str = "rep_units") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.motifs import reverse_complement
 from ..sources.shared import written
+from .quantiles import quantiles, with_quantiles
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
@@ -106,13 +107,14 @@ def ladder(df: DataFrame, value: str, limits: list[float]) -> DataFrame:
 
 
 def summary(df: DataFrame, keys: list[str], metrics: list[str], digits: int = 3) -> DataFrame:
-    parts = [x for m in metrics for x in (F.round(F.avg(m), digits).alias(f"mean_{m}"), F.round(F.median(m), digits).alias(f"median_{m}"))]
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), *parts)
+    means = df.groupBy(*keys).agg(F.count("*").alias("n"), *[F.round(F.avg(m), digits).alias(f"mean_{m}") for m in metrics])
+    out = with_quantiles(means, df, keys, {f"median_{m}": (m, 0.5) for m in metrics})
+    return out.select(*keys, "n", *[x for m in metrics for x in (f"mean_{m}", F.round(f"median_{m}", digits).alias(f"median_{m}"))])
 
 
 def outliers(df: DataFrame, key: str, value: str) -> DataFrame:
     """Per key: quartiles, and how many values lie beyond 1.5 interquartile ranges."""
-    q = df.groupBy(key).agg(F.percentile(value, 0.25).alias("q1"), F.percentile(value, 0.75).alias("q3"))
+    q = quantiles(df, [key], {"q1": (value, 0.25), "q3": (value, 0.75)})
     j = df.select(key, value).join(q, key)
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     return j.groupBy(key).agg(F.round(F.first("q1"), 4).alias("q1"), F.round(F.first("q3"), 4).alias("q3"), F.count_if((F.col(value) < F.col("q1") - reach) | (F.col(value) > F.col("q3") + reach)).alias("n_outliers"))

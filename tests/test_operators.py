@@ -20,10 +20,36 @@ def test_overlap_join_equals_brute_force(spark):
     assert semi == {i for i, _ in want} and semi | anti == set(range(80)) and not semi & anti
 
 
-@pytest.mark.parametrize(("spans", "want"), [([(0, 10)], 10), ([(0, 5), (10, 12)], 7), ([(0, 5), (5, 9)], 9), ([(0, 8), (4, 12)], 12), ([(0, 20), (4, 6), (8, 9)], 20), ([(3, 6), (3, 6)], 3), ([(9, 12), (0, 10)], 12)])
-def test_union_length(spark, spans, want):
-    df = spark.createDataFrame([("k", *s) for s in spans], ["k", "s", "e"])
-    assert {r.u for r in intervals.union_length(df, ["k"], "s", "e", "u").collect()} == {want}
+def test_overlap_join_of_all_lengths(spark):
+    """Whole contigs next to a few bases, on both sides; bins of 4, so many levels are met."""
+    r = random.Random(7)
+
+    def some(n):
+        size = [r.choice([0, 1, 3, 4, 5, 32, 33, 300, 5000, 100_000]) for _ in range(n)]
+        return [(k, r.choice(["a", "a", "b", None]), s := r.randint(-50, 2000), None if k == 7 else s + x) for k, x in enumerate(size)]
+
+    a, b = some(150), some(150)
+    schema = "{0}i int, {0}c string, {0}s long, {0}e long"
+    left, right = spark.createDataFrame(a, schema.format("")), spark.createDataFrame(b, schema.format("r"))
+    want = sorted((x[0], y[0]) for x in a for y in b if x[1] is not None and x[1] == y[1] and None not in (x[3], y[3]) and y[2] < x[3] and y[3] > x[2])
+    joined = intervals.overlap_join(left, right, "c", "s", "e", "rc", "rs", "re", bin_size=4)
+    assert sorted(tuple(x) for x in joined.select("i", "ri").collect()) == want and joined.columns == ["i", "c", "s", "e", "ri", "rc", "rs", "re"]
+
+
+def test_long_intervals_are_not_cut_into_bins(spark):
+    from spandrel.operators.intervals import _placed
+
+    long = spark.createDataFrame([("a", 0, 250_000_000)], "c string, s long, e long")
+    short = spark.createDataFrame([("a", 10 * k, 10 * k + 5) for k in range(100)], "rc string, rs long, re long")
+    assert _placed(long, short, "s", "e", "rs", "re", intervals.BIN, True).count() <= 2
+    assert _placed(short, long, "rs", "re", "s", "e", intervals.BIN, False).count() <= 200
+
+
+def test_union_length_equals_covered_bases(spark):
+    r = random.Random(8)
+    spans = [(k % 12, s := r.randint(0, 60), s + r.randint(1, 25)) for k in range(70)]
+    out = intervals.union_length(spark.createDataFrame(spans, "k int, s int, e int"), ["k"], "s", "e", "u").collect()
+    assert len(out) == len(spans) and all(x.u == len({p for k, s, e in spans if k == x.k for p in range(s, e)}) for x in out)
 
 
 def test_nearest_equals_brute_force(spark):
@@ -35,6 +61,39 @@ def test_nearest_equals_brute_force(spark):
         assert (x.nearest_distance, x.nearest_j) == ((c[0][0], c[0][2]) if c else (None, None))
 
 
+def test_nearest_keeps_rows_without_key_or_value(spark):
+    r = random.Random(3)
+    a = [(k, r.choice([None, 0, 1]), r.choice([None, *range(20)])) for k in range(60)]
+    b = [(k, r.choice([None, 0, 2]), r.choice([None, *range(20)])) for k in range(30)]
+    out = intervals.nearest(spark.createDataFrame(a, "i int, g int, v int"), spark.createDataFrame(b, "j int, g int, w int"), ["g"], "v", "w", "j").collect()
+    assert sorted(x.i for x in out) == list(range(60))
+    for x in out:
+        c = sorted((abs(x.v - w), w, j) for j, g, w in b if x.v is not None and w is not None and g is not None and g == x.g)
+        assert (x.nearest_distance, x.nearest_j) == ((c[0][0], c[0][2]) if c else (None, None))
+
+
+def test_quantiles_equal_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    from spandrel.operators import quantiles as q
+
+    monkeypatch.setattr(q, "ROWS", 40)
+    monkeypatch.setattr(q, "PARTS", 4)
+    r = random.Random(9)
+    rows = [("one", r.gauss(0, 1e6)) for _ in range(1500)] + [("same", 5.0)] * 500 + [("two", float(k % 2)) for k in range(300)] + [("steep", 10.0 ** r.randint(-300, 300)) for _ in range(200)]
+    rows += [(None, float(k)) for k in range(50)] + [("none", None), ("few", 1.0), ("few", 4.0), ("few", None)]
+    wanted = {"low": ("v", 0.0), "q1": ("v", 0.25), "mid": ("v", 0.5), "odd": ("v", 0.937), "top": ("v", 1.0), "mid_w": ("w", 0.5)}
+    df = spark.createDataFrame([(k, v, None if v is None else -v) for k, v in rows], "k string, v double, w double").repartition(5)
+    out = {x.k: x for x in q.quantiles(df, ["k"], wanted).collect()}
+    assert set(out) == {k for k, _ in rows} and out["none"].mid is None
+    for key in set(out) - {"none"}:
+        values = np.array([v for k, v in rows if k == key and v is not None])
+        for name, (c, p) in wanted.items():
+            assert out[key][name] == pytest.approx(np.quantile(values if c == "v" else -values, p), rel=1e-12)
+    assert q.quantiles(df.filter("false"), ["k"], wanted).count() == 0
+    assert q.quantiles(df.filter("k = 'few'"), [], {"m": ("v", 0.5)}).collect()[0].m == 2.5
+
+
 CALLS = [("chr1", 100, "CAG"), ("chr1", 100, "TTA"), ("1", 500, "CAG"), ("chrUn", 5, "CAG"), ("chr1", 211, "CAG"), ("chr1", 100, None)]
 CATALOGUE = [("chr1", 90, 100, "AGC", 5.0), ("chr1", 95, 99, "TTTA", 9.0), ("chr1", 200, 201, "A", 1.0), ("chr1", 150, 400, "GCA", 1.0)]
 
