@@ -142,10 +142,14 @@ def is_novel_label(label: Column) -> Column:
     return ~F.lower(F.trim(label)).isin("known", "false", "0", "no")
 
 
-def agreement_predicate(mode: str, a: Column, b: Column) -> Column:
-    """Rows where two catalogues agree or differ: both_novel, either_novel, both_known or disagree. Only known is not novel."""
-    na, nb = a != "known", b != "known"
-    return {"both_novel": na & nb, "either_novel": na | nb, "both_known": ~na & ~nb, "disagree": na != nb}[mode]
+#: For each way two catalogues may stand to each other: whether the first and the second call a row new.
+AGREEMENT = {"both": (True, True), "ucsc_only": (True, False), "trexplorer_only": (False, True), "neither": (False, False)}
+
+
+def agreement(mode: str, first: Column, second: Column) -> Column:
+    """Rows that both catalogues, only one of them or neither call new; any verdict but known is new. Rows without a verdict match no mode."""
+    one, two = AGREEMENT[mode]
+    return ((first != "known") == one) & ((second != "known") == two)
 
 
 def sweep_filters(df: DataFrame, grid: dict[str, list], rule, unit: str) -> DataFrame:

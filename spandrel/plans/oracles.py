@@ -70,7 +70,8 @@ ORACLES: dict[str, str] = {
     "class_breakdown": "select case when p_size = 1 then 'homopolymer' when p_size <= 6 then 'STR' else 'VNTR' end as motif_class, count(*) as n, count(*) filter (where p_retailprice > 1000) as n_dear from part group by 1",
     "priority_sort": "select o_orderkey, o_orderpriority, case o_orderpriority when '1-URGENT' then 0 when '2-HIGH' then 1 when '3-MEDIUM' then 2 else 99 end::int as rank from orders order by 3, o_totalprice desc, o_orderkey limit 200",
     "like_search": "select p_partkey, p_name, p_brand from part where lower(p_name) like '%ed%' or contains(upper(p_brand), '#1')",
-    "agreement_modes": "select count(*) filter (where a and b) as both_novel, count(*) filter (where a or b) as either_novel, count(*) filter (where not a and not b) as both_known, count(*) filter (where a <> b) as disagree from (select l_returnflag <> 'A' as a, l_linestatus <> 'O' as b from lineitem)",
+    "agreement_modes": "with c as (select l_orderkey % 10 as sample, (l_suppkey + 1) % 4 <> 0 as u, (l_suppkey + 2) % 4 <> 0 as t from lineitem), m as (select sample, unnest(['any', case when u and t then 'both' when u then 'ucsc_only' when t then 'trexplorer_only' else 'neither' end]) as mode from c) select sample, count(*) as n, mode, 0 as n_ignored from m group by 1, 3",
+    "sample_filter": "select l_orderkey as sample, l_partkey as ins_coord, l_suppkey::varchar as SVID, l_linenumber as depth, 'min_samples' as ignored from lineitem where l_orderkey = 1 and (l_suppkey + 1) % 4 <> 0 and (l_suppkey + 2) % 4 = 0",
     "tag_filter": "select coalesce(nullif(concat_ws(',', case when l_quantity < 5 then 'quantity' end, case when l_discount < 0.02 then 'discount' end, case when nullif(l_tax, 0) < 0.03 then 'tax' end), ''), 'PASS') as filter, count(*) as n from lineitem group by 1",
     "filter_chain_funnel": _funnel("(select *, case when l_quantity > 0 then l_tax * 100 / l_quantity else 0 end as coverage from lineitem)", [("input", "true"), ("keep", "l_returnflag in ('A', 'N')"), ("coverage", "coverage >= 0.1"), ("size", "l_quantity <= 30"), ("depth", "l_extendedprice >= 5000")]),
     "copy_number_class": "select case when p_size >= 40 then 'pathogenic' when p_size between 30 and 39 then 'intermediate' when p_size <= 20 then 'benign' else 'unknown' end as allele_class, case when p_size >= 40 then 'pathogenic' when p_size between 30 and 39 then 'intermediate' else 'unknown' end as copies_class, count(*) as n from part group by 1, 2",

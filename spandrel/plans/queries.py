@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,9 +105,19 @@ def like_search(spark, sf_dir):
 
 @query
 def agreement_modes(spark, sf_dir):
-    li = _t(spark, sf_dir, "lineitem")
-    a, b = F.when(F.col("l_returnflag") == "A", "known").otherwise("novel_locus"), F.when(F.col("l_linestatus") == "O", "known").otherwise("novel_motif")
-    return li.agg(*[F.count_if(screen.agreement_predicate(m, a, b)).alias(m) for m in ("both_novel", "either_novel", "both_known", "disagree")])
+    """How many calls of each sample every mode of the agreement filter leaves."""
+    calls, parts = _calls(spark, sf_dir), []
+    for mode in (*screen.AGREEMENT, None):
+        df, ignored = serve.filtered(calls, platform_agreement=mode)
+        parts.append(df.groupBy((F.col("sample") % 10).alias("sample")).agg(F.count("*").alias("n")).withColumn("mode", F.lit(mode or "any")).withColumn("n_ignored", F.lit(len(ignored))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def sample_filter(spark, sf_dir):
+    """One sample's calls that only the first catalogue calls new; a filter its table has no column for is named."""
+    df, ignored = serve.filtered(_calls(spark, sf_dir), sample=1, platform_agreement="ucsc_only", min_samples=2)
+    return df.select("sample", "ins_coord", "SVID", "depth", F.lit(",".join(ignored)).alias("ignored"))
 
 
 @query
