@@ -45,3 +45,27 @@ def pack_sorted(first: np.ndarray, *more: np.ndarray) -> bytes:
 def unpack_sorted(raw: bytes, *kinds: str) -> list[np.ndarray]:
     gaps, *more = unpack(raw, "<u8", *kinds)
     return [np.cumsum(gaps, dtype=np.uint64), *more]
+
+
+def packed_small(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers of seven bits a byte, low bits first, the last byte below 128; and where each number begins, with the end."""
+    v = values.astype(np.uint64)
+    size = np.ones(len(v), np.int64)
+    for k in range(1, 10):
+        size += v >= np.uint64(1 << 7 * k)
+    at = np.concatenate([[0], np.cumsum(size)])
+    out = np.zeros(at[-1], np.uint8)
+    for k in range(int(size.max()) if len(v) else 0):
+        there = size > k
+        out[at[:-1][there] + k] = ((v[there] >> np.uint64(7 * k)) & np.uint64(127)) | (np.uint64(128) * (size[there] > k + 1)).astype(np.uint64)
+    return out, at
+
+
+def unpacked_small(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers, and where each ends."""
+    end = np.flatnonzero(data < 128) + 1
+    if not len(end):
+        return np.zeros(0, np.int64), end
+    begin = np.concatenate([[0], end[:-1]])
+    place = np.arange(len(data)) - np.repeat(begin, end - begin)
+    return np.add.reduceat((data & 127).astype(np.int64) << (7 * place), begin), end

@@ -11,8 +11,8 @@ with those. As the threshold holds for sums over all shards, phrases grow by one
 within one; whatever is frequent grows from two frequent phrases, so no other is ever counted. Phrases are told apart by the
 numbers of the two phrases they grew from, never by hashes.
 
-What travels: a row for each different pair of a shard with its count, and a shard's bitmaps once a length. A frequent pair has one row per
-shard, so no key gathers its occurrences.
+What travels: a row for each different left phrase of a shard with all that follow it and their counts in few bytes, and a shard's bitmaps once a
+length. Rows of a frequent left phrase are dealt over as many keys as its count asks, so no key gathers more than some occurrences.
 
 Defined cases: a null or empty text has no words; a null language is `und`, together with texts that say so; repeated rows count as often as
 they stand; ties rank by count, then by the phrase's bytes; an empty table gives an empty result; other columns are ignored,
@@ -23,24 +23,28 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import partial
 from itertools import count
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settled, stored
-from .exchange import pack, unpack
-from .textops import blocks, string_parts
+from .exchange import pack, packed_small, runs, unpack, unpacked_small
+from .textops import blocks, mix64, string_parts
 
 #: Bytes of text to a shard, and to a step in which its words are numbered.
 SHARD_BYTES, STEP_BYTES = 24 << 20, 2 << 20
 #: So many pairs of bytes are ANDed at a time.
 PAIRS = 4 << 20
+#: The pairs of a left phrase are dealt over one key for each so many of its occurrences.
+DEAL = 1 << 20
 #: Phrases of so many words are sought, and so many occurrences make one a candidate.
 LONGEST, LEAST = 5, 100
 #: So many phrases of each language are reported.
@@ -51,35 +55,36 @@ _EMPTY, _END, _FIRST = 0, 1, 2
 
 
 class Bitmaps(NamedTuple):
-    """Bitmaps of positions by number: those of ids[k] are the bytes first[k] to first[k + 1]; block is a byte's place."""
+    """Bitmaps of positions by number: those of ids[k] are the bytes first[k] to first[k + 1]; block is a byte's place. total: counts in the whole corpus."""
 
     ids: np.ndarray
+    total: np.ndarray
     first: np.ndarray
     block: np.ndarray
     byte: np.ndarray
 
     @staticmethod
-    def of(code: np.ndarray, block: np.ndarray, byte: np.ndarray, ids: np.ndarray) -> Bitmaps:
+    def of(code: np.ndarray, block: np.ndarray, byte: np.ndarray, ids: np.ndarray, total: np.ndarray) -> Bitmaps:
         """From bytes in any order: of the bitmap with number ids[code]. Bytes of one place are ORed."""
         order = np.lexsort((block, code))
         code, block, byte = code[order], block[order], byte[order]
         new = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (block[1:] != block[:-1])])) if len(code) else np.zeros(0, np.int64)
         byte = np.bitwise_or.reduceat(byte, new) if len(new) else byte
         first = np.searchsorted(code[new], np.arange(len(ids) + 1))
-        return Bitmaps(ids, first, block[new], byte)
+        return Bitmaps(ids, total, first, block[new], byte)
 
     def packed(self) -> tuple[bytes, bytes]:
         gaps = np.diff(self.block, prepend=0)
         gaps[self.first[:-1][np.diff(self.first) > 0]] = self.block[self.first[:-1][np.diff(self.first) > 0]]
-        return pack(self.ids.astype(np.int64), np.diff(self.first).astype(np.uint32)), pack(gaps.astype(np.int32), self.byte)
+        return pack(self.ids.astype(np.int64), self.total.astype(np.int64), np.diff(self.first).astype(np.uint32)), pack(gaps.astype(np.int32), self.byte)
 
     @staticmethod
     def unpacked(heads: bytes, body: bytes) -> Bitmaps:
-        ids, size = unpack(heads, "<i8", "<u4")
+        ids, most, size = unpack(heads, "<i8", "<i8", "<u4")
         gaps, byte = unpack(body, "<i4", "u1")
         first = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
         total = np.concatenate([[0], np.cumsum(gaps, dtype=np.int64)])
-        return Bitmaps(ids, first, total[1:] - np.repeat(total[first[:-1]], size), byte)
+        return Bitmaps(ids, most, first, total[1:] - np.repeat(total[first[:-1]], size), byte)
 
     def followed(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(left, right, block, byte): the bitmap of each left shifted up by one position, ANDed with that of each right; zeros are left out."""
@@ -103,7 +108,7 @@ class Bitmaps(NamedTuple):
                 a = b
 
     def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(left number, right number, popcount) of all pairs that ever follow each other."""
+        """(left place, right number, popcount) of all pairs that ever follow each other."""
         size = len(self.ids)
         keys, bits = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
         for left, right, _, byte in self.followed():
@@ -113,23 +118,23 @@ class Bitmaps(NamedTuple):
         n = np.bincount(code, weights=np.concatenate(bits), minlength=len(key)).astype(np.int64)
         order = np.argsort(key)
         key, n = np.asarray(key)[order], n[order]
-        return self.ids[key // max(size, 1)], self.ids[key % max(size, 1)], n
+        return key // max(size, 1), self.ids[key % max(size, 1)], n
 
-    def grown(self, left: np.ndarray, right: np.ndarray, ids: np.ndarray) -> Bitmaps:
+    def grown(self, left: np.ndarray, right: np.ndarray, ids: np.ndarray, total: np.ndarray) -> Bitmaps:
         """The bitmaps of the given pairs, under the given numbers."""
         by = np.argsort(self.ids)
         at = lambda x: by[np.searchsorted(self.ids, x, sorter=by)]
         size = len(self.ids)
         key = at(left).astype(np.int64) * size + at(right)
         order = np.argsort(key)
-        key, ids = key[order], ids[order]
+        key, ids, total = key[order], ids[order], total[order]
         parts = [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint8))]
         for a, b, block, byte in self.followed():
             pair = a.astype(np.int64) * size + b
             place = np.minimum(np.searchsorted(key, pair), len(key) - 1)
             there = key[place] == pair
             parts.append((place[there], block[there], byte[there]))
-        return Bitmaps.of(*(np.concatenate(p) for p in zip(*parts, strict=True)), ids)
+        return Bitmaps.of(*(np.concatenate(p) for p in zip(*parts, strict=True)), ids, total)
 
 
 def read(batch_texts: Iterator[tuple[list[bytes], dict]]) -> tuple[dict[str, dict[bytes, int]], Bitmaps, np.ndarray]:
@@ -147,10 +152,10 @@ def read(batch_texts: Iterator[tuple[list[bytes], dict]]) -> tuple[dict[str, dic
     at = np.flatnonzero(code != _END)
     word = code[at] - _FIRST
     n = int(word.max()) + 1 if len(word) else 0
-    return known, Bitmaps.of(word, at >> 3, np.left_shift(1, at & 7).astype(np.uint8), np.arange(n)), np.bincount(word, minlength=n)
+    return known, Bitmaps.of(word, at >> 3, np.left_shift(1, at & 7).astype(np.uint8), np.arange(n), np.zeros(n, np.int64)), np.bincount(word, minlength=n)
 
 
-_PAIRED = "chunk long, heads binary, body binary, p long, q long, n long"
+_SHARD = "chunk long, heads binary, body binary, p long, part int, followers binary"
 
 
 def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,43 +200,141 @@ def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk += 1
 
 
+def _followers(b: Bitmaps) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Rows (left number, part, what follows it and how often): by turns the step from one right number to the next, and a count."""
+    left, q, n = b.counted()
+    parts = 1 + b.total[left] // DEAL
+    part = (mix64(q.astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
+    order = np.lexsort((q, part, left))
+    left, q, n, part = left[order], q[order], n[order], part[order]
+    new = runs(left * (int(parts.max(initial=1)) + 1) + part)
+    step = np.diff(q, prepend=0)
+    step[new] = q[new]
+    data, at = packed_small(np.column_stack([step, n]).ravel())
+    edge = np.append(at[2 * new], len(data)).astype(np.int64)
+    rows = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(new), [None, pa.py_buffer(edge), pa.py_buffer(data)])
+    return b.ids[left[new]], part[new], rows.cast(pa.binary())
+
+
 def _rows(chunk: int, bitmaps: Bitmaps) -> pa.Table:
+    """A shard's own row, and its rows of followers."""
     heads, body = bitmaps.packed()
-    p, q, n = bitmaps.counted()
-    own = [pa.array([chunk], pa.int64()), pa.array([heads], pa.binary()), pa.array([body], pa.binary()), *(pa.nulls(1, pa.int64()) for _ in range(3))]
-    rest = [pa.array(np.full(len(p), chunk), pa.int64()), pa.nulls(len(p), pa.binary()), pa.nulls(len(p), pa.binary()), pa.array(p, pa.int64()), pa.array(q, pa.int64()), pa.array(n, pa.int64())]
-    return pa.table([pa.chunked_array([a, b]) for a, b in zip(own, rest, strict=True)], names=["chunk", "heads", "body", "p", "q", "n"])
+    p, part, rows = _followers(bitmaps)
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+    own = [pa.array([x], t) for x, t in zip((chunk, heads, body, None, None, None), kinds, strict=True)]
+    rest = [pa.array(np.full(len(p), chunk), pa.int64()), pa.nulls(len(p), pa.binary()), pa.nulls(len(p), pa.binary()), pa.array(p, pa.int64()), pa.array(part, pa.int32()), rows]
+    return pa.table([pa.chunked_array([a, b]) for a, b in zip(own, rest, strict=True)], names=["chunk", "heads", "body", "p", "part", "followers"])
 
 
 def _none() -> pa.Table:
-    return pa.table({c: pa.array([], t) for c, t in zip(("chunk", "heads", "body", "p", "q", "n"), [pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 3], strict=True)})
+    return _rows(0, Bitmaps(*[np.zeros(0, np.int64)] * 2, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8))).slice(0, 0)
 
 
 def _kept_words(own: pa.Table, answers: pa.Table) -> pa.Table:
-    """A shard's bitmaps with those of infrequent words left out, and the counts of their pairs."""
+    """A shard's bitmaps with those of infrequent words left out, and what follows each."""
     if not own.num_rows or not answers.num_rows:
         return _none()
     b = Bitmaps.unpacked(own["heads"][0].as_py(), own["body"][0].as_py())
-    ids = np.full(len(b.ids), -1)
-    ids[answers["p"].to_numpy()] = answers["id"].to_numpy()
+    ids, total = np.full(len(b.ids), -1), np.zeros(len(b.ids), np.int64)
+    ids[answers["p"].to_numpy()], total[answers["p"].to_numpy()] = answers["id"].to_numpy(), answers["a"].to_numpy()
     row = np.repeat(np.arange(len(b.ids)), np.diff(b.first))
     place = np.cumsum(ids >= 0) - 1
     kept = ids[row] >= 0
-    return _rows(own["of"][0].as_py(), Bitmaps.of(place[row[kept]], b.block[kept], b.byte[kept], ids[ids >= 0]))
+    return _rows(own["of"][0].as_py(), Bitmaps.of(place[row[kept]], b.block[kept], b.byte[kept], ids[ids >= 0], total[ids >= 0]))
 
 
 def _kept_pairs(own: pa.Table, answers: pa.Table) -> pa.Table:
-    """A shard's bitmaps of the frequent pairs, and the counts of the pairs of these."""
+    """A shard's bitmaps of the frequent pairs, and what follows each."""
     if not own.num_rows or not answers.num_rows:
         return _none()
     b = Bitmaps.unpacked(own["heads"][0].as_py(), own["body"][0].as_py())
-    return _rows(own["of"][0].as_py(), b.grown(*(answers[c].to_numpy() for c in ("p", "q", "id"))))
+    return _rows(own["of"][0].as_py(), b.grown(*(answers[c].to_numpy() for c in ("p", "q", "id", "a"))))
 
 
 def _answered(shards: DataFrame, answers: DataFrame, f) -> DataFrame:
     own = shards.filter(F.col("heads").isNotNull()).select(F.col("chunk").alias("of"), "heads", "body")
-    to = answers.select(F.col("chunk").alias("to"), *(c for c in answers.columns if c != "chunk"))
-    return own.groupBy("of").cogroup(to.groupBy("to")).applyInArrow(f, _PAIRED)
+    to = answers.filter(F.col("chunk").isNotNull()).select(F.col("chunk").alias("to"), *(c for c in ("p", "q", "id", "a") if c in answers.columns))
+    return own.groupBy("of").cogroup(to.groupBy("to")).applyInArrow(f, _SHARD)
+
+
+def _by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Batches of rows that are sorted by keys, cut so that no key goes on in the next."""
+    rest = None
+    for batch in batches:
+        part = pa.Table.from_batches([batch])
+        rest = part if rest is None else pa.concat_tables([rest, part])
+        columns = [rest[c].combine_chunks() for c in keys]
+        same = np.ones(rest.num_rows, bool)
+        for c in columns:
+            same &= pc.equal(c, c[-1]).to_numpy(zero_copy_only=False)
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if cut:
+            yield rest.slice(0, cut)
+            rest = rest.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+class _Numbers:
+    """Numbers that no other task gives."""
+
+    def __init__(self):
+        self.next = TaskContext.get().partitionId() << 33
+
+    def take(self, n: int) -> np.ndarray:
+        self.next += n
+        return np.arange(self.next - n, self.next)
+
+
+def _frequent_words(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (lang, word, chunk, p, n) sorted by word: those of frequent words, with number and count, and one without chunk for each of these."""
+    numbers = _Numbers()
+    for rows in _by_key(batches, ["lang", "word"]):
+        lang, word = (rows[c].combine_chunks() for c in ("lang", "word"))
+        new = np.ones(len(word), bool)
+        new[1:] = np.logical_or(*(pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False) for c in (lang, word)))
+        first = np.flatnonzero(new)
+        total = np.add.reduceat(rows["n"].to_numpy(), first)
+        ids = np.full(len(first), -1)
+        ids[total >= least] = numbers.take(int((total >= least).sum()))
+        group = np.cumsum(new) - 1
+        at = np.flatnonzero(ids[group] >= 0)
+        head = first[total >= least]
+        both, g = np.concatenate([head, at]), group[np.concatenate([head, at])]
+        told = np.arange(len(both)) < len(head)
+        blank = lambda c: pc.if_else(pa.array(told), c.take(pa.array(both)), pa.scalar(None, c.type))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids[g]), blank(lang), blank(word), pa.array(total[g]), pa.array(rows["chunk"].to_numpy()[both], mask=told), pa.array(rows["p"].to_numpy()[both], mask=told)], names=["id", "lang", "word", "a", "chunk", "p"]
+        )
+
+
+def _frequent_pairs(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows of followers sorted by left number and part: the frequent pairs of each shard, with number and count, and one without chunk for each of these."""
+    numbers = _Numbers()
+    for rows in _by_key(batches, ["p", "part"]):
+        packed = rows["followers"].to_pylist()
+        value, end = unpacked_small(np.frombuffer(b"".join(packed), np.uint8))
+        size = np.diff(np.searchsorted(end, np.concatenate([[0], np.cumsum(list(map(len, packed)))]), "right")) // 2
+        row = np.repeat(np.arange(len(size)), size)
+        upto = np.concatenate([[0], np.cumsum(value[::2])])
+        first = np.concatenate([[0], np.cumsum(size)])[:-1]
+        q, n = upto[1:] - np.repeat(upto[first], size), value[1::2]
+        p = rows["p"].to_numpy()[row]
+        order = np.lexsort((q, p))
+        p, q, n, row = p[order], q[order], n[order], row[order]
+        new = np.ones(len(p), bool)
+        new[1:] = (p[1:] != p[:-1]) | (q[1:] != q[:-1])
+        first = np.flatnonzero(new)
+        total = np.add.reduceat(n, first)
+        ids = np.full(len(first), -1)
+        ids[total >= least] = numbers.take(int((total >= least).sum()))
+        group = np.cumsum(new) - 1
+        at = np.flatnonzero(ids[group] >= 0)
+        head = first[total >= least]
+        both = np.concatenate([head, at])
+        g = group[both]
+        chunk = pa.array(rows["chunk"].to_numpy()[row[both]], mask=np.arange(len(both)) < len(head))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[g]), pa.array(p[both]), pa.array(q[both]), pa.array(total[g]), chunk], names=["id", "p", "q", "a", "chunk"])
 
 
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST) -> tuple[list[DataFrame], DataFrame]:
@@ -242,32 +345,25 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     """
     texts = docs.select(F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"))
     shards = stored(texts.mapInArrow(_first, "chunk long, heads binary, body binary, lang string, word string, p long, n long"), "phrase-words")
-    words = shards.filter(F.col("word").isNotNull())
+    words = shards.filter(F.col("word").isNotNull()).select("lang", "word", "chunk", "p", "n")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
+    dealt = words.repartition("lang", "word").sortWithinPartitions("lang", "word")
+    told = stored(dealt.mapInArrow(partial(_frequent_words, least), "id long, lang string, word string, a long, chunk long, p long"), "phrase-counts")
     none = F.array().cast("array<bigint>")
-    level = words.groupBy("lang", "word").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
-    level = stored(
-        level.select(F.monotonically_increasing_id().alias("id"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", none.alias("heads"), none.alias("tails"), *(F.lit(None).cast("long").alias(c) for c in "pq")),
-        "phrases",
-    )
+    level = told.filter(F.col("chunk").isNull()).select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", none.alias("heads"), none.alias("tails"), *(F.lit(None).cast("long").alias(c) for c in "pq"))
     levels = [level]
-    answers = words.join(level.select("lang", F.col("phrase").alias("word"), "id"), ["lang", "word"]).select("chunk", "p", "id")
-    shards = stored(_answered(shards, answers, _kept_words), "phrase-shards")
+    shards = stored(_answered(shards, told, _kept_words), "phrase-shards")
     for k in range(2, longest + 1):
-        pairs = shards.filter(F.col("heads").isNull())
-        sums = pairs.groupBy("p", "q").agg(F.sum("n").alias("a")).filter(F.col("a") >= least)
+        dealt = shards.filter(F.col("heads").isNull()).select("p", "part", "chunk", "followers").repartition("p", "part").sortWithinPartitions("p", "part")
+        told = stored(dealt.mapInArrow(partial(_frequent_pairs, least), "id long, p long, q long, a long, chunk long"), "phrase-counts")
         left = level.select(F.col("id").alias("p"), "lang", "phrase", "heads", F.col("a").alias("head"))
         right = level.select(F.col("id").alias("q"), "last", "tails", F.col("a").alias("tail"))
-        level = stored(
-            sums.join(left, "p").join(right, "q").select(
-                F.monotonically_increasing_id().alias("id"), "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "a",
-                F.concat("heads", F.array("head")).alias("heads"), F.concat("tails", F.array("tail")).alias("tails"), "p", "q",
-            ),
-            "phrases",
-        )
+        grown = told.filter(F.col("chunk").isNull()).drop("chunk").join(left, "p").join(right, "q")
+        heads, tails = F.concat("heads", F.array("head")).alias("heads"), F.concat("tails", F.array("tail")).alias("tails")
+        level = stored(grown.select("id", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "a", heads, tails, "p", "q"), "phrases")
         levels.append(level)
         if k < longest:
-            shards = stored(_answered(shards, pairs.join(level.select("p", "q", "id"), ["p", "q"]).select("chunk", "p", "q", "id"), _kept_pairs), "phrase-shards")
+            shards = stored(_answered(shards, told, _kept_pairs), "phrase-shards")
     return levels, totals
 
 

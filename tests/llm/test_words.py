@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from spandrel.llm import byte_bpe, phrases, spelling
+from spandrel.llm import byte_bpe, exchange, phrases, spelling
 
 LOW = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
@@ -25,17 +25,25 @@ def test_followed_bitmaps_equal_positions():
     r = np.random.default_rng(1)
     code = r.integers(0, 6, 500)
     at = np.sort(r.choice(2000, 500, replace=False))
-    b = phrases.Bitmaps.of(code, at >> 3, np.left_shift(1, at & 7).astype(np.uint8), np.arange(6) * 10)
+    b = phrases.Bitmaps.of(code, at >> 3, np.left_shift(1, at & 7).astype(np.uint8), np.arange(6) * 10, np.arange(6))
     b = phrases.Bitmaps.unpacked(*b.packed())
     where = dict(zip(at.tolist(), code.tolist(), strict=True))
     want = Counter((c * 10, where[p + 1] * 10) for p, c in where.items() if p + 1 in where)
-    assert dict(zip(zip(*(x.tolist() for x in b.counted()[:2]), strict=True), b.counted()[2].tolist(), strict=True)) == want
+    left, q, n = b.counted()
+    assert dict(zip(zip(b.ids[left].tolist(), q.tolist(), strict=True), n.tolist(), strict=True)) == want
     some = [(p, q) for p, q in want if p != 20]
-    grown = b.grown(np.array([p for p, _ in some]), np.array([q for _, q in some]), np.arange(len(some)) + 7)
+    grown = b.grown(np.array([p for p, _ in some]), np.array([q for _, q in some]), np.arange(len(some)) + 7, np.arange(len(some)))
     size = [int(np.bitwise_count(grown.byte[x:y]).sum()) for x, y in zip(grown.first[:-1], grown.first[1:], strict=True)]
     assert dict(zip(grown.ids.tolist(), size, strict=True)) == {k + 7: want[x] for k, x in enumerate(some)}
 
 
+def test_small_numbers_come_back():
+    v = np.array([0, 1, 127, 128, 300, 2**33, 2**62, 5])
+    data, at = exchange.packed_small(v)
+    got, end = exchange.unpacked_small(data)
+    assert got.tolist() == v.tolist() and end.tolist() == at[1:].tolist()
+
+
 def brute_phrases(rows, least, longest=5):
     n, f = Counter(), Counter()
     for text, lang in rows:
@@ -64,6 +72,7 @@ def test_collocations_equal_brute_force(spark, monkeypatch):
     rows += [(None, "en"), ("", None), (". , ;", "xx"), ("x " * 3000, "yy"), ("\x00 y " * 30, "en")] + rows[:5]
     monkeypatch.setattr(phrases, "SHARD_BYTES", 500)
     monkeypatch.setattr(phrases, "STEP_BYTES", 200)
+    monkeypatch.setattr(phrases, "DEAL", 64)
     docs = spark.createDataFrame([(t, lang, "p", 1) for t, lang in rows], "text string, lang string, phrase string, a long").repartition(3)
     got = sorted(tuple(x) for x in phrases.collocations(docs, least=5).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())
     assert got == brute_phrases(rows, 5)
