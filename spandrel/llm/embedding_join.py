@@ -14,8 +14,8 @@ forest of the links, from which components follow. Work grows with the square of
 comparison of vectors in many dimensions does; memory and the rows sent do not: a tile is sent once to each of its meetings.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and those whose label is null, link with
-nothing; vectors of different lengths don't link; repeated vec_ids count as separate vectors for links and share a row's
-component; ties (equal vectors) count as links; an empty table gives an empty result; other columns are ignored, whatever their names.
+nothing; vectors of different lengths don't link; repeated vec_ids are separate vectors, each with its own links and component; a null vec_id
+is a vector like any other, but names no component (a component of such rows alone is null) and is never kept; ties (equal vectors) count as links; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -122,8 +122,9 @@ def embedding_join(vectors: DataFrame, ident: str = "vec_id", vector: str = "emb
     # -0.0 and 0.0 are the same component
     key = F.when(F.col("usable"), F.sha2(F.concat_ws("|", F.col("label").cast("string"), F.array_join(F.transform("vector", lambda x: (x + 0.0).cast("string")), ",")), 256))
     v = stored(v.withColumn("key", key), "vectors")
-    classes = v.filter("usable").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("vector").alias("vector"))
-    classes = stored(classes, "vector-classes")
+    # classes are told apart by numbers: ids may repeat or be missing
+    classes = v.filter("usable").groupBy("key").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("vector").alias("vector"))
+    classes = stored(classes.withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
     size = classes.groupBy("label", F.size("vector").alias("d")).agg(F.count("*").alias("many")).withColumn("tiles", F.ceil(F.col("many") / TILE).cast("int"))
     # a row for each label and length of vectors, with its number of tiles
     dealt = classes.withColumn("d", F.size("vector")).join(size, ["label", "d"]).withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
@@ -135,8 +136,9 @@ def embedding_join(vectors: DataFrame, ident: str = "vec_id", vector: str = "emb
     links = met.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     linked = components(met.filter("b is not null").select("a", "b")).withColumnsRenamed({"node": "rep"})
     info = classes.join(links, "rep", "left").join(linked, "rep", "left")
-    info = info.select("key", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))
-    out = v.select("vec_id", "key").join(info, "key", "left")
-    component = F.coalesce("component", "vec_id")
+    info = info.select("key", "first_id", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))
+    named = info.groupBy("component").agg(F.min("first_id").alias("name"))
+    out = v.select("vec_id", "key").join(info.join(named, "component"), "key", "left")
+    component = F.when(F.col("component").isNull(), F.col("vec_id")).otherwise(F.col("name"))
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 

@@ -5,8 +5,8 @@ It is never in one place. Every chunk of documents gets the trie of the n-grams
 counts of the whole corpus, and is scored by it; as smoothing needs an n-gram's and its context's counts only, these tries agree.
 
 1. Chunks send their different words by hash to shards, which gives the number of training tokens and of different words.
-2. Chunks send their different words, bigrams and trigrams with their training counts, as sorted hashes of BITS more bits
-   than the text has, to shards of the hash space, and their own words in order to themselves.
+2. Chunks send their different bigrams and trigrams with their training counts, as sorted hashes of BITS more bits
+   than the text has, to shards of the hash space, their different words apart from those, as full hashes of 64 bits, and their own words in order to themselves.
 3. A shard adds the counts and answers each chunk, in the chunk's order.
 4. A chunk builds its trie and returns its documents' scores.
 
@@ -89,13 +89,14 @@ def count_tokens(docs: DataFrame, shards: int) -> DataFrame:
 
 
 class Plan(NamedTuple):
-    """tokens and kinds: of the training documents, with their ends; shards and bits of the hash space."""
+    """tokens and kinds: of the training documents, with their ends; shards and bits of the n-grams' hash space, and shards of the words', which are numbered after those."""
 
     n_docs: int
     tokens: int
     kinds: int
     shards: int
     bits: int
+    word_shards: int
 
 
 class Grams:
@@ -128,20 +129,23 @@ class Grams:
         two = mix64(h[self.pairs // size] * _SEEDS[0] + h[self.pairs % size] * _SEEDS[1])
         t = self.triples // size
         three = mix64(h[c1[t]] * _SEEDS[2] + mix64(h[c2[t]] * _SEEDS[0] + h[self.triples % size] * _SEEDS[1]))
-        self.hashes = np.concatenate([mix64(h), two, three])
+        self.words, self.hashes = h, np.concatenate([two, three])
 
-    def counts(self, train: np.ndarray) -> np.ndarray:
-        """How often each word, bigram and trigram occurs in the training texts of the chunk."""
+    def counts(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each word, and how often each bigram and trigram occurs in the training texts of the chunk."""
         n = [np.bincount(x[train], minlength=m) for x, m in ((self.seq, self.size), (self.pair_of, len(self.pairs)), (self.triple_of, len(self.triples)))]
-        return np.concatenate(n)
+        return n[0], np.concatenate(n[1:])
 
-    def order(self, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Its n-grams in the order of their hashes, these, and where each shard's begin."""
-        key = self.hashes >> np.uint64(64 - plan.bits)
-        order = np.argsort(key)  # equal hashes are asked and answered alike, in whatever order
-        key = key[order]
-        top = key >> np.uint64(plan.bits - 32)
-        return order, key, np.searchsorted(top * np.uint64(plan.shards) >> np.uint64(32), np.arange(plan.shards + 1, dtype=np.uint64))
+    def orders(self, plan: Plan) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of words and of n-grams: in the order of their hashes, these, and where each shard's begin."""
+        return _in_order(self.words, 64, plan.word_shards), _in_order(self.hashes, plan.bits, plan.shards)
+
+
+def _in_order(hashes: np.ndarray, bits: int, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    key = hashes >> np.uint64(64 - bits)
+    order = np.argsort(key)  # equal hashes are asked and answered alike, in whatever order
+    key = key[order]
+    return order, key, np.searchsorted((key >> np.uint64(bits - 32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64))
 
 
 def _ranked(often: np.ndarray) -> np.ndarray:
@@ -158,12 +162,12 @@ def _asked(plan: Plan, batches):
         seq = np.full(len(doc), END, np.int64)
         seq[np.arange(len(h)) + np.repeat(np.arange(len(ids)), size)] = np.argsort(rank)[at] + FIRST
         grams = Grams(words[rank], seq, doc)
-        order, key, cut = grams.order(plan)
-        n = grams.counts(~held[doc])[order].astype(np.uint32)
         known = np.array([0 if i is None else i for i in ids.to_pylist()], np.int64)
         none = np.array([i is None for i in ids.to_pylist()], bool)
         rows = [(-1 - number, number, pack_sorted(words, often.astype(np.uint32)), pack(seq.astype(np.uint32)), pack(known, size, held, none))]
-        rows += [(s, number, pack_sorted(key[x:y], n[x:y]), None, None) for s, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+        for (order, key, cut), n, base in zip(grams.orders(plan), grams.counts(~held[doc]), (plan.shards, 0), strict=True):
+            n = n[order].astype(np.uint32)
+            rows += [(base + s, number, pack_sorted(key[x:y], n[x:y]), None, None) for s, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
         columns = zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["shard", "chunk", "grams", "seq", "docs"])
 
@@ -193,10 +197,12 @@ def _scored(plan: Plan, group: pd.DataFrame) -> pd.DataFrame:
     seq = unpack(own["seq"], "<u4")[0].astype(np.int64)
     doc = np.repeat(np.arange(len(known)), size + 1)
     g = Grams(words, seq, doc)
-    order, _, _ = g.order(plan)
-    count = np.empty(len(order), np.int64)
-    count[order] = np.concatenate([unpack(b, "<i8")[0] for b in group[~mine].sort_values("shard")["grams"]])
-    c1, c2, c3 = np.split(count, [g.size, g.size + len(g.pairs)])
+    answers, counts = group[~mine].sort_values("shard"), []
+    for (order, _, _), own_kind in zip(g.orders(plan), (answers["shard"] >= plan.shards, answers["shard"] < plan.shards), strict=True):
+        count = np.empty(len(order), np.int64)
+        count[order] = np.concatenate([unpack(b, "<i8")[0] for b in answers["grams"][own_kind]])
+        counts.append(count)
+    c1, (c2, c3) = counts[0], np.split(counts[1], [len(g.pairs)])
     # each training text begins once
     follows = c1.copy()
     follows[BEGIN], follows[END] = plan.n_docs, 0
@@ -240,7 +246,8 @@ def lm_scores(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> Dat
     told = stored(count_tokens(docs, shards), "lm-words").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "kinds", "all_tokens")]).first()
     n_docs = int(seen["n"])
     bits = min(64, max(LEAST_BITS, BITS + int(seen["size"]).bit_length()))
-    plan = Plan(n_docs, int(told["tokens"]) + n_docs, int(told["kinds"]) + (n_docs > 0), shards_of(2 * int(told["all_tokens"]), SHARD, tasks), bits)
+    grams = shards_of(2 * int(told["all_tokens"]), SHARD, tasks)
+    plan = Plan(n_docs, int(told["tokens"]) + n_docs, int(told["kinds"]) + (n_docs > 0), grams, bits, shards_of(int(told["all_tokens"]) // 2, SHARD, tasks))
     schema = "shard long, chunk long, grams binary, seq binary, docs binary"
     asked = docs.mapInArrow(lambda batches: _asked(plan, batches), schema)
     answers = asked.groupBy("shard").applyInPandas(_answered, schema)

@@ -164,6 +164,14 @@ def test_embedding_join_equals_brute_force(spark, monkeypatch):
         assert (out[i].n_links, out[i].component_id, out[i].kept) == (len(link.get(i, ())), comp[i], comp[i] == i), i
 
 
+def test_embedding_join_of_missing_and_repeated_ids(spark):
+    schema = "vec_id long, embedding array<double>, label int"
+    rows = [(None, [1.0, 0.0], 1), (None, [0.0, 1.0], 2), (3, [1.0, 0.01], 1), (4, [0.01, 1.0], 2), (None, [1.0, -1.0], 2), (7, [1.0, 1.0], 1), (7, [-1.0, 1.0], 1), (2, [-1.0, 1.01], 1)]
+    got = [tuple(x) for x in embedding_join.embedding_join(spark.createDataFrame(rows, schema)).collect()]
+    want = [(None, 1, 3, False), (None, 1, 4, False), (3, 1, 3, True), (4, 1, 4, True), (None, 0, None, False), (7, 0, 7, True), (7, 1, 2, False), (2, 1, 2, True)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_quantised_bound_is_never_passed():
     rng = np.random.default_rng(5)
     a = rng.normal(size=(200, 16))
@@ -236,7 +244,7 @@ def test_lm_scores(spark, monkeypatch):
 
 
 def test_lm_scores_stand_hashes_that_meet(spark, monkeypatch):
-    """With far too few bits, n-grams take one another's counts: scores are then worse, but no text is lost and no probability is above 1."""
+    """With far too few bits, n-grams take one another's counts: scores are then worse, but no probability is above 1, and words keep their own counts."""
     monkeypatch.setattr(lm_scoring, "BITS", -100)
     monkeypatch.setattr(lm_scoring, "LEAST_BITS", 33)
     original = textops.mix64
@@ -245,6 +253,11 @@ def test_lm_scores_stand_hashes_that_meet(spark, monkeypatch):
     texts = [" ".join(r.choices([f"w{k}" for k in range(400)], k=r.randint(0, 60))) for _ in range(150)]
     out = lm_scoring.lm_scores(docs(spark, texts)).collect()
     assert len(out) == 150 and all(x.score <= 0 and math.isfinite(x.score) for x in out)
+    token = {k: [*words(t), None] for k, t in enumerate(texts)}
+    c = Counter(t for k, w in token.items() if zlib.crc32(str(k).encode()) % 7 != 2 for t in w)
+    n, v = sum(c.values()), len(c)
+    for x in out:
+        assert x.n_known == sum(c[t] > 0 for t in token[x.doc_id]) and x.base_score == pytest.approx(sum(math.log10((c[t] + 1) / (n + v + 1)) for t in token[x.doc_id]), abs=1e-9)
 
 
 @pytest.mark.parametrize(("shard", "chunk"), [(300, 7), (10**6, 4096)])
