@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 
 
@@ -69,3 +73,23 @@ def unpacked_small(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     begin = np.concatenate([[0], end[:-1]])
     place = np.arange(len(data)) - np.repeat(begin, end - begin)
     return np.add.reduceat((data & 127).astype(np.int64) << (7 * place), begin), end
+
+
+def by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Batches of rows that are sorted by keys, cut so that no key goes on in the next."""
+    rest = None
+    for batch in batches:
+        part = pa.Table.from_batches([batch])
+        rest = part if rest is None else pa.concat_tables([rest, part])
+        if not rest.num_rows:
+            continue
+        columns = [rest[c].combine_chunks() for c in keys]
+        same = np.ones(rest.num_rows, bool)
+        for c in columns:
+            same &= pc.equal(c, c[-1]).to_numpy(zero_copy_only=False)
+        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if cut:
+            yield rest.slice(0, cut)
+            rest = rest.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield rest

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settled, stored
-from .exchange import pack, packed_small, runs, unpack, unpacked_small
+from .exchange import by_key, pack, packed_small, runs, unpack, unpacked_small
 from .textops import blocks, mix64, string_parts
 
 #: Bytes of text to a shard, and to a step in which its words are numbered.
@@ -257,24 +257,6 @@ def _answered(shards: DataFrame, answers: DataFrame, f) -> DataFrame:
     return own.groupBy("of").cogroup(to.groupBy("to")).applyInArrow(f, _SHARD)
 
 
-def _by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Batches of rows that are sorted by keys, cut so that no key goes on in the next."""
-    rest = None
-    for batch in batches:
-        part = pa.Table.from_batches([batch])
-        rest = part if rest is None else pa.concat_tables([rest, part])
-        columns = [rest[c].combine_chunks() for c in keys]
-        same = np.ones(rest.num_rows, bool)
-        for c in columns:
-            same &= pc.equal(c, c[-1]).to_numpy(zero_copy_only=False)
-        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-        if cut:
-            yield rest.slice(0, cut)
-            rest = rest.slice(cut)
-    if rest is not None and rest.num_rows:
-        yield rest
-
-
 class _Numbers:
     """Numbers that no other task gives."""
 
@@ -289,7 +271,7 @@ class _Numbers:
 def _frequent_words(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (lang, word, chunk, p, n) sorted by word: those of frequent words, with number and count, and one without chunk for each of these."""
     numbers = _Numbers()
-    for rows in _by_key(batches, ["lang", "word"]):
+    for rows in by_key(batches, ["lang", "word"]):
         lang, word = (rows[c].combine_chunks() for c in ("lang", "word"))
         new = np.ones(len(word), bool)
         new[1:] = np.logical_or(*(pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False) for c in (lang, word)))
@@ -311,7 +293,7 @@ def _frequent_words(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[p
 def _frequent_pairs(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows of followers sorted by left number and part: the frequent pairs of each shard, with number and count, and one without chunk for each of these."""
     numbers = _Numbers()
-    for rows in _by_key(batches, ["p", "part"]):
+    for rows in by_key(batches, ["p", "part"]):
         packed = rows["followers"].to_pylist()
         value, end = unpacked_small(np.frombuffer(b"".join(packed), np.uint8))
         size = np.diff(np.searchsorted(end, np.concatenate([[0], np.cumsum(list(map(len, packed)))]), "right")) // 2

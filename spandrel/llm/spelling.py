@@ -5,7 +5,8 @@
    them. So two words one edit apart share all but Q q-grams of the longer (the count filter), at places that differ by one at most and by none
    where lengths are equal. They also share one of each one's Q + 1 rarest, so the index is cut there: a shard has the words of one length with a
    rare q-gram at one place, and those one letter longer that have it there or one place on.
-3. In a shard, each word's postings are merged by a heap; words that occur in enough of them are candidates and are compared letter by letter.
+3. In a shard, each word's postings are merged; words that occur in enough of them are candidates and are compared letter by letter. The postings of
+   many words are merged at once, by sorting, where a heap would merge those of one word after the other.
 4. A word's form is its most frequent near word, if that is at least twice as frequent. Forms lead to roots; as counts double at
    each step, doubling the steps needs at most six joins.
 
@@ -19,10 +20,7 @@ compared whole; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import heapq
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Shared, ascii_lower, settled, stored
+from .exchange import by_key, runs
 from .textops import mix64, string_parts
 
 #: Letters of words; the number of different ones, with the padding.
@@ -41,6 +40,8 @@ Q = 3
 SHORTEST, LEAST = 5, 3
 #: One run in so many loses a letter.
 PLANTED = 97
+#: So many entries of postings are counted at a time.
+PAIRS = 2 << 20
 #: A form is so many times as frequent as its variant.
 TIMES = 2
 
@@ -129,68 +130,56 @@ def one_edit(a: str, b: str) -> bool:
     return a[k:] == b[k + 1 :]
 
 
-def _merged(postings: list[list[int]], least: int) -> Iterator[int]:
-    """Whatever is in at least so many of the ascending lists."""
-    for x, run in groupby(heapq.merge(*postings)):
-        if sum(1 for _ in run) >= least:
-            yield x
-
-
-def _near(members: dict[str, bool]) -> Iterator[tuple[str, str]]:
-    """Pairs of a home word and a word of the shard that are one edit apart; of two home words the earlier comes first."""
-    names = sorted(members)
-    index: dict[tuple[int, str, int], list[int]] = defaultdict(list)
-    grams = []
-    for k, name in enumerate(names):
-        padded = "\0" * (Q - 1) + name + "\0" * (Q - 1)
-        grams.append([padded[p : p + Q] for p in range(len(name) + Q - 1)])
-        for p, g in enumerate(grams[k]):
-            index[len(name), g, p].append(k)
-    for k, name in enumerate(names):
-        if not members[name]:
-            continue
-        n = len(name)
-        same = [x for p, g in enumerate(grams[k]) if len(x := index[n, g, p]) > 1]
-        longer = [x for p, g in enumerate(grams[k]) for x in (index.get((n + 1, g, p)), index.get((n + 1, g, p + 1))) if x]
+def _candidates(words: pa.Array, group: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (a home word, and a later home word or a guest of the same group) that share enough q-grams at fitting places."""
+    gram, of, place, size = _grams(words)
+    posting = lambda at, shift: group[of[at]] << 44 | gram[at] << 24 | (place[at] - shift)
+    mine, other = np.flatnonzero(home[of]), np.flatnonzero(~home[of])
+    later = other[place[other] > 0]
+    key = np.concatenate([posting(mine, 0), posting(other, 0), posting(later, 1)])
+    row = np.concatenate([of[mine], of[other], of[later]])
+    order = np.argsort(key, kind="stable")
+    ordered = key[order]
+    begin = runs(ordered)
+    length = np.diff(np.append(begin, len(key)))
+    run = np.empty(len(key), np.int64)
+    run[order] = np.repeat(np.arange(len(begin)), length)
+    run = run[: len(mine)]
+    n = length[run]
+    total = np.concatenate([[0], np.cumsum(n)])
+    edge = np.concatenate([np.flatnonzero(np.diff(of[mine], prepend=-1)), [len(mine)]])  # where each home word's q-grams begin
+    a = 0
+    while a < len(edge) - 1:
+        b = max(a + 1, int(np.searchsorted(total[edge], total[edge[a]] + PAIRS, "right")) - 1)
+        x, y = edge[a], edge[b]
+        i = np.repeat(of[mine[x:y]], n[x:y])
+        j = row[order[np.arange(total[y] - total[x]) + np.repeat(begin[run[x:y]] - (total[x:y] - total[x]), n[x:y])]]
+        some = ~home[j] | (j > i)
+        pair, often = np.unique(i[some] * len(size) + j[some], return_counts=True)
+        i, j = pair // len(size), pair % len(size)
         # of the longer word's q-grams, Q may be lost
-        for found in (_merged(same, n - 1), _merged(longer, n)):
-            for j in found:
-                if (len(names[j]) > n or j > k) and one_edit(name, names[j]):
-                    yield name, names[j]
+        enough = often >= np.where(home[j], size[i] - 1, size[i])
+        yield i[enough], j[enough]
+        a = b
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Near pairs, both ways round, of rows sorted by shard. A shard may go on in the next batch."""
-
-    def shards():
-        rest = None
-        for batch in batches:
-            part = pa.Table.from_batches([batch])
-            rest = part if rest is None else pa.concat_tables([rest, part])
-            key = rest["shard"].to_numpy()
-            cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
-            if cut:
-                yield rest.slice(0, cut)
-                rest = rest.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield rest
-
-    for rows in shards():
-        key = rows["shard"].to_numpy()
-        edge = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-        home, word, n = rows["home"].to_numpy(), rows["word"].to_pylist(), rows["n"].to_pylist()
-        out = []
-        for a, b in pairwise(edge.tolist()):
-            if b - a > 1 and home[a:b].any():
-                members, count = {}, {}
-                for k in range(a, b):
-                    members[word[k]] = members.get(word[k], False) or bool(home[k])
-                    count[word[k]] = n[k]
-                for x, y in _near(members):
-                    out += [(x, y, count[y]), (y, x, count[x])]
-        if out:
-            x, y, m = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()), pa.array(y, pa.string()), pa.array(m, pa.int64())], names=["word", "other", "n"])
+    """Near pairs, both ways round, of rows sorted by shard."""
+    for rows in by_key(batches, ["shard"]):
+        shard, home = rows["shard"].to_numpy(), rows["home"].to_numpy()
+        group = np.cumsum(np.diff(shard, prepend=shard[0]) != 0)
+        # a shard without a home word, or with nothing else, has no pairs
+        some = (np.bincount(group)[group] > 1) & (np.bincount(group, weights=home)[group] > 0)
+        rows, group, home = rows.filter(pa.array(some)), group[some], home[some]
+        words, n = rows["word"].combine_chunks(), rows["n"].to_numpy()
+        if not len(group):
+            continue
+        for i, j in _candidates(words, group - group[0], home):
+            a, b = words.take(pa.array(i)).to_pylist(), words.take(pa.array(j)).to_pylist()
+            near = np.array([one_edit(x, y) for x, y in zip(a, b, strict=True)], bool)
+            i, j = i[near], j[near]
+            one, two = words.take(pa.array(i)), words.take(pa.array(j))
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([one, two]), pa.concat_arrays([two, one]), pa.array(np.concatenate([n[j], n[i]]))], names=["word", "other", "n"])
 
 
 def near_words(words: DataFrame) -> DataFrame:
