@@ -232,11 +232,20 @@ def src_vcf_disagreements(spark, sf_dir):
 @query
 def src_vcf_profile(spark, sf_dir):
     """The dialect profile: roles learnt from the first records, then what the callset says under them."""
-    p = vcf.scan(spark, _callset(spark, sf_dir), most=1 << 30)
+    p = vcf.scan(spark, _callset(spark, sf_dir))
     rows = [("samples", str(p["samples"])), ("assembly", p["assembly"]), *[(f"role {k}", v) for k, v in p["roles"].items()], *[(f"sites {k}", str(v)) for k, v in p["disagreements"].items()]]
     return spark.createDataFrame(rows, "fact string, value string")
 
 
+@query
+def src_vcf_readings(spark, sf_dir):
+    """Records and samples read side by side, under the roles that the callset's own values tell; the first two examples of each kind."""
+    long = vcf.long_form(vcf.records(spark, _callset(spark, sf_dir)), SAMPLES)
+    out = vcf.readings(long, vcf.roles(vcf.field_profile(long)), examples=2)
+    shown = F.transform("examples", lambda r: F.concat_ws(" ", r["ID"], F.concat_ws(",", F.transform(r["samples"], lambda x: F.concat_ws(":", x["sample"], x["allele"], x["offset"].cast("string"))))))
+    return out.select("kind", "alt", "n_records", F.col("n_samples").cast("long").alias("n_samples"), F.array_join(shown, ";").alias("examples"))
+
+
 @query
 def src_vcf_longest_segments(spark, sf_dir):
     """Samples in long form, their two alleles, the longest pure segment of either, written as a table and read again."""
@@ -273,6 +282,12 @@ _DIS = f"select pos, count(distinct upper(own)) as n_alleles, count(*) filter (w
 ORACLES["src_vcf_disagreements"] = _DIS
 ORACLES["src_vcf_profile"] = f"""with d as ({_DIS}) select * from (values ('samples', '3'), ('assembly', 'GRCh38'), ('role sequence', 'ALLELE'), ('role coordinate', 'CO'), ('role genotype', 'GT')) t(fact, value)
   union all select 'sites records', count(*)::varchar from d union all select 'sites several_alleles', count(*) filter (where n_alleles > 1)::varchar from d union all select 'sites alt_differs', sum(n_alt_differs)::bigint::varchar from d union all select 'sites max_offset', max(max_offset)::varchar from d"""
+_CALLED = f"(select * from {_SAMPLE} where gt in ('0/1', '1|1'))"
+ORACLES["src_vcf_readings"] = f"""with r as (select pos, ref, alt, list({{'s': sample, 'a': upper(own), 'o': k}} order by sample) as s from (select c.*, 'A' as ref from {_CALLED} c) group by 1, 2, 3),
+  k as (select *, unnest(list_filter(['compared', case when len(list_distinct(list_transform(s, lambda x: x.a))) > 1 then 'several_alleles' end, case when not list_contains(list_transform(s, lambda x: x.a), upper(alt)) then 'no_sample_has_alt' end,
+    case when len(list_filter(s, lambda x: x.a[1] <> ref)) > 0 then 'anchor_differs' end, case when len(list_filter(s, lambda x: x.o > 0)) > 0 then 'shifted' end], lambda x: x is not null)) as kind, case when alt = '<DEL>' then 'symbolic' else 'literal' end as form from r),
+  n as (select *, row_number() over (partition by kind, form order by 'chr' || (pos % 2 + 1), pos) as rn from k)
+  select kind, form as alt, count(*) as n_records, sum(len(s))::bigint as n_samples, string_agg('sv' || pos || ' ' || array_to_string(list_transform(s, lambda x: x.s || ':' || x.a || ':' || x.o), ','), ';' order by rn) filter (where rn <= 2) as examples from n group by 1, 2"""
 _LPS = f"""with s as (select pos, sample, case substr(gt, 1, 1) when '.' then null when '0' then 'A' else own end as a, case substr(gt, 3, 1) when '.' then null when '0' then 'A' else own end as b from {_SAMPLE} where alt <> '<DEL>'),
   r as (select distinct x, {_runs('x')} as r from (select a as x from s union select b from s) where x is not null),
   j as (select pos, sample, coalesce(length(ra.r.motif) * ra.r.copies, 0) as la, coalesce(length(rb.r.motif) * rb.r.copies, 0) as lb, coalesce(ra.r.motif, '') as ma, coalesce(rb.r.motif, '') as mb from s left join r ra on ra.x = a left join r rb on rb.x = b)"""

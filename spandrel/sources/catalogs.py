@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import zlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.coords import normalize_chrom
+from .compressed import lines
 from .tables import read_tsv
 
 # The columns of the simpleRepeat table dump.
@@ -16,42 +15,6 @@ RENAMED = {"chromStart": "start", "chromEnd": "end", "sequence": "motif", "copyN
 ANNOTATIONS = {"period": "int", "copy_num": "double", "consensus_size": "int", "per_match": "int", "per_indel": "int"}
 
 
-PIECE = 1 << 20
-
-
-def _unpacked(content: bytes):
-    """The lines of a gzip file, some at a time; several members follow one another."""
-    rest, tail = memoryview(content), b""
-    while len(rest):
-        d = zlib.decompressobj(wbits=31)
-        while not d.eof:
-            piece = d.decompress(rest, PIECE)
-            rest = memoryview(d.unconsumed_tail) if not d.eof else memoryview(d.unused_data)
-            *whole, tail = (tail + piece).split(b"\n")
-            yield [w.rstrip(b"\r").decode("utf-8", "replace") for w in whole]
-            if not piece and not d.eof and not len(rest):
-                raise ValueError("a gzip file ends too early")
-    if tail:
-        yield [tail.decode("utf-8", "replace")]
-
-
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines of a file, unpacked when its first bytes say gzip, whatever its name. Files named .gz are Spark's own to unpack."""
-    head = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, 2).alias("head")).first()
-    if head and bytes(head["head"]) == b"\x1f\x8b" and not head["path"].endswith(".gz"):
-
-        def unpack(batches):
-            import pyarrow as pa
-
-            for batch in batches:
-                for content in batch.column(0):
-                    for some in _unpacked(content.as_py()):
-                        yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], names=["value"])
-
-        return spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, "value string")
-    return spark.read.text(path)
-
-
 def sniff(spark: SparkSession, path: str) -> str:
     """simplerepeat, trgt or bed, by the first lines."""
     for row in lines(spark, path).filter(F.trim("value") != "").limit(50).collect():

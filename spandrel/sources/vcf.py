@@ -6,10 +6,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.motifs import longest_pure_segment
 from ..functions.text import format_map, info_map
-from .catalogs import lines
+from .compressed import lines
 
 FIXED = ["CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO"]
 # Length of chromosome 1 in human assemblies.
@@ -179,14 +180,47 @@ def disagreements(long: DataFrame, sequence: str, coordinate: str | None = None)
     )
 
 
-def scan(spark: SparkSession, path: str, most: int = 2000, learn: int = 25) -> dict:
-    """A profile of the first records: header facts, counters, FORMAT roles learnt from the first few, and disagreements by those roles."""
+def readings(long: DataFrame, found: dict[str, str], examples: int = 5) -> DataFrame:
+    """How records and their samples differ: kind, alt (the form of the record's ALT), n_records, n_samples, and the first examples, read both ways.
+
+    found: the roles of FORMAT keys (roles). Only called samples count. Kinds: several_alleles (samples with different ones), no_sample_has_alt,
+    anchor_differs (a sample's allele doesn't begin with REF's first base), shifted (a sample's breakpoint isn't at POS; of several, the nearest counts), and compared (any
+    record with a sample's own allele). A record's samples are brought together once; of a kind, each task keeps no more examples than asked for.
+    """
+    from ..functions.text import first_live, positions
+
+    get = lambda role: F.col("fields")[found[role]] if role in found else F.lit(None).cast("string")
+    called = is_called(get("genotype")) if "genotype" in found else F.lit(True)
+    offset = F.array_min(F.transform(positions(get("coordinate")), lambda p: F.abs(p - F.col("POS"))))
+    s = long.filter(F.coalesce(called, F.lit(False))).select("CHROM", "POS", "ID", "REF", "ALT", "sample", F.upper(first_live(get("sequence"))).alias("allele"), offset.alias("offset"))
+    record = s.groupBy("CHROM", "POS", "ID", "REF", "ALT").agg(F.array_sort(F.collect_list(F.struct("sample", "allele", "offset"))).alias("samples"))
+    some = F.filter("samples", lambda x: x["allele"].isNotNull())
+    alleles = F.array_distinct(F.transform(some, lambda x: x["allele"]))
+    checks = {
+        "compared": F.size(some) > 0,
+        "several_alleles": F.size(alleles) > 1,
+        "no_sample_has_alt": (F.size(some) > 0) & ~F.array_contains(alleles, F.upper("ALT")),
+        "anchor_differs": F.exists(some, lambda x: F.substring(x["allele"], 1, 1) != F.upper(F.substring("REF", 1, 1))),
+        "shifted": F.exists("samples", lambda x: F.coalesce(x["offset"] > 0, F.lit(False))),
+    }
+    kinds = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), k) for k, c in checks.items()]), lambda k: k.isNotNull())
+    each = record.select(F.explode(kinds).alias("kind"), alt_kind(F.col("ALT")).alias("alt"), F.struct("CHROM", "POS", "ID", "REF", "ALT", "samples").alias("record"))
+    n = each.groupBy("kind", "alt").agg(F.count("*").alias("n_records"), F.sum(F.size("record.samples")).alias("n_samples"))
+    first = each.withColumn("_n", F.row_number().over(Window.partitionBy("kind", "alt").orderBy("record.CHROM", "record.POS", "record.ID", "record.REF", "record.ALT"))).filter(F.col("_n") <= examples)
+    shown = first.groupBy("kind", "alt").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "record"))), lambda x: x["record"]).alias("examples"))
+    return n.join(shown, ["kind", "alt"])
+
+
+def scan(spark: SparkSession, path: str, most: int | None = None, learn: int | None = None) -> dict:
+    """A profile of all records (or of the first ones, if asked for so many): header facts, counters, FORMAT roles, and how records and samples differ by those roles."""
     h = read_header(spark, path)
     rec = records(spark, path, most)
     out = {"samples": len(h.samples), "assembly": assembly(h), "info": sorted(h.info), "format": sorted(h.format), "counters": [r.asDict() for r in counters(rec).collect()]}
     if h.samples:
-        out["roles"] = roles(field_profile(long_form(records(spark, path, learn), h.samples)))
+        out["roles"] = roles(field_profile(long_form(records(spark, path, learn) if learn else rec, h.samples)))
         if "sequence" in out["roles"]:
-            d = disagreements(long_form(rec, h.samples), out["roles"]["sequence"], out["roles"].get("coordinate"))
+            long = long_form(rec, h.samples)
+            d = disagreements(long, out["roles"]["sequence"], out["roles"].get("coordinate"))
             out["disagreements"] = d.agg(F.count("*").alias("records"), F.count_if(F.col("n_alleles") > 1).alias("several_alleles"), F.sum("n_alt_differs").alias("alt_differs"), F.max("max_offset").alias("max_offset")).first().asDict()
+            out["readings"] = [r.asDict(True) for r in readings(long, out["roles"]).collect()]
     return out

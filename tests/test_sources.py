@@ -1,8 +1,12 @@
 import gzip
+import random
+import struct
+import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
-from spandrel.sources import catalogs, tables, vcf
+from spandrel.sources import catalogs, compressed, tables, vcf
 from spandrel.streaming import files
 
 VCF = "\n".join(
@@ -68,3 +72,58 @@ def test_tables_and_stream(spark, tmp_path):
     sites = good.unionByName(good)
     assert [tuple(r) for r in tables.bed_of_sites(sites, "chrom", "ins_coord").collect()] == [("chr1", 4, 5)]
     assert tables.bed_first_wins(sites, "SVID", "chrom", "ins_coord", "rep_start").first().end == 6
+
+
+def bgzf(data: bytes, size: int) -> bytes:
+    out = b""
+    for k in (*range(0, len(data), size), None):
+        part = b"" if k is None else data[k : k + size]
+        c = zlib.compressobj(6, zlib.DEFLATED, -15)
+        packed = c.compress(part) + c.flush()
+        out += bytes.fromhex("1f8b08040000000000ff0600424302 00".replace(" ", "")) + struct.pack("<H", len(packed) + 25) + packed + struct.pack("<II", zlib.crc32(part), len(part))
+    return out
+
+
+@pytest.mark.parametrize("name", ["a.vcf.gz", "a.txt"])
+@pytest.mark.parametrize(("size", "split"), [(60_000, 1 << 27), (500, 4000), (37, 700)])
+def test_bgzf_is_read_in_ranges(spark, tmp_path, monkeypatch, name, size, split):
+    r = random.Random(5)
+    texts = [f"{k}\t" + "".join(r.choice("ACGT\u00e9") for _ in range(r.choice([0, 3, 40, 400]))) for k in range(400)] + ["x" * 9000, "last"]
+    (tmp_path / name).write_bytes(bgzf("\r\n".join(texts).encode(), size))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        read = compressed.lines(spark, str(tmp_path / name))
+        assert sorted(x.value for x in read.collect()) == sorted(texts)
+        n = compressed._blocks(spark, [str(tmp_path / name)]).rdd.getNumPartitions()
+        assert n > 3 if split < 1 << 20 else n >= 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_packed_kinds_and_first_bytes(spark, tmp_path):
+    (tmp_path / "plain").write_bytes(b"a\nb\n")
+    (tmp_path / "packed").write_bytes(gzip.compress(b"c\n") + gzip.compress(b"d\ne"))
+    (tmp_path / "blocks").write_bytes(bgzf(b"f\n", 100))
+    (tmp_path / "empty").write_bytes(b"")
+    kinds = {n: compressed.kind(spark, str(tmp_path / n)) for n in ("plain", "packed", "blocks", "empty")}
+    assert kinds == {"plain": "plain", "packed": "gzip", "blocks": "bgzf", "empty": "plain"}
+    assert compressed.first_bytes(spark, str(tmp_path / "plain"), 2) == b"a\n"
+    assert [sorted(x.value for x in compressed.lines(spark, str(tmp_path / n)).collect()) for n in ("plain", "packed", "blocks", "empty")] == [["a", "b"], ["c", "d", "e"], ["f"], []]
+    (tmp_path / "damaged").write_bytes(bgzf(b"f\n" * 50, 100)[:-40] + b"xx")
+    with pytest.raises(Exception, match="block"):
+        compressed.lines(spark, str(tmp_path / "damaged")).collect()
+
+
+def test_records_and_samples_read_side_by_side(spark):
+    rows = [("chr1", 10, "v1", "A", "ACC", "s1", "1|1", "ACC", "chr1_10-chr1_12"), ("chr1", 10, "v1", "A", "ACC", "s2", "0/1", "ACCC", "chr1_14-chr1_15"), ("chr1", 10, "v1", "A", "ACC", "s3", "0/0", "TTT", "chr1_99-chr1_99")]
+    rows += [("chr2", k, f"v{k}", "G", "<INS>", "s1", "0/1", "TAC", f"chr2_{k}-chr2_{k}") for k in range(20, 29)] + [("chr2", 40, "v40", "G", "N[chr1:5[", "s1", "0/1", None, None)]
+    long = spark.createDataFrame(rows, "CHROM string, POS long, ID string, REF string, ALT string, sample string, gt string, own string, co string")
+    long = long.withColumn("fields", F.create_map(F.lit("GT"), "gt", F.lit("AL"), "own", F.lit("CO"), "co"))
+    out = {(x.kind, x.alt): x for x in vcf.readings(long, {"genotype": "GT", "sequence": "AL", "coordinate": "CO"}, examples=2).collect()}
+    n = {k: (x.n_records, x.n_samples) for k, x in out.items()}
+    assert n == {("compared", "literal"): (1, 2), ("several_alleles", "literal"): (1, 2), ("shifted", "literal"): (1, 2), ("compared", "symbolic"): (9, 9), ("no_sample_has_alt", "symbolic"): (9, 9), ("anchor_differs", "symbolic"): (9, 9)}
+    shown = out["anchor_differs", "symbolic"].examples
+    assert [x.POS for x in shown] == [20, 21] and [tuple(s) for s in shown[0].samples] == [("s1", "TAC", 0)]
