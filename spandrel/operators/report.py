@@ -149,15 +149,15 @@ def share_of_total(df: DataFrame, key: str) -> DataFrame:
 
 
 def kmers(text: Column, k: int) -> Column:
-    """Every run of k characters. The characters are cut once: to find a place in a text takes a walk from its start."""
-    cut = lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - k + 1), lambda i: F.array_join(F.slice(c, i, k), ""))
-    return F.when(F.length(text) >= k, F.transform(F.array(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))), cut)[0])
+    """Every run of k characters, by one pass of the text: at each character a look ahead takes what follows."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1))
 
 
 def kmer_spectrum(df: DataFrame, text: str, k: int, cap: int = 255, strands: bool = False) -> DataFrame:
     """occurrences (capped), n_kmers. strands: for DNA, a k-mer and its reverse complement are one, and those with other letters than ACGT are left out."""
-    found = df.select(F.explode(kmers(F.col(text), k)).alias("kmer"))
-    if strands:
-        found = found.withColumn("kmer", F.upper("kmer")).filter(~F.col("kmer").rlike("[^ACGT]")).select(F.least("kmer", reverse_complement(F.col("kmer"))).alias("kmer"))
-    counts = found.groupBy("kmer").count()
+    read = F.upper(text) if strands else F.col(text)
+    counts = df.select(F.explode(kmers(read, k)).alias("kmer")).groupBy("kmer").count()
+    if strands:  # different ones only
+        both = counts.filter(~F.col("kmer").rlike("[^ACGT]")).select(F.least("kmer", reverse_complement(F.col("kmer"))).alias("kmer"), "count")
+        counts = both.groupBy("kmer").agg(F.sum("count").alias("count"))
     return counts.groupBy(F.least("count", F.lit(cap)).alias("occurrences")).agg(F.count("*").alias("n_kmers"))

@@ -147,3 +147,17 @@ def array_counts(segs: DataFrame) -> DataFrame:
     a = segs.groupBy(*keys).agg(F.max("end").alias("allele_len"), F.count_if(F.col("seg_type") == "repeat").alias("n_arrays"))
     order = [F.col("allele_len"), F.col("sample"), *([F.col("allele")] if "allele" in keys else [])]
     return median_member(a, ["locus_id"], order).select("locus_id", "n_arrays")
+
+
+def rolled_up(calls: DataFrame, levels: list[list[str]], sample: str, purity: str) -> DataFrame:
+    """One table of several levels: level (the names of its columns), the columns (null where a level hasn't got them), calls, different samples, the sum of purity and how many have one.
+
+    Calls are brought together once by all columns and the sample; the levels are grouping sets over these rows, which are fewer than calls, and a frequent
+    group is summed in parts before it meets.
+    """
+    columns = list(dict.fromkeys(c for level in levels for c in level))
+    fine = calls.groupBy(*columns, sample).agg(F.count("*").alias("_n"), F.sum(purity).alias("_p"), F.count(purity).alias("_np"))
+    sums = [F.sum("_n").alias("n_calls"), F.countDistinct(sample).alias("n_samples"), F.round(F.sum("_p"), 4).alias("purity"), F.sum("_np").alias("n_purity")]
+    out = fine.groupingSets([[F.col(c) for c in level] for level in levels], *[F.col(c) for c in columns]).agg(*[F.grouping(c).alias(f"_g_{c}") for c in columns], *sums)
+    level = F.concat_ws(",", *[F.when(F.col(f"_g_{c}") == 0, c) for c in columns])
+    return out.select(level.alias("level"), *columns, "n_calls", "n_samples", "purity", "n_purity")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import mentions
+from ..sources.shared import written
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -42,6 +45,28 @@ def related_terms(terms: DataFrame, edges: DataFrame) -> DataFrame:
     return up.unionByName(down).distinct()
 
 
+def ancestors(edges: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """term, ancestor, depth (the fewest steps up) of the given terms, or of all that have a parent. edges: child, parent; circles do no harm.
+
+    Semi-naive: a round goes one step up from the pairs that the round before found first, and keeps what no round had; so every edge of a pair's
+    way is followed once. Rounds are as many as the longest of the shortest ways up.
+    """
+    up = written(edges.select("child", "parent").filter("child is not null and parent is not null").distinct(), "edges")
+    start = up.select(F.col("child").alias("term")) if terms is None else terms.select("term")
+    new = start.distinct().join(up, F.col("term") == F.col("child")).select("term", F.col("parent").alias("ancestor"))
+    found, depth = [], 1
+    while True:
+        new = written(new.distinct().withColumn("depth", F.lit(depth)), "ancestors")
+        if new.isEmpty():
+            break
+        found.append(new)
+        step = new.join(up, F.col("ancestor") == F.col("child")).select("term", F.col("parent").alias("ancestor"))
+        for old in found:
+            step = step.join(old.select("term", "ancestor"), ["term", "ancestor"], "left_anti")
+        new, depth = step, depth + 1
+    return reduce(DataFrame.unionByName, found, new)
+
+
 def genes_for_terms(edges: DataFrame, terms: DataFrame, gene: str = "gene_symbol", term: str = "hpo_id", placeholder: str = "-") -> DataFrame:
     return edges.join(terms.select(term).distinct(), term, "left_semi").filter(F.col(gene) != placeholder).select(gene).distinct()
 

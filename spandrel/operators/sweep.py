@@ -9,8 +9,10 @@ and these go STEP settings at a time.
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 from functools import reduce
 from itertools import product
+from math import ceil, exp, prod
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +54,64 @@ def settings_of(axes: dict[str, list], sampler: str = "grid", trials: int | None
     return [{**KNOBS, **m} for m in made]
 
 
+class Parzen:
+    """Proposes settings by what earlier ones scored: values that are denser among the best trials than among the others.
+
+    For each axis, the trials' values are spread over the axis's values by a kernel on their distance in its order, above a flat share that keeps
+    every value possible; the best trials (a share of BEST) give one density, the rest the other. Of CANDIDATES draws from the first, those with the
+    largest ratio are proposed that haven't been tried. Axes are taken one by one. The first trials are drawn at random.
+    """
+
+    BEST, CANDIDATES, START, WIDTH = 0.25, 48, 6, 1.0
+
+    def __init__(self, axes: dict[str, list], seed: int = 0):
+        self.axes, self.random = axes, random.Random(seed)
+        self.size = prod(map(len, axes.values()))
+
+    def _density(self, axis: str, trials: list[dict]) -> list[float]:
+        values = self.axes[axis]
+        at = [values.index(t[axis]) for t in trials]
+        spread = [1 / len(values) + sum(exp(-((k - i) ** 2) / (2 * self.WIDTH**2)) for i in at) for k in range(len(values))]
+        return [x / sum(spread) for x in spread]
+
+    def propose(self, tried: list[dict], scores: list[float | None], n: int) -> list[dict]:
+        """n settings of the axes that differ from those tried and from each other (fewer if the grid has no more); higher scores are better, None is worst."""
+        seen = {tuple(t[a] for a in self.axes) for t in tried}
+        n = min(n, self.size - len(seen))
+        order = sorted(range(len(tried)), key=lambda k: (scores[k] is None, -(scores[k] or 0), k))
+        cut = max(1, ceil(self.BEST * len(order)))
+        good, bad = ({a: self._density(a, [tried[k] for k in part]) for a in self.axes} for part in (order[:cut], order[cut:]))
+        out: list[dict] = []
+        while len(out) < n:
+            draws = {}
+            for _ in range(self.CANDIDATES if len(tried) >= self.START else n):
+                k = {a: self.random.choices(range(len(v)), good[a] if len(tried) >= self.START else None)[0] for a, v in self.axes.items()}
+                draws[tuple(v[k[a]] for a, v in self.axes.items())] = prod(good[a][i] / bad[a][i] for a, i in k.items())
+            fresh = [x for x in sorted(draws, key=lambda x: -draws[x]) if x not in seen]
+            if not fresh:  # all drawn were known: the rest of the grid, in order
+                fresh = [x for x in product(*self.axes.values()) if x not in seen]
+            for x in fresh[: n - len(out)]:
+                seen.add(x)
+                out.append(dict(zip(self.axes, x, strict=True)))
+        return out
+
+
+def study(axes: dict[str, list], evaluate: Callable[[list[dict]], list[float | None]], trials: int = 50, batch: int = 6, seed: int = 0, maximize: bool = True) -> list[tuple[dict, float | None]]:
+    """Settings and their scores, in the order tried: evaluate gets a batch of settings at a time, which sweep() answers in one pass."""
+    unknown = [k for k in axes if k not in KNOBS]
+    if unknown:
+        raise ValueError(f"unknown knobs: {', '.join(unknown)}")
+    sampler, tried, scores = Parzen(axes, seed), [], []
+    while len(tried) < trials:
+        signed = scores if maximize else [None if s is None else -s for s in scores]
+        made = sampler.propose(tried, signed, min(batch, trials - len(tried)))
+        if not made:
+            break
+        scores += evaluate([{**KNOBS, **m} for m in made])
+        tried += made
+    return list(zip(tried, scores, strict=True))
+
+
 def _key(setting: dict, knobs) -> tuple:
     return tuple(setting[k] for k in knobs)
 
@@ -171,4 +231,4 @@ def two_scopes(df: DataFrame, locus: list[str], verdict: str = "novelty") -> Dat
     return out.select("scope", "status", "n", F.round(100 * F.col("n") / F.nullif(F.col("total"), F.lit(0)), 1).alias("pct"))
 
 
-__all__ = ["FILTERED", "KNOBS", "best_trial", "combined", "settings_of", "statuses", "sweep", "two_scopes", "with_truth"]
+__all__ = ["FILTERED", "KNOBS", "best_trial", "combined", "Parzen", "settings_of", "statuses", "study", "sweep", "two_scopes", "with_truth"]

@@ -237,3 +237,14 @@ ORACLES |= {
     "exon_ladder": """with s as (select p_partkey, list_sort(list_distinct(list_filter([1, 50, p_size - 1, p_size, p_size + 1], lambda x: x between 1 and 50))) as l from part)
       select p_partkey, array_to_string(flatten(list_transform(l, lambda x, i: case when i > 1 and x - l[i - 1] > 1 then [-1, x] else [x] end)), ',') as ladder from s""",
 }
+
+_MOTIFS = f"select distinct {_dna('p_partkey', 12)} as motif from part"
+ORACLES["similar_motif_pairs"] = f"""with a as ({_MOTIFS}), b as (select distinct {_dna('(s_suppkey + 7)', 9)} as other from supplier), u as (select motif, {_unit('motif')} as u from a), t as (select motif, unnest(list_distinct(list_transform(range(0, length(u)), lambda i: substr(u, i::int + 1) || substr(u, 1, i::int)))) as turn from u),
+  c as (select other, {_canonical('other')} as form from b), f as (select distinct form from c),
+  d as (select motif, form, min(levenshtein(turn, form))::int as edits from t join f on abs(length(turn) - length(form)) <= 1 where levenshtein(turn, form) <= 1 group by 1, 2) select motif, other, edits from d join c using (form)"""
+ORACLES["term_ancestors"] = """with recursive e as (select c_custkey as child, c_custkey // 2 as parent from customer where c_custkey <> c_custkey // 2 union select c_custkey, c_custkey // 3 from customer where c_custkey <> c_custkey // 3),
+  up as (select child as term, parent as ancestor, 1 as depth from e union select term, parent, depth + 1 from up join e on ancestor = child) select term, ancestor, min(depth) as depth from up group by 1, 2"""
+ORACLES["rolled_up"] = """with c as (select 'chr' || (l_partkey % 5) as chrom, l_partkey as ins_coord, case l_suppkey % 4 when 0 then 'known' when 1 then 'novel_motif' when 2 then 'novel_locus' else 'unscreened' end as novelty, l_orderkey as sample, l_discount as purity from lineitem)
+  select concat_ws(',', case when grouping(chrom) = 0 then 'chrom' end, case when grouping(ins_coord) = 0 then 'ins_coord' end, case when grouping(novelty) = 0 then 'novelty' end) as level, chrom, ins_coord, novelty, count(*) as n_calls, count(distinct sample) as n_samples, round(sum(purity), 4) as purity, count(purity) as n_purity
+  from c group by grouping sets ((chrom, ins_coord, novelty), (chrom, ins_coord), (chrom, novelty), (chrom), ())"""
+ORACLES["stream_new_files"] = "select event_type, count(*) as n, count(*) as n_events, round(sum(value), 2) as total from events group by 1"

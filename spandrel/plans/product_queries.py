@@ -109,6 +109,22 @@ def best_trial(spark, sf_dir):
     return sweep.best_trial(_swept(spark, sf_dir), "balanced_accuracy").select("trial", "balanced_accuracy", "agreement")
 
 
+AXES = {"window": [0, 5, 10, 25, 50], "min_reference_copy_num": [None, 2.0, 5.0, 8.0], "min_purity": [None, 0.2, 0.5, 0.8], "min_rep_units": [None, 3.0, 10.0]}
+
+
+@query
+def model_trials(spark, sf_dir):
+    """A model-based search of 240 settings in 60 trials, six to a pass: how many were tried, and whether it has found the best of all."""
+    calls, reference, truth = _screened(spark, sf_dir), _reference(spark, sf_dir), _truth(spark, sf_dir)
+
+    def scores(settings: list[dict]) -> list[float | None]:
+        return [r.balanced_accuracy for r in sweep.sweep(calls, reference, settings, truth).select("trial", "balanced_accuracy").orderBy("trial").collect()]
+
+    tried = sweep.study(AXES, scores, trials=60, batch=12, seed=1)
+    best = max((s for _, s in tried if s is not None), default=None)
+    return sweep.sweep(calls, reference, [{**sweep.KNOBS, **next(t for t, s in tried if s == best)}], truth).select(F.lit(len(tried)).cast("long").alias("n_trials"), "balanced_accuracy")
+
+
 @query
 def random_trials(spark, sf_dir):
     """Drawn settings: the same seed, the same draws; each is one of the axes' values."""

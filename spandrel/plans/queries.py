@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import coords, motifs, text
-from ..operators import disease, intervals, report, rollup, screen, search, serve
+from ..operators import disease, intervals, report, rollup, screen, search, serve, similar
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -407,12 +407,45 @@ def canonical_motif_both_strands(spark, sf_dir):
 
 @query
 def edit_distance_pairs(spark, sf_dir):
-    n = _t(spark, sf_dir, "part").select("p_name").distinct()
-    a, b = n.select(F.col("p_name").alias("a")), n.select(F.col("p_name").alias("b"))
-    # two names within three edits of each other have lengths within three: joined by length, not all against all
-    near = a.withColumn("k", F.explode(F.sequence(F.length("a") - 3, F.length("a") + 3))).join(b.withColumn("k", F.length("b")), "k")
-    d = motifs.edit_distance(F.col("a"), F.col("b"), 3)
-    return near.filter(F.col("a") < F.col("b")).select("a", "b", d.alias("edits")).filter("edits <= 3")
+    return similar.similar_pairs(_t(spark, sf_dir, "part"), "p_name", 3)
+
+
+@query
+def similar_motif_pairs(spark, sf_dir):
+    """Motifs of parts within one edit of a supplier's, in any rotation."""
+    s = _t(spark, sf_dir, "supplier").select(_dna(F.col("s_suppkey") + 7, 9).alias("other"))
+    return similar.similar_motifs(_motif_rows(spark, sf_dir), s, "motif", "other", 1)
+
+
+@query
+def term_ancestors(spark, sf_dir):
+    """All ancestors in a graph where most terms have two parents (so ways up part and meet again), with the fewest steps."""
+    c, k = _t(spark, sf_dir, "customer"), F.col("c_custkey")
+    up = lambda d: c.select(k.alias("child"), F.floor(k / d).cast("long").alias("parent")).filter("child <> parent")
+    return search.ancestors(up(2).unionByName(up(3)))
+
+
+@query
+def rolled_up(spark, sf_dir):
+    """Calls by site and verdict, by site, by contig and verdict, and all together, in one pass."""
+    calls = _calls(spark, sf_dir).withColumn("chrom", F.concat(F.lit("chr"), F.col("ins_coord") % 5))
+    return rollup.rolled_up(calls, [["chrom", "ins_coord", "novelty"], ["chrom", "ins_coord"], ["chrom", "novelty"], ["chrom"], []], "sample", "repeat_coverage")
+
+
+@query
+def stream_new_files(spark, sf_dir):
+    """Events that arrive as two lots of files, the second with late repeats of the first: a bounded stream takes each lot when it is there, and
+    its state drops what it has seen."""
+    from ..sources.shared import scratch
+    from ..streaming.files import append_distinct
+
+    e = _t(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    src, out, state = (scratch(spark, f"events-{n}") for n in ("in", "out", "state"))
+    lots = [e.filter("event_id % 3 <> 0"), e.filter("event_id % 3 = 0 or event_id % 5 = 0")]
+    for lot in lots:
+        lot.write.mode("append").parquet(src)
+        append_distinct(spark, src, out, state, e.schema, ["event_id"], "ts", "100000 days")
+    return spark.read.schema(e.schema).parquet(out).groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("n_events"), F.round(F.sum("value"), 2).alias("total"))
 
 
 @query

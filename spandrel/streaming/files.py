@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..sources.tables import nulled
 
@@ -20,6 +21,17 @@ def convert_new_files(spark: SparkSession, src: str, dst: str, checkpoint: str,
     return sum(int(p["numInputRows"]) for p in q.recentProgress)
 
 
+def append_distinct(spark: SparkSession, src: str, dst: str, checkpoint: str, schema: StructType, keys: list[str], time: str, delay: str) -> int:
+    """Rows of Parquet files that have arrived in src since the last call and repeat no key of the delay before, appended to dst; returns the rows read.
+
+    Keys seen are the stream's state in the checkpoint, so repeats are found from call to call, and a call that was cut short neither loses nor doubles rows.
+    """
+    rows = distinct_calls(spark.readStream.schema(schema).parquet(src), keys, time, delay)
+    q = rows.writeStream.format("parquet").option("path", dst).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return sum(int(p["numInputRows"]) for p in q.recentProgress)
+
+
 def distinct_calls(stream: DataFrame, keys: list[str], time: str, delay: str = "1 hour") -> DataFrame:
     """Rows that repeat a key within the delay are dropped; state older than that is forgotten."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
