@@ -11,8 +11,8 @@ with those. As the threshold holds for sums over all shards, phrases grow by one
 within one; whatever is frequent grows from two frequent phrases, so no other is ever counted. Phrases are told apart by the
 numbers of the two phrases they grew from, never by hashes.
 
-What travels: a row for each different left phrase of a shard with all that follow it and their counts in few bytes, and a shard's bitmaps once a
-length. Rows of a frequent left phrase are dealt over as many keys as its count asks, so no key gathers more than some occurrences.
+What travels: the different left phrases of a shard, each with all that follow it and their counts in few bytes, and a shard's bitmaps once a
+length. Followers of a frequent left phrase are dealt over as many keys as its count asks, so no key gathers more than some occurrences.
 
 Defined cases: a null or empty text has no words; a null language is `und`, together with texts that say so; repeated rows count as often as
 they stand; ties rank by count, then by the phrase's bytes; an empty table gives an empty result; other columns are ignored,
@@ -45,6 +45,8 @@ SHARD_BYTES, STEP_BYTES = 24 << 20, 2 << 20
 PAIRS = 4 << 20
 #: The pairs of a left phrase are dealt over one key for each so many of its occurrences.
 DEAL = 1 << 20
+#: Left phrases are sent together by buckets of their numbers: at least so many, and one for each so many words of the corpus.
+BUCKETS, BUCKET_WORDS = 1 << 14, 1 << 18
 #: Phrases of so many words are sought, and so many occurrences make one a candidate.
 LONGEST, LEAST = 5, 100
 #: So many phrases of each language are reported.
@@ -155,7 +157,7 @@ def read(batch_texts: Iterator[tuple[list[bytes], dict]]) -> tuple[dict[str, dic
     return known, Bitmaps.of(word, at >> 3, np.left_shift(1, at & 7).astype(np.uint8), np.arange(n), np.zeros(n, np.int64)), np.bincount(word, minlength=n)
 
 
-_SHARD = "chunk long, heads binary, body binary, p long, part int, followers binary"
+_SHARD = "chunk long, heads binary, body binary, bucket long, lefts binary, followers binary"
 
 
 def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,37 +202,72 @@ def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk += 1
 
 
-def _followers(b: Bitmaps) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Rows (left number, part, what follows it and how often): by turns the step from one right number to the next, and a count."""
+def _followers(b: Bitmaps, buckets: int) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Rows (bucket, left numbers, what follows them). By turns: the step from one left number to the next, and how many follow it; the step from one right
+    number of these to the next, and a count."""
     left, q, n = b.counted()
     parts = 1 + b.total[left] // DEAL
-    part = (mix64(q.astype(np.uint64)) % parts.astype(np.uint64)).astype(np.int64)
-    order = np.lexsort((q, part, left))
-    left, q, n, part = left[order], q[order], n[order], part[order]
-    new = runs(left * (int(parts.max(initial=1)) + 1) + part)
+    part = mix64(q.astype(np.uint64)) % parts.astype(np.uint64)
+    p = b.ids[left]
+    bucket = (mix64(mix64(p.astype(np.uint64)) + part) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((q, p, bucket))
+    p, q, n, bucket = p[order], q[order], n[order], bucket[order]
+    rows, groups = runs(bucket), _edges(bucket, p)
     step = np.diff(q, prepend=0)
-    step[new] = q[new]
+    step[groups] = q[groups]
     data, at = packed_small(np.column_stack([step, n]).ravel())
-    edge = np.append(at[2 * new], len(data)).astype(np.int64)
-    rows = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(new), [None, pa.py_buffer(edge), pa.py_buffer(data)])
-    return b.ids[left[new]], part[new], rows.cast(pa.binary())
+    heads = p[groups]
+    new = np.searchsorted(groups, rows)  # a row's first group
+    lead = np.diff(heads, prepend=0)
+    lead[new] = heads[new]
+    names, where = packed_small(np.column_stack([lead, np.diff(np.append(groups, len(p)))]).ravel())
+    return bucket[rows], _cut(names, np.append(where[2 * new], len(names))), _cut(data, np.append(at[2 * rows], len(data)))
 
 
-def _rows(chunk: int, bitmaps: Bitmaps) -> pa.Table:
+def _edges(*columns: np.ndarray) -> np.ndarray:
+    """Where the runs of rows that are equal in all columns begin."""
+    n = len(columns[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _cut(data: np.ndarray, edges: np.ndarray) -> pa.Array:
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
+
+
+def _joined(rows: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The two columns of small numbers of all rows, and how many of them each row has."""
+    packed = rows.to_pylist()
+    value, end = unpacked_small(np.frombuffer(b"".join(packed), np.uint8))
+    size = np.diff(np.searchsorted(end, np.concatenate([[0], np.cumsum(list(map(len, packed)))]), "right")) // 2
+    return value[::2], value[1::2], size
+
+
+def _sums(steps: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Running sums within runs of the given sizes, none of them empty."""
+    upto = np.concatenate([[0], np.cumsum(steps)])
+    return upto[1:] - np.repeat(upto[np.cumsum(size) - size], size)
+
+
+def _rows(chunk: int, bitmaps: Bitmaps, buckets: int) -> pa.Table:
     """A shard's own row, and its rows of followers."""
     heads, body = bitmaps.packed()
-    p, part, rows = _followers(bitmaps)
-    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+    bucket, names, followers = _followers(bitmaps, buckets)
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
     own = [pa.array([x], t) for x, t in zip((chunk, heads, body, None, None, None), kinds, strict=True)]
-    rest = [pa.array(np.full(len(p), chunk), pa.int64()), pa.nulls(len(p), pa.binary()), pa.nulls(len(p), pa.binary()), pa.array(p, pa.int64()), pa.array(part, pa.int32()), rows]
-    return pa.table([pa.chunked_array([a, b]) for a, b in zip(own, rest, strict=True)], names=["chunk", "heads", "body", "p", "part", "followers"])
+    m = len(bucket)
+    rest = [pa.array(np.full(m, chunk), pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(bucket, pa.int64()), names, followers]
+    return pa.table([pa.chunked_array([a, b]) for a, b in zip(own, rest, strict=True)], names=["chunk", "heads", "body", "bucket", "lefts", "followers"])
 
 
 def _none() -> pa.Table:
-    return _rows(0, Bitmaps(*[np.zeros(0, np.int64)] * 2, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8))).slice(0, 0)
+    return _rows(0, Bitmaps(*[np.zeros(0, np.int64)] * 2, np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)), 1).slice(0, 0)
 
 
-def _kept_words(own: pa.Table, answers: pa.Table) -> pa.Table:
+def _kept_words(buckets: int, own: pa.Table, answers: pa.Table) -> pa.Table:
     """A shard's bitmaps with those of infrequent words left out, and what follows each."""
     if not own.num_rows or not answers.num_rows:
         return _none()
@@ -240,15 +277,15 @@ def _kept_words(own: pa.Table, answers: pa.Table) -> pa.Table:
     row = np.repeat(np.arange(len(b.ids)), np.diff(b.first))
     place = np.cumsum(ids >= 0) - 1
     kept = ids[row] >= 0
-    return _rows(own["of"][0].as_py(), Bitmaps.of(place[row[kept]], b.block[kept], b.byte[kept], ids[ids >= 0], total[ids >= 0]))
+    return _rows(own["of"][0].as_py(), Bitmaps.of(place[row[kept]], b.block[kept], b.byte[kept], ids[ids >= 0], total[ids >= 0]), buckets)
 
 
-def _kept_pairs(own: pa.Table, answers: pa.Table) -> pa.Table:
+def _kept_pairs(buckets: int, own: pa.Table, answers: pa.Table) -> pa.Table:
     """A shard's bitmaps of the frequent pairs, and what follows each."""
     if not own.num_rows or not answers.num_rows:
         return _none()
     b = Bitmaps.unpacked(own["heads"][0].as_py(), own["body"][0].as_py())
-    return _rows(own["of"][0].as_py(), b.grown(*(answers[c].to_numpy() for c in ("p", "q", "id", "a"))))
+    return _rows(own["of"][0].as_py(), b.grown(*(answers[c].to_numpy() for c in ("p", "q", "id", "a"))), buckets)
 
 
 def _answered(shards: DataFrame, answers: DataFrame, f) -> DataFrame:
@@ -291,17 +328,13 @@ def _frequent_words(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[p
 
 
 def _frequent_pairs(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows of followers sorted by left number and part: the frequent pairs of each shard, with number and count, and one without chunk for each of these."""
+    """Of rows of followers sorted by bucket: the frequent pairs of each shard, with number and count, and one without chunk for each of these."""
     numbers = _Numbers()
-    for rows in by_key(batches, ["p", "part"]):
-        packed = rows["followers"].to_pylist()
-        value, end = unpacked_small(np.frombuffer(b"".join(packed), np.uint8))
-        size = np.diff(np.searchsorted(end, np.concatenate([[0], np.cumsum(list(map(len, packed)))]), "right")) // 2
-        row = np.repeat(np.arange(len(size)), size)
-        upto = np.concatenate([[0], np.cumsum(value[::2])])
-        first = np.concatenate([[0], np.cumsum(size)])[:-1]
-        q, n = upto[1:] - np.repeat(upto[first], size), value[1::2]
-        p = rows["p"].to_numpy()[row]
+    for rows in by_key(batches, ["bucket"]):
+        lead, size, groups = _joined(rows["lefts"])
+        step, n, _ = _joined(rows["followers"])
+        p, q = np.repeat(_sums(lead, groups), size), _sums(step, size)
+        row = np.repeat(np.repeat(np.arange(len(groups)), groups), size)
         order = np.lexsort((q, p))
         p, q, n, row = p[order], q[order], n[order], row[order]
         new = np.ones(len(p), bool)
@@ -334,9 +367,11 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     none = F.array().cast("array<bigint>")
     level = told.filter(F.col("chunk").isNull()).select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", none.alias("heads"), none.alias("tails"), *(F.lit(None).cast("long").alias(c) for c in "pq"))
     levels = [level]
-    shards = stored(_answered(shards, told, _kept_words), "phrase-shards")
+    # so many buckets that one holds the followers of at most about so many words
+    buckets = max(BUCKETS, (totals.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS)
+    shards = stored(_answered(shards, told, partial(_kept_words, buckets)), "phrase-shards")
     for k in range(2, longest + 1):
-        dealt = shards.filter(F.col("heads").isNull()).select("p", "part", "chunk", "followers").repartition("p", "part").sortWithinPartitions("p", "part")
+        dealt = shards.filter(F.col("heads").isNull()).select("bucket", "chunk", "lefts", "followers").repartition("bucket").sortWithinPartitions("bucket")
         told = stored(dealt.mapInArrow(partial(_frequent_pairs, least), "id long, p long, q long, a long, chunk long"), "phrase-counts")
         left = level.select(F.col("id").alias("p"), "lang", "phrase", "heads", F.col("a").alias("head"))
         right = level.select(F.col("id").alias("q"), "last", "tails", F.col("a").alias("tail"))
@@ -345,7 +380,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
         level = stored(grown.select("id", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "a", heads, tails, "p", "q"), "phrases")
         levels.append(level)
         if k < longest:
-            shards = stored(_answered(shards, told, _kept_pairs), "phrase-shards")
+            shards = stored(_answered(shards, told, partial(_kept_pairs, buckets)), "phrase-shards")
     return levels, totals
 
 
