@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spandrel.functions.motifs import Tolerance
-from spandrel.operators import disease, intervals, report, rollup, screen, search, serve
+from spandrel.operators import disease, intervals, report, rollup, screen, search, serve, similar, sweep
 
 
 def test_overlap_join_equals_brute_force(spark):
@@ -258,3 +258,70 @@ def test_tandem_repeats_and_compression_against_plain_code(spark):
     assert found[0][0][0] == 0 and found[0][0][1] >= 36 and found[0][0][2] == "ACGT" and found[2] == [(0, 30, "A")] and 3 not in found and 4 not in found and 5 not in found
     ratio = {x.i: x.r for x in got.select("i", text.ratio_of_deflate(F.col("s")).alias("r")).collect()}
     assert all(ratio[k] == (len(s) / len(zlib.compress(s.encode())) if s else None) for k, s in enumerate(seqs))
+
+
+def test_parzen_finds_the_best_in_fewer_trials_than_the_grid():
+    axes = {"window": list(range(12)), "max_motif_edits": list(range(8)), "min_purity": [None, 0.2, 0.4, 0.6, 0.8], "min_rep_units": [None, 1.0, 2.0, 3.0]}
+    best = {"window": 7, "max_motif_edits": 2, "min_purity": 0.6, "min_rep_units": 1.0}
+
+    def score(s):
+        return None if s["window"] == 0 else -sum(abs(v.index(s[a]) - v.index(best[a])) * w for (a, v), w in zip(axes.items(), (1, 2, 3, 1.5), strict=True))
+
+    found = []
+    for seed in range(8):
+        tried = sweep.study(axes, lambda made: [score(m) for m in made], trials=300, batch=6, seed=seed)
+        assert len({tuple(t.values()) for t, _ in tried}) == 300
+        found.append(next((k for k, (_, s) in enumerate(tried) if s == 0), 1920))
+        assert tried == sweep.study(axes, lambda made: [score(m) for m in made], trials=300, batch=6, seed=seed)
+    assert sorted(found)[4] < 200 and max(found) < 1920 // 2
+    low = sweep.study(axes, lambda made: [None if score(m) is None else -score(m) for m in made], trials=300, seed=1, maximize=False)
+    assert min(s for _, s in low if s is not None) == 0
+    small = {"window": [1, 2], "min_purity": [None, 0.5]}
+    assert len(sweep.study(small, lambda made: [0.0] * len(made), trials=50)) == 4
+    with pytest.raises(ValueError):
+        sweep.study({"nothing": [1]}, lambda made: made)
+
+
+def test_similar_pairs_equal_brute_force(spark):
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for x in a:
+            row = [new := row[0] + 1, *(new := min(row[j + 1] + 1, new + 1, row[j] + (x != y)) for j, y in enumerate(b))]
+        return row[-1]
+
+    r = random.Random(12)
+    texts = list({"".join(r.choice("ab" if k % 2 else "abcdef") for _ in range(r.randint(0, 9))) for k in range(150)}) + ["", "é", "éa"]
+    df = spark.createDataFrame([(t,) for t in [*texts, *texts[:5], None]], "t string")
+    for k in (0, 1, 3):
+        want = {(*sorted((a, b)), edits(a, b)) for a in texts for b in texts if a < b and edits(a, b) <= k}
+        rows = similar.similar_pairs(df, "t", k).collect()
+        assert {(x.a, x.b, x.edits) for x in rows} == want and len(rows) == len(want)
+    motifs = ["".join(r.choice("ACGT") for _ in range(r.randint(1, 7))) for _ in range(60)]
+    one, two = (spark.createDataFrame([(m,) for m in ms], f"{n} string") for ms, n in ((motifs[:40], "m"), (motifs[20:], "o")))
+    unit = lambda m: next(m[:k] for k in range(1, len(m) + 1) if len(m) % k == 0 and m[:k] * (len(m) // k) == m)
+    turns = lambda m: [m[k:] + m[:k] for k in range(len(m))]
+    want = {(m, o, d) for m in motifs[:40] for o in motifs[20:] if (d := min(edits(t, min(turns(unit(o)))) for t in turns(unit(m)))) <= 1}
+    assert {tuple(x) for x in similar.similar_motifs(one, two, "m", "o", 1).collect()} == want
+
+
+def test_ancestors_of_chains_diamonds_and_circles(spark):
+    edges = [(k, k + 1) for k in range(20)] + [(100, 101), (100, 102), (101, 103), (102, 103), (103, 104), (100, 104), (200, 201), (201, 200), (7, None), (100, 101)]
+    got = {(x.term, x.ancestor): x.depth for x in search.ancestors(spark.createDataFrame(edges, "child int, parent int")).collect()}
+    want = {(a, b): b - a for a in range(20) for b in range(a + 1, 21)} | {(100, 101): 1, (100, 102): 1, (100, 103): 2, (100, 104): 1, (101, 103): 1, (102, 103): 1, (101, 104): 2, (102, 104): 2, (103, 104): 1}
+    want |= {(200, 201): 1, (201, 200): 1, (200, 200): 2, (201, 201): 2}
+    assert got == want
+    some = search.ancestors(spark.createDataFrame(edges, "child int, parent int"), spark.createDataFrame([(18,), (999,)], "term int"))
+    assert sorted(tuple(x) for x in some.collect()) == [(18, 19, 1), (18, 20, 2)]
+
+
+def test_levels_in_one_pass(spark):
+    rows = [("c1", 1, "s1", 0.5), ("c1", 1, "s2", None), ("c1", 2, "s1", 1.0), ("c2", 1, "s3", 0.25), (None, 1, "s3", 1.0)]
+    out = {(x.level, x.chrom, x.pos): (x.n_calls, x.n_samples, x.purity, x.n_purity) for x in rollup.rolled_up(spark.createDataFrame(rows, "chrom string, pos int, sample string, purity double"), [["chrom", "pos"], ["chrom"], []], "sample", "purity").collect()}
+    assert out["", None, None] == (5, 3, 2.75, 4) and out["chrom", "c1", None] == (3, 2, 1.5, 2) and out["chrom,pos", "c1", 1] == (2, 2, 0.5, 1)
+    assert out["chrom", None, None] == (1, 1, 1.0, 1) and len(out) == 4 + 3 + 1
+
+
+def test_kmers(spark):
+    df = spark.createDataFrame([("abc\ndé🎉x",), ("ab",), (None,)], "t string")
+    got = [r[0] for r in df.select(report.kmers(F.col("t"), 3)).collect()]
+    assert got == [["abc", "bc\n", "c\nd", "\ndé", "dé🎉", "é🎉x"], [], None]
