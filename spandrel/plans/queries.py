@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import coords, motifs, text
-from ..operators import disease, intervals, report, rollup, screen, search, serve, similar
+from ..operators import disease, intervals, repeats, report, rollup, screen, search, serve, similar
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -527,6 +527,14 @@ def tandem_repeats(spark, sf_dir):
     return motifs.repeats(d, "seq").drop("seq")
 
 
+@query
+def indel_repeats(spark, sf_dir):
+    """Repeats of eight copies from which a base is missing in one place and that have one too many in another."""
+    unit = _dna(F.col("p_partkey"), 6)
+    d = _t(spark, sf_dir, "part").select("p_partkey", F.concat(_dna(F.col("p_partkey") + 3, 9), F.repeat(unit, F.lit(3)), F.substring(unit, F.lit(2), F.lit(9)), F.repeat(unit, F.lit(2)), F.lit("T"), F.repeat(unit, F.lit(2)), _dna(F.col("p_partkey") + 7, 9)).alias("seq"))
+    return repeats.indel_repeats(d, "seq", max_motif=12).drop("seq")
+
+
 # --- D, J29 ff.: reports --------------------------------------------------------------------------------------------
 
 

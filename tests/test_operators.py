@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spandrel.functions.motifs import Tolerance
-from spandrel.operators import disease, intervals, report, rollup, screen, search, serve, similar, sweep
+from spandrel.operators import disease, intervals, repeats, report, rollup, screen, search, serve, similar, sweep
 
 
 def test_overlap_join_equals_brute_force(spark):
@@ -325,3 +325,63 @@ def test_kmers(spark):
     df = spark.createDataFrame([("abc\ndé🎉x",), ("ab",), (None,)], "t string")
     got = [r[0] for r in df.select(report.kmers(F.col("t"), 3)).collect()]
     assert got == [["abc", "bc\n", "c\nd", "\ndé", "dé🎉", "é🎉x"], [], None]
+
+
+def plain_best(seq, motif):
+    """The best local score of a sequence against its motif laid end to end, cell by cell."""
+    m, best = len(motif), 0
+    row = [0] * m
+    for x in seq:
+        now = [max(0, row[j - 1] + (repeats.MATCH if motif[j] == x else -repeats.MISMATCH), row[j] - repeats.GAP) for j in range(m)]
+        for _ in range(2):
+            for j in range(m):
+                now[j] = max(now[j], now[j - 1] - repeats.GAP)
+        row, best = now, max(best, *now)
+    return best
+
+
+def test_wraparound_alignment_equals_plain_code():
+    import numpy as np
+
+    r = random.Random(14)
+    code = lambda t: np.frombuffer(t.encode(), np.uint8)
+    for m in (1, 2, 3, 5, 8):
+        seqs, units = [], []
+        for _ in range(40):
+            unit = "".join(r.choice("ACGT") for _ in range(m))
+            core = list(unit * r.randint(2, 9))
+            for _ in range(r.randint(0, 4)):
+                k = r.randrange(len(core))
+                core[k : k + 1] = r.choice([[], [r.choice("ACGT")], [core[k], r.choice("ACGT")]])
+            seqs.append("".join(r.choice("ACGT") for _ in range(r.randint(0, 12))) + "".join(core) + "".join(r.choice("ACGT") for _ in range(r.randint(0, 12))))
+            units.append(unit)
+        hits = repeats.align([code(s) for s in seqs], [code(u) for u in units])
+        for s, u, h in zip(seqs, units, hits, strict=True):
+            assert h.score == plain_best(s, u) == plain_best(s[h.start : h.end], u), (s, u)
+            gaps = h.columns - h.agree
+            assert h.agree * repeats.MATCH - h.score == gaps * repeats.GAP and h.end - h.start <= h.columns
+
+
+def test_planted_repeats_with_indels_are_found(spark):
+    r = random.Random(15)
+    rows = []
+    for k in range(40):
+        p = r.randint(2, 9)
+        unit = "".join(r.choice("ACGT") for _ in range(p))
+        while any(unit == unit[:d] * (p // d) for d in range(1, p) if p % d == 0):
+            unit = "".join(r.choice("ACGT") for _ in range(p))
+        copies = [unit] * 12
+        copies[4] = unit[1:]
+        copies[8] = unit + r.choice("ACGT")
+        left, right = ("".join(r.choice("ACGT") for _ in range(20)) for _ in range(2))
+        core = "".join(copies)
+        rows.append((k, left + core + right, unit, 20, 20 + len(core)))
+    rows += [(100, None, "", 0, 0), (101, "", "", 0, 0), (102, "ACGT", "", 0, 0)]
+    df = spark.createDataFrame(rows + rows[:2], "k int, s string, unit string, a int, b int")
+    out = repeats.indel_repeats(df, "s", max_motif=12).collect()
+    for k, s, unit, a, b in rows[:40]:
+        hit = [x for x in out if x.k == k and x.rep_start < b and x.rep_end > a]
+        best = max(hit, key=lambda x: x.score)
+        assert len({(x.rep_start, x.rep_end) for x in hit if x.rep_length > (b - a) / 2}) == 1 and best.rep_start <= a + 12 and best.rep_end >= b - 12, (s, unit, best)
+        assert best.motif in {unit[j:] + unit[:j] for j in range(len(unit))} and 0.85 < best.purity <= 1
+    assert not any(x.k >= 100 for x in out) and sum(x.k == 0 for x in out) % 2 == 0
