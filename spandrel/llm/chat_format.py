@@ -11,8 +11,8 @@ The result has one row per conversation: formatted, turns (per turn: the code po
 length of what is trained on), attachments, n_turns and loss_chars. A conversation is one string by definition, so
 its turns meet in one task; nothing but its own turns does.
 
-Defined cases: null texts and roles are empty; turns with equal or null numbers are ordered by role, then text, null
-numbers first; repeated rows stay; an empty table gives an empty result; null conv_ids form one conversation; other
+Defined cases: null texts and roles are empty; turns with equal or null numbers are ordered by role, then text as it is
+written (escaped), null numbers first; repeated rows stay; an empty table gives an empty result; null conv_ids form one conversation; other
 columns are ignored.
 """
 

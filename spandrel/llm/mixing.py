@@ -3,9 +3,10 @@
 Every document of a source has the same expected number of copies r = target / size of the source. Laid end to end
 they reach r, 2r, 3r, ...; one random offset per source is added, and a document is emitted once for every whole
 number its stretch crosses. A document's copies thus come from its rank within its source alone. Documents are ranked
-by size, which keeps the words taken within about one document of the target.
+by size class, within it by a cell of a hash, and by size within the cell, which keeps the words taken near the target.
 
-Ranks are found without bringing a source together: a source is cut into cells by size class and by a hash of doc_id, cells are
+Ranks are found without bringing a source together: a source is cut into cells by size class and by a hash of doc_id (more cells for
+more rows, so a table of another size is drawn from otherwise; any draw is a valid mix), cells are
 counted with partial aggregation, a running sum over the cells gives each cell's first rank, and rows are numbered
 within their cell. A hot source is spread over its cells.
 

@@ -4,8 +4,9 @@ A document is a bag of passages of PASSAGE words. Every passage is encoded: its
 through a tanh layer; a gated attention (tanh times sigmoid) weighs the passages, and the weighted mean of their
 encodings is scored by a logistic unit. Weights are learnt from document labels alone, with numpy, on the driver.
 
-Training uses the SAMPLE labelled documents of smallest hash (bounded, a parameter) whose crc32(doc_id) modulo 3 is not 1, and of these the ones
-of at most LONGEST characters, with all their passages. Scoring uses every passage of every whole text. Inputs are the text only.
+Training uses the SAMPLE labelled documents of smallest hash (bounded, a parameter) whose crc32(doc_id) modulo 3 is not 1. Of a document of
+more than DRAWN passages so many are learnt from, evenly spread over its whole text; so what comes to the driver is bounded however long texts are.
+Scoring uses every passage of every whole text. Inputs are the text only.
 
 Defined cases: a null or empty text is one empty passage; repeated rows score alike; without any label, or only one kind, the
 score is the same for all, the smoothed share of label 1; several labels for a doc_id count as several rows; of several
@@ -26,7 +27,8 @@ from .textops import Words, blocks, string_parts
 
 PASSAGE = 64
 SAMPLE = 4000
-LONGEST = 1 << 18
+#: Passages of a document that are learnt from.
+DRAWN = 128
 FOLDS, HELD = 3, 1
 STATS, HASHED = 20, 44
 HIDDEN, ATTENTION = 24, 16
@@ -159,6 +161,12 @@ def train(bags: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS, seed
     return model
 
 
+def drawn(first: int, last: int) -> np.ndarray:
+    """The passages from first to before last, or DRAWN of them, evenly spread."""
+    n = last - first
+    return first + (np.arange(n) if n <= DRAWN else np.arange(DRAWN) * n // DRAWN)
+
+
 def fold(ident: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(ident.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS))
 
@@ -174,10 +182,10 @@ def fit(docs: DataFrame, labels: DataFrame, ident: str = "doc_id", text: str = "
             offsets, raw = string_parts(batch.column(2))
             for a, b in blocks(offsets):
                 x, first = passages(offsets[a : b + 1] - offsets[a], raw[offsets[a] : offsets[b]])
-                out = [x[first[k] : first[k + 1]].tobytes() for k in range(b - a)]
+                out = [x[drawn(first[k], first[k + 1])].tobytes() for k in range(b - a)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(out, pa.binary())], names=["doc_id", "label", "bag"])
 
-    texts = docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("text")).filter(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST)
+    texts = docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("text"))
     # however often a doc_id stands, one text of it is collected
     found = texts.join(F.broadcast(chosen), "doc_id").groupBy(F.col("doc_id").cast("long").alias("doc_id"), "label").agg(F.min("text").alias("text"))
     rows = found.mapInArrow(bags, "doc_id long, label int, bag binary").toPandas().sort_values(["doc_id", "label", "bag"])

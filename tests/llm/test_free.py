@@ -364,6 +364,24 @@ def test_mil_learns_and_scores_every_document(spark):
     assert same == 1
 
 
+def test_mil_learns_from_long_texts(spark):
+    """Texts of any length are learnt from, by passages drawn from all over them; what the driver gets is bounded."""
+    assert quality_mil.drawn(5, 8).tolist() == [5, 6, 7]
+    k = quality_mil.drawn(10, 10 + 40 * quality_mil.DRAWN)
+    assert len(k) == quality_mil.DRAWN and k[0] == 10 and k[-1] > 10 + 39 * quality_mil.DRAWN and (np.diff(k) == 40).all()
+    r = random.Random(31)
+    good, bad = ((lambda n, w=w: " ".join(r.choices(w, k=n))) for w in (["the", "of", "prose", "and."], ["#", "|x|", "9$", "%%"]))
+    texts = [(good if k % 2 else bad)(60_000 if k < 2 else 150_000 if k < 4 else 90) for k in range(60)]
+    d = docs(spark, texts)
+    lab = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    out = {x.doc_id: x.predicted for x in quality_mil.quality_scores(d, quality_mil.fit(d, lab)).collect()}
+    assert all(out[k] == k % 2 for k in range(60))
+    only_long = lab.filter("doc_id < 4")
+    out = {x.doc_id: x.predicted for x in quality_mil.quality_scores(d, quality_mil.fit(d, only_long)).collect()}
+    learnt = {k % 2 for k in range(4) if zlib.crc32(str(k).encode()) % 3 != 1}
+    assert learnt != {0, 1} or all(out[k] == k % 2 for k in range(60))
+
+
 def test_mil_gradients_are_right():
     rng = np.random.default_rng(12)
     bags = [rng.normal(size=(n, quality_mil.STATS + quality_mil.HASHED)) for n in (1, 3, 2)]
