@@ -248,3 +248,6 @@ ORACLES["rolled_up"] = """with c as (select 'chr' || (l_partkey % 5) as chrom, l
   select concat_ws(',', case when grouping(chrom) = 0 then 'chrom' end, case when grouping(ins_coord) = 0 then 'ins_coord' end, case when grouping(novelty) = 0 then 'novelty' end) as level, chrom, ins_coord, novelty, count(*) as n_calls, count(distinct sample) as n_samples, round(sum(purity), 4) as purity, count(purity) as n_purity
   from c group by grouping sets ((chrom, ins_coord, novelty), (chrom, ins_coord), (chrom, novelty), (chrom), ())"""
 ORACLES["stream_new_files"] = "select event_type, count(*) as n, count(*) as n_events, round(sum(value), 2) as total from events group by 1"
+
+_SCORED = _ladder({"narrow": ["the", "and", "license"], "middle": ["the", "license"], "wide": ["license"], "other": ["and"], "none": ["zzzz"]}, "public")
+ORACLES["best_query"] = " union all ".join(f"select * from (select {least}::double as least, strategy, specificity, hits from ({_SCORED}) where hits > 0 and coverage >= {least} order by specificity desc, hits, strategy limit 1)" for least in ("0.5", "0.0", "1.0"))

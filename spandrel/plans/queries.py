@@ -510,6 +510,15 @@ def query_ladder(spark, sf_dir):
     return search.ladder(_t(spark, sf_dir, "documents"), "text", s, ["public"])
 
 
+@query
+def best_query(spark, sf_dir):
+    """The strategy chosen from the ladder: the most specific that finds anything and whose finds mention enough; also under a stricter demand."""
+    s = {"narrow": ["the", "and", "license"], "middle": ["the", "license"], "wide": ["license"], "other": ["and"], "none": ["zzzz"]}
+    scored = search.ladder(_t(spark, sf_dir, "documents"), "text", s, ["public"])
+    found = [search.best_strategy(scored, least).select(F.lit(least).alias("least"), "strategy", "specificity", "hits") for least in (0.5, 0.0, 1.0)]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query
 def compression_ratio(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.round(text.ratio_of_deflate(F.col("text")), 6).alias("ratio"))
