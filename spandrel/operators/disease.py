@@ -48,18 +48,20 @@ def disease_screen(calls: DataFrame, loci: DataFrame, window: int = 0, max_edits
     q = calls.withColumns({"_chrom": normalize_chrom(F.col(chrom)), "_point": F.col(point).cast("long"), "_motif": F.coalesce(F.col(motif), F.lit(""))})
     named = loci.select(*[F.col(c).alias(f"l_{c}") for c in loci.columns])
     pairs = window_join(q.select(*key).distinct(), named, "_chrom", "_point", "l_chrom", "l_start", "l_end", window).withColumnRenamed("distance", "distance_bp")
-    pairs = pairs.withColumn("n_nearby", F.count("*").over(Window.partitionBy(*key)))
-    listed = pairs.withColumn("_x", F.explode_outer("l_motifs"))
+    listed = pairs.select("*", F.posexplode_outer("l_motifs").alias("_k", "_x"))
     rank = F.coalesce(F.array_position(F.array(*[F.lit(c) for c in CLASSES]), F.col("_x.class")).cast("int"), F.lit(len(CLASSES) + 1))
-    edits = rotation_distance(F.col("_motif"), F.col("_x.motif"), max_edits, how)
-    hit = F.when((edits <= max_edits) & (canonical_motif(F.col("_motif"), how) != ""), edits)
+    # different pairs of motifs are compared once
+    edits = rotation_distance(F.col("_motif"), F.col("_other"), max_edits, how)
+    compared = listed.select("_motif", F.col("_x.motif").alias("_other")).filter("_other is not null").distinct()
+    compared = compared.withColumn("_edits", F.when((edits <= max_edits) & (canonical_motif(F.col("_motif"), how) != ""), edits)).withColumnRenamed("_motif", "_mine")
+    listed = listed.join(compared, (F.col("_motif") == F.col("_mine")) & (F.col("_x.motif") == F.col("_other")), "left").drop("_mine", "_other")
     # within a locus a later class wins with strictly fewer edits only, and an exact one ends the search
-    best = F.min(F.when(hit.isNotNull(), F.struct(hit.alias("edits"), rank.alias("rank"), F.col("_x.motif").alias("motif"))))
-    carried = ["n_nearby", "distance_bp", *[c for c in named.columns if c not in ("l_id", "l_motifs")]]
-    per_locus = listed.groupBy(*key, "l_id").agg(best.alias("_b"), *[F.first(c).alias(c) for c in carried])
+    best = F.min(F.when(F.col("_edits").isNotNull(), F.struct(F.col("_edits").alias("edits"), rank.alias("rank"), F.col("_x.motif").alias("motif"))))
+    carried = ["distance_bp", *[c for c in named.columns if c not in ("l_id", "l_motifs")]]
+    per_locus = listed.groupBy(*key, "l_id").agg(best.alias("_b"), F.count_if(F.coalesce("_k", F.lit(0)) == 0).alias("_n"), *[F.first(c).alias(c) for c in carried])
     none = F.lit(len(CLASSES) + 1)
-    order = [F.coalesce(F.col("_b.rank"), none), F.coalesce(F.col("_b.edits"), F.lit(1 << 30)), F.col("distance_bp"), F.col("l_id")]
-    first = per_locus.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("_rn = 1").drop("_rn")
+    order = F.struct(F.coalesce(F.col("_b.rank"), none).alias("rank"), F.coalesce(F.col("_b.edits"), F.lit(1 << 30)).alias("edits"), "distance_bp", "l_id")
+    first = per_locus.groupBy(*key).agg(F.sum("_n").alias("n_nearby"), F.min_by(F.struct("l_id", "_b", *carried), order).alias("_first")).select(*key, "n_nearby", "_first.*")
     out = q.join(first, key, "left")
     kind = F.when(F.col("_b").isNull(), "none").otherwise(F.element_at(F.array(*[F.lit(c) for c in CLASSES]), F.col("_b.rank")))
     copies = F.col("l_ref_copies") + F.col(units)

@@ -251,3 +251,7 @@ ORACLES["stream_new_files"] = "select event_type, count(*) as n, count(*) as n_e
 
 _SCORED = _ladder({"narrow": ["the", "and", "license"], "middle": ["the", "license"], "wide": ["license"], "other": ["and"], "none": ["zzzz"]}, "public")
 ORACLES["best_query"] = " union all ".join(f"select * from (select {least}::double as least, strategy, specificity, hits from ({_SCORED}) where hits > 0 and coverage >= {least} order by specificity desc, hits, strategy limit 1)" for least in ("0.5", "0.0", "1.0"))
+
+ORACLES["constrained_only"] = f"with l as (select * from {_LOCI} where mean_purity >= 0.9 and n_samples >= 10) select locus_id, mean_purity as pli, 'position' as sort, (select count(*) from l) as total from l order by substr(chrom, 4)::int, pos limit 50"
+ORACLES["calls_in_scope"] = "select chrom, count(*) as n from (select 'chr' || case when k < 25 then k::varchar when k = 25 then 'X' when k = 26 then 'Y' when k = 27 then 'M' else 'Un_' || k end as chrom from (select l_suppkey % 30 as k from lineitem)) where chrom in (select 'chr' || unnest(range(1, 23)) union all select unnest(['chrX', 'chrY'])) group by 1"
+ORACLES["first_listed"] = "select p_partkey, p_brand as first, p_brand as only, p_name as alone from part"

@@ -78,6 +78,32 @@ def filtered_sort_position(spark, sf_dir):
     return serve.page(df, serve.order_by("position", "desc"), 100).select("locus_id", "pos", "gene")
 
 
+@query
+def constrained_only(spark, sf_dir):
+    """Loci of genes that stand little loss, and the page that a sort without its table falls back to."""
+    loci = _loci(spark, sf_dir).withColumn("pli", F.col("mean_purity") * 1.0)
+    got = serve.list_loci(loci, sort="arrays", direction="desc", limit=50, constrained_only=True, min_samples=10)
+    return got["rows"].select("locus_id", "pli", F.lit(got["sort"]).alias("sort"), F.lit(got["total"]).cast("long").alias("total"))
+
+
+@query
+def calls_in_scope(spark, sf_dir):
+    """Calls on the main chromosomes only: of numbered and lettered contigs, and of others."""
+    from ..operators import cohort
+
+    k = F.col("l_suppkey") % 30
+    name = F.when(k < 25, k.cast("string")).when(k == 25, "X").when(k == 26, "Y").when(k == 27, "M").otherwise(F.concat(F.lit("Un_"), k))
+    calls = _t(spark, sf_dir, "lineitem").select(F.concat(F.lit("chr"), name).alias("chrom"))
+    return cohort.in_scope(calls).groupBy("chrom").agg(F.count("*").alias("n"))
+
+
+@query
+def first_listed(spark, sf_dir):
+    """The first of values listed with semicolons, and the first of different ones."""
+    v = F.concat_ws(";", F.col("p_brand"), F.col("p_brand"), F.col("p_type"))
+    return _t(spark, sf_dir, "part").select("p_partkey", text.first_of(v, ";").alias("first"), text.first_distinct(v, ";").alias("only"), text.first_of(F.col("p_name"), ";").alias("alone"))
+
+
 @query
 def filter_gene_list(spark, sf_dir):
     df, _ = serve.filtered(_loci(spark, sf_dir), genes=["1-urgent", "5-LOW"], chrom="chr7")
