@@ -94,11 +94,22 @@ def overlap_fraction_at_least(start: str, end: str, r_start: str, r_end: str, fr
 
 
 def union_length(df: DataFrame, keys: list[str], start: str, end: str, out: str = "union_length") -> DataFrame:
-    """df with the number of bases that the intervals of each key cover together, on every row."""
-    ordered = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    reached = F.max(end).over(ordered)
-    new = F.greatest(F.col(end) - F.greatest(F.col(start), reached), F.lit(0))
-    return df.withColumn("_new", new).withColumn(out, F.sum("_new").over(Window.partitionBy(*keys))).drop("_new")
+    """df with the number of bases that the intervals of each key cover together, on every row.
+
+    Intervals are sorted range by range, so a frequent key lies in many; each range hands on how far it has reached. Rows of a null key are a key's.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # equal intervals cover nothing more
+    spans = df.select(*keys, F.col(start).alias("_s"), F.col(end).alias("_e")).distinct()
+    part = written(spans.repartitionByRange(n, *keys, "_s", "_e").withColumn("_r", F.spark_partition_id()), "union")
+    ends = part.groupBy(*keys, "_r").agg(F.max("_e").alias("_m"))  # a row for each key and range
+    handed = F.max("_m").over(Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
+    before = ends.select(*[F.col(c).alias(f"_k_{c}") for c in keys], F.col("_r").alias("_k_r"), handed.alias("_h"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys])
+    own = F.max("_e").over(Window.partitionBy("_r", *keys).orderBy("_s", "_e").rowsBetween(Window.unboundedPreceding, -1))
+    reached = F.greatest(F.col("_s"), F.col("_o"), F.col("_h"))
+    total = part.withColumn("_o", own).join(before, same & (F.col("_r") == F.col("_k_r"))).groupBy(*keys).agg(F.sum(F.greatest(F.col("_e") - reached, F.lit(0))).alias(out))
+    return df.join(total.select(*[F.col(c).alias(f"_k_{c}") for c in keys], out), same, "left").select(*df.columns, out)
 
 
 def insertion_purity(df: DataFrame, keys: list[str], start: str = "rep_start", end: str = "rep_end", size: str = "insert_size", out: str = "insertion_purity") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.coords import point_distance
 from ..functions.motifs import size_class
 from ..functions.text import catalogues
+from ..sources.shared import written
 from .intervals import best_hit, overlap_join, segments
 from .screen import verdict_of, verdict_rank
 
@@ -22,10 +25,20 @@ def dominant(df: DataFrame, keys: list[str], member: str, by: str, order: list[C
 
 
 def median_member(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Per key the row in the middle of a total order; the lower one of an even number."""
-    part = Window.partitionBy(*keys)
-    ranked = df.withColumn("_rn", F.row_number().over(part.orderBy(*order))).withColumn("_n", F.count("*").over(part))
-    return ranked.filter("_rn = (_n + 1) div 2").drop("_rn", "_n")
+    """Per key the row in the middle of a total order; the lower one of an even number.
+
+    Rows are sorted range by range, so a frequent key lies in many; places are counted in each range after the rows of the key in the ranges before.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = written(df.repartitionByRange(n, *keys, *order).withColumn("_r", F.spark_partition_id()), "median")
+    sizes = part.groupBy(*keys, "_r").agg(F.count("*").alias("_n"))  # a row for each key and range
+    own = Window.partitionBy(*keys)
+    upto = F.sum("_n").over(own.orderBy("_r"))
+    middle = F.expr("(_t + 1) div 2") - F.col("_b")
+    held = sizes.withColumn("_b", upto - F.col("_n")).withColumn("_t", F.sum("_n").over(own)).select(*[F.col(c).alias(f"_k_{c}") for c in keys], F.col("_r").alias("_k_r"), "_n", middle.alias("_at")).filter("_at between 1 and _n")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys])
+    placed = part.join(held, same & (F.col("_r") == F.col("_k_r"))).withColumn("_rn", F.row_number().over(Window.partitionBy("_r", *keys).orderBy(*order)))
+    return placed.filter("_rn = _at").select(*df.columns)
 
 
 def build_loci(calls: DataFrame, platforms: tuple[str, ...] = ("ucsc", "trexplorer"), invariant: list[str] = ()) -> DataFrame:
