@@ -46,7 +46,7 @@ PAIRS = 4 << 20
 #: The pairs of a left phrase are dealt over one key for each so many of its occurrences.
 DEAL = 1 << 20
 #: Left phrases are sent together by buckets of their numbers: at least so many, and one for each so many words of the corpus.
-BUCKETS, BUCKET_WORDS = 1 << 14, 1 << 18
+BUCKETS, BUCKET_WORDS = 1 << 12, 1 << 18
 #: Phrases of so many words are sought, and so many occurrences make one a candidate.
 LONGEST, LEAST = 5, 100
 #: So many phrases of each language are reported.
