@@ -58,6 +58,12 @@ def _delete(spark: SparkSession, paths: list[str]) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a stored table that nothing reads any more, before its context ends."""
+    for path in {file.rpartition("/")[0] for file in table.inputFiles()}:
+        _delete(table.sparkSession, [path])
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
     """Tables written in this context are deleted at its end, also if it fails: for work whose result doesn't read them."""

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settled, stored
+from .common import discard, settled, stored
 from .exchange import by_key, pack, packed_small, runs, unpack, unpacked_small
 from .textops import blocks, mix64, string_parts
 
@@ -361,15 +361,18 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     texts = docs.select(F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang"))
     shards = stored(texts.mapInArrow(_first, "chunk long, heads binary, body binary, lang string, word string, p long, n long"), "phrase-words")
     words = shards.filter(F.col("word").isNotNull()).select("lang", "word", "chunk", "p", "n")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
+    totals = stored(words.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
     dealt = words.repartition("lang", "word").sortWithinPartitions("lang", "word")
     told = stored(dealt.mapInArrow(partial(_frequent_words, least), "id long, lang string, word string, a long, chunk long, p long"), "phrase-counts")
     none = F.array().cast("array<bigint>")
     level = told.filter(F.col("chunk").isNull()).select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", none.alias("heads"), none.alias("tails"), *(F.lit(None).cast("long").alias(c) for c in "pq"))
+    level = stored(level, "phrases")
     levels = [level]
     # so many buckets that one holds the followers of at most about so many words
     buckets = max(BUCKETS, (totals.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS)
-    shards = stored(_answered(shards, told, partial(_kept_words, buckets)), "phrase-shards")
+    before, shards = shards, stored(_answered(shards, told, partial(_kept_words, buckets)), "phrase-shards")
+    discard(before)
+    discard(told)
     for k in range(2, longest + 1):
         dealt = shards.filter(F.col("heads").isNull()).select("bucket", "chunk", "lefts", "followers").repartition("bucket").sortWithinPartitions("bucket")
         told = stored(dealt.mapInArrow(partial(_frequent_pairs, least), "id long, p long, q long, a long, chunk long"), "phrase-counts")
@@ -379,8 +382,11 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
         heads, tails = F.concat("heads", F.array("head")).alias("heads"), F.concat("tails", F.array("tail")).alias("tails")
         level = stored(grown.select("id", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "a", heads, tails, "p", "q"), "phrases")
         levels.append(level)
+        before = shards
         if k < longest:
             shards = stored(_answered(shards, told, partial(_kept_pairs, buckets)), "phrase-shards")
+        discard(before)
+        discard(told)
     return levels, totals
 
 
