@@ -146,7 +146,7 @@ def is_novel_label(label: Column) -> Column:
 AGREEMENT = {"both": (True, True), "ucsc_only": (True, False), "trexplorer_only": (False, True), "neither": (False, False)}
 
 
-def agreement(mode: str, first: Column, second: Column) -> Column:
+def agreement_as(mode: str, first: Column, second: Column) -> Column:
     """Rows that both catalogues, only one of them or neither call new; any verdict but known is new. Rows without a verdict match no mode."""
     one, two = AGREEMENT[mode]
     return ((first != "known") == one) & ((second != "known") == two)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.coords import chrom_order, in_region
-from .screen import agreement
+from .screen import agreement_as
 
 PLI_CONSTRAINED = 0.9
 
@@ -38,7 +38,7 @@ FILTERS = {
     "region": (("chrom", "pos"), lambda v: in_region(F.col("chrom"), F.col("pos"), v)),
     "gene_query": (("gene",), lambda v: contains_ci(F.col("gene"), v)),
     "sample": (("sample",), lambda v: F.col("sample") == v),
-    "platform_agreement": (("ucsc_novelty", "trexplorer_novelty"), lambda v: agreement(v, F.col("ucsc_novelty"), F.col("trexplorer_novelty"))),
+    "platform_agreement": (("ucsc_novelty", "trexplorer_novelty"), lambda v: agreement_as(v, F.col("ucsc_novelty"), F.col("trexplorer_novelty"))),
     "genes": (("gene",), lambda v: F.upper(F.col("gene")).isin([x.upper() for x in v])),
 }
 
