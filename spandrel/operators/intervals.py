@@ -36,17 +36,21 @@ def _bin(at: Column, level: Column, size: int) -> Column:
     return F.floor(at / (size * F.pow(F.lit(float(STEP)), level)))
 
 
-def _placed(df: DataFrame, other: DataFrame, start: str, end: str, o_start: str, o_end: str, size: int, left: bool) -> DataFrame:
+def _placed(df: DataFrame, other: DataFrame, start: str, end: str, o_start: str, o_end: str, size: int, left: bool, level: int | None = None) -> DataFrame:
     """df with a row for each bin of its own level (_own), and of the higher ones that the other side's intervals have.
 
     _turn says which side's level it is: on 0 left rows are in their own and right rows in that or a lower one, on 1 right rows are in their own
-    and left rows in a lower one.
+    and left rows in a lower one. level: that of all intervals of the other side, where it is known without looking.
     """
     own = df.withColumn("_own", _level(F.col(start), F.col(end), size))
-    there = other.select(_level(F.col(o_start), F.col(o_end), size).alias("_level")).distinct()  # at most LEVELS + 1 rows
     mine, theirs = (0, 1) if left else (1, 0)
     looked_up = own.withColumn("_level", F.explode(F.sequence(F.col("_own"), F.lit(LEVELS)))).filter((F.col("_level") > F.col("_own")) | F.lit(not left))
-    looked_up = looked_up.join(F.broadcast(there), "_level").withColumn("_turn", F.lit(theirs))
+    if level is None:
+        there = other.select(_level(F.col(o_start), F.col(o_end), size).alias("_level")).distinct()  # at most LEVELS + 1 rows
+        looked_up = looked_up.join(F.broadcast(there), "_level")
+    else:
+        looked_up = looked_up.filter(F.col("_level") == level)
+    looked_up = looked_up.withColumn("_turn", F.lit(theirs))
     out = own.withColumn("_level", F.col("_own")).withColumn("_turn", F.lit(mine))
     if not left:
         # on their own turn right rows meet longer left rows' levels never, only shorter ones'
@@ -56,10 +60,10 @@ def _placed(df: DataFrame, other: DataFrame, start: str, end: str, o_start: str,
     return out.withColumn("_first", first).withColumn("_bin", F.explode(F.sequence(first, last)))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, chrom: str, start: str, end: str, r_chrom: str, r_start: str, r_end: str, how: str = "inner", bin_size: int = BIN) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, chrom: str, start: str, end: str, r_chrom: str, r_start: str, r_end: str, how: str = "inner", bin_size: int = BIN, longest: int | None = None) -> DataFrame:
     """Rows of left and right whose half-open intervals overlap on a contig. how: inner, left_semi or left_anti.
 
-    Column names of the two sides must differ. Rows with a null among contig, start or end overlap nothing. Skewed bins are split by adaptive execution, as
+    longest: the length of all left intervals, where they have one and it is known. Column names of the two sides must differ. Rows with a null among contig, start or end overlap nothing. Skewed bins are split by adaptive execution, as
     nothing above the join needs its partitioning.
     """
     if how != "inner":
@@ -68,7 +72,8 @@ def overlap_join(left: DataFrame, right: DataFrame, chrom: str, start: str, end:
         hit = overlap_join(left.select(*keys).distinct(), right.select(r_chrom, r_start, r_end), chrom, start, end, r_chrom, r_start, r_end, "inner", bin_size).select(*keys).distinct()
         return left.join(hit, keys, how).select(*left.columns)
     ll = _placed(left, right, start, end, r_start, r_end, bin_size, True)
-    rr = _placed(right, left, r_start, r_end, start, end, bin_size, False)
+    level = None if longest is None else next(k for k in range(LEVELS) if longest <= bin_size * STEP**k)
+    rr = _placed(right, left, r_start, r_end, start, end, bin_size, False, level)
     rr = rr.select(*right.columns, *[F.col(c).alias(f"_r{c}") for c in ("_level", "_turn", "_first", "_bin")])
     on = (F.col(chrom) == F.col(r_chrom)) & (F.col("_level") == F.col("_r_level")) & (F.col("_turn") == F.col("_r_turn")) & (F.col("_bin") == F.col("_r_bin"))
     residual = (F.col(r_start) < F.col(end)) & (F.col(r_end) > F.col(start)) & (F.col("_bin") == F.greatest("_first", "_r_first"))
@@ -78,7 +83,7 @@ def overlap_join(left: DataFrame, right: DataFrame, chrom: str, start: str, end:
 def window_join(points: DataFrame, intervals: DataFrame, chrom: str, point: str, r_chrom: str, r_start: str, r_end: str, window: int = 10, bin_size: int = BIN) -> DataFrame:
     """Pairs of a 0-based point and an interval that comes within window bases of it, with distance."""
     p = points.withColumns({"_from": F.col(point) - window, "_to": F.col(point) + window + 1})
-    out = overlap_join(p, intervals, chrom, "_from", "_to", r_chrom, r_start, r_end, "inner", bin_size).drop("_from", "_to")
+    out = overlap_join(p, intervals, chrom, "_from", "_to", r_chrom, r_start, r_end, "inner", bin_size, 2 * window + 1).drop("_from", "_to")
     return out.withColumn("distance", interval_distance(F.col(point), F.col(point) + 1, F.col(r_start), F.col(r_end)))
 
 
