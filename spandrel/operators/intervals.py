@@ -42,20 +42,20 @@ def _placed(df: DataFrame, other: DataFrame, start: str, end: str, o_start: str,
     _turn says which side's level it is: on 0 left rows are in their own and right rows in that or a lower one, on 1 right rows are in their own
     and left rows in a lower one. level: that of all intervals of the other side, where it is known without looking.
     """
-    own = df.withColumn("_own", _level(F.col(start), F.col(end), size))
     mine, theirs = (0, 1) if left else (1, 0)
-    looked_up = own.withColumn("_level", F.explode(F.sequence(F.col("_own"), F.lit(LEVELS)))).filter((F.col("_level") > F.col("_own")) | F.lit(not left))
-    if level is None:
-        there = other.select(_level(F.col(o_start), F.col(o_end), size).alias("_level")).distinct()  # at most LEVELS + 1 rows
-        looked_up = looked_up.join(F.broadcast(there), "_level")
-    else:
-        looked_up = looked_up.filter(F.col("_level") == level)
-    looked_up = looked_up.withColumn("_turn", F.lit(theirs))
-    out = own.withColumn("_level", F.col("_own")).withColumn("_turn", F.lit(mine))
+    at = lambda k, turn: F.struct(k.alias("level"), F.lit(turn).alias("turn"))
+    above = F.filter(F.sequence(F.lit(0), F.lit(LEVELS)), lambda k: k > F.col("_own") if left else k >= F.col("_own"))
+    own = df.withColumn("_own", _level(F.col(start), F.col(end), size)).filter(F.col("_own").isNotNull())
+    out = own.withColumn("_p", F.explode(F.concat(F.array(at(F.col("_own"), mine)), F.transform(above, lambda k: at(k, theirs)))))
+    out = out.withColumn("_level", F.col("_p.level")).withColumn("_turn", F.col("_p.turn")).drop("_p")
     if not left:
         # on their own turn right rows meet longer left rows' levels never, only shorter ones'
-        out = out.filter(F.col("_own") > 0)
-    out = out.select(*looked_up.columns).unionByName(looked_up)
+        out = out.filter((F.col("_turn") == theirs) | (F.col("_own") > 0))
+    if level is None:
+        there = other.select(_level(F.col(o_start), F.col(o_end), size).alias("_level"), F.lit(True).alias("_there")).distinct()  # at most LEVELS + 1 rows
+        out = out.join(F.broadcast(there), "_level", "left").filter((F.col("_turn") == mine) | F.col("_there")).drop("_there")
+    else:
+        out = out.filter((F.col("_turn") == mine) | (F.col("_level") == level))
     first, last = _bin(F.col(start), F.col("_level"), size), _bin(F.greatest(F.col(start), F.col(end) - 1), F.col("_level"), size)
     return out.withColumn("_first", first).withColumn("_bin", F.explode(F.sequence(first, last)))
 
