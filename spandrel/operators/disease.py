@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.coords import normalize_chrom
-from ..functions.motifs import Equivalence, canonical_motif, rotation_distance
+from ..functions.motifs import Equivalence, rotation_distance, with_canonical
+from ..sources.shared import written
 from .intervals import window_join
 
 CLASSES = ("pathogenic", "reference", "benign", "unknown", "interruption")
@@ -46,23 +46,40 @@ def disease_screen(calls: DataFrame, loci: DataFrame, window: int = 0, max_edits
     # different queries are screened once, and rows follow by what they ask
     key = ["_chrom", "_point", "_motif"]
     q = calls.withColumns({"_chrom": normalize_chrom(F.col(chrom)), "_point": F.col(point).cast("long"), "_motif": F.coalesce(F.col(motif), F.lit(""))})
+    asked = written(q.select(*key).distinct(), "asked")
     named = loci.select(*[F.col(c).alias(f"l_{c}") for c in loci.columns])
-    pairs = window_join(q.select(*key).distinct(), named, "_chrom", "_point", "l_chrom", "l_start", "l_end", window).withColumnRenamed("distance", "distance_bp")
-    listed = pairs.select("*", F.posexplode_outer("l_motifs").alias("_k", "_x"))
+    # different points are looked up once among different intervals; what lies in an interval follows by its motif
+    at, spot = ["_chrom", "_point"], ["l_chrom", "l_start", "l_end"]
+    carried = ["l_gene", "l_ref_copies", *[f"l_{k}_{e}" for k in ranges() for e in ("min", "max")]]
+    spots = named.groupBy(*spot).agg(F.count("*").alias("_n"), F.min(F.struct("l_id", *carried)).alias("_locus"))
+    near = written(window_join(asked.select(*at).distinct(), spots, "_chrom", "_point", *spot, window).withColumnRenamed("distance", "distance_bp"), "near")
+    other = near.groupBy(*at).agg(F.sum("_n").alias("n_nearby"), F.min(F.struct("distance_bp", "_locus")).alias("_other"))
+    # canonical forms are computed once per different motif
+    listed = named.select(*spot, "l_id", *carried, F.explode("l_motifs").alias("_x")).withColumn("_listed", F.col("_x.motif"))
+    listed = with_canonical(listed.filter("_listed is not null"), "_listed", "_tc", how)
     rank = F.coalesce(F.array_position(F.array(*[F.lit(c) for c in CLASSES]), F.col("_x.class")).cast("int"), F.lit(len(CLASSES) + 1))
-    # different pairs of motifs are compared once
-    edits = rotation_distance(F.col("_motif"), F.col("_other"), max_edits, how)
-    compared = listed.select("_motif", F.col("_x.motif").alias("_other")).filter("_other is not null").distinct()
-    compared = compared.withColumn("_edits", F.when((edits <= max_edits) & (canonical_motif(F.col("_motif"), how) != ""), edits)).withColumnRenamed("_motif", "_mine")
-    listed = listed.join(compared, (F.col("_motif") == F.col("_mine")) & (F.col("_x.motif") == F.col("_other")), "left").drop("_mine", "_other")
+    listed = listed.select(*spot, "_tc", "l_id", *carried, rank.alias("rank"), F.col("_listed").alias("motif"))
+    forms = with_canonical(asked, "_motif", "_qc", how).filter("_qc <> ''")
     # within a locus a later class wins with strictly fewer edits only, and an exact one ends the search
-    best = F.min(F.when(F.col("_edits").isNotNull(), F.struct(F.col("_edits").alias("edits"), rank.alias("rank"), F.col("_x.motif").alias("motif"))))
-    carried = ["distance_bp", *[c for c in named.columns if c not in ("l_id", "l_motifs")]]
-    per_locus = listed.groupBy(*key, "l_id").agg(best.alias("_b"), F.count_if(F.coalesce("_k", F.lit(0)) == 0).alias("_n"), *[F.first(c).alias(c) for c in carried])
-    none = F.lit(len(CLASSES) + 1)
-    order = F.struct(F.coalesce(F.col("_b.rank"), none).alias("rank"), F.coalesce(F.col("_b.edits"), F.lit(1 << 30)).alias("edits"), "distance_bp", "l_id")
-    first = per_locus.groupBy(*key).agg(F.sum("_n").alias("n_nearby"), F.min_by(F.struct("l_id", "_b", *carried), order).alias("_first")).select(*key, "n_nearby", "_first.*")
-    out = q.join(first, key, "left")
+    if max_edits <= 0:
+        first = F.min(F.struct("rank", "l_id", "motif", *carried)).alias("_t")
+        met = forms.select(*at, F.col("_qc").alias("_mine"), F.col("_qc").alias("_tc")).distinct().join(near.select(*at, *spot, "distance_bp"), at)
+        met = met.join(listed.groupBy(*spot, "_tc").agg(first), [*spot, "_tc"]).select(*at, "_mine", "distance_bp", F.lit(0).alias("edits"), "_t.*")
+        mine = "_qc"
+    else:
+        met = forms.select(*at, "_motif").join(near.select(*at, *spot, "distance_bp"), at).join(listed, spot)
+        # different pairs of motifs are compared once
+        edits = rotation_distance(F.col("_p_motif"), F.col("_p_listed"), max_edits, how)
+        pairs = met.select(F.col("_motif").alias("_p_motif"), F.col("motif").alias("_p_listed")).distinct().withColumn("edits", edits).filter(F.col("edits") <= max_edits)
+        met = met.join(pairs, (F.col("_motif") == F.col("_p_motif")) & (F.col("motif") == F.col("_p_listed")))
+        met = met.groupBy(*at, F.col("_motif").alias("_mine"), "l_id").agg(F.min(F.struct("edits", "rank", "motif", "distance_bp", *carried)).alias("_t")).select(*at, "_mine", "l_id", "_t.*")
+        mine = "_motif"
+    best = met.groupBy(*at, "_mine").agg(F.min(F.struct("rank", "edits", "distance_bp", "l_id", "motif", *carried)).alias("_best"))
+    per = forms.withColumn("_mine", F.col(mine)).join(best, [*at, "_mine"]).select(*key, "_best")
+    matched = F.col("_best").isNotNull()
+    shown = [F.when(matched, F.col(f"_best.{c}")).otherwise(F.col(f"_other._locus.{c}")).alias(c) for c in ("l_id", *carried)]
+    shown += [F.coalesce("_best.distance_bp", "_other.distance_bp").alias("distance_bp"), F.when(matched, F.struct("_best.edits", "_best.rank", "_best.motif")).alias("_b")]
+    out = q.join(asked.join(other, at).join(per, key, "left").select(*key, "n_nearby", *shown), key, "left")
     kind = F.when(F.col("_b").isNull(), "none").otherwise(F.element_at(F.array(*[F.lit(c) for c in CLASSES]), F.col("_b.rank")))
     copies = F.col("l_ref_copies") + F.col(units)
     ranged = allele_class(copies, {k: (F.col(f"l_{k}_min"), F.col(f"l_{k}_max")) for k in ("pathogenic", "intermediate", "benign")})
