@@ -87,6 +87,18 @@ def window_join(points: DataFrame, intervals: DataFrame, chrom: str, point: str,
     return out.withColumn("distance", interval_distance(F.col(point), F.col(point) + 1, F.col(r_start), F.col(r_end)))
 
 
+def first_in_window(points: DataFrame, intervals: DataFrame, chrom: str, point: str, r_chrom: str, r_start: str, r_end: str, ident: str, window: int = 10) -> DataFrame:
+    """points with ident (the nearest interval's; the smaller one of equally near ones), distance and n_nearby (intervals within window; 0 for none).
+
+    Different points are looked up once among different intervals, so copies on either side make no pairs.
+    """
+    spots = intervals.groupBy(r_chrom, r_start, r_end).agg(F.count("*").alias("_n"), F.min(ident).alias(ident))
+    pairs = window_join(points.select(chrom, point).distinct(), spots, chrom, point, r_chrom, r_start, r_end, window)
+    least = F.min(F.struct("distance", ident)).alias("_best")
+    first = pairs.groupBy(chrom, point).agg(F.sum("_n").alias("n_nearby"), least).select(chrom, point, "n_nearby", "_best.*")
+    return points.join(first, [chrom, point], "left").select(*points.columns, ident, "distance", F.coalesce("n_nearby", F.lit(0)).alias("n_nearby"))
+
+
 def best_hit(pairs: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """The first pair of each key; order must be total."""
     return pairs.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("_rn = 1").drop("_rn")

@@ -305,9 +305,8 @@ def disease_locus_join(spark, sf_dir):
 @query
 def range_join_best_hit(spark, sf_dir):
     p, c = _points(spark, sf_dir), _named(_catalogue(spark, sf_dir))
-    pairs = intervals.window_join(p, c, "chrom", "point", "r_chrom", "r_start", "r_end", 10)
-    best = intervals.best_hit(pairs.withColumn("n_nearby", F.count("*").over(Window.partitionBy("c_custkey"))), ["c_custkey"], [F.col("distance"), F.col("r_id")])
-    return p.join(best.select("c_custkey", "r_id", "distance", "n_nearby"), "c_custkey", "left").select("c_custkey", "r_id", "distance", F.coalesce("n_nearby", F.lit(0)).alias("n_nearby"))
+    out = intervals.first_in_window(p, c, "chrom", "point", "r_chrom", "r_start", "r_end", "r_id", 10)
+    return out.select("c_custkey", "r_id", "distance", "n_nearby")
 
 
 @query

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from spandrel.operators import disease
+from spandrel.operators import disease, intervals
 
 
 def widest(spark, make):
@@ -42,3 +42,10 @@ def test_copies_in_disease_screen(spark):
         assert len(rows) == 300 and {r["n_nearby"] for r in rows} == {300}
         assert {r["k"] % 4: (r["locus"], r["matched_motif"]) for r in rows} == want
         assert most < 5000, most
+
+
+def test_copies_in_first_in_window(spark):
+    p, c = calls(spark, 300).drop("motif"), catalogue(spark, 300).selectExpr("r", "chrom as rc", "start as rs", "end as re")
+    rows, most = widest(spark, lambda: intervals.first_in_window(p, c, "chrom", "point", "rc", "rs", "re", "r"))
+    assert {(r["r"], r["distance"], r["n_nearby"]) for r in rows} == {(0, 0, 300)} and len(rows) == 300
+    assert most < 5000, most
