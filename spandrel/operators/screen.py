@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coords import normalize_chrom, to_internal
-from ..functions.motifs import Equivalence, Tolerance, compare, with_canonical
+from ..functions.motifs import EXACT, NONE, Equivalence, Tolerance, compare, with_canonical
+from ..sources.shared import written
 from .intervals import best_hit, insertion_purity, window_join
 
 #: Verdicts from the most conservative on.
@@ -76,22 +77,48 @@ def screen(calls: DataFrame, catalogue: DataFrame, prefix: str = "", chrom: str
     # different queries are screened once, and rows follow by what they ask
     key = ["_chrom", "_point", "_motif"]
     q = calls.withColumns({"_chrom": normalize_chrom(F.col(chrom)), "_point": F.col(point).cast("long"), "_motif": F.upper(F.trim(F.coalesce(F.col(motif), F.lit(""))))})
-    asked = with_canonical(q.select(*key).distinct(), "_motif", "_qc", how)
+    # read many times below, and one screen may follow another
+    asked = written(with_canonical(q.select(*key).distinct(), "_motif", "_qc", how), "asked")
     extra = [c for c in catalogue.columns if c not in ("chrom", "start", "end", "motif", "canonical")]
     rows, _ = repeat_filter.apply(catalogue)
     # a catalogue that was kept with its canonical motifs (sources.platforms.cached, under the same equivalence) has them ready
     rows = rows.withColumnRenamed("canonical", "_tc") if "canonical" in catalogue.columns else with_canonical(rows, "motif", "_tc", how)
     rows = rows.select(F.col("chrom").alias("_rc"), F.col("start").alias("_rs"), F.col("end").alias("_re"), F.col("motif").alias("_rm"), "_tc", *[F.col(c).alias(f"_x_{c}") for c in extra])
-    pairs = window_join(asked, rows, "_chrom", "_point", "_rc", "_rs", "_re", window)
-    pairs = pairs.withColumn("_m", compare(F.col("_motif"), F.col("_qc"), F.col("_tc"), how, tolerance))
+    # different points are looked up once among different intervals; what lies in an interval follows by its motif
     copies = F.coalesce(F.col("_x_copy_num").cast("double"), F.lit(0.0)) if "copy_num" in extra else F.lit(0.0)
-    # the order of candidates is that of a struct, whose least one aggregate finds along with their number
-    order = [F.when(F.col("_m.kind") != "", 0).otherwise(1), F.col("_m.edits"), F.col("distance"), -copies, F.col("_rs"), F.col("_re"), F.col("_rm")]
-    held = ["_rs", "_re", "distance", "_rm", "_tc", "_m", *[f"_x_{c}" for c in extra]]
-    least = F.min(F.struct(*[o.alias(f"o{k}") for k, o in enumerate(order)], *[F.col(c).alias(f"h{k}") for k, c in enumerate(held)])).alias("_best")
-    best = pairs.groupBy(*key).agg(F.count("*").alias("n_nearby"), least).select(*key, "n_nearby", *[F.col(f"_best.h{k}").alias(c) for k, c in enumerate(held)])
+    spot, at = ["_rc", "_rs", "_re"], ["_chrom", "_point"]
+    held = ["_rm", "_tc", *[f"_x_{c}" for c in extra]]
+    least = F.min(F.struct((-copies).alias("c"), *held)).alias("_top")
+    near = written(window_join(asked.select(*at).distinct(), rows.groupBy(*spot).agg(F.count("*").alias("_n"), least), "_chrom", "_point", *spot, window), "near")
+    # the order of candidates is that of a struct, whose least one aggregate finds
+    placed = [F.col("distance"), F.col("_top.c").alias("c"), F.col("_rs"), F.col("_re"), *[F.col(f"_top.{c}").alias(c) for c in held]]
+    # under equal budgets of edits one that doesn't match is as good as any other
+    level = (tolerance.max_edits if tolerance.max_edits > 0 else 0) + 1
+    nothing = F.struct(F.lit(NONE).alias("kind"), F.lit(level).alias("edits")).alias("_m")
+    other = near.groupBy(*at).agg(F.sum("_n").alias("n_nearby"), F.min(F.struct(*placed, nothing)).alias("_other"))
+    kinds = rows.groupBy(*spot, "_tc").agg(least)
+    # motifs are compared by their canonical form, which has the same rotations; a complement's complement may read T for U
+    mine = "_motif" if how.reverse_complement else "_qc"
+    # (point, motif) may be asked for in several forms
+    forms = asked.select(*at, mine, F.col("_qc").alias("_q")).distinct().withColumnRenamed(mine, "_mine")
+    if tolerance.exact_only:
+        met = forms.withColumn("_m", F.struct(F.lit(EXACT).alias("kind"), F.lit(0).alias("edits")))
+        met = met.join(near.select(*at, *spot, "distance"), at).join(kinds.withColumnRenamed("_tc", "_q"), [*spot, "_q"])
+    else:
+        met = forms.join(near.select(*at, *spot, "distance"), at).join(kinds, spot)
+        # different motifs are compared once
+        pairs = met.select("_mine", "_q", "_tc").distinct().withColumn("_m", compare(F.col("_mine"), F.col("_q"), F.col("_tc"), how, tolerance))
+        pairs = pairs.select(F.col("_mine").alias("_p_mine"), F.col("_tc").alias("_p_tc"), "_m")
+        pairs = pairs if tolerance.max_edit_fraction else pairs.filter(F.col("_m.kind") != NONE)
+        met = met.join(pairs, (F.col("_mine") == F.col("_p_mine")) & F.col("_tc").eqNullSafe(F.col("_p_tc")))
+    order = [F.when(F.col("_m.kind") != NONE, 0).otherwise(1).alias("o"), F.col("_m.edits").alias("edits")]
+    best = met.groupBy(*at, "_mine").agg(F.min(F.struct(*order, *placed, "_m")).alias("_best"))
+    found = [F.coalesce(F.col(f"_best.{c}"), F.col(f"_other.{c}")).alias(c) for c in ("distance", "_rs", "_re", "_m")]
+    # the row of a match may hold nulls, so its columns are taken together
+    found += [F.when(F.col("_best").isNotNull(), F.col(f"_best.{c}")).otherwise(F.col(f"_other.{c}")).alias(c) for c in held]
+    found = asked.withColumn("_mine", F.col(mine)).join(other, at, "left").join(best, [*at, "_mine"], "left").select(*key, "n_nearby", *found)
     covered = catalogue.select(F.col("chrom").alias("_chrom")).distinct().withColumn("_covered", F.lit(True))
-    out = q.join(best, key, "left").join(covered, "_chrom", "left")
+    out = q.join(found, key, "left").join(covered, "_chrom", "left")
     novelty = F.when(F.col("_covered").isNull(), "unscreened").when(F.col("n_nearby").isNull(), "novel_locus").when(F.col("_m.kind") != "", "known").otherwise("novel_motif")
     block = {
         "novelty": novelty, "n_nearby": F.coalesce("n_nearby", F.lit(0)), "start": F.col("_rs"), "end": F.col("_re"), "distance": F.col("distance"), "motif": F.col("_rm"),

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from spandrel.operators import disease, intervals
+from spandrel.functions.motifs import Tolerance
+from spandrel.operators import disease, intervals, screen
 
 
 def widest(spark, make):
@@ -49,3 +50,20 @@ def test_copies_in_first_in_window(spark):
     rows, most = widest(spark, lambda: intervals.first_in_window(p, c, "chrom", "point", "rc", "rs", "re", "r"))
     assert {(r["r"], r["distance"], r["n_nearby"]) for r in rows} == {(0, 0, 300)} and len(rows) == 300
     assert most < 5000, most
+
+
+def test_copies_in_screen(spark):
+    # copies of a call ask once; different motifs at a point and in an interval meet by their forms
+    asked = calls(spark, 300).withColumn("motif", F.translate(F.lpad(F.conv(F.col("k").cast("string"), 10, 4), 6, "0"), "0123", "ACGT"))
+    rows, most = widest(spark, lambda: screen.screen(asked, catalogue(spark, 300).withColumn("motif", F.translate(F.lpad(F.conv(F.col("r").cast("string"), 10, 4), 7, "0"), "0123", "ACGT")).drop("r"), "x_", window=10))
+    assert len(rows) == 300 and {r["x_n_nearby"] for r in rows} == {300}
+    assert {r["x_motif"] for r in rows if r["motif"] in ("AAAAAA", "ACGTAC")} == {"AAAAAAA"}
+    assert {r["x_match"] for r in rows if r["motif"] == "AAAAAA"} == {"exact"} and {r["x_match"] for r in rows if r["motif"] == "AAAACC"} == {""}
+    assert most < 5000, most
+
+
+def test_copies_in_tolerant_screen(spark):
+    how = Tolerance(max_edits=1, min_subrepeat_motif=1)
+    rows, most = widest(spark, lambda: screen.screen(calls(spark, 300), catalogue(spark, 300).drop("r"), "x_", window=10, tolerance=how))
+    assert {(r["motif"], r["x_motif"], r["x_match"], r["x_motif_edits"], r["x_n_nearby"]) for r in rows} == {("CA", "AC", "exact", 0, 300), ("AC", "AC", "exact", 0, 300), ("GGT", "GGTT", "fuzzy", 1, 300), ("T", "AC", "", 2, 300)}
+    assert most < 5000, most
