@@ -51,7 +51,8 @@ def ancestors(edges: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     Semi-naive: a round goes one step up from the pairs that the round before found first, and keeps what no round had; so every edge of a pair's
     way is followed once. Rounds are as many as the longest of the shortest ways up.
     """
-    up = written(edges.select("child", "parent").filter("child is not null and parent is not null").distinct(), "edges")
+    # sort-merge joins throughout: these tables are small as files and large as hash tables, and there is a join each round
+    up = written(edges.select("child", "parent").filter("child is not null and parent is not null").distinct(), "edges").hint("merge")
     start = up.select(F.col("child").alias("term")) if terms is None else terms.select("term")
     new = start.distinct().join(up, F.col("term") == F.col("child")).select("term", F.col("parent").alias("ancestor"))
     found, depth = [], 1
@@ -60,10 +61,9 @@ def ancestors(edges: DataFrame, terms: DataFrame | None = None) -> DataFrame:
         if new.isEmpty():
             break
         found.append(new)
-        step = new.join(up, F.col("ancestor") == F.col("child")).select("term", F.col("parent").alias("ancestor"))
-        for old in found:
-            step = step.join(old.select("term", "ancestor"), ["term", "ancestor"], "left_anti")
-        new, depth = step, depth + 1
+        step = new.join(up, F.col("ancestor") == F.col("child")).select("term", F.col("parent").alias("ancestor")).distinct()
+        old = reduce(DataFrame.unionByName, found).select("term", "ancestor").hint("merge")
+        new, depth = step.join(old, ["term", "ancestor"], "left_anti"), depth + 1
     return reduce(DataFrame.unionByName, found, new)
 
 

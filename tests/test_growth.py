@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from spandrel.functions.motifs import Tolerance
-from spandrel.operators import disease, intervals, screen
+from spandrel.operators import disease, intervals, screen, search, similar
 
 
 def widest(spark, make):
@@ -67,3 +67,22 @@ def test_copies_in_tolerant_screen(spark):
     rows, most = widest(spark, lambda: screen.screen(calls(spark, 300), catalogue(spark, 300).drop("r"), "x_", window=10, tolerance=how))
     assert {(r["motif"], r["x_motif"], r["x_match"], r["x_motif_edits"], r["x_n_nearby"]) for r in rows} == {("CA", "AC", "exact", 0, 300), ("AC", "AC", "exact", 0, 300), ("GGT", "GGTT", "fuzzy", 1, 300), ("T", "AC", "", 2, 300)}
     assert most < 5000, most
+
+
+def test_no_segments_or_ancestors_broadcast(spark, monkeypatch):
+    # a size estimated from the input takes what is made of it for small
+    words = spark.range(50).select(F.translate(F.lpad(F.conv(F.col("id").cast("string"), 10, 4), 6, "0"), "0123", "ACGT").alias("m"))
+    for out in (similar.similar_motifs(words, words.withColumnRenamed("m", "o"), "m", "o", 1), similar.similar_pairs(words, "m", 1)):
+        text = out._jdf.queryExecution().executedPlan().toString()
+        assert not [x for x in text.splitlines() if "BroadcastHashJoin" in x and "_part" in x], text
+    plans, keep = [], search.written
+
+    def seen(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(search, "written", seen)
+    edges = spark.range(1, 20).selectExpr("id as child", "id div 2 as parent").unionByName(spark.createDataFrame([(0, 7)], "child long, parent long"))
+    found = {(r["term"], r["ancestor"]): r["depth"] for r in search.ancestors(edges).collect()}
+    assert found[19, 9] == 1 and found[19, 0] == 5 and found[0, 0] == 4 and found[7, 7] == 4
+    assert len(plans) > 4 and not [p for p in plans if "Broadcast" in p]
