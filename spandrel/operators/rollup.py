@@ -17,6 +17,16 @@ from .screen import verdict_of, verdict_rank
 
 SITE = ["chrom", "ins_coord"]
 
+#: Rows that a task groups at once. Spark joins small partitions by their packed bytes and splits files so too, which says little about what a row takes in memory.
+ROWS = 250_000
+#: Shares of the largest group for each partition, so that no share fills one.
+SHARES = 8
+
+
+def partitions(df: DataFrame) -> int:
+    """So many partitions that each has ROWS rows of df or fewer on average; the session's number at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS))
+
 
 def dominant(df: DataFrame, keys: list[str], member: str, by: str, order: list[Column] = ()) -> DataFrame:
     """Per key the member with most different values of by; further order, then the member itself, break ties."""
@@ -165,12 +175,17 @@ def array_counts(segs: DataFrame) -> DataFrame:
 def rolled_up(calls: DataFrame, levels: list[list[str]], sample: str, purity: str) -> DataFrame:
     """One table of several levels: level (the names of its columns), the columns (null where a level hasn't got them), calls, different samples, the sum of purity and how many have one.
 
-    Calls are brought together once by all columns and the sample; the levels are grouping sets over these rows, which are fewer than calls, and a frequent
-    group is summed in parts before it meets.
+    Calls are brought together once by all columns and the sample; each of these rows, which are fewer than calls, gives one to every level. A level's group is counted in shares of
+    its samples, so none meets whole; no task gets more calls, or rows of levels, than its part of all.
     """
     columns = list(dict.fromkeys(c for level in levels for c in level))
-    fine = calls.groupBy(*columns, sample).agg(F.count("*").alias("_n"), F.sum(purity).alias("_p"), F.count(purity).alias("_np"))
-    sums = [F.sum("_n").alias("n_calls"), F.countDistinct(sample).alias("n_samples"), F.round(F.sum("_p"), 4).alias("purity"), F.sum("_np").alias("n_purity")]
-    out = fine.groupingSets([[F.col(c) for c in level] for level in levels], *[F.col(c) for c in columns]).agg(*[F.grouping(c).alias(f"_g_{c}") for c in columns], *sums)
-    level = F.concat_ws(",", *[F.when(F.col(f"_g_{c}") == 0, c) for c in columns])
+    n = partitions(calls)
+    fine = calls.repartition(n, *columns, sample).groupBy(*columns, sample).agg(F.count("*").alias("_n"), F.sum(purity).alias("_p"), F.count(purity).alias("_np"))
+    kept = lambda c: F.when(F.array_contains(F.lit([k for k, level in enumerate(levels) if c in level]), F.col("_l")), F.col(c)).alias(c)
+    sums = [F.sum(c).alias(c) for c in ("_n", "_p", "_np")]
+    each = fine.withColumn("_l", F.explode(F.lit(list(range(len(levels)))))).select("_l", *[kept(c) for c in columns], sample, F.pmod(F.xxhash64(sample), F.lit(SHARES * n)).alias("_s"), "_n", "_p", "_np")
+    of_sample = each.repartition(n * len(levels), "_l", *columns, "_s").groupBy("_l", *columns, "_s", sample).agg(*sums)
+    shares = of_sample.groupBy("_l", *columns, "_s").agg(*sums, F.count(sample).alias("_k")).repartition(n, "_l", *columns)
+    out = shares.groupBy("_l", *columns).agg(F.sum("_n").alias("n_calls"), F.sum("_k").alias("n_samples"), F.round(F.sum("_p"), 4).alias("purity"), F.sum("_np").alias("n_purity"))
+    level = F.get(F.lit([",".join(c for c in columns if c in level) for level in levels]), F.col("_l"))
     return out.select(level.alias("level"), *columns, "n_calls", "n_samples", "purity", "n_purity")

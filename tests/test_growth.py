@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from spandrel.functions import motifs
 from spandrel.functions.motifs import Tolerance
-from spandrel.operators import disease, intervals, screen, search, similar
+from spandrel.operators import disease, intervals, rollup, screen, search, similar
 
 
 def widest(spark, make):
@@ -25,6 +25,25 @@ def widest(spark, make):
     return rows, most
 
 
+def fullest(spark, make):
+    """make's rows, the most rows that a task read from a shuffle, and how many rows were shuffled."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    spark.sparkContext.setJobGroup(f"fullest-{id(make)}", "")
+    rows = make().collect()
+    tracker, seen, most, sent = spark.sparkContext.statusTracker(), set(), 0, 0
+    jobs = tracker.getJobIdsForGroup(f"fullest-{id(make)}")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for job in jobs:
+        for stage in tracker.getJobInfo(job).stageIds:
+            if stage in seen or not tracker.getStageInfo(stage) or not tracker.getStageInfo(stage).numCompletedTasks:
+                continue
+            seen.add(stage)
+            sent += store.lastStageAttempt(stage).shuffleWriteRecords()
+            tasks = store.taskList(stage, 0, 10000)
+            most = max([most, *[m.get().shuffleReadMetrics().recordsRead() for k in range(tasks.size()) if (m := tasks.apply(k).taskMetrics()).isDefined()]])
+    return rows, most, sent
+
+
 def calls(spark, n):
     return spark.range(n).select(F.col("id").alias("k"), F.lit("chr1").alias("chrom"), F.lit(100).cast("long").alias("point"), F.element_at(F.array(*map(F.lit, ["CA", "AC", "GGT", "T"])), (F.col("id") % 4 + 1).cast("int")).alias("motif"))
 
@@ -101,3 +120,13 @@ def test_longest_runs_of_many():
     assert list(zip(*motifs.longest_runs(seqs), strict=True)) == each
     # a sequence costs some numpy calls no longer
     assert 5 * (time.perf_counter() - middle) < middle - start
+
+
+def test_levels_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(rollup, "ROWS", 1000, raising=False)
+    df = spark.range(20000).selectExpr("'c' || id % 3 as c", "id % 2500 as p", "if(id % 50 = 0, null, id % 4000) as s", "id % 8 / 8 as v")
+    levels = [["c", "p"], ["c"], []]
+    rows, most, _ = fullest(spark, lambda: rollup.rolled_up(df, levels, "s", "v"))
+    want = {(",".join(level), *(r[c] if c in level else None for c in "cp")): (r.n, r.s, r.v) for level in levels for r in df.groupBy(*level).agg(F.count("*").alias("n"), F.countDistinct("s").alias("s"), F.sum("v").alias("v")).collect()}
+    assert {(r["level"], r["c"], r["p"]): (r["n_calls"], r["n_samples"], r["purity"]) for r in rows} == want
+    assert most < 2000, most
