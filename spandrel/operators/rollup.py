@@ -29,9 +29,17 @@ def partitions(df: DataFrame) -> int:
 
 
 def dominant(df: DataFrame, keys: list[str], member: str, by: str, order: list[Column] = ()) -> DataFrame:
-    """Per key the member with most different values of by; further order, then the member itself, break ties."""
-    n = df.groupBy(*keys, member).agg(F.countDistinct(by).alias("n_carriers"), *[c.alias(f"_o{k}") for k, c in enumerate(order)])
-    return best_hit(n, keys, [F.col("n_carriers").desc(), *[F.col(f"_o{k}").desc() for k in range(len(order))], F.col(member)]).select(*keys, member, "n_carriers")
+    """Per key the member with most different values of by; further order, then the member itself, break ties. order: maxima.
+
+    A member's rows are counted in shares of by, and a key's members ranked in shares of their own, so neither meets whole; no task gets more rows than its part of all.
+    """
+    n = partitions(df)
+    share = lambda c: F.pmod(F.xxhash64(c), F.lit(SHARES * n))
+    tops = [f"_o{k}" for k in range(len(order))]
+    apart = df.withColumn("_s", share(by)).repartition(n, *keys, member, "_s").groupBy(*keys, member, "_s").agg(F.countDistinct(by).alias("n_carriers"), *[c.alias(o) for o, c in zip(tops, order, strict=True)])
+    counted = apart.withColumn("_m", share(member)).repartition(n, *keys, "_m").groupBy(*keys, "_m", member).agg(F.sum("n_carriers").alias("n_carriers"), *[F.max(o).alias(o) for o in tops])
+    best = [F.col("n_carriers").desc(), *[F.col(o).desc() for o in tops], F.col(member)]
+    return best_hit(best_hit(counted, [*keys, "_m"], best).repartition(n, *keys), keys, best).select(*keys, member, "n_carriers")
 
 
 def median_member(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

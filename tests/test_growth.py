@@ -130,3 +130,15 @@ def test_levels_in_parts(spark, monkeypatch):
     want = {(",".join(level), *(r[c] if c in level else None for c in "cp")): (r.n, r.s, r.v) for level in levels for r in df.groupBy(*level).agg(F.count("*").alias("n"), F.countDistinct("s").alias("s"), F.sum("v").alias("v")).collect()}
     assert {(r["level"], r["c"], r["p"]): (r["n_calls"], r["n_samples"], r["purity"]) for r in rows} == want
     assert most < 2000, most
+
+
+def test_dominant_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(rollup, "ROWS", 1000, raising=False)
+    df = spark.range(20000).selectExpr("id % 2000 as k", "id % 7 as m", "id div 3 as b", "id % 11 as q").unionByName(spark.createDataFrame([(None, None, 1, 2), (None, None, None, 3)], "k long, m long, b long, q long"))
+    rows, most, _ = fullest(spark, lambda: rollup.dominant(df, ["k"], "m", "b", [F.max("q")]))
+    n = df.groupBy("k", "m").agg(F.countDistinct("b").alias("n"), F.max("q").alias("q")).collect()
+    best = {}
+    for r in n:
+        best[r.k] = max(best.get(r.k, (-1,)), (r.n, r.q, -(r.m or 0)))
+    assert {r["k"]: (r["n_carriers"], -(r["m"] or 0)) for r in rows} == {k: (b[0], b[2]) for k, b in best.items()} and len(rows) == 2001
+    assert most < 2000, most
