@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +12,11 @@ from pyspark.sql.window import Window
 from ..functions.motifs import longest_pure_segment
 from ..functions.text import format_map, info_map
 from .compressed import lines
+from .shared import written
 
 FIXED = ["CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO"]
+#: Samples' rows that a task brings together at once.
+ROWS = 250_000
 # Length of chromosome 1 in human assemblies.
 CHR1 = {248956422: "GRCh38", 249250621: "GRCh37", 248387328: "T2T-CHM13"}
 
@@ -135,11 +139,12 @@ def as_lines(df: DataFrame) -> DataFrame:
 
 
 def counters(df: DataFrame) -> DataFrame:
-    """kind, value, n: how often each type, filter, ALT form and INFO key occurs. One pass over the records."""
-    info = info_map(F.col("INFO"))
+    """kind, value, n: how often each type, filter, ALT form and INFO key occurs. One pass over the records, which are counted by all of these before each counts."""
+    info = df.select(info_map(F.col("INFO")).alias("_info"), F.col("FILTER").alias("_filter"), alt_kind(F.col("ALT")).alias("_alt"))
+    alike = info.groupBy(F.coalesce(F.col("_info")["SVTYPE"], F.lit(".")).alias("_type"), "_filter", "_alt", F.map_keys("_info").alias("_keys")).agg(F.count("*").alias("_n"))
     pair = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
-    some = F.array(pair("svtype", F.coalesce(info["SVTYPE"], F.lit("."))), pair("filter", F.col("FILTER")), pair("alt", alt_kind(F.col("ALT"))))
-    return df.select(F.explode(F.concat(some, F.transform(F.map_keys(info), lambda k: pair("info", k)))).alias("p")).groupBy("p.kind", "p.value").agg(F.count("*").alias("n"))
+    some = F.array(pair("svtype", F.col("_type")), pair("filter", F.col("_filter")), pair("alt", F.col("_alt")))
+    return alike.select(F.explode(F.concat(some, F.transform("_keys", lambda k: pair("info", k)))).alias("p"), "_n").groupBy("p.kind", "p.value").agg(F.sum("_n").alias("n"))
 
 
 def field_profile(long: DataFrame) -> DataFrame:
@@ -180,20 +185,23 @@ def disagreements(long: DataFrame, sequence: str, coordinate: str | None = None)
     )
 
 
-def readings(long: DataFrame, found: dict[str, str], examples: int = 5) -> DataFrame:
+def readings(long: DataFrame, found: dict[str, str], examples: int = 5, rows: int | None = None) -> DataFrame:
     """How records and their samples differ: kind, alt (the form of the record's ALT), n_records, n_samples, and the first examples, read both ways.
 
     found: the roles of FORMAT keys (roles). Only called samples count. Kinds: several_alleles (samples with different ones), no_sample_has_alt,
     anchor_differs (a sample's allele doesn't begin with REF's first base), shifted (a sample's breakpoint isn't at POS; of several, the nearest counts), and compared (any
-    record with a sample's own allele). A record's samples are brought together once; of a kind, each task keeps no more examples than asked for.
+    record with a sample's own allele). A record's samples are brought together once and written; of a kind, each task keeps no more examples than asked for, which are looked for without samples.
+    rows: how many long has, if that is known; tasks get ROWS of them on average.
     """
     from ..functions.text import first_live, positions
 
+    keys = ["CHROM", "POS", "ID", "REF", "ALT"]
     get = lambda role: F.col("fields")[found[role]] if role in found else F.lit(None).cast("string")
     called = is_called(get("genotype")) if "genotype" in found else F.lit(True)
     offset = F.array_min(F.transform(positions(get("coordinate")), lambda p: F.abs(p - F.col("POS"))))
     s = long.filter(F.coalesce(called, F.lit(False))).select("CHROM", "POS", "ID", "REF", "ALT", "sample", F.upper(first_live(get("sequence"))).alias("allele"), offset.alias("offset"))
-    record = s.groupBy("CHROM", "POS", "ID", "REF", "ALT").agg(F.array_sort(F.collect_list(F.struct("sample", "allele", "offset"))).alias("samples"))
+    n = max(int(long.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(long.count() if rows is None else rows) // ROWS))
+    record = s.repartition(n, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("sample", "allele", "offset"))).alias("samples"))
     some = F.filter("samples", lambda x: x["allele"].isNotNull())
     alleles = F.array_distinct(F.transform(some, lambda x: x["allele"]))
     checks = {
@@ -204,11 +212,15 @@ def readings(long: DataFrame, found: dict[str, str], examples: int = 5) -> DataF
         "shifted": F.exists("samples", lambda x: F.coalesce(x["offset"] > 0, F.lit(False))),
     }
     kinds = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), k) for k, c in checks.items()]), lambda k: k.isNotNull())
-    each = record.select(F.explode(kinds).alias("kind"), alt_kind(F.col("ALT")).alias("alt"), F.struct("CHROM", "POS", "ID", "REF", "ALT", "samples").alias("record"))
-    n = each.groupBy("kind", "alt").agg(F.count("*").alias("n_records"), F.sum(F.size("record.samples")).alias("n_samples"))
-    first = each.withColumn("_n", F.row_number().over(Window.partitionBy("kind", "alt").orderBy("record.CHROM", "record.POS", "record.ID", "record.REF", "record.ALT"))).filter(F.col("_n") <= examples)
-    shown = first.groupBy("kind", "alt").agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "record"))), lambda x: x["record"]).alias("examples"))
-    return n.join(shown, ["kind", "alt"])
+    record = written(record.select(*keys, "samples", kinds.alias("kinds"), alt_kind(F.col("ALT")).alias("form")).filter(F.size("kinds") > 0), "readings")
+    counts = record.select(F.explode("kinds").alias("kind"), F.col("form").alias("alt"), F.size("samples").alias("_k")).groupBy("kind", "alt").agg(F.count("*").alias("n_records"), F.sum("_k").alias("n_samples"))
+    each = record.select(*keys, "kinds", "form").repartition(n, *keys).select(F.explode("kinds").alias("kind"), "form", *[F.col(c).alias(f"_k_{c}") for c in keys])
+    first = each.withColumn("_n", F.row_number().over(Window.partitionBy("kind", "form").orderBy(*[f"_k_{c}" for c in keys]))).filter(F.col("_n") <= examples)
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys])
+    # at most the examples asked for of each kind and form
+    whole = record.select(F.struct(*keys, "samples").alias("record"), *keys).join(F.broadcast(first), same)
+    shown = whole.groupBy("kind", F.col("form").alias("alt")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "record"))), lambda x: x["record"]).alias("examples"))
+    return counts.join(shown, ["kind", "alt"])
 
 
 def scan(spark: SparkSession, path: str, most: int | None = None, learn: int | None = None) -> dict:
@@ -222,5 +234,5 @@ def scan(spark: SparkSession, path: str, most: int | None = None, learn: int | N
             long = long_form(rec, h.samples)
             d = disagreements(long, out["roles"]["sequence"], out["roles"].get("coordinate"))
             out["disagreements"] = d.agg(F.count("*").alias("records"), F.count_if(F.col("n_alleles") > 1).alias("several_alleles"), F.sum("n_alt_differs").alias("alt_differs"), F.max("max_offset").alias("max_offset")).first().asDict()
-            out["readings"] = [r.asDict(True) for r in readings(long, out["roles"]).collect()]
+            out["readings"] = [r.asDict(True) for r in readings(long, out["roles"], rows=len(h.samples) * sum(r["n"] for r in out["counters"] if r["kind"] == "filter")).collect()]
     return out

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from spandrel.functions import motifs
 from spandrel.functions.motifs import Tolerance
 from spandrel.operators import disease, intervals, rollup, screen, search, similar
+from spandrel.sources import vcf
 
 
 def widest(spark, make):
@@ -153,3 +154,12 @@ def test_sites_are_exchanged_once(spark, monkeypatch):
     assert got[0] == (13, 13, 3, 1, 1.0, "c1") and got[7] == (12, 12, 3, 1, 1.0, "c1") and len(rows) == 400
     # copies included, for each of the three ways they are counted
     assert sent <= 3 * 10000 and most < 6000, (sent, most)
+
+
+def test_readings_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(vcf, "ROWS", 1000, raising=False)
+    long = spark.range(20000).selectExpr("'c1' as CHROM", "id div 2 as POS", "'r' as ID", "'A' as REF", "'AC' as ALT", "cast(id % 2 as string) as sample", "map('GT', '0/1', 'SEQ', if(id % 2 = 0, 'AC', 'AG')) as fields")
+    rows, most, _ = fullest(spark, lambda: vcf.readings(long, {"genotype": "GT", "sequence": "SEQ"}, 2))
+    got = {r["kind"]: (r["alt"], r["n_records"], r["n_samples"], [(x["POS"], len(x["samples"])) for x in r["examples"]]) for r in rows}
+    assert got == {k: ("literal", 10000, 20000, [(0, 2), (1, 2)]) for k in ("compared", "several_alleles")}
+    assert most < 2000, most
