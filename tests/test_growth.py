@@ -158,7 +158,7 @@ def test_sites_are_exchanged_once(spark, monkeypatch):
 
 def test_readings_in_parts(spark, monkeypatch):
     monkeypatch.setattr(vcf, "ROWS", 1000, raising=False)
-    long = spark.range(20000).selectExpr("'c1' as CHROM", "id div 2 as POS", "'r' as ID", "'A' as REF", "'AC' as ALT", "cast(id % 2 as string) as sample", "map('GT', '0/1', 'SEQ', if(id % 2 = 0, 'AC', 'AG')) as fields")
+    long = spark.range(20000).selectExpr("concat('c', id div 20000) as CHROM", "id div 2 as POS", "concat('r', id div 20000) as ID", "if(id < 0, 'C', 'A') as REF", "if(id < 0, 'C', 'AC') as ALT", "cast(id % 2 as string) as sample", "map('GT', '0/1', 'SEQ', if(id % 2 = 0, 'AC', 'AG')) as fields")
     rows, most, _ = fullest(spark, lambda: vcf.readings(long, {"genotype": "GT", "sequence": "SEQ"}, 2))
     got = {r["kind"]: (r["alt"], r["n_records"], r["n_samples"], [(x["POS"], len(x["samples"])) for x in r["examples"]]) for r in rows}
     assert got == {k: ("literal", 10000, 20000, [(0, 2), (1, 2)]) for k in ("compared", "several_alleles")}
