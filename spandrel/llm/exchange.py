@@ -9,6 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 
+#: So many numbers are packed at a time.
+AT_ONCE = 1 << 18
+
 
 def shards_of(total: int, most: int, tasks: int) -> int:
     """Into how many shards numbers go of which each holds at most most; small totals still keep the given number of tasks busy."""
@@ -53,15 +56,18 @@ def unpack_sorted(raw: bytes, *kinds: str) -> list[np.ndarray]:
 
 def packed_small(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whole numbers of seven bits a byte, low bits first, the last byte below 128; and where each number begins, with the end."""
-    v = values.astype(np.uint64)
-    size = np.ones(len(v), np.int64)
+    v = values.astype(np.uint64, copy=False)
+    size = np.ones(len(v), np.uint8)
     for k in range(1, 10):
         size += v >= np.uint64(1 << 7 * k)
-    at = np.concatenate([[0], np.cumsum(size)])
+    at = np.zeros(len(v) + 1, np.int64)
+    np.cumsum(size, dtype=np.int64, out=at[1:])
     out = np.zeros(at[-1], np.uint8)
-    for k in range(int(size.max()) if len(v) else 0):
-        there = size > k
-        out[at[:-1][there] + k] = ((v[there] >> np.uint64(7 * k)) & np.uint64(127)) | (np.uint64(128) * (size[there] > k + 1)).astype(np.uint64)
+    for a in range(0, len(v), AT_ONCE):
+        some = slice(a, min(a + AT_ONCE, len(v)))
+        for k in range(int(size[some].max())):
+            there = a + np.flatnonzero(size[some] > k)
+            out[at[there] + k] = ((v[there] >> np.uint64(7 * k)) & np.uint64(127)) | (np.uint64(128) * (size[there] > k + 1)).astype(np.uint64)
     return out, at
 
 

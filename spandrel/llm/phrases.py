@@ -11,8 +11,8 @@ with those. As the threshold holds for sums over all shards, phrases grow by one
 within one; whatever is frequent grows from two frequent phrases, so no other is ever counted. Phrases are told apart by the
 numbers of the two phrases they grew from, never by hashes.
 
-What travels: the different left phrases of a shard, each with all that follow it and their counts in few bytes, and a shard's bitmaps once a
-length. Followers of a frequent left phrase are dealt over as many keys as its count asks, so no key gathers more than some occurrences.
+What travels: the different left phrases of a shard, each with all that follow it and their counts in few bytes, what is frequent of a shard's phrases, ANSWERS
+of all shards at a time in a row for each shard, and a shard's bitmaps once a length. Followers of a frequent left phrase are dealt over as many keys as its count asks, so no key gathers more than some occurrences.
 
 Defined cases: a null or empty text has no words; a null language is `und`, together with texts that say so; repeated rows count as often as
 they stand; ties rank by count, then by the phrase's bytes; an empty table gives an empty result; other columns are ignored,
@@ -28,7 +28,6 @@ from itertools import count
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -42,11 +41,13 @@ from .textops import blocks, mix64, string_parts
 #: Bytes of text to a shard, and to a step in which its words are numbered.
 SHARD_BYTES, STEP_BYTES = 24 << 20, 2 << 20
 #: So many pairs of bytes are ANDed at a time.
-PAIRS = 4 << 20
+PAIRS = 1 << 20
 #: The pairs of a left phrase are dealt over one key for each so many of its occurrences.
 DEAL = 1 << 20
 #: Left phrases are sent together by buckets of their numbers: at least so many, and one for each so many words of the corpus.
 BUCKETS, BUCKET_WORDS = 1 << 12, 1 << 18
+#: A task tells shards what is frequent when it has so many answers for them, all those of a shard in one row.
+ANSWERS = 1 << 20
 #: Phrases of so many words are sought, and so many occurrences make one a candidate.
 LONGEST, LEAST = 5, 100
 #: So many phrases of each language are reported.
@@ -85,8 +86,10 @@ class Bitmaps(NamedTuple):
         ids, most, size = unpack(heads, "<i8", "<i8", "<u4")
         gaps, byte = unpack(body, "<i4", "u1")
         first = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-        total = np.concatenate([[0], np.cumsum(gaps, dtype=np.int64)])
-        return Bitmaps(ids, most, first, total[1:] - np.repeat(total[first[:-1]], size), byte)
+        # what passes 32 bits in the sum falls out in the difference, as no place does
+        total = np.concatenate([np.zeros(1, np.int32), np.cumsum(gaps, dtype=np.int32)])
+        block = np.repeat(total[first[:-1]], size)
+        return Bitmaps(ids, most, first, np.subtract(total[1:], block, out=block), byte)
 
     def followed(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(left, right, block, byte): the bitmap of each left shifted up by one position, ANDed with that of each right; zeros are left out."""
@@ -116,11 +119,16 @@ class Bitmaps(NamedTuple):
         for left, right, _, byte in self.followed():
             keys.append(left.astype(np.int64) * size + right)
             bits.append(np.bitwise_count(byte))
-        code, key = pd.factorize(np.concatenate(keys))
-        n = np.bincount(code, weights=np.concatenate(bits), minlength=len(key)).astype(np.int64)
+        key, bit = np.concatenate(keys), np.concatenate(bits)
+        del keys, bits
         order = np.argsort(key)
-        key, n = np.asarray(key)[order], n[order]
-        return key // max(size, 1), self.ids[key % max(size, 1)], n
+        key, bit = key[order], bit[order]
+        del order
+        new = runs(key)
+        n = np.add.reduceat(bit, new, dtype=np.int64) if len(new) else np.zeros(0, np.int64)
+        key = key[new]
+        left, right = np.divmod(key, max(size, 1))
+        return left.astype(np.int32), self.ids[right], n
 
     def grown(self, left: np.ndarray, right: np.ndarray, ids: np.ndarray, total: np.ndarray) -> Bitmaps:
         """The bitmaps of the given pairs, under the given numbers."""
@@ -152,9 +160,12 @@ def read(batch_texts: Iterator[tuple[list[bytes], dict]]) -> tuple[dict[str, dic
             parts.append(np.append(code[code != _EMPTY], _END))
     code = np.concatenate(parts)
     at = np.flatnonzero(code != _END)
-    word = code[at] - _FIRST
+    word = (code[at] - _FIRST).astype(np.int32)
+    del code, parts
     n = int(word.max()) + 1 if len(word) else 0
-    return known, Bitmaps.of(word, at >> 3, np.left_shift(1, at & 7).astype(np.uint8), np.arange(n), np.zeros(n, np.int64)), np.bincount(word, minlength=n)
+    bit, block = np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)), (at >> 3).astype(np.int32)
+    del at
+    return known, Bitmaps.of(word, block, bit, np.arange(n), np.zeros(n, np.int64)), np.bincount(word, minlength=n)
 
 
 _SHARD = "chunk long, heads binary, body binary, bucket long, lefts binary, followers binary"
@@ -207,21 +218,30 @@ def _followers(b: Bitmaps, buckets: int) -> tuple[np.ndarray, pa.Array, pa.Array
     number of these to the next, and a count."""
     left, q, n = b.counted()
     parts = 1 + b.total[left] // DEAL
-    part = mix64(q.astype(np.uint64)) % parts.astype(np.uint64)
+    part = np.zeros(len(q), np.uint64)
+    some = np.flatnonzero(parts > 1)
+    part[some] = mix64(q[some].astype(np.uint64)) % parts[some].astype(np.uint64)
     p = b.ids[left]
-    bucket = (mix64(mix64(p.astype(np.uint64)) + part) % np.uint64(buckets)).astype(np.int64)
+    part += mix64(b.ids.astype(np.uint64))[left]
+    del left, parts
+    bucket = (mix64(part) % np.uint64(buckets)).astype(np.int64)
+    del part
     order = np.lexsort((q, p, bucket))
     p, q, n, bucket = p[order], q[order], n[order], bucket[order]
+    del order
     rows, groups = runs(bucket), _edges(bucket, p)
     step = np.diff(q, prepend=0)
     step[groups] = q[groups]
-    data, at = packed_small(np.column_stack([step, n]).ravel())
+    both = np.column_stack([step, n]).ravel()
+    del q, step, n
+    data, at = packed_small(both)
+    at, both = at[2 * rows], None
     heads = p[groups]
     new = np.searchsorted(groups, rows)  # a row's first group
     lead = np.diff(heads, prepend=0)
     lead[new] = heads[new]
     names, where = packed_small(np.column_stack([lead, np.diff(np.append(groups, len(p)))]).ravel())
-    return bucket[rows], _cut(names, np.append(where[2 * new], len(names))), _cut(data, np.append(at[2 * rows], len(data)))
+    return bucket[rows], _cut(names, np.append(where[2 * new], len(names))), _cut(data, np.append(at, len(data)))
 
 
 def _edges(*columns: np.ndarray) -> np.ndarray:
@@ -273,11 +293,14 @@ def _kept_words(buckets: int, own: pa.Table, answers: pa.Table) -> pa.Table:
         return _none()
     b = Bitmaps.unpacked(own["heads"][0].as_py(), own["body"][0].as_py())
     ids, total = np.full(len(b.ids), -1), np.zeros(len(b.ids), np.int64)
-    ids[answers["p"].to_numpy()], total[answers["p"].to_numpy()] = answers["id"].to_numpy(), answers["a"].to_numpy()
-    row = np.repeat(np.arange(len(b.ids)), np.diff(b.first))
-    place = np.cumsum(ids >= 0) - 1
-    kept = ids[row] >= 0
-    return _rows(own["of"][0].as_py(), Bitmaps.of(place[row[kept]], b.block[kept], b.byte[kept], ids[ids >= 0], total[ids >= 0]), buckets)
+    number, a, p = _told(answers, 1)
+    ids[p], total[p] = number, a
+    known = ids >= 0
+    size = np.diff(b.first)
+    kept = np.repeat(known, size)
+    # what is left out is given back before followers are counted
+    b = Bitmaps(ids[known], total[known], np.concatenate([[0], np.cumsum(size[known])]), b.block[kept], b.byte[kept])
+    return _rows(own["of"][0].as_py(), b, buckets)
 
 
 def _kept_pairs(buckets: int, own: pa.Table, answers: pa.Table) -> pa.Table:
@@ -285,12 +308,13 @@ def _kept_pairs(buckets: int, own: pa.Table, answers: pa.Table) -> pa.Table:
     if not own.num_rows or not answers.num_rows:
         return _none()
     b = Bitmaps.unpacked(own["heads"][0].as_py(), own["body"][0].as_py())
-    return _rows(own["of"][0].as_py(), b.grown(*(answers[c].to_numpy() for c in ("p", "q", "id", "a"))), buckets)
+    ids, total, p, q = _told(answers, 2)
+    return _rows(own["of"][0].as_py(), b.grown(p, q, ids, total), buckets)
 
 
 def _answered(shards: DataFrame, answers: DataFrame, f) -> DataFrame:
     own = shards.filter(F.col("heads").isNotNull()).select(F.col("chunk").alias("of"), "heads", "body")
-    to = answers.filter(F.col("chunk").isNotNull()).select(F.col("chunk").alias("to"), *(c for c in ("p", "q", "id", "a") if c in answers.columns))
+    to = answers.filter(F.col("chunk").isNotNull()).select(F.col("chunk").alias("to"), "answers")
     return own.groupBy("of").cogroup(to.groupBy("to")).applyInArrow(f, _SHARD)
 
 
@@ -305,9 +329,46 @@ class _Numbers:
         return np.arange(self.next - n, self.next)
 
 
+class _Answers:
+    """What tasks tell shards: (number, count, names) of frequent phrases, gathered by shard. A row has all that a shard is told at a time."""
+
+    def __init__(self):
+        self.parts, self.size = [], 0
+
+    def add(self, chunk: np.ndarray, *columns: np.ndarray) -> bool:
+        """Whether enough has been gathered."""
+        self.parts.append((chunk, *columns))
+        self.size += len(chunk)
+        return self.size >= ANSWERS
+
+    def rows(self, **heads: pa.DataType) -> Iterator[pa.RecordBatch]:
+        """Rows (heads, chunk, answers), where heads are null."""
+        if self.size:
+            chunk, ids, *columns = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+            order = np.argsort(chunk, kind="stable")
+            chunk, ids, columns = chunk[order], ids[order], [c[order] for c in columns]
+            first = runs(chunk)
+            packed = [pack(np.diff(ids[x:y], prepend=0), *(c[x:y] for c in columns)) for x, y in zip(first, np.append(first[1:], len(chunk)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(first), t) for t in heads.values()), pa.array(chunk[first]), pa.array(packed, pa.binary())], names=[*heads, "chunk", "answers"])
+        self.parts, self.size = [], 0
+
+
+def _told(answers: pa.Table, names: int) -> list[np.ndarray]:
+    """(number, count, names) of all that a shard is told."""
+    ids, *columns = zip(*(unpack(x, *["<i8"] * (2 + names)) for x in answers["answers"].to_pylist()), strict=True)
+    return [np.concatenate([np.cumsum(x) for x in ids]), *(np.concatenate(c) for c in columns)]
+
+
+def _heads(columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """Rows (columns, chunk, answers) for no shard."""
+    n = len(columns["id"])
+    return pa.RecordBatch.from_arrays([*columns.values(), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=[*columns, "chunk", "answers"])
+
+
 def _frequent_words(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (lang, word, chunk, p, n) sorted by word: those of frequent words, with number and count, and one without chunk for each of these."""
-    numbers = _Numbers()
+    """Of rows (lang, word, chunk, p, n) sorted by word: the frequent words with number and count, and what shards are told of them."""
+    numbers, told = _Numbers(), _Answers()
+    kinds = {"id": pa.int64(), "lang": pa.string(), "word": pa.string(), "a": pa.int64()}
     for rows in by_key(batches, ["lang", "word"]):
         lang, word = (rows[c].combine_chunks() for c in ("lang", "word"))
         new = np.ones(len(word), bool)
@@ -318,18 +379,18 @@ def _frequent_words(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[p
         ids[total >= least] = numbers.take(int((total >= least).sum()))
         group = np.cumsum(new) - 1
         at = np.flatnonzero(ids[group] >= 0)
-        head = first[total >= least]
-        both, g = np.concatenate([head, at]), group[np.concatenate([head, at])]
-        told = np.arange(len(both)) < len(head)
-        blank = lambda c: pc.if_else(pa.array(told), c.take(pa.array(both)), pa.scalar(None, c.type))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[g]), blank(lang), blank(word), pa.array(total[g]), pa.array(rows["chunk"].to_numpy()[both], mask=told), pa.array(rows["p"].to_numpy()[both], mask=told)], names=["id", "lang", "word", "a", "chunk", "p"]
-        )
+        many = total >= least
+        head = pa.array(first[many])
+        yield _heads({"id": pa.array(ids[many]), "lang": lang.take(head), "word": word.take(head), "a": pa.array(total[many])})
+        if told.add(rows["chunk"].to_numpy()[at], ids[group[at]], total[group[at]], rows["p"].to_numpy()[at]):
+            yield from told.rows(**kinds)
+    yield from told.rows(**kinds)
 
 
 def _frequent_pairs(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows of followers sorted by bucket: the frequent pairs of each shard, with number and count, and one without chunk for each of these."""
-    numbers = _Numbers()
+    """Of rows of followers sorted by bucket: the frequent pairs with number and count, and what shards are told of them."""
+    numbers, told = _Numbers(), _Answers()
+    kinds = dict.fromkeys(("id", "p", "q", "a"), pa.int64())
     for rows in by_key(batches, ["bucket"]):
         lead, size, groups = _joined(rows["lefts"])
         step, n, _ = _joined(rows["followers"])
@@ -345,11 +406,11 @@ def _frequent_pairs(least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[p
         ids[total >= least] = numbers.take(int((total >= least).sum()))
         group = np.cumsum(new) - 1
         at = np.flatnonzero(ids[group] >= 0)
-        head = first[total >= least]
-        both = np.concatenate([head, at])
-        g = group[both]
-        chunk = pa.array(rows["chunk"].to_numpy()[row[both]], mask=np.arange(len(both)) < len(head))
-        yield pa.RecordBatch.from_arrays([pa.array(ids[g]), pa.array(p[both]), pa.array(q[both]), pa.array(total[g]), chunk], names=["id", "p", "q", "a", "chunk"])
+        many = total >= least
+        yield _heads({c: pa.array(x[many]) for c, x in zip(kinds, (ids, p[first], q[first], total), strict=True)})
+        if told.add(rows["chunk"].to_numpy()[row[at]], ids[group[at]], total[group[at]], p[at], q[at]):
+            yield from told.rows(**kinds)
+    yield from told.rows(**kinds)
 
 
 def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST) -> tuple[list[DataFrame], DataFrame]:
@@ -363,7 +424,7 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     words = shards.filter(F.col("word").isNotNull()).select("lang", "word", "chunk", "p", "n")
     totals = stored(words.groupBy("lang").agg(F.sum("n").alias("n")), "phrase-totals")
     dealt = words.repartition("lang", "word").sortWithinPartitions("lang", "word")
-    told = stored(dealt.mapInArrow(partial(_frequent_words, least), "id long, lang string, word string, a long, chunk long, p long"), "phrase-counts")
+    told = stored(dealt.mapInArrow(partial(_frequent_words, least), "id long, lang string, word string, a long, chunk long, answers binary"), "phrase-counts")
     none = F.array().cast("array<bigint>")
     level = told.filter(F.col("chunk").isNull()).select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "a", none.alias("heads"), none.alias("tails"), *(F.lit(None).cast("long").alias(c) for c in "pq"))
     level = stored(level, "phrases")
@@ -375,10 +436,10 @@ def frequent_phrases(docs: DataFrame, text: str = "text", lang: str = "lang", le
     discard(told)
     for k in range(2, longest + 1):
         dealt = shards.filter(F.col("heads").isNull()).select("bucket", "chunk", "lefts", "followers").repartition("bucket").sortWithinPartitions("bucket")
-        told = stored(dealt.mapInArrow(partial(_frequent_pairs, least), "id long, p long, q long, a long, chunk long"), "phrase-counts")
+        told = stored(dealt.mapInArrow(partial(_frequent_pairs, least), "id long, p long, q long, a long, chunk long, answers binary"), "phrase-counts")
         left = level.select(F.col("id").alias("p"), "lang", "phrase", "heads", F.col("a").alias("head"))
         right = level.select(F.col("id").alias("q"), "last", "tails", F.col("a").alias("tail"))
-        grown = told.filter(F.col("chunk").isNull()).drop("chunk").join(left, "p").join(right, "q")
+        grown = told.filter(F.col("chunk").isNull()).drop("chunk", "answers").join(left, "p").join(right, "q")
         heads, tails = F.concat("heads", F.array("head")).alias("heads"), F.concat("tails", F.array("tail")).alias("tails")
         level = stored(grown.select("id", "lang", F.concat_ws(" ", "phrase", "last").alias("phrase"), "last", "a", heads, tails, "p", "q"), "phrases")
         levels.append(level)

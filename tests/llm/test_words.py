@@ -6,9 +6,12 @@ import re
 import string
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -88,6 +91,28 @@ def test_collocations_of_nothing_and_of_large_numbers(spark):
     assert got[5] == (min(1000 * 5 * 100 // (5 * 8), 1000 * 5 * 100 // (6 * 5)), 1, 5, 8)
 
 
+def test_shards_are_told_in_few_rows(monkeypatch):
+    """Answers of 300 frequent words, or pairs, for 8 shards are a row for each shard at a time."""
+    monkeypatch.setattr(phrases, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 1)))
+    words = pa.table({"lang": ["en"] * 2401, "word": [f"w{k:03}" for k in range(300) for _ in range(8)] + ["z"], "chunk": [*range(8)] * 300 + [0], "p": [k for k in range(300) for _ in range(8)] + [300], "n": [2] * 2401})
+    shard = phrases.Bitmaps.of(np.arange(301), np.arange(301) >> 3, np.left_shift(1, np.arange(301) & 7).astype(np.uint8), np.arange(301) * 3, np.full(301, 9))
+    bucket, lefts, followers = phrases._followers(shard, 4)
+    pairs = pa.concat_tables(pa.table({"bucket": bucket, "chunk": np.full(len(bucket), c), "lefts": lefts, "followers": followers}) for c in range(8)).sort_by("bucket")
+    for names, make, rows in ((1, phrases._frequent_words, words), (2, phrases._frequent_pairs, pairs)):
+        for most, n_rows in ((1 << 20, 8), (1, None)):
+            monkeypatch.setattr(phrases, "ANSWERS", most)
+            out = pa.Table.from_batches(b for b in make(8, iter(rows.to_batches(max_chunksize=50))))
+            heads, told = out.filter(pc.is_null(out["chunk"])), out.filter(pc.is_valid(out["chunk"]))
+            assert heads.num_rows == len(set(heads["id"].to_pylist())) == 300 and set(heads["a"].to_pylist()) == {16 if names == 1 else 8}
+            assert told.num_rows == n_rows or most == 1 and told.num_rows > 8
+            by = dict(zip(heads["id"].to_pylist(), zip(*(heads[c].to_pylist() for c in (["word"] if names == 1 else ["p", "q"])), strict=True), strict=True))
+            for c in range(8):
+                ids, a, *columns = phrases._told(told.filter(pc.equal(told["chunk"], c)), names)
+                assert len(ids) == 300 and dict(zip(ids.tolist(), a.tolist(), strict=True)) == dict(zip(heads["id"].to_pylist(), heads["a"].to_pylist(), strict=True))
+                for x, *p in zip(ids.tolist(), *(x.tolist() for x in columns), strict=True):
+                    assert by[x] == ((f"w{p[0]:03}",) if names == 1 else tuple(p))
+
+
 # byte-level BPE
 
 NASTY = [
