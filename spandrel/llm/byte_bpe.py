@@ -10,7 +10,7 @@ are the token's own two parts. Pre-tokens above WIDEST bytes are merged as array
 rank in a step, which gives the same.
 
 Words met often. Pre-tokens are counted over the whole corpus; the at most FREQUENT most frequent ones are merged once and their ids sent to every
-task (their number and length are bounded). Any other is merged where it stands. What is in that table changes no result.
+task (their number and length are bounded), in PARTS that tasks have packed and the driver passes on one by one. Any other is merged where it stands. What is in that table changes no result.
 
 Decoding. Each id's bytes come from a literal array, as a string of one character per byte; they are joined and turned into binary.
 
@@ -29,17 +29,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Shared, fresh, scratch, stored
+from .common import fresh, scratch, stored
+from .exchange import pack, pack_sorted, unpack, unpack_sorted
 from .textops import blocks, span_hashes, string_parts
 
 #: Spans of longer pre-tokens have no bit set of their own.
 WIDEST = 62
 #: So many pre-tokens at most are kept with their ids in every task.
 FREQUENT = 1_500_000
+#: They travel in so many parts.
+PARTS = 24
 #: Slots of the literal map of ranks, for each token.
 SLOTS = 2
 #: Bytes of pre-tokens that are counted together, and that are looked up together; longer texts are taken alone.
@@ -221,16 +225,29 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Known:
     """The ids of frequent pre-tokens, by two hashes of their bytes."""
 
-    def __init__(self, words: pa.Array, ids: pa.Array):
+    def __init__(self, parts: list[tuple[int, int, bytes, bytes]]):
+        n, n_ids = (sum(x[k] for x in parts) for k in (0, 1))
+        self.key, self.check, self.size, self.ids = np.empty(n, np.uint64), np.empty(n, np.uint64), np.empty(n, np.uint8), np.empty(n_ids, np.int32)
+        at = to = 0
+        for m, m_ids, heads, ids in parts:  # no part outlives its turn
+            self.key[at : at + m], self.check[at : at + m], self.size[at : at + m] = unpack_sorted(heads, "<u8", "u1")
+            (self.ids[to : to + m_ids],) = unpack(ids, "<i4")
+            at, to = at + m, to + m_ids
+        order = np.argsort(self.key, kind="stable")
+        self.first = (np.cumsum(self.size, dtype=np.int64) - self.size)[order]
+        for name in ("key", "check", "size"):
+            setattr(self, name, getattr(self, name)[order])
+
+    @staticmethod
+    def packed(words: pa.Array, ids: pa.ListArray) -> tuple[int, int, bytes, bytes]:
+        """A part of words of at most WIDEST bytes: how many words and ids, the words' hashes and numbers of ids, and the ids."""
         offsets, raw = string_parts(words)
         key = _hashes(offsets, raw)
         order = np.argsort(key)
-        self.key, self.check = key[order], _hashes(offsets, raw, 2)[order]
-        first = np.asarray(ids.offsets, np.int64)
-        size = np.diff(first)[order]
-        self.first = np.concatenate([[0], np.cumsum(size)])
-        at = np.repeat(first[:-1][order] - self.first[:-1], size) + np.arange(self.first[-1])
-        self.ids = np.asarray(ids.values, np.int32)[at]
+        ids = ids.take(pa.array(order))
+        heads = pack_sorted(key[order], _hashes(offsets, raw, 2)[order], np.diff(np.asarray(ids.offsets)).astype(np.uint8))
+        ids = np.asarray(ids.flatten(), np.int32)
+        return len(key), len(ids), heads, pack(ids)
 
     def find(self, offsets: np.ndarray, raw: np.ndarray, place: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Where each string is kept, -1 if it isn't."""
@@ -256,7 +273,7 @@ def _parts(known: Known, lists: pa.ListArray) -> pa.Array:
     n_parts = np.bincount(doc[new], minlength=len(lists)) + 1
     part_of_doc = np.concatenate([[0], np.cumsum(n_parts)])
     part = doc + np.cumsum(new) - new
-    n = np.where(new, 0, (known.first[1:] - known.first[:-1])[at]) if len(known.key) else np.zeros(len(at), np.int64)
+    n = np.where(new, 0, known.size[at]).astype(np.int64) if len(known.key) else np.zeros(len(at), np.int64)
     n_ids = np.bincount(part, weights=n, minlength=part_of_doc[-1]).astype(np.int64)
     which = np.repeat(at, n)
     end = np.cumsum(n)
@@ -268,8 +285,14 @@ def _parts(known: Known, lists: pa.ListArray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(part_of_doc, pa.int32()), pa.StructArray.from_arrays([runs, taken], ["ids", "word"]))
 
 
-def frequent(docs: DataFrame, ranks: Ranks, text: str, pattern: str) -> Known:
-    """The ids of the pre-tokens that are most frequent in all texts: all from some count on, at most FREQUENT."""
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if found := list(batches):
+        words, ids = (c.combine_chunks() for c in pa.Table.from_batches(found).columns)
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in Known.packed(words, ids)], names=["n", "n_ids", "heads", "ids"])
+
+
+def frequent(docs: DataFrame, ranks: Ranks, text: str, pattern: str) -> list[Broadcast]:
+    """Parts of the ids of the pre-tokens that are most frequent in all texts: all from some count on, at most FREQUENT."""
     words = docs.select(pretokens(F.col(text), pattern).alias("words")).mapInArrow(_counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     with scratch(docs.sparkSession):
         words = stored(words.filter(F.octet_length("word") <= WIDEST), "bpe-words")
@@ -280,23 +303,25 @@ def frequent(docs: DataFrame, ranks: Ranks, text: str, pattern: str) -> Known:
             if total > FREQUENT:
                 break
             least = level.n
-        found = words.filter(F.col("n") >= least).select("word", ranks.with_ids(lambda ids: ids(F.col("word"))).alias("ids")).toArrow()
-    return Known(found.column("word").combine_chunks(), found.column("ids").combine_chunks())
+        found = words.filter(F.col("n") >= least).repartition(PARTS).select("word", ranks.with_ids(lambda ids: ids(F.col("word"))).alias("ids"))
+        parts = stored(found.mapInArrow(_packed, "n long, n_ids long, heads binary, ids binary"), "bpe-frequent")
+        return [docs.sparkSession.sparkContext.broadcast((x.n, x.n_ids, bytes(x.heads), bytes(x.ids))) for x in parts.toLocalIterator()]
 
 
 def encode(docs: DataFrame, ranks: Ranks, pattern: str, text: str = "text", carry: list[str] | None = None, out: str = "ids") -> DataFrame:
     """The columns of carry, and every text's ids as an array of int."""
-    spark: SparkSession = docs.sparkSession
     carry = [] if carry is None else carry
     words, parts = fresh(docs, "words"), fresh(docs, "parts")
-    shared = Shared(spark, frequent(docs, ranks, text, pattern))
+    shared = frequent(docs, ranks, text, pattern)
 
     def split(batches):
+        known = None
         for batch in batches:
+            known = known or Known([part.value for part in shared])
             *others, lists = batch.columns
             at = 0
             for some in _slices(lists, LOOKED_UP):
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(some)) for c in others), _parts(shared.value, some)], names=[*batch.schema.names[:-1], parts])
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(some)) for c in others), _parts(known, some)], names=[*batch.schema.names[:-1], parts])
                 at += len(some)
 
     kept = docs.select(*carry, pretokens(F.col(text), pattern).alias(words))

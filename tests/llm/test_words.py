@@ -164,6 +164,24 @@ def test_ranks_file(tmp_path):
     assert byte_bpe.read_ranks(str(tmp_path / "r")) == {b"a": 0, b"\xff b": 1}
 
 
+def test_frequent_ids_pass_the_driver_in_small_parts(spark, ranks):
+    table, r = byte_bpe.Ranks(ranks), random.Random(6)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(3, 9))) for _ in range(6000)]
+    docs = spark.createDataFrame([(" ".join(words[k : k + 100]),) for k in range(0, 6000, 100)], "text string")
+    sent = [x.value for x in byte_bpe.frequent(docs, table, "text", public_tokenizers.PATTERN)]
+    kinds = len({w for k in range(0, 6000, 100) for w in re.findall(r" ?\w+", " ".join(words[k : k + 100]))})
+    sizes = [len(heads) + len(ids) for _, _, heads, ids in sent]
+    assert len(sent) == byte_bpe.PARTS and max(sizes) < 3 * sum(sizes) / len(sizes) and sum(sizes) < 35 * kinds
+    known = byte_bpe.Known(sent)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    some = [" " + w for w in words[1:100]] + [" never"]
+    offsets, raw = byte_bpe.string_parts(pa.array(some))
+    at = known.find(offsets, raw, np.arange(100), byte_bpe._hashes(offsets, raw))
+    assert len(known.key) == kinds and at[-1] == -1
+    for w, k in zip(some[:-1], at, strict=False):
+        assert known.ids[known.first[k] : known.first[k] + known.size[k]].tolist() == library.encode_ordinary(w)
+
+
 # spelling variants
 
 
