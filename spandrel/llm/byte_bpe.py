@@ -2,12 +2,11 @@
 
 Pre-tokens. A text's pre-tokens are the matches of the pattern, found by Spark's regular expressions; `\\s` counts Unicode's white space.
 
-Merging. A pre-token's bytes are merged in Spark's higher-order functions. Every span of its bytes that is a token, by a
-literal map of ranks, is a candidate; candidates are folded in the order of their ranks over a bit set of the places where pieces
+Merging. A pre-token's bytes are merged in Spark's higher-order functions. Every span of its bytes that is a token is a
+candidate; tasks find them in a trie, for a batch of pre-tokens at once. Candidates are folded in the order of their ranks over a bit set of the places where pieces
 begin, and one is merged where exactly two pieces fill its span. For ranks that training gave, this is the merging of the
 lowest-ranked neighbours first: when a token's turn comes, whatever fills its span has been merged as far as lower ranks go, which
-are the token's own two parts. Pre-tokens above WIDEST bytes are merged as arrays of pieces instead, all places of the lowest
-rank in a step, which gives the same.
+are the token's own two parts. The set has a byte for each place instead of a bit in pre-tokens above WIDEST bytes.
 
 Words met often. Pre-tokens are counted over the whole corpus; the at most FREQUENT most frequent ones are merged once and their ids sent to every
 task (their number and length are bounded), in PARTS that tasks have packed and the driver passes on one by one. Any other is merged where it stands. What is in that table changes no result.
@@ -26,15 +25,14 @@ import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import fresh, scratch, stored
+from .common import Shared, fresh, scratch, stored
 from .exchange import pack, pack_sorted, unpack, unpack_sorted
 from .textops import blocks, span_hashes, string_parts
 
@@ -44,12 +42,8 @@ WIDEST = 62
 FREQUENT = 1_500_000
 #: They travel in so many parts.
 PARTS = 24
-#: Slots of the literal map of ranks, for each token.
-SLOTS = 2
 #: Bytes of pre-tokens that are counted together, and that are looked up together; longer texts are taken alone.
 COUNTED, LOOKED_UP = 8 << 20, 1 << 20
-#: What stands before and after each piece where pieces are joined: characters that stand for no byte.
-OPEN, SHUT = "Ā", "ā"
 #: A place among the spans of a pre-token: 64 times its first byte, and its number of bytes.
 _STEP = 64
 
@@ -70,112 +64,117 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _word_bytes(word: Column) -> Column:
-    """One character for each byte."""
-    return F.decode(word.cast("binary"), "ISO-8859-1")
+class Spans:
+    """The tokens as a trie. A node's number is 1 more than the place of the edge to it among all edges, which are sorted by node and byte."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        edges, nodes, node = [], {b"": 0}, 0
+        self.rank = [-1]
+        for n in range(1, max(map(len, ranks), default=0) + 1):
+            below = {}
+            for t in sorted({t[:n] for t in ranks if len(t) >= n}, key=lambda t: (nodes[t[:-1]], t[-1])):
+                below[t] = node = node + 1
+                edges.append(nodes[t[:-1]] << 8 | t[-1])
+                self.rank.append(ranks.get(t, -1))
+            nodes = below
+        self.edges, self.rank = np.array(edges, np.int64), np.array(self.rank, np.int64)
+        heads = self.edges[self.edges < 256]
+        self.first = np.zeros(256, np.int64)  # the nodes of single bytes
+        self.first[heads] = np.arange(1, len(heads) + 1)
+
+    def found(self, offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(word, first byte in it, number of bytes, rank) of every span of a word that is a token, by word, rank and place."""
+        end = np.repeat(offsets[1:], np.diff(offsets))
+        at, node, n, out = np.arange(len(raw)), self.first[raw], 1, []
+        while len(at):
+            rank = self.rank[node]
+            token = rank >= 0
+            out.append((at[token], np.full(np.count_nonzero(token), n), rank[token]))
+            more = (node > 0) & (at + n < end[at])
+            at, edge = at[more], node[more] << 8
+            edge |= raw[at + n]
+            place = np.searchsorted(self.edges, edge)
+            there = self.edges[np.minimum(place, len(self.edges) - 1)] == edge
+            at, node, n = at[there], place[there] + 1, n + 1
+        at, size, rank = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+        word = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[at]
+        order = np.argsort(word << 32 | rank, kind="stable")  # a rank has one length, so its places ascend
+        word, at = word[order], at[order]
+        return word, at - offsets[word], size[order], rank[order]
+
+    def of(self, words: pa.Array) -> pa.StructArray:
+        """The spans of each pre-token, null for null, as Ranks.with_ids takes them."""
+        offsets, raw = string_parts(words)
+        size = np.diff(offsets)
+        word, at, n, rank = self.found(offsets, raw)
+
+        def lists(those: np.ndarray, values: pa.Array) -> pa.ListArray:
+            ends = np.concatenate([[0], np.cumsum(np.bincount(word[those], minlength=len(words)))])
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+        short = size[word] <= WIDEST
+        bits = lists(short, pa.array(rank[short] << 12 | at[short] * _STEP | n[short]))
+        columns = [pa.array(x[~short], pa.int32()) for x in (at, n, rank)]
+        places = lists(~short, pa.StructArray.from_arrays(columns, ["at", "size", "id"]))
+        return pa.StructArray.from_arrays([pa.array(size, pa.int32()), bits, places], ["size", "bits", "places"], mask=words.is_null())
 
 
 class Ranks:
-    """A literal map from tokens, as strings of one character per byte, to ranks: hash slots that each hold one token."""
+    """Tokens and their ranks: tasks look spans up, a fold merges them, a literal array decodes."""
+
+    #: A pre-token's number of bytes and its spans that are tokens, by rank: the rank, 12 bits higher, and the place; of longer pre-tokens the place, size and rank.
+    SPANS = "struct<size int, bits array<bigint>, places array<struct<at int, size int, id int>>>"
 
     def __init__(self, ranks: dict[bytes, int]):
-        keys = {t.decode("latin-1"): r for t, r in ranks.items()}
-        size = 1 << (SLOTS * max(len(keys), 1) - 1).bit_length()
-        # each token in the first of its two slots, or in the second, moving others
-        signed = lambda h: h - (1 << 64) if h >> 63 else h
-        hashes = {signed(xxhash.xxh64_intdigest(t.encode("utf-8"), 42)): r for t, r in keys.items()}
-        if len(hashes) < len(keys):
-            raise ValueError("two tokens have one hash")
-        self.mask, self.shift = size - 1, size.bit_length() - 1
-        at: list[int | None] = [None] * size
-        for h in hashes:
-            slot = self._slots(h)[0]
-            for _ in range(1000):
-                h, at[slot] = at[slot], h
-                if h is None:
-                    break
-                one, two = self._slots(h)
-                slot = two if slot == one else one
-            else:
-                raise ValueError("no slot is left for a token")
+        self.spans = Spans(ranks)
         places = [divmod(c, _STEP) for c in range(_STEP * _STEP)]
-        spans = lambda f: [f(i, i + n) if n > 1 and i + n <= WIDEST else 0 for i, n in places]
+        masks = lambda f: [f(i, i + n) if n and i + n <= WIDEST else 0 for i, n in places]
         value = {
-            "keys": [0 if h is None else h for h in at],
-            "ranks": [-1 if h is None else hashes[h] for h in at],
             "starts": [(1 << (n + 1)) - 1 for n in range(WIDEST + 1)],
-            "spans": [[i * _STEP + k for i in range(n - 1) for k in range(2, n - i + 1)] for n in range(WIDEST + 1)],
-            "ends": spans(lambda a, b: 1 << a | 1 << b),
-            "inner": spans(lambda a, b: (1 << b) - (1 << (a + 1))),
-            "outside": spans(lambda a, b: ~((1 << b) - (1 << (a + 1)))),
+            "ends": masks(lambda a, b: 1 << a | 1 << b),
+            "inner": masks(lambda a, b: (1 << b) - (1 << (a + 1))),
+            "outside": masks(lambda a, b: ~((1 << b) - (1 << (a + 1)))),
         }
-        #: hash slots and the ranks in them; for each length all begin bits and all spans; for each span the bits at its ends, within it and all others
-        self.table = _literal(value, "keys array<bigint>, ranks array<int>, starts array<bigint>, spans array<array<int>>, ends array<bigint>, inner array<bigint>, outside array<bigint>")
-        self.pieces = _literal([t for t, _ in sorted(keys.items(), key=lambda x: x[1])], "array<string>") if sorted(keys.values()) == list(range(len(keys))) else None
-
-    def _slots(self, h: int) -> tuple[int, int]:
-        return h & self.mask, h >> self.shift & self.mask
-
-    def _of(self, table: Column, piece: Column) -> Column:
-        """The rank of a string of bytes, null if it is no token."""
-
-        def found(h: Column) -> Column:
-            one, two = h.bitwiseAND(self.mask).cast("int"), F.shiftright(h, self.shift).bitwiseAND(self.mask).cast("int")
-            there = lambda s: F.when(F.get(table.keys, s) == h, F.get(table.ranks, s))
-            return F.coalesce(there(one), there(two))
-
-        return _let(F.xxhash64(piece), found)
+        #: for each length all begin bits; for each place the bits at its ends, within it and all others
+        self.table = _literal(value, "starts array<bigint>, ends array<bigint>, inner array<bigint>, outside array<bigint>")
+        self.pieces = _literal([t.decode("latin-1") for t in sorted(ranks, key=ranks.get)], "array<string>") if sorted(ranks.values()) == list(range(len(ranks))) else None
 
     def _folded(self, table: Column, word: Column) -> Column:
         """The ids of a pre-token of at most WIDEST bytes."""
-        n = F.octet_length(word)
-
-        def merged(raw: Column) -> Column:
-            def candidate(c: Column) -> Column:
-                rank = self._of(table, F.substring(raw, F.shiftright(c, 6) + 1, c.bitwiseAND(_STEP - 1)))
-                return F.shiftleft(rank.cast("long"), 12).bitwiseOR(c.cast("long"))
-
-            def step(begins: Column, c: Column) -> Column:
-                at = c.bitwiseAND(_STEP * _STEP - 1).cast("int")
-                two = (F.bit_count(begins.bitwiseAND(F.get(table.inner, at))) == 1) & (F.bit_count(begins.bitwiseAND(F.get(table.ends, at))) == 2)
-                return F.when(two, begins.bitwiseAND(F.get(table.outside, at))).otherwise(begins)
+        place = lambda c: c.bitwiseAND(_STEP * _STEP - 1).cast("int")
 
-            def ids(begins: Column) -> Column:
-                cuts = F.filter(F.sequence(F.lit(0), n), lambda k: F.getbit(begins, k) == 1)
-                return _let(cuts, lambda b: F.transform(F.slice(b, 2, _STEP), lambda end, k: self._of(table, F.substring(raw, F.get(b, k) + 1, end - F.get(b, k)))))
+        def filled(begins: Column, at: Column, n: int) -> Column:
+            """Whether so many pieces fill a span."""
+            return (F.bit_count(begins.bitwiseAND(F.get(table.inner, at))) == n - 1) & (F.bit_count(begins.bitwiseAND(F.get(table.ends, at))) == 2)
 
-            found = F.array_sort(F.filter(F.transform(F.get(table.spans, n), candidate), lambda c: c.isNotNull()))
-            return _let(F.aggregate(found, F.get(table.starts, n), step), ids)
+        def step(begins: Column, c: Column) -> Column:
+            at = place(c)
+            return F.when(filled(begins, at, 2), begins.bitwiseAND(F.get(table.outside, at))).otherwise(begins)
 
-        return _let(_word_bytes(word), merged)
+        def ids(begins: Column) -> Column:
+            left = F.transform(F.filter(word.bits, lambda c: filled(begins, place(c), 1)), lambda c: F.shiftleft(place(c).cast("long"), 32).bitwiseOR(F.shiftright(c, 12)))
+            return F.transform(F.sort_array(left), lambda x: x.bitwiseAND((1 << 32) - 1).cast("int"))
 
-    def _folded_long(self, table: Column, word: Column) -> Column:
-        """The ids of a pre-token of any length: in a step, all places of the lowest-ranked pair are merged, from left to right."""
+        return _let(F.aggregate(word.bits, F.get(table.starts, word["size"]), step), ids)
 
-        def state(pieces: Column) -> Column:
-            ranks = F.transform(pieces, lambda x, k: self._of(table, F.concat(x, F.get(pieces, k + 1))))
-            return _let(ranks, lambda r: F.struct(pieces.alias("pieces"), r.alias("ranks"), F.array_min(r).alias("low")))
+    def _folded_long(self, word: Column) -> Column:
+        """The ids of a pre-token of any length: the set has a byte for each place, 1 where a piece begins."""
+        span = lambda begins, s: F.substring(begins, s["at"] + 1, s["size"] + 1).cast("string")
+        zeros = lambda s: F.repeat(F.lit("0"), s["size"] - 1).cast("binary")
 
-        def step(s: Column) -> Column:
-            def merged(at: Column) -> Column:
-                a, b = F.get(s.pieces, at - 1), F.get(s.pieces, at)
-                joined = F.concat(F.lit(OPEN), F.array_join(s.pieces, SHUT + OPEN), F.lit(SHUT))
-                two, one = F.concat(F.lit(OPEN), a, F.lit(SHUT + OPEN), b, F.lit(SHUT)), F.concat(F.lit(OPEN), a, b, F.lit(SHUT))
-                whole = F.replace(joined, two, one)
-                return F.split(F.translate(F.substring(whole, F.lit(2), F.length(whole) - 2), OPEN, ""), SHUT)
+        def step(begins: Column, s: Column) -> Column:
+            return F.when(span(begins, s).rlike("^10*10*1$"), F.overlay(begins, zeros(s), s["at"] + 2)).otherwise(begins)
 
-            return _let(_let(F.array_position(s.ranks, s.low).cast("int"), merged), state)
+        def ids(begins: Column) -> Column:
+            return F.transform(F.sort_array(F.filter(word.places, lambda s: span(begins, s).rlike("^10*1$"))), lambda s: s["id"])
 
-        first = _let(F.split(_word_bytes(word), ""), state)
-        turns = F.sequence(F.lit(1), F.greatest(F.octet_length(word) - 1, F.lit(1)))
-        out = F.aggregate(turns, first, lambda s, _: F.when(s.low.isNull(), s).otherwise(step(s)), lambda s: s.pieces)
-        return F.transform(out, lambda p: self._of(table, p))
+        return _let(F.aggregate(word.places, F.repeat(F.lit("1"), word["size"] + 1).cast("binary"), step), ids)
 
     def with_ids(self, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
-        """body(ids), where ids gives a pre-token's ids. The literal map stands once in the expression, however often it is used."""
+        """body(ids), where ids gives a pre-token's ids from its spans. The literal masks stand once in the expression, however often they are used."""
 
         def ids(table: Column) -> Callable[[Column], Column]:
-            return lambda word: F.when(F.octet_length(word) <= WIDEST, self._folded(table, word)).otherwise(self._folded_long(table, word))
+            return lambda word: F.when(word["size"] <= WIDEST, self._folded(table, word)).otherwise(self._folded_long(word))
 
         return _let(self.table, lambda table: body(ids(table)))
 
@@ -197,14 +196,6 @@ def _hashes(offsets: np.ndarray, raw: np.ndarray, seed: int = 1) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
-def _different(offsets: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which different string each string is, and a place and the hash of each different one."""
-    code, h = pd.factorize(_hashes(offsets, raw))
-    place = np.empty(len(h), np.int64)
-    place[code[::-1]] = np.arange(len(code))[::-1]
-    return code, place, np.asarray(h, np.uint64)
-
-
 def _slices(lists: pa.ListArray, size: int) -> Iterator[pa.ListArray]:
     """A column of lists of strings in runs of at most so many bytes together."""
     first = np.asarray(lists.offsets, np.int64) - lists.offsets[0].as_py()
@@ -218,8 +209,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lists in _slices(batch.column(0), COUNTED):
             words = lists.flatten()
             if len(words):
-                code, place, _ = _different(*string_parts(words))
-                yield pa.RecordBatch.from_arrays([words.take(pa.array(place)).cast(pa.string()), pa.array(np.bincount(code), pa.int64())], names=["word", "n"])
+                word, n = pc.value_counts(words).flatten()
+                yield pa.RecordBatch.from_arrays([word.cast(pa.string()), n], names=["word", "n"])
 
 
 class Known:
@@ -261,13 +252,13 @@ class Known:
         return np.where((self.key[at] == h) & (self.check[at] == check), at, -1)
 
 
-def _parts(known: Known, lists: pa.ListArray) -> pa.Array:
-    """For each list of pre-tokens, runs of known ids, each with the unknown pre-token after it (null after the last run)."""
+def _parts(known: Known, spans: Spans, lists: pa.ListArray) -> pa.Array:
+    """For each list of pre-tokens, runs of known ids, each with the spans of the unknown pre-token after it (null after the last run)."""
     words = lists.flatten()
     size = np.diff(np.asarray(lists.offsets, np.int64))
-    offsets, raw = string_parts(words)
-    code, place, h = _different(offsets, raw)
-    at = known.find(offsets, raw, place, h)[code]
+    coded = words.dictionary_encode()
+    offsets, raw = string_parts(coded.dictionary)
+    at = known.find(offsets, raw, np.arange(len(coded.dictionary)), _hashes(offsets, raw))[np.asarray(coded.indices)]
     doc = np.repeat(np.arange(len(lists)), size)
     new = at < 0
     n_parts = np.bincount(doc[new], minlength=len(lists)) + 1
@@ -280,7 +271,7 @@ def _parts(known: Known, lists: pa.ListArray) -> pa.Array:
     ids = known.ids[known.first[which] + np.arange(len(which)) - np.repeat(end - n, n)]
     word = np.full(part_of_doc[-1], -1)
     word[part[new]] = np.flatnonzero(new)
-    taken = words.take(pa.array(word, pa.int64(), mask=word < 0)).cast(pa.string())
+    taken = spans.of(words.take(pa.array(word, pa.int64(), mask=word < 0)))
     runs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_ids)]), pa.int32()), pa.array(ids, pa.int32()))
     return pa.ListArray.from_arrays(pa.array(part_of_doc, pa.int32()), pa.StructArray.from_arrays([runs, taken], ["ids", "word"]))
 
@@ -303,8 +294,16 @@ def frequent(docs: DataFrame, ranks: Ranks, text: str, pattern: str) -> list[Bro
             if total > FREQUENT:
                 break
             least = level.n
-        found = words.filter(F.col("n") >= least).repartition(PARTS).select("word", ranks.with_ids(lambda ids: ids(F.col("word"))).alias("ids"))
-        parts = stored(found.mapInArrow(_packed, "n long, n_ids long, heads binary, ids binary"), "bpe-frequent")
+        shared = Shared(docs.sparkSession, ranks.spans)
+
+        def spans(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), shared.value.of(batch.column(0))], names=["word", "spans"])
+
+        found = words.filter(F.col("n") >= least).select("word").repartition(PARTS).mapInArrow(spans, f"word string, spans {Ranks.SPANS}")
+        # stored in between, so that no task needs two Python workers
+        found = stored(found.select("word", ranks.with_ids(lambda ids: ids(F.col("spans"))).alias("ids")), "bpe-ids")
+        parts = stored(found.repartition(PARTS).mapInArrow(_packed, "n long, n_ids long, heads binary, ids binary"), "bpe-frequent")
         return [docs.sparkSession.sparkContext.broadcast((x.n, x.n_ids, bytes(x.heads), bytes(x.ids))) for x in parts.toLocalIterator()]
 
 
@@ -312,7 +311,7 @@ def encode(docs: DataFrame, ranks: Ranks, pattern: str, text: str = "text", carr
     """The columns of carry, and every text's ids as an array of int."""
     carry = [] if carry is None else carry
     words, parts = fresh(docs, "words"), fresh(docs, "parts")
-    shared = frequent(docs, ranks, text, pattern)
+    shared, spans = frequent(docs, ranks, text, pattern), Shared(docs.sparkSession, ranks.spans)
 
     def split(batches):
         known = None
@@ -321,10 +320,10 @@ def encode(docs: DataFrame, ranks: Ranks, pattern: str, text: str = "text", carr
             *others, lists = batch.columns
             at = 0
             for some in _slices(lists, LOOKED_UP):
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(some)) for c in others), _parts(known, some)], names=[*batch.schema.names[:-1], parts])
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(some)) for c in others), _parts(known, spans.value, some)], names=[*batch.schema.names[:-1], parts])
                 at += len(some)
 
     kept = docs.select(*carry, pretokens(F.col(text), pattern).alias(words))
-    schema = StructType([*kept.select(*carry).schema.fields, *StructType.fromDDL(f"{parts} array<struct<ids array<int>, word string>>").fields])
+    schema = StructType([*kept.select(*carry).schema.fields, *StructType.fromDDL(f"{parts} array<struct<ids array<int>, word {Ranks.SPANS}>>").fields])
     whole = F.flatten(ranks.with_ids(lambda ids: F.transform(parts, lambda p: F.when(p.word.isNull(), p.ids).otherwise(F.concat(p.ids, ids(p.word))))))
     return kept.mapInArrow(split, schema).select(*carry, whole.alias(out))

@@ -159,6 +159,31 @@ def test_bpe_of_nothing_and_of_ids_outside(spark, ranks):
     assert [bytes(x[0]) for x in ids.select(table.decoded(F.col("ids"))).collect()] == [b"", b"", b"ab"]
 
 
+def test_bpe_plans_hold_no_ranks(spark, ranks):
+    table = byte_bpe.Ranks(ranks)
+    docs = spark.createDataFrame([("some words, never sent to the driver",)], "text string")
+    out = byte_bpe.encode(docs, table, public_tokenizers.PATTERN).withColumn("said", table.decoded(F.col("ids")))
+    assert len(out._jdf.queryExecution().optimizedPlan().toString()) < 1_000_000
+
+
+def test_bpe_spans_by_brute_force_and_long_words(spark, ranks):
+    r = random.Random(8)
+    words = ["", "a", "ü", "never seen before", *("".join(r.choices("abeinst", k=r.choice([3, 20, 61, 62, 63, 200]))) for _ in range(60)), "a" * 62, "a" * 63, "漢字" * 40]
+    offsets, raw = byte_bpe.string_parts(pa.array(words))
+    got = [x.tolist() for x in byte_bpe.Spans(ranks).found(offsets, raw)]
+    want = []
+    for k, w in enumerate(x.encode() for x in words):
+        want += sorted((k, ranks[w[i:j]], i, j - i) for i in range(len(w)) for j in range(i + 1, len(w) + 1) if w[i:j] in ranks)
+    assert list(zip(got[0], got[3], got[1], got[2], strict=True)) == want
+    table = byte_bpe.Ranks(ranks)
+    spans = table.spans.of(pa.array([*words[1:], None]))
+    rows = [(w, s and (s["size"], s["bits"], [(p["at"], p["size"], p["id"]) for p in s["places"]])) for w, s in zip([*words[1:], None], spans.to_pylist(), strict=True)]
+    out = spark.createDataFrame(rows, f"word string, spans {table.SPANS}").select("word", F.when(F.col("word").isNotNull(), table.with_ids(lambda ids: ids(F.col("spans")))).alias("ids")).collect()
+    library = tiktoken.Encoding("own", pat_str="(?s).+", mergeable_ranks=ranks, special_tokens={})
+    for x in out:
+        assert x.ids == (None if x.word is None else library.encode_ordinary(x.word)), x.word
+
+
 def test_ranks_file(tmp_path):
     (tmp_path / "r").write_bytes(base64.b64encode(b"a") + b" 0\n" + base64.b64encode(b"\xff b") + b" 1\n")
     assert byte_bpe.read_ranks(str(tmp_path / "r")) == {b"a": 0, b"\xff b": 1}
