@@ -13,6 +13,11 @@ Grouping. Documents sorted by shared leading n-gram stream past; each bucket giv
 groups of thousands of copies give as many rows as members. The components of the stars are clusters, and every
 possible link lies within one.
 
+Sieving. The more documents there are, the more groups hang together by an n-gram that two of them share by chance, and an exact comparison of a
+cluster grows with its square. A set's sketch is the parity of its members in each of some bits: two sets differ in at least as many members as
+their sketches in bits. Clusters that would cost much are parted first: their sketches meet, tile against tile, where sizes allow a link
+(in one band of sizes or the next), and only pairs that may still reach the threshold stay together. No link is lost.
+
 Counting. In a meeting of documents the order is cut into fragments; each fragment's overlaps of all the pairs are
 counted separately, as a product of 0/1 matrices, and the counts are summed per pair. The sums decide exactly. A
 meeting returns only a spanning forest of its links, at most one row per document; components of the forests are the
@@ -60,6 +65,10 @@ CHUNK, CHUNK_BYTES = 4096, 4 << 20
 FRAGMENT_GRAMS = 2_000_000
 #: A tile has at most about so many documents, and so many n-grams.
 TILE, TILE_GRAMS = 2048, 1 << 21
+#: Clusters are sieved where documents times n-grams exceed the first; so many sketches are a tile, of at most so many bits.
+SIEVED, SKETCHES, SKETCH_BITS = 1 << 27, 4096, 4096
+#: Pairs of sketches that are compared at a time.
+SKETCH_PAIRS = 1 << 18
 #: Small clusters are dealt to meetings of about so many n-grams.
 SHARE_GRAMS = 1 << 20
 #: Cells of the 0/1 matrix of one fragment.
@@ -85,20 +94,41 @@ def _int64(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-def describe(docs: DataFrame, text: str = "text", n_words: int = N_WORDS) -> DataFrame:
-    """docs with n_shingles and node, a digest of the set (null when it is empty)."""
+def _bands(threshold: tuple[int, int], most: int = 1 << 40) -> np.ndarray:
+    """Where bands of sizes begin: sets that reach the threshold are of one band or of two neighbours."""
+    num, den = threshold
+    edges = [1]
+    while edges[-1] < most:
+        edges.append(max(edges[-1] * den // num, edges[-1] * 11 // 10) + 1)
+    return np.array(edges, np.int64)
+
+
+def _bits(edges: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
+    """Bits of the sketches of each band: enough that those of sets without common members differ in more than the threshold admits."""
+    num, den = threshold
+    least = np.minimum(5 * (den - num) * edges[1:] // den, SKETCH_BITS)
+    return np.array([1 << max(6, int(x - 1).bit_length()) for x in least.tolist()])
+
+
+def describe(docs: DataFrame, text: str = "text", n_words: int = N_WORDS, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """docs with n_shingles, node, a digest of the set (null when it is empty), and the band of its size and its sketch."""
     at = docs.columns.index(text)
+    edges = _bands(threshold)
+    bits = _bits(edges, threshold)
 
     def run(batches):
         for batch in batches:
-            sizes, nodes = [], []
+            sizes, nodes, sketches = [], [], []
             for a, b, h, first in _sets(batch.column(at), n_words):
                 sizes.append(np.diff(first))
+                width = bits[np.maximum(np.searchsorted(edges, sizes[-1], "right") - 1, 0)].tolist()
+                sketches += [np.packbits(np.bincount(h[x:y] & np.uint64(w - 1), minlength=w) & 1).tobytes() if y > x else None for x, y, w in zip(first[:-1], first[1:], width, strict=True)]
                 nodes += [int.from_bytes(hashlib.blake2b(h[x:y].tobytes(), digest_size=8).digest(), "little", signed=True) if y > x else None for x, y in zip(first[:-1], first[1:], strict=True)]
-            more = [_int64(np.concatenate(sizes) if sizes else np.zeros(0, np.int64)), pa.array(nodes, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "n_shingles", "node"])
+            n = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+            more = [_int64(n), pa.array(nodes, pa.int64()), _int64(np.searchsorted(edges, n, "right") - 1), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "n_shingles", "node", "band", "sketch"])
 
-    more = [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType())]
+    more = [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("band", T.LongType()), T.StructField("sketch", T.BinaryType())]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
 
 
@@ -316,18 +346,79 @@ def _tile(count, salt: int = 0):
     return F.pmod(F.xxhash64("node", F.lit(salt)), count).cast("int")
 
 
-def _met(left: DataFrame, right: DataFrame | None, tiles: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Links of left rows with right ones (or among themselves) of the same cluster, tile against tile. Rows: cluster, node, grams; tiles: cluster, l, r."""
+def _met(left: DataFrame, right: DataFrame | None, tiles: DataFrame, meet) -> DataFrame:
+    """Links of left rows with right ones (or among themselves) of the same cluster, tile against tile, as meet finds them. Rows: cluster, node and what is compared; tiles: cluster, l, r."""
+    compared = [c for c in left.columns if c != "cluster"]
     there = lambda rows, own, other: rows.join(tiles, "cluster").withColumn("own", _tile(F.col(own))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
     own = there(left, "l", "r" if right is not None else "l")
     if right is None:
         side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-        rows = own.select("cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), side.alias("side"), "node", "grams")
+        rows = own.select("cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), side.alias("side"), *compared)
     else:
-        rows = own.select("cluster", F.col("own").alias("low"), F.col("other").alias("high"), F.lit(1).alias("side"), "node", "grams")
-        met = there(right, "r", "l").select("cluster", F.col("other").alias("low"), F.col("own").alias("high"), F.lit(2).alias("side"), "node", "grams")
+        rows = own.select("cluster", F.col("own").alias("low"), F.col("other").alias("high"), F.lit(1).alias("side"), *compared)
+        met = there(right, "r", "l").select("cluster", F.col("other").alias("low"), F.col("own").alias("high"), F.lit(2).alias("side"), *compared)
         rows = rows.unionByName(met)
-    return rows.groupBy("cluster", "low", "high").applyInPandas(_meet(threshold), "a long, b long")
+    return rows.groupBy("cluster", "low", "high").applyInPandas(meet, "a long, b long")
+
+
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of words, all of the length of the shortest."""
+    least = min(map(len, sketches))
+    rows = []
+    for s in sketches:
+        x = np.frombuffer(s, np.uint64)
+        rows.append(np.bitwise_xor.reduce(x.reshape(-1, least // 8)))
+    return np.stack(rows)
+
+
+def _sift(threshold: tuple[int, int]):
+    """Rows (side, node, n, sketch) of a meeting to the edges of a forest of the pairs whose sketches admit the threshold. Side 0 meets itself; 1 meets 2."""
+    num, den = threshold
+
+    def sift(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["side", "n", "node"])
+        side, node, n = (group[c].to_numpy() for c in ("side", "node", "n"))
+        words = _folded(group["sketch"].to_list())
+        total, alone = len(n), side[0] == 0
+        cut = total if alone else int((side == 1).sum())
+        start = 0 if alone else cut
+        label = np.arange(total)
+        at = 0
+        while at < cut and start < total:
+            step = max(1, SKETCH_PAIRS // (total - start))
+            rows = slice(at, min(at + step, cut))
+            # those sizes that the block's smallest and largest set admit
+            low = max(at if alone else start, start + int(np.searchsorted(n[start:], -(-n[at] * num // den))))
+            high = max(low, start + int(np.searchsorted(n[start:], n[rows.stop - 1] * den // num, "right")))
+            apart = np.zeros((rows.stop - at, high - low), np.int32)
+            for w in range(words.shape[1]):
+                apart += np.bitwise_count(words[rows, w][:, None] ^ words[low:high, w][None, :])
+            a, b = n[rows][:, None], n[low:high][None, :]
+            # a union of u and an intersection of i differ by u - i, and u + i is the sum of the sizes
+            i, j = np.nonzero((apart <= (a + b) * (den - num) // (den + num)) & (label[rows][:, None] != label[low:high][None, :]))
+            label = forest(total, label[at + i], label[low + j])[label]
+            at = rows.stop
+        moved = np.flatnonzero(label != np.arange(total))
+        return pd.DataFrame({"a": node[label[moved]], "b": node[moved]})
+
+    return sift
+
+
+def _sieved(clusters: DataFrame, sketches: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """clusters (node, cluster, n, row) with those parted that would cost much: no link is between the parts, and rows that can have none are left out. sketches: row, band, sketch."""
+    size = clusters.groupBy("cluster").agg((F.count("*") * F.sum("n")).alias("cost")).filter(F.col("cost") > SIEVED).select("cluster")
+    size = stored(size, "wide")
+    if size.isEmpty():
+        return clusters
+    wide = clusters.join(size, "cluster").join(sketches, "row")
+    # a meeting's number stands for its cluster and band; two of one number only meet in vain
+    at = lambda k: wide.select(F.xxhash64("cluster", F.col("band") - k).alias("cluster"), "node", "n", "sketch")
+    tiles = lambda k, name: wide.groupBy(F.xxhash64("cluster", F.col("band") - k).alias("cluster")).agg(F.ceil(F.count("*") / SKETCHES).cast("int").alias(name))
+    links = _met(at(0), None, tiles(0, "l"), _sift(threshold)).unionByName(_met(at(0), at(1), tiles(0, "l").join(tiles(1, "r"), "cluster"), _sift(threshold)))
+    part = components(links)
+    part = part.union(part.select("component", "component").distinct())
+    parted = clusters.drop("cluster").join(part.withColumnRenamed("component", "cluster"), "node").select(*clusters.columns)
+    return stored(clusters.join(size, "cluster", "left_anti").select(*clusters.columns).unionByName(parted), "parts")
 
 
 def _large(rows: DataFrame, threshold: tuple[int, int]) -> list[DataFrame]:
@@ -357,9 +448,9 @@ def _large(rows: DataFrame, threshold: tuple[int, int]) -> list[DataFrame]:
         probe = rest.filter(F.col("far") <= 2 * width).select("cluster", "node")
         inner, outer = open_.join(ring, ["cluster", "node"], "left_semi"), open_.join(probe, ["cluster", "node"], "left_semi")
         both = stored(tiles_of(inner, "l").join(tiles_of(outer, "r"), "cluster"), "rings")
-        links.append(_met(inner, outer, both, threshold))
+        links.append(_met(inner, outer, both, _meet(threshold)))
         open_ = stored(open_.join(rest.select("cluster", "node"), ["cluster", "node"], "left_semi"), "left")
-    links.append(_met(open_, None, tiles_of(open_, "l"), threshold))
+    links.append(_met(open_, None, tiles_of(open_, "l"), _meet(threshold)))
     return links
 
 
@@ -396,7 +487,7 @@ def jaccard_join(docs: DataFrame, ident: str = "doc_id", text: str = "text", n_w
     carry = [c for c in ([ident] if carry is None else carry) if c not in ("n_shingles", "component_id", "kept")]
     given = docs.select(*[F.col(c).alias(f"in_{c}") for c in dict.fromkeys([*carry, ident, text])])
     # written at once, so that the rows' numbers stay
-    marked = stored(describe(given, f"in_{text}", n_words).withColumn("row", F.monotonically_increasing_id()), "sets")
+    marked = stored(describe(given, f"in_{text}", n_words, threshold).withColumn("row", F.monotonically_increasing_id()), "sets")
     i = F.col(f"in_{ident}")
     sized = marked.filter("node is not null").groupBy("node").agg(F.min(F.struct(i.isNull().alias("none"), i.alias("id"), F.col("row"))).alias("head"), F.max("n_shingles").alias("n"))
     classes = stored(sized, "classes")
@@ -406,6 +497,7 @@ def jaccard_join(docs: DataFrame, ident: str = "doc_id", text: str = "text", n_w
     # a component's own smallest member has no row of its own
     clusters = near.select("node", F.col("component").alias("cluster")).union(near.select("component", "component").distinct())
     clusters = stored(clusters.join(classes.select("node", "n", "head.row"), "node"), "near")
+    clusters = _sieved(clusters, marked.select("row", "band", "sketch"), threshold)
     # one row for each different set that has a candidate
     sets = _grams(texts.join(clusters.select("row"), "row", "left_semi").select("node", "text"), n_words)
     linked = components(_links(sets, clusters, threshold))

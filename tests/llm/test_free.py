@@ -136,6 +136,34 @@ def test_ngram_join_chains_passages_and_thresholds(spark, monkeypatch, n, thresh
     assert {k for k in got if got[k].kept} == set(want)
 
 
+@pytest.mark.parametrize("threshold", [(90, 100), (80, 100)])
+def test_clusters_that_hang_together_by_chance_are_sieved(spark, monkeypatch, threshold):
+    # each text shares a rare n-gram with the next one, of about the same size or of another; some have near copies
+    monkeypatch.setattr(ngram_join, "SIEVED", 1000, raising=False)
+    monkeypatch.setattr(ngram_join, "SKETCHES", 7, raising=False)
+    monkeypatch.setattr(ngram_join, "SKETCH_PAIRS", 50, raising=False)
+    r = random.Random(3)
+    texts = []
+    for g in range(30):
+        own = [f"link{g} is here"] + [f"g{g}w{k}" for k in range(r.choice([20, 60, 70, 400]))] + [f"link{g + 1} is here"]
+        for c in range(r.choice([1, 2, 9])):
+            copy = list(own)
+            for _ in range(r.randint(0, 6)):
+                copy[r.randrange(1, len(copy) - 1)] = f"new{g}x{c}"
+            texts.append(" ".join(copy))
+    # every gram of the texts is shared, so those of the links lead
+    texts += [" ".join(f"g{g}w{k}" for k in range(400)) for g in range(30)]
+    met = []
+    monkeypatch.setattr(ngram_join, "_links", lambda sets, clusters, threshold, links=ngram_join._links: met.extend(clusters.collect()) or links(sets, clusters, threshold))
+    got = {x.doc_id: x for x in ngram_join.jaccard_join(docs(spark, texts), threshold=threshold).collect()}
+    want = linked_groups(texts, 3, threshold)
+    assert [got[k].component_id for k in range(len(texts))] == want
+    assert {k for k in got if got[k].kept} == set(want)
+    # what is compared in full are about the groups themselves
+    sizes = Counter(x.cluster for x in met)
+    assert max(sizes.values()) <= 10, sizes.most_common(3)
+
+
 def test_ngram_join_of_rows_without_own_ids(spark):
     base = [f"w{k}" for k in range(60)]
     near = " ".join([*base[:-1], "end"])
