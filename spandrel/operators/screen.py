@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.coords import normalize_chrom, to_internal
 from ..functions.motifs import EXACT, NONE, Equivalence, Tolerance, compare, with_canonical
@@ -84,39 +85,50 @@ def screen(calls: DataFrame, catalogue: DataFrame, prefix: str = "", chrom: str
     # a catalogue that was kept with its canonical motifs (sources.platforms.cached, under the same equivalence) has them ready
     rows = rows.withColumnRenamed("canonical", "_tc") if "canonical" in catalogue.columns else with_canonical(rows, "motif", "_tc", how)
     rows = rows.select(F.col("chrom").alias("_rc"), F.col("start").alias("_rs"), F.col("end").alias("_re"), F.col("motif").alias("_rm"), "_tc", *[F.col(c).alias(f"_x_{c}") for c in extra])
-    # different points are looked up once among different intervals; what lies in an interval follows by its motif
+    # different points are looked up once among different intervals and forms of motifs
     copies = F.coalesce(F.col("_x_copy_num").cast("double"), F.lit(0.0)) if "copy_num" in extra else F.lit(0.0)
     spot, at = ["_rc", "_rs", "_re"], ["_chrom", "_point"]
     held = ["_rm", "_tc", *[f"_x_{c}" for c in extra]]
-    least = F.min(F.struct((-copies).alias("c"), *held)).alias("_top")
-    near = written(window_join(asked.select(*at).distinct(), rows.groupBy(*spot).agg(F.count("*").alias("_n"), least), "_chrom", "_point", *spot, window), "near")
-    # the order of candidates is that of a struct, whose least one aggregate finds
-    placed = [F.col("distance"), F.col("_top.c").alias("c"), F.col("_rs"), F.col("_re"), *[F.col(f"_top.{c}").alias(c) for c in held]]
+    kinds = rows.groupBy(*spot, "_tc").agg(F.count("*").alias("_n"), F.min(F.struct((-copies).alias("c"), *held)).alias("_top"))
+    # candidates of one distance have one order, so a number stands for each, and what is best of a point's many is a least number
+    kinds = written(kinds.orderBy("_top.c", "_rs", "_re", "_top").withColumn("_id", F.monotonically_increasing_id()), "kinds")
+    count = max(1, kinds.count())
+    ranges = kinds.groupBy(F.shiftright("_id", 33).alias("_range")).agg(F.count("*").alias("_rows"))  # a row for each range of the sort
+    ranges = ranges.select("_range", (F.sum("_rows").over(Window.orderBy("_range")) - F.col("_rows")).alias("_before"))
+    kinds = kinds.withColumn("_range", F.shiftright("_id", 33)).join(F.broadcast(ranges), "_range").withColumn("_k", F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1))
+    near = window_join(asked.select(*at).distinct(), kinds.select(*spot, "_tc", "_n", "_k"), "_chrom", "_point", *spot, window)
+    near = written(near.groupBy(*at, "_tc").agg(F.min(F.col("distance") * count + F.col("_k")).alias("_at"), F.sum("_n").alias("_n")), "near")
     # under equal budgets of edits one that doesn't match is as good as any other
     level = (tolerance.max_edits if tolerance.max_edits > 0 else 0) + 1
-    nothing = F.struct(F.lit(NONE).alias("kind"), F.lit(level).alias("edits")).alias("_m")
-    other = near.groupBy(*at).agg(F.sum("_n").alias("n_nearby"), F.min(F.struct(*placed, nothing)).alias("_other"))
-    kinds = rows.groupBy(*spot, "_tc").agg(least)
+    nothing = F.struct(F.lit(NONE).alias("kind"), F.lit(level).alias("edits"))
+    other = near.groupBy(*at).agg(F.sum("_n").alias("n_nearby"), F.min("_at").alias("_other"))
     # motifs are compared by their canonical form, which has the same rotations; a complement's complement may read T for U
     mine = "_motif" if how.reverse_complement else "_qc"
     # (point, motif) may be asked for in several forms
     forms = asked.select(*at, mine, F.col("_qc").alias("_q")).distinct().withColumnRenamed(mine, "_mine")
     if tolerance.exact_only:
-        met = forms.withColumn("_m", F.struct(F.lit(EXACT).alias("kind"), F.lit(0).alias("edits")))
-        met = met.join(near.select(*at, *spot, "distance"), at).join(kinds.withColumnRenamed("_tc", "_q"), [*spot, "_q"])
+        met = forms.join(near.withColumnRenamed("_tc", "_q"), [*at, "_q"]).withColumn("_m", F.struct(F.lit(EXACT).alias("kind"), F.lit(0).alias("edits")))
     else:
-        met = forms.join(near.select(*at, *spot, "distance"), at).join(kinds, spot)
+        met = forms.join(near, at)
         # different motifs are compared once
         pairs = met.select("_mine", "_q", "_tc").distinct().withColumn("_m", compare(F.col("_mine"), F.col("_q"), F.col("_tc"), how, tolerance))
         pairs = pairs.select(F.col("_mine").alias("_p_mine"), F.col("_tc").alias("_p_tc"), "_m")
-        pairs = pairs if tolerance.max_edit_fraction else pairs.filter(F.col("_m.kind") != NONE)
-        met = met.join(pairs, (F.col("_mine") == F.col("_p_mine")) & F.col("_tc").eqNullSafe(F.col("_p_tc")))
-    order = [F.when(F.col("_m.kind") != NONE, 0).otherwise(1).alias("o"), F.col("_m.edits").alias("edits")]
-    best = met.groupBy(*at, "_mine").agg(F.min(F.struct(*order, *placed, "_m")).alias("_best"))
-    found = [F.coalesce(F.col(f"_best.{c}"), F.col(f"_other.{c}")).alias(c) for c in ("distance", "_rs", "_re", "_m")]
-    # the row of a match may hold nulls, so its columns are taken together
-    found += [F.when(F.col("_best").isNotNull(), F.col(f"_best.{c}")).otherwise(F.col(f"_other.{c}")).alias(c) for c in held]
-    found = asked.withColumn("_mine", F.col(mine)).join(other, at, "left").join(best, [*at, "_mine"], "left").select(*key, "n_nearby", *found)
+        pairs = written(pairs if tolerance.max_edit_fraction else pairs.filter(F.col("_m.kind") != NONE), "pairs")
+        same = (F.col("_mine") == F.col("_p_mine")) & F.col("_tc").eqNullSafe(F.col("_p_tc"))
+        met = met.join(pairs, same)
+    # matches come first, then fewer edits
+    span = count * (window + 2)
+    order = F.when(F.col("_m.kind") != NONE, 0).otherwise(1 << 16) + F.least("_m.edits", F.lit((1 << 16) - 1))
+    best = met.groupBy(*at, "_mine").agg(F.min(order.cast("long") * span + F.col("_at")).alias("_best"))
+    found = asked.withColumn("_mine", F.col(mine)).join(other, at, "left").join(best, [*at, "_mine"], "left").withColumn("_at", F.coalesce(F.col("_best") % span, "_other"))
+    found = found.withColumn("_k", F.col("_at") % count).withColumn("distance", F.expr(f"_at div {count}L"))
+    found = found.join(kinds.select("_k", "_rs", "_re", *[F.col(f"_top.{c}").alias(c) for c in held]), "_k", "left")
+    if tolerance.exact_only:
+        told = F.struct(F.lit(EXACT).alias("kind"), F.lit(0).alias("edits"))
+    else:
+        found, told = found.join(pairs, same, "left"), F.col("_m")
+    found = found.withColumn("_m", F.when(F.col("_best").isNotNull(), told).when(F.col("n_nearby").isNotNull(), nothing))
+    found = found.select(*key, "n_nearby", "distance", "_rs", "_re", "_m", *held)
     covered = catalogue.select(F.col("chrom").alias("_chrom")).distinct().withColumn("_covered", F.lit(True))
     out = q.join(found, key, "left").join(covered, "_chrom", "left")
     novelty = F.when(F.col("_covered").isNull(), "unscreened").when(F.col("n_nearby").isNull(), "novel_locus").when(F.col("_m.kind") != "", "known").otherwise("novel_motif")

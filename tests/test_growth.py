@@ -1,5 +1,6 @@
 """What the largest step makes of many copies: its rows must not be the product of the copies on either side."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from spandrel.functions import motifs
@@ -163,3 +164,16 @@ def test_readings_in_parts(spark, monkeypatch):
     got = {r["kind"]: (r["alt"], r["n_records"], r["n_samples"], [(x["POS"], len(x["samples"])) for x in r["examples"]]) for r in rows}
     assert got == {k: ("literal", 10000, 20000, [(0, 2), (1, 2)]) for k in ("compared", "several_alleles")}
     assert most < 2000, most
+
+
+@pytest.mark.parametrize("edits", [0, 1])
+def test_crowded_points_in_screen(spark, edits):
+    # points lie in many different intervals and are asked for with many motifs: what is near is told apart by motif before that
+    asked = spark.range(2000).selectExpr("id as k", "'chr1' as chrom", "1000 + id % 40 as point", "substring(translate(md5(cast(id div 40 as string)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, 12) as motif")
+    known = spark.range(200).selectExpr("'chr1' as chrom", "900 - id as start", "1100 + id as end", "if(id % 2 = 0, 'AC', 'GGTT') as motif", "id % 3 as copy_num")
+    same = asked.filter("k < 40").selectExpr("k + 5000 as k", "chrom", "point", "if(point % 2 = 0, 'CA', 'TTGG') as motif")
+    rows, most = widest(spark, lambda: screen.screen(asked.unionByName(same), known, tolerance=Tolerance(max_edits=edits)))
+    assert {r["n_nearby"] for r in rows} == {200} and len(rows) == 2040
+    # most copies, then the first start
+    assert {(r["novelty"], r["start"], r["motif"], r["distance"]) for r in rows} == {("novel_motif", 703, "GGTT", 0), ("known", 706, "AC", 0), ("known", 703, "GGTT", 0)}
+    assert most < 20000, most
